@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds between toxic and other training rows, smoothed by a Dirichlet prior with the shape of all training counts; significant ones (z-score of at least `Z`) score their log-odds, all others a fixed negative drift. One linear pass finds every maximal scoring segment of a text. A segment's score is made comparable over lengths by extreme-value (Karlin-Altschul) statistics of the background; the sums over a text's segments are turned into a probability by a logistic fit on the training rows.
+Features are words and their beginnings of 3 to 8 characters. Each gets its log-odds between toxic and other training rows, smoothed by a Dirichlet prior with the shape of all training counts; it is significant with log-odds of at least `LEAST` and a z-score of at least `Z`. A token scores the best of its significant features; any other token scores the log-ratio of the two classes' rates of such tokens, a small negative drift. One linear pass finds every maximal scoring segment of a text. Extreme-value (Karlin-Altschul) statistics of the background make a segment's score comparable over lengths; the best segment's significance becomes a probability by a logistic fit on the training rows.
 
-Token counts cover all training rows and are summed by Spark. Defined results: null and empty texts have no tokens and get the base score; texts of any length take linear time; repeated rows get equal results; where no row is labelled every score is the base rate of one half; extra columns are ignored.
+Token counts cover all training rows and are summed by Spark. Defined results: null and empty texts have no tokens and get the base score; texts of any length take linear time; repeated rows get equal results; where no row is labelled every score is one half; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, map_batches, texts
+from loam.llm.common import column, map_batches, spill, texts
 
-Z, DRIFT, PRIOR = 4.0, -0.5, 500.0
+Z, LEAST, PRIOR = 3.0, 2.0, 10_000.0
+PREFIXES = range(3, 9)
 MOST_TERMS = 20_000  # bound of the classifier's vocabulary
 
 _SPACE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -49,24 +50,48 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), d - c) for a, b, c, d, _ in found]
 
 
+class Scores(dict):
+    """Token scores; remembers those of up to 300,000 tokens."""
+
+    def __init__(self, weights: dict[str, float], drift: float):
+        super().__init__()
+        self.weights, self.drift = weights, drift
+
+    def __missing__(self, token: bytes) -> float:
+        word = token.decode()
+        w = self.weights
+        best = max((w[f] for f in (word, *(word[:k] + "^" for k in PREFIXES if k <= len(word))) if f in w), default=self.drift)
+        if len(self) < 300_000:
+            self[token] = best
+        return best
+
+
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
+    drift: float = -0.01
     lam: float = 1.0  # of exp(-lam * score): the root of E[exp(lam * s)] = 1 over background tokens
     rate: float = 1.0  # K: segments expected per background token at score 0
     slope: float = 0.0
     shift: float = 0.0
 
+    def __post_init__(self):
+        self.scores = Scores(self.weights, self.drift)
+
+    def __reduce__(self):
+        return Model, (self.weights, self.drift, self.lam, self.rate, self.slope, self.shift)
+
     def found(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Evidence (sum over the segments of -ln p, at least 0), and the segments."""
+        """Evidence (-ln p of the best segment, at least 0), and the segments."""
         words = tokens(text)
-        if self.weights.keys().isdisjoint(words):
+        s = np.fromiter(map(self.scores.__getitem__, words), np.float64, len(words))
+        hits = np.flatnonzero(s > 0)
+        if not len(hits):
             return 0.0, []
-        spans = segments([self.weights.get(w, DRIFT) for w in words])
-        evidence = 0.0
-        for _, _, s in spans:
-            ln_e = math.log(self.rate * len(words)) - self.lam * s
-            evidence += -ln_e if ln_e < -20 else max(0.0, -math.log(-math.expm1(-math.exp(min(ln_e, 3.0)))))
+        lo, hi = int(hits[0]), int(hits[-1]) + 1
+        spans = [(a + lo, z + lo, v) for a, z, v in segments(s[lo:hi].tolist())]
+        ln_e = math.log(self.rate * len(words)) - self.lam * max(v for *_, v in spans)
+        evidence = -ln_e if ln_e < -20 else max(0.0, -math.log(-math.expm1(-math.exp(min(ln_e, 3.0)))))
         return evidence, spans
 
     def score(self, evidence: float) -> float:
@@ -83,38 +108,48 @@ def token_counts(rows: DataFrame) -> DataFrame:
                 n.setdefault(w, [0, 0])[y] += 1
         return {"token": list(n), "toxic": [x[1] for x in n.values()], "other": [x[0] for x in n.values()]}
 
-    return map_batches(rows, run, "token binary, toxic long, other long", 5000).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return map_batches(rows, run, "token binary, toxic long, other long", 5000).groupBy(F.col("token").cast("string").alias("token")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def feature_counts(counts: DataFrame) -> DataFrame:
+    """Counts of words and of their beginnings, which end in ^."""
+    starts = F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k <= F.length("token")), lambda k: F.concat(F.substring(F.col("token"), F.lit(1), k), F.lit("^")))
+    features = counts.select(F.explode(F.concat(F.array("token"), starts)).alias("feature"), "toxic", "other")
+    return features.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Counts and calibration use every labelled row; rows without a label of 0 or 1 don't count. Labels of one id must agree; otherwise the larger holds."""
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y, "doc_id").select("text", "label")
-    counts = token_counts(rows).persist()
+    counts = spill(token_counts(rows), "tokens")
     n1, n0 = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
-    model = Model()
     if not n1 or not n0:
-        counts.unpersist()
-        return model
+        return Model()
     prior = (F.col("toxic") + F.col("other")) * F.lit(PRIOR / (n1 + n0))
     odds = lambda c, n: F.log((F.col(c) + prior) / (F.lit(float(n + PRIOR)) - F.col(c) - prior))
-    scored = counts.select("token", "toxic", "other", (odds("toxic", n1) - odds("other", n0)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)).alias("sd"))
-    best = scored.filter(F.col("delta") >= F.lit(Z) * F.col("sd")).filter("delta > 0").orderBy(F.desc(F.col("delta") / F.col("sd")), "token").limit(MOST_TERMS).collect()
-    counts.unpersist()
+    scored = feature_counts(counts).filter("toxic > 0").select("feature", (odds("toxic", n1) - odds("other", n0)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)).alias("sd"))
+    best = scored.filter((F.col("delta") >= F.lit(Z) * F.col("sd")) & (F.col("delta") >= LEAST)).orderBy(F.desc(F.col("delta") / F.col("sd")), "feature").limit(MOST_TERMS).collect()
     if not best:
-        return model
-    model.weights = {bytes(r["token"]): float(r["delta"]) for r in best}
-    background = [(r["other"] / n0, float(r["delta"])) for r in best if r["other"]]
-    mean = lambda lam: sum(p * math.exp(lam * s) for p, s in background) + (1 - sum(p for p, _ in background)) * math.exp(lam * DRIFT)
-    high = 1.0
-    while background and mean(high) < 1 and high < 64:
-        high *= 2
-    low = 0.0
+        return Model()
+    model = Model({r["feature"]: round(float(r["delta"]), 6) for r in best})
+
+    def hits(b):
+        s = [model.scores[w.encode()] for w in column(b, "token").to_pylist()]
+        return {"score": [round(x, 3) for x in s], "toxic": column(b, "toxic"), "other": column(b, "other")}
+
+    levels = map_batches(counts, hits, "score double, toxic long, other long", 5000).filter("score > 0").groupBy("score").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()
+    p1, p0 = sum(r["toxic"] for r in levels) / n1, sum(r["other"] for r in levels) / n0
+    model = Model(model.weights, min(-1e-3, math.log(max(1e-6, 1 - p1) / (1 - p0))))
+    background = [((r["other"] + 0.5) / n0, r["score"]) for r in levels]
+    rest = 1 - sum(p for p, _ in background)
+    mean = lambda lam: sum(p * math.exp(lam * s) for p, s in background) + rest * math.exp(lam * model.drift)
+    low, high = 0.0, 4.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if mean(mid) < 1 else (low, mid)
-    model.lam = min(4.0, max(0.05, high))
-    model.rate = max(1e-6, sum(p for p, _ in background) or 1 / n0)
+    model.lam = max(0.05, high)
+    model.rate = max(1e-9, sum(p for p, _ in background))
 
     def run(b):
         e = [round(model.found(t)[0], 3) for t in texts(b)]
