@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, langid, media, pii, toxicity, warc
+from loam.llm import bpe, langid, media, pii, substring, toxicity, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -16,6 +16,10 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.features(media.store_text(table(spark, sf_dir, "documents")))
     return out.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
@@ -50,11 +54,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_substring, op3_media, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6}
+    return {"op2_substring": OP2, "op6_warc": OP6}
 
 
 OP6 = """
@@ -73,3 +77,14 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = chosen THEN NULL ELSE chosen END AS refers_to
 FROM b JOIN g USING (h)
 """
+
+OP2 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p WHERE i + 12 <= len(w)),
+m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS i FROM g JOIN m USING (g) WHERE g.doc_id > m.first),
+k AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p ANTI JOIN r ON p.doc_id = r.doc_id AND p.i = r.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
