@@ -34,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def spill(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back. A lost executor loses none of it."""
-    path = f"{shared_dir(df.sparkSession)}/loam-{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, was = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{tag}", spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # the written table replaces the shuffle files it came from
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 500) -> DataFrame:
@@ -187,3 +192,38 @@ def sliding_min(g: np.ndarray, n: int) -> np.ndarray:
         g = np.minimum(g[:-step], g[step:]) if len(g) > step else g[:0]
         have += step
     return g
+
+
+def labels(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix, the smallest row index that each row reaches."""
+    n = len(linked)
+    now = np.arange(n)
+    while True:
+        new = np.minimum(now, np.where(linked, now[None, :], n).min(1, initial=n))
+        new = new[new]
+        if (new == now).all():
+            return now
+        now = new
+
+
+def tiled(rows: DataFrame, groups: list[str], size: str, node: str, block: int) -> DataFrame:
+    """Deal the rows of every group to tiles (i, j) so that any two rows of a group meet in one: a group of n rows has about n / block blocks, by a hash of the node, and a row goes to every tile of its block. Tiles are spread by range, and follow each other sorted in a partition."""
+    nb = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("long")
+    mine = rows.withColumn("blocks", nb).withColumn("mine", F.pmod(F.xxhash64(node, F.lit(17)), F.col("blocks")))
+    out = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    out = out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks", size)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionByRange(n, *groups, "i", "j").sortWithinPartitions(*groups, "i", "j", node)
+
+
+def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """members: (id, class keys...), classes: (class keys..., class_id, size), links: (node, links, root) per class and tile. Each member with class_id, n_links, component_id and kept; class_id is the smallest id of its class."""
+    links = spill(links, "links")
+    count = spill(links.groupBy(F.col("node").alias("class_id")).agg(F.sum("links").alias("links")), "counts")
+    comp = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    keys = [c for c in classes.columns if c not in ("class_id", "size")]
+    noted = spill(classes.join(count, "class_id", "left").join(comp.withColumnRenamed("node", "class_id"), "class_id", "left"), "classes")
+    noted = noted.select(*keys, "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    out = members.join(noted, keys, "left")
+    ident = members.columns[0]
+    return out.select(ident, F.coalesce("class_id", ident).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", ident).alias("component_id")).withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, langid, media, pii, substring, toxicity, warc
+from loam.llm import bpe, jaccard, langid, media, pii, substring, toxicity, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -25,6 +25,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -54,11 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring, op3_media, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2, "op6_warc": OP6}
+    return {"op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6}
 
 
 OP6 = """
@@ -88,3 +92,22 @@ k AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept, count(*)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+OP4 = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING count(*) / (na.n + nb.n - count(*)) >= 0.8
+),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT h, min(doc_id) AS class_id FROM n GROUP BY h)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(x.n_links, 0) AS n_links, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (h) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) x USING (doc_id)
+"""
