@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, jaccard, langid, media, pii, substring, toxicity, warc
+from loam.llm import bpe, jaccard, langid, media, pii, substring, toxicity, vectors, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -16,6 +16,10 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).drop("class_id")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -58,11 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6}
+    return {"op1_vectors": OP1, "op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6}
 
 
 OP6 = """
@@ -111,3 +115,15 @@ k AS (SELECT h, min(doc_id) AS class_id FROM n GROUP BY h)
 SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(x.n_links, 0) AS n_links, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (h) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) x USING (doc_id)
 """
+
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a) n USING (vec_id)
+"""
