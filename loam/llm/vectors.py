@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import column, labels, linked_classes, map_batches, map_runs, spill, tiled
 
-LISTS, SHARED, MOST_PIVOTS, TILE = 12, 2, 4096, 256
+LISTS, SHARED, MOST_PIVOTS, TILE = 16, 2, 4096, 256
 
 
 def describe(rows: DataFrame) -> DataFrame:
