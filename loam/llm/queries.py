@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, jaccard, langid, media, pii, substring, toxicity, vectors, warc
+from loam.llm import bpe, jaccard, langid, media, packing, pii, substring, toxicity, vectors, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -43,6 +43,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary())
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", _fold(4) == 2)
     model = langid.train(docs.filter("NOT held_out"))
@@ -62,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op8_langid, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
