@@ -389,7 +389,7 @@ def entity_bursts(spark, d):
     return temporal.bursts(t.entities(spark, d))
 
 
-@query("w AS (SELECT CAST(floor(first_seen / 604800) AS BIGINT) AS w, count(*) AS n FROM entities WHERE first_seen IS NOT NULL GROUP BY 1 HAVING count(*) >= 3) SELECT w * 604800 AS time_start, (w + 1) * 604800 AS time_end, n, round(least(0.9, 0.4 + n * 0.05), 6) AS confidence FROM w", "entities")
+@query("w AS (SELECT CAST(floor(first_seen / 604800) AS BIGINT) AS w, count(*) AS n FROM entities WHERE first_seen IS NOT NULL GROUP BY 1 HAVING count(*) >= 3) SELECT w * 604800 AS time_start, (w + 1) * 604800 AS time_end, n, CAST(round(least(0.9, 0.4 + n * 0.05), 6) AS DOUBLE) AS confidence FROM w", "entities")
 def topic_emergence(spark, d):
     return temporal.emergence(t.entities(spark, d))
 
@@ -413,7 +413,7 @@ def community_evolution(spark, d):
 BRIDGES = "br AS (SELECT entity_id, generation, 1.5 * CAST(substr(entity_id, 2) AS BIGINT) AS bridge_score FROM clusters WHERE CAST(substr(cluster_id, 2) AS BIGINT) % 5 = generation)"
 
 
-@query(BRIDGES + " SELECT entity_id, round(bridge_score, 6) AS bridge_score FROM br WHERE generation = 2 AND entity_id NOT IN (SELECT entity_id FROM br WHERE generation = 1)", "clusters")
+@query(BRIDGES + " SELECT entity_id, CAST(round(bridge_score, 6) AS DOUBLE) AS bridge_score FROM br WHERE generation = 2 AND entity_id NOT IN (SELECT entity_id FROM br WHERE generation = 1)", "clusters")
 def bridge_formation(spark, d):
     scores = t.clusters(spark, d).filter(F.substring("cluster_id", 2, 9).cast("long") % 5 == F.col("generation")).select("entity_id", "generation", (F.substring("entity_id", 2, 9).cast("long") * 1.5).alias("bridge_score"))
     return temporal.new_bridges(scores, 1, 2)
