@@ -91,6 +91,7 @@ DIGIT_WORDS = {
 }
 AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
+SPOKEN_DOTS = ("dot", "punkt", "punto")  # without brackets; "at the point of" is no address
 
 _FULLWIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _DIGITS = {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966) for i in range(10)}
@@ -98,8 +99,7 @@ _DROPPED = dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", "")
 
 
 _OPEN = re.compile(r"[\[({<]\s{0,3}(?:[@.]|[A-Za-z]{2,11}\s{0,3}[\])}>])")
-_INNER_DOT = re.compile(r"\.[A-Za-z0-9]")
-_DIGIT_SET, _AT_SET, _DOT_SET = map(frozenset, (DIGIT_WORDS, AT_WORDS, DOT_WORDS))
+_DIGIT_SET, _AT_SET, _DOT_SET = map(frozenset, (DIGIT_WORDS, AT_WORDS, SPOKEN_DOTS))
 
 
 @functools.cache
@@ -111,8 +111,9 @@ def _rules():
     opened, closed = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
     hide_at = re.compile(rf"(?<=[A-Za-z0-9]){opened}(?:{at}|@){closed}(?=[A-Za-z0-9])", re.I)
     hide_dot = re.compile(rf"(?<=[A-Za-z0-9]){opened}(?:{dot}|\.){closed}(?=[A-Za-z0-9])", re.I)
-    plain = re.compile(rf"(?<![A-Za-z0-9._%+-])({part}(?:\s(?:{dot})\s{part}|\.{part}){{0,4}})(\s(?:{at})\s)({part}(?:(?:\s(?:{dot})\s|\.){part}){{1,4}}){end}", re.I)
-    plain_dot = re.compile(rf"\s(?:{dot})\s", re.I)
+    spoken = "|".join(SPOKEN_DOTS)
+    plain = re.compile(rf"(?<![A-Za-z0-9._%+-])({part}(?:\s(?:{spoken})\s{part}|\.{part}){{0,4}})(\s(?:{at})\s)({part}(?:\s(?:{spoken})\s{part}){{1,4}}){end}", re.I)
+    plain_dot = re.compile(rf"\s(?:{spoken})\s", re.I)
     spelled = re.compile(rf"(?<!\w)(?:(?:plus\s)?(?:{digit})(?:[\s-](?:{digit}|\d+))*[\s-](?:{digit}))(?!\w)", re.I)
     word = re.compile(rf"plus\s|(?:{digit})", re.I)
     return chars, odd, hide_at, hide_dot, plain, plain_dot, spelled, word
@@ -145,7 +146,7 @@ def normalise(text: str) -> Tape | None:
     hidden = _OPEN.search(text)
     words = text.lower().replace("-", " ").split()
     digits = strange or not _DIGIT_SET.isdisjoint(words)
-    parted = strange or (not _AT_SET.isdisjoint(words) and (not _DOT_SET.isdisjoint(words) or _INNER_DOT.search(text)))
+    parted = strange or not (_AT_SET.isdisjoint(words) or _DOT_SET.isdisjoint(words))
     if not (strange or hidden or digits or parted):
         return None
     tape = Tape(text)
