@@ -121,7 +121,8 @@ def feature_counts(counts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Counts and calibration use every labelled row; rows without a label of 0 or 1 don't count. Labels of one id must agree; otherwise the larger holds."""
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y, "doc_id").select("text", "label")
+    # The labels grow with the documents, so the join is by a shuffle at every size; its rows are read twice, so they are written once.
+    rows = spill(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y.hint("merge"), "doc_id").select("text", "label"), "training")
     counts = spill(token_counts(rows), "tokens")
     n1, n0 = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
     if not n1 or not n0:
