@@ -516,3 +516,24 @@ def commitments_digest(spark, d):
 SELECT a.subject, a.id AS first_id, b.id AS second_id, round(len(list_intersect(a.tk, b.tk)) / least(len(a.tk), len(b.tk)), 6) AS overlap FROM k a JOIN k b ON a.subject = b.subject AND a.id < b.id WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND len(list_intersect(a.tk, b.tk)) / least(len(a.tk), len(b.tk)) >= 0.75""", "commitments")
 def commitment_overlap(spark, d):
     return ledger.duplicates(t.commitments(spark, d).filter("status = 'pending'"), 0.75)
+
+
+# Streaming
+
+
+@query("SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, count(DISTINCT role) AS n_roles FROM conversations GROUP BY 1")
+def turn_stream_upsert(spark, d):
+    from loam.sources.scratch import folder
+    from loam.streaming.turns import ingest
+
+    at = folder(spark)
+    version = ingest(spark, f"{d}/conversations.parquet*", f"{at}/store", f"{at}/checkpoint")
+    stored = spark.read.parquet(f"{at}/store/v{version}")
+    return stored.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.countDistinct("role").alias("n_roles"))
+
+
+@query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, d):
+    """An extension: tumbling windows over the event stream's table."""
+    e = t.given(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")

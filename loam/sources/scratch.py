@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,8 +14,13 @@ def _local() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or under one of this driver where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or _local()}/loam-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet under spark.checkpoint.dir, or a folder of this driver where that is unset, and read it again."""
-    path = f"{df.sparkSession.conf.get('spark.checkpoint.dir', None) or _local()}/loam-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as Parquet and read it again."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
