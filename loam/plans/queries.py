@@ -537,3 +537,121 @@ def event_windows(spark, d):
     """An extension: tumbling windows over the event stream's table."""
     e = t.given(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     return e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
+
+
+# Upkeep
+
+
+@query("""g AS (SELECT id FROM memories WHERE deleted_at IS NOT NULL), c AS (SELECT source, target, type, unnest(source_memories) AS id FROM relationships), h AS (SELECT source, target, type, count(*) AS n FROM c SEMI JOIN g USING (id) GROUP BY 1, 2, 3)
+SELECT r.source, r.target, r.type, greatest(1.0, weight - 0.5 * n) AS weight, len(source_memories) - n AS n_left, len(source_memories) - n <= 0 AS stale FROM relationships r JOIN h USING (source, target, type)""", "memories relationships")
+def detach_evidence(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.detach_evidence(t.relationships(spark, d), t.memories(spark, d).filter("deleted_at IS NOT NULL"))
+
+
+@query("""s AS (SELECT DISTINCT m.id, k.c, e.id AS x FROM memories m, (SELECT unnest([0, 1]) AS w) q, LATERAL (SELECT CASE WHEN w = 0 THEN m.id % 50 ELSE (m.id * 3) % 70 END AS c) k LEFT JOIN exchanges e ON e.conversation_id = k.c AND e.exchange_index = 0)
+SELECT id, count(x) AS n_cited, count(x) AS n_resolved, count(DISTINCT CASE WHEN x IS NOT NULL THEN c END) AS n_conversations FROM s GROUP BY id""", "memories exchanges")
+def memory_provenance(spark, d):
+    from loam.operators import upkeep
+
+    e = t.exchanges(spark, d)
+    first = e.filter("exchange_index = 0").select("conversation_id", F.col("id").alias("exchange_id"))
+    cites = t.memories(spark, d).select("id", F.explode(F.array_distinct(F.array(F.col("id") % 50, (F.col("id") * 3) % 70))).alias("conversation_id")).join(first, "conversation_id", "left")
+    return upkeep.provenance(cites.groupBy("id").agg(F.collect_list("exchange_id").alias("source_exchanges")), e)
+
+
+@query(f"SELECT id, deleted_at FROM memories WHERE deleted_at <= {NOW} - 115 * 86400", "memories")
+def retention_purge(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.purge(t.memories(spark, d), NOW, 115)
+
+
+@query("SELECT generation, count(*) AS n FROM clusters WHERE generation < (SELECT max(generation) FROM clusters) - 0 GROUP BY 1", "clusters")
+def stale_generations(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.stale_generations(t.clusters(spark, d), 0)
+
+
+@query("SELECT entity_id, min(generation) AS generation, arg_min(cluster_id, (generation, cluster_id)) AS cluster_id FROM clusters GROUP BY 1", "clusters")
+def first_cluster(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.first_cluster(t.clusters(spark, d))
+
+
+@query("y AS (SELECT source AS n, target AS other, type, weight FROM relationships UNION ALL SELECT target, source, type, weight FROM relationships) SELECT other, type, weight FROM y WHERE n = 's3' ORDER BY weight DESC, other, type LIMIT 25", "relationships")
+def neighbours_by_weight(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.neighbours(t.relationships(spark, d), "s3")
+
+
+@query(f"""y AS (SELECT n AS id, count(*) AS degree FROM (SELECT source AS n FROM relationships UNION ALL SELECT target FROM relationships) GROUP BY 1), b AS (SELECT source AS id, count(*) * 0.25 AS s FROM relationships GROUP BY 1),
+x AS (SELECT e.*, coalesce(degree, 0) AS dg, coalesce(s, 0) AS bs FROM entities e LEFT JOIN y USING (id) LEFT JOIN b USING (id)), z AS (SELECT max(mention_count) AS tm, max(dg) AS td, max(bs) AS tb FROM x)
+SELECT id, round(0.30 * CASE WHEN last_seen IS NULL THEN 0 ELSE exp(-({NOW} - last_seen) / (86400 * CAST(30 AS DOUBLE))) END + 0.10 * CASE WHEN first_seen IS NULL THEN 0 ELSE exp(-({NOW} - first_seen) / (86400 * CAST(90 AS DOUBLE))) END + 0.25 * log2(1 + mention_count) / log2(1 + tm) + 0.15 * log2(1 + dg) / log2(1 + td) + 0.20 * bs / tb, 6) AS relevance FROM x, z""", "entities relationships")
+def node_relevance(spark, d):
+    from loam.operators import upkeep
+
+    bridges = t.relationships(spark, d).groupBy(F.col("source").alias("id")).agg((F.count("*") * 0.25).alias("bridge_score"))
+    return upkeep.node_relevance(t.entities(spark, d), t.relationships(spark, d), bridges, NOW)
+
+
+@query("c AS (SELECT DISTINCT source AS entity_id, unnest(source_memories) AS memory_id FROM relationships) SELECT DISTINCT cluster_id, memory_id FROM clusters JOIN c USING (entity_id) WHERE generation = 2", "relationships clusters")
+def cluster_memories(spark, d):
+    from loam.operators import upkeep
+
+    cites = t.relationships(spark, d).select(F.col("source").alias("entity_id"), F.explode("source_memories").alias("memory_id"))
+    return upkeep.cluster_memories(t.clusters(spark, d).filter("generation = 2"), cites)
+
+
+@query("SELECT user_id % 10 AS run_id, event_type AS phase, count(*) FILTER (value >= 20) AS n_success, count(*) FILTER (value < 20) AS n_error FROM events GROUP BY 1, 2")
+def pipeline_progress(spark, d):
+    from loam.operators import upkeep
+
+    e = t.given(spark, d, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") >= 20, "success").when(F.col("value") < 20, "error").alias("status"))
+    return upkeep.progress(e)
+
+
+@query("s AS (SELECT id % 40 AS session_id, confidence AS score FROM memories), a AS (SELECT session_id, round(avg(score), 6) AS mean, round(max(score) - min(score), 6) AS spread, round(max(score), 6) AS best FROM s GROUP BY 1) SELECT *, CASE WHEN best >= 0.7 AND spread < 0.3 THEN 'drill' ELSE 'refine' END AS action FROM a", "memories")
+def session_metrics(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.session_metrics(t.memories(spark, d).select((F.col("id") % 40).alias("session_id"), F.col("confidence").alias("score")))
+
+
+@query("SELECT conversation_id, max(ts) AS last_indexed, count(*) AS exchange_count FROM exchanges GROUP BY 1 ORDER BY last_indexed DESC, exchange_count DESC, conversation_id LIMIT 30", "exchanges")
+def conversation_priority(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.priorities(t.exchanges(spark, d).groupBy("conversation_id").agg(F.max("ts").alias("last_indexed"), F.count("*").alias("exchange_count")), 30)
+
+
+@query("w AS (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY conversation_id ORDER BY exchange_index), 151) > 150 THEN 1 ELSE 0 END AS n FROM exchanges), s AS (SELECT *, sum(n) OVER (PARTITION BY conversation_id ORDER BY exchange_index) AS session FROM w) SELECT conversation_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS start, max(ts) AS \"end\" FROM s GROUP BY 1, session", "exchanges")
+def conversation_sessions(spark, d):
+    from loam.operators import upkeep
+
+    return upkeep.lagged_gaps(t.exchanges(spark, d), 150)
+
+
+@query(f"ch AS (SELECT id, CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'superseded' ELSE 'dropped' END AS s, CASE WHEN id % 2 = 0 THEN id + 1 END AS other FROM commitments WHERE id % 10 = 1), v AS (SELECT * FROM ch WHERE s IN ('done', 'dropped') OR other IS NOT NULL) SELECT id, coalesce(s, status) AS status, other AS superseded_by, CASE WHEN s IS NOT NULL THEN CAST({NOW} AS BIGINT) END AS resolved_at FROM commitments LEFT JOIN v USING (id)", "commitments")
+def commitments_resolve(spark, d):
+    from loam.operators import upkeep
+
+    c = t.commitments(spark, d)
+    changes = c.filter("id % 10 = 1").selectExpr("id", "CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'superseded' ELSE 'dropped' END AS status", "CASE WHEN id % 2 = 0 THEN id + 1 END AS superseded_by")
+    return upkeep.resolve(c, changes, NOW).select("id", "status", "superseded_by", "resolved_at")
+
+
+@query("SELECT id, stale_since FROM entities WHERE stale_since IS NOT NULL ORDER BY stale_since DESC, id LIMIT 10", "entities")
+def stale_entities(spark, d):
+    return t.entities(spark, d).filter("stale_since IS NOT NULL").orderBy(F.desc("stale_since"), "id").limit(10).select("id", "stale_since")
+
+
+@query("SELECT source, target FROM relationships WHERE source IN (SELECT id FROM entities WHERE mention_count >= 30) AND target IN (SELECT id FROM entities WHERE mention_count >= 30)", "entities relationships")
+def edges_above_threshold(spark, d):
+    seen = t.entities(spark, d).filter("mention_count >= 30").select("id")
+    e = t.relationships(spark, d).select("source", "target")
+    return e.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
