@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: workers elsewhere have no path to it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        out = Path(tempfile.mkdtemp(prefix="spark-")) / "loam.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "loam").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(out))
+        _shipped.add(app)
+
+
+def arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def spill(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back. A lost executor loses none of it."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -41,7 +64,17 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete spilled tables that nothing still to be computed reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 500) -> DataFrame:
@@ -54,7 +87,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 if (out := fn(b.slice(at, rows))) is not None:
                     yield pa.RecordBatch.from_arrays([v if isinstance(v := out[n], (pa.Array, pa.ChunkedArray)) else pa.array(v, ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def map_runs(df: DataFrame, keys: list[str], fn: Callable[[list, pa.Table], dict | None], schema: str, block: int, overlap: int = 0) -> DataFrame:
@@ -96,7 +129,7 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[list, pa.Table], dict
         if key is not None and fresh:
             yield from call()
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def texts(b: pa.RecordBatch, col: str = "text") -> list[str]:
@@ -129,8 +162,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = spill(star(both, "b > a"), "large")
-        edges = spill(star(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "b < a"), "small")
+        large = spill(star(both, "b > a"), "large")
+        release(edges)
+        edges = spill(star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "b < a"), "small")
+        release(large)
         if (now := state(edges)) == was:
             break
         was = now
@@ -217,8 +252,7 @@ def tiled(rows: DataFrame, groups: list[str], size: str, node: str, block: int)
 
 
 def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """members: (id, class keys...), classes: (class keys..., class_id, size), links: (node, links, root) per class and tile. Each member with class_id, n_links, component_id and kept; class_id is the smallest id of its class."""
-    links = spill(links, "links")
+    """members: (id, class keys...), classes: (class keys..., class_id, size), links: (node, links, root) per class and tile, a written table. Each member with class_id, n_links, component_id and kept; class_id is the smallest id of its class."""
     count = spill(links.groupBy(F.col("node").alias("class_id")).agg(F.sum("links").alias("links")), "counts")
     comp = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     keys = [c for c in classes.columns if c not in ("class_id", "size")]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, components, hashed, labels, linked_classes, map_batches, map_runs, mix, rolling, spill, texts, tiled
+from loam.llm.common import column, components, hashed, labels, linked_classes, map_batches, map_runs, mix, release, rolling, spill, texts, tiled
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 VALUES, TREES, DEPTH, STRIDE = 128, 32, 12, 4
@@ -148,11 +148,15 @@ def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame
     entry = reps.select("node", F.explode(F.arrays_zip("keys", "orders")).alias("x")).select("node", F.col("x.keys").alias("k"), F.col("x.orders").alias("o"))
     shared = spill(entry.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "prefixes")
     met = spill(entry.join(shared, "k"), "entries")
-    met = spill(met.join(reps.select("node", "sketch"), "node").select("k", "o", "node", "sketch"), "trie")
+    trie_rows = spill(met.join(reps.select("node", "sketch"), "node").select("k", "o", "node", "sketch"), "trie")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trie = met.repartitionByRange(n, "k", "o", "node").sortWithinPartitions("k", "o", "node")
+    trie = trie_rows.repartitionByRange(n, "k", "o", "node").sortWithinPartitions("k", "o", "node")
     least = math.ceil(VALUES * ((threshold - slack) * 255 / 256 + 1 / 256))
-    return components(map_runs(trie, ["k"], _family_links(least), "a long, b long", BLOCK, OVERLAP))
+    links = spill(map_runs(trie, ["k"], _family_links(least), "a long, b long", BLOCK, OVERLAP), "candidates")
+    release(met, trie_rows)
+    out = components(links)
+    release(links)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -161,8 +165,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     seen = spill(describe(docs, prefix_length(threshold, recall), n), "signatures")
     classes = spill(seen.filter("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")), "classes")
     reps = seen.join(classes.select(F.col("class_id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"])
-    reps = spill(reps.select(F.col("doc_id").alias("node"), "keys", "orders", "sketch"), "classes")
+    reps = spill(reps.select(F.col("doc_id").alias("node"), "keys", "orders", "sketch"), "representatives")
+    ids = spill(seen.select("doc_id", "d1", "d2"), "documents")
+    release(seen)
     family = families(reps, threshold)
+    release(reps)
     sizes = spill(family.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     members = spill(family.join(sizes, "component").join(classes.select(F.col("class_id").alias("node"), "size"), "node"), "members")
 
@@ -170,6 +177,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         return {c: column(b, c) for c in ("node", "component", "n", "size")} | {"shingles": [shingles(t, n).tobytes() for t in texts(b)]}
 
     wide = map_batches(docs.withColumnRenamed("doc_id", "node").join(members, "node"), gather, "node long, component long, n long, size long, shingles binary", 200).dropDuplicates(["node"])
-    tiles = tiled(spill(wide, "shingles"), ["component"], "n", "node", TILE)
-    links = map_runs(tiles, ["component", "i", "j"], _verified(threshold), "node long, links long, root long", 1 << 20)
-    return linked_classes(seen.select("doc_id", "d1", "d2"), classes, links)
+    wide = spill(wide, "shingles")
+    tiles = tiled(wide, ["component"], "n", "node", TILE)
+    links = spill(map_runs(tiles, ["component", "i", "j"], _verified(threshold), "node long, links long, root long", 1 << 20), "links")
+    release(wide)
+    return linked_classes(ids, classes, links)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, map_batches, mix, texts
+from loam.llm.common import arrow, column, map_batches, mix, texts
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 SAMPLE = 3000
@@ -154,4 +154,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             ok = [p is not None and p.max() >= model.reject_below for p in (model.probabilities(t or "") for t in b.column(at).to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from loam.llm.common import column, map_batches, texts
+from loam.llm.common import arrow, column, map_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -228,4 +228,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if x is None else redact_text(x) for x in b.column(at).to_pylist()], pa.string())
             yield b.set_column(at, b.schema.field(at).name, new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, hashed, map_batches, rolling, sliding_min, spill, texts
+from loam.llm.common import arrow, column, hashed, map_batches, release, rolling, sliding_min, spill, texts
 
 WINDOW, RUN = 13, 5
 _ANCHOR_BASE = 0xD6E8FEB86659FD93
@@ -76,11 +76,15 @@ def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFra
     shared = spill(_shared(each, "h").select("h"), "shared")
     # Copies of a text add nothing that its first document doesn't have, but must not count as further documents of its own windows; they are left out from here on.
     mine = spill(each.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("keep")).join(copies.select("doc_id"), "doc_id", "left_anti"), "mine")
+    release(seen, groups, shared)
     found = spill(map_batches(docs.join(mine, "doc_id"), candidates, "doc_id long, windows array<long>", 200).filter(F.size("windows") > 0), "windows")
+    release(mine)
     rows = found.select("doc_id", F.explode("windows").alias("w"))
     first = spill(_shared(rows, "w"), "repeated")
     hits = rows.join(first, "w").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
-    return spill(hits, "removable"), copies
+    hits = spill(hits, "removable")
+    release(found, first)
+    return hits, copies
 
 
 def intervals(gone: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -158,4 +162,4 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     new["n_chars"] = pa.array([None if t is None else len(t) for t in out], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in cols], names=cols).filter(pa.array(keep, pa.bool_()))
 
-    return docs.join(_with_hits(docs, window), "doc_id", "left").mapInArrow(run, out_schema)
+    return arrow(docs.join(_with_hits(docs, window), "doc_id", "left"), run, out_schema)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, map_batches, spill, texts
+from loam.llm.common import column, map_batches, release, spill, texts
 
 Z, LEAST, PRIOR = 3.0, 2.0, 10_000.0
 PREFIXES = range(3, 9)
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"evidence": e, "label": column(b, "label")}
 
     by = map_batches(rows, run, "evidence double, label int").groupBy(F.round(F.log1p("evidence"), 2).alias("x")).agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()
+    release(rows, counts)
     x = np.array([r["x"] for r in by for _ in range(2)])
     t = np.array([v for _ in by for v in (1.0, 0.0)])
     w = np.array([v for r in by for v in (r["pos"], r["n"] - r["pos"])], float)

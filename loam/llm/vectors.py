@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, labels, linked_classes, map_batches, map_runs, spill, tiled
+from loam.llm.common import column, labels, linked_classes, map_batches, map_runs, release, spill, tiled
 
 LISTS, SHARED, MOST_PIVOTS, TILE = 16, 2, 4096, 256
 
@@ -125,7 +125,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     entry = spill(postings(wide, points, lists), "postings")
     sizes = spill(entry.groupBy("dim", "pivot").agg(F.count("*").alias("n")), "lists")
     tiles = tiled(entry.join(sizes, ["dim", "pivot"]), ["dim", "pivot"], "n", "node", TILE)
-    links = map_runs(tiles, ["dim", "pivot", "i", "j"], _verified(threshold, shared), "node long, links long, root long", 1 << 20)
+    links = spill(map_runs(tiles, ["dim", "pivot", "i", "j"], _verified(threshold, shared), "node long, links long, root long", 1 << 20), "links")
+    release(entry, wide)
     return linked_classes(seen.select("vec_id", "d1", "d2"), classes, links)
 
 

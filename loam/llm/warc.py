@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, map_batches, spill, texts
+from loam.llm.common import arrow, column, map_batches, spill, texts
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values: magic numbers of the seekable Zstandard format
 FRAME_RECORDS, BUNDLE_RECORDS, BUNDLE_BYTES = 16, 1024, 16 << 20
@@ -135,7 +135,8 @@ def write(pages: DataFrame, path: str, least: int = 0, **cols: str) -> None:
         if held:
             yield out()
 
-    rows.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "bundle string, content binary, index array<struct<record_id:string,frame:long,offset:long,length:long>>").write.parquet(path)
+    rows = rows.select("page_id", "url", "html", "payload_digest", "refers_to")
+    arrow(rows, run, "bundle string, content binary, index array<struct<record_id:string,frame:long,offset:long,length:long>>").write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -161,7 +162,7 @@ def read(spark, path: str) -> DataFrame:
                     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "body"])
 
-    return spark.read.schema("bundle string, content binary").parquet(path).select("content").mapInArrow(run, schema)
+    return arrow(spark.read.schema("bundle string, content binary").parquet(path).select("content"), run, schema)
 
 
 def index(spark, path: str) -> DataFrame:
