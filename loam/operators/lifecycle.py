@@ -83,12 +83,12 @@ def date_filter(memories: DataFrame, basis: str = "filed", after: int | None = N
 def forget(memories: DataFrame, ids: DataFrame, actor: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The next memories, the change log's new rows and the new suppressions of a soft forget."""
     gone = F.broadcast(ids.select("id").distinct().withColumn("_gone", F.lit(True)))
-    marked = memories.join(gone, "id", "left")
-    hit = F.col("_gone") & F.col("deleted_at").isNull()
+    marked = memories.join(gone, "id", "left").withColumn("_hit", F.coalesce(F.col("_gone") & F.col("deleted_at").isNull(), F.lit(False)))
+    hit = F.col("_hit")
     hits = marked.filter(hit)
     log = hits.select(F.col("id").alias("memory_id"), F.lit("forget").alias("op"), F.col("content").alias("before"), F.lit(actor).alias("actor"), F.lit(now).cast("long").alias("at"))
     stops = hits.select(content_hash(F.col("content")).alias("content_hash"), F.coalesce("scope", F.lit("global")).alias("scope"), F.col("id").alias("memory_id"))
-    after = marked.withColumn("deleted_at", F.when(hit, F.lit(now)).otherwise(F.col("deleted_at"))).withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active"))).drop("_gone")
+    after = marked.withColumn("deleted_at", F.when(hit, F.lit(now)).otherwise(F.col("deleted_at"))).withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active"))).drop("_gone", "_hit")
     return after, log, stops
 
 
