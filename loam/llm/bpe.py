@@ -10,7 +10,6 @@ Defined results: null and empty texts have no ids; a special token's string insi
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import re
 from collections.abc import Iterable
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import column, map_batches, texts
 
-KEPT = 400_000
+KEPT = 200_000
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -46,18 +45,10 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Coder:
-    """One vocabulary: encodes words by the tokenizers library and keeps a distinct-word table."""
+class Vocabulary:
+    """The fixed id-to-piece table of one vocabulary, and its special tokens."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -69,6 +60,25 @@ class Coder:
                 self.pieces[i] = bytes(map(stands.__getitem__, s))
         for i, s in special.items():
             self.pieces[i] = s.encode()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The pieces of the ids, joined by position; bytes that aren't UTF-8 become replacement characters."""
+        return b"".join(self.pieces[ids[ids < len(self.pieces)]]).decode("utf-8", "replace")
+
+
+class Coder(Vocabulary):
+    """Encodes words by the tokenizers library and keeps a distinct-word table."""
+
+    def __init__(self, path: str):
+        import os
+
+        super().__init__(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         self.table: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -99,10 +109,6 @@ class Coder:
         firsts = self.words([first for first, _ in cut])
         return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(firsts, cut, strict=True)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The pieces of the ids, joined by position; bytes that aren't UTF-8 become replacement characters."""
-        return b"".join(self.pieces[ids[ids < len(self.pieces)]]).decode("utf-8", "replace")
-
 
 class Both(dict):
     """A batch's table over the task's table."""
@@ -115,6 +121,11 @@ class Both(dict):
         return self.table[w]
 
 
+@functools.cache
+def pieces(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @functools.cache
 def coder(path: str) -> Coder:
     return Coder(path)
@@ -134,17 +145,14 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of encoded rows."""
 
     def run(b):
-        c = coder(path)
+        c = pieces(path)
         return {n: column(b, n) for n in ("doc_id", "n_tokens", "ids")} | {"decoded": [c.decode(np.frombuffer(x or b"", "<u4")) for x in column(b, "ids").to_pylist()]}
 
     return map_batches(ids.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    def run(b):
-        return {n: column(b, n) for n in ("doc_id", "n_tokens")} | {"ids_sha256": [hashlib.sha256(x or b"").hexdigest() for x in column(b, "ids").to_pylist()], "decoded_sha256": [hashlib.sha256((x or "").encode()).hexdigest() for x in column(b, "decoded").to_pylist()]}
-
-    return map_batches(decoded, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
