@@ -28,7 +28,7 @@ def prune(memories: DataFrame, now: int) -> DataFrame:
 def reinforce(memories: DataFrame, returned: DataFrame, now: int) -> DataFrame:
     """The next state of the active memories that a search returned."""
     r, s = _r(now), stability(F.col("type"), F.col("stability"))
-    rows = memories.filter("is_active").join(F.broadcast(returned.select("id")), "id", "left_semi")
+    rows = memories.filter("is_active").join(returned.select("id"), "id", "left_semi")
     return rows.select("id", F.round(s * (1 + 0.2 * (1 - r)), 6).alias("stability"), F.round(F.least(F.lit(1.0), F.col("importance") + 0.02), 6).alias("importance"), (F.col("access_count") + 1).alias("access_count"), F.lit(now).cast("long").alias("last_accessed"))
 
 
@@ -82,7 +82,7 @@ def date_filter(memories: DataFrame, basis: str = "filed", after: int | None = N
 
 def forget(memories: DataFrame, ids: DataFrame, actor: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The next memories, the change log's new rows and the new suppressions of a soft forget."""
-    gone = F.broadcast(ids.select("id").distinct().withColumn("_gone", F.lit(True)))
+    gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
     marked = memories.join(gone, "id", "left").withColumn("_hit", F.coalesce(F.col("_gone") & F.col("deleted_at").isNull(), F.lit(False)))
     hit = F.col("_hit")
     hits = marked.filter(hit)
