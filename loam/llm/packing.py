@@ -1,6 +1,6 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which greedily fill its window.
 
-Documents are encoded where they are read. Spark deals them to shards by a hash of their ids, so that a shard holds about `SHARD_TOKENS` tokens whatever the input's size. Inside a shard every document has postings of the terms that weigh most in it by BM25. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
+Documents are encoded where they are read. The BM25 statistics (documents, average length, documents of each term) are those of all documents. Spark deals the documents to shards by the terms that weigh most in them, so that a shard holds at most about `SHARD_TOKENS` tokens whatever the input's size; a term with more than a shard is split by the second term, and then by a digest. Neighbours in other shards are not searched. Inside a shard every document has postings of the terms that weigh most in it by BM25. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
 
 Defined results: a null text counts as empty; an empty document is its end token; documents longer than a window fill several; rows that repeat an id are packed like any others; rows with a null id too; an empty table makes no sequence.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import arrow, column, map_batches, spill, texts
+from loam.llm.common import arrow, column, map_batches, release, spill, texts
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, QUERY_TERMS = 3_000_000, 12
@@ -95,8 +95,68 @@ def _counted(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(np.r_[at, len(s)])
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length). Every window but the last is full."""
+def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Documents, their average length, and how many of them hold each id (end tokens apart)."""
+
+    def run(batches):
+        df = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for x in column(b, "ids").to_pylist():
+                df[_counted(np.frombuffer(x, "<u2")[:-1])[0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["term", "df"])
+
+    n, mean = coded.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    df = np.zeros(1 << 16, np.int64)
+    for term, k in arrow(coded.select("ids"), run, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+        df[term] = k
+    return n, mean, df
+
+
+def _weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, stats: tuple[int, float, np.ndarray]) -> np.ndarray:
+    n, mean, df = stats
+    idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
+def deal(coded: DataFrame, stats: tuple[int, float, np.ndarray], shard_tokens: int) -> tuple[DataFrame, int]:
+    """The rows with their shard, and the number of shards. A document goes where the heaviest of its terms goes that fill a fair part of a shard; rarer ones would scatter the documents that share the others."""
+    n, mean, df = stats
+    least = max(2, int(shard_tokens / mean / 4))
+
+    def keys(b):
+        out = []
+        for x in column(b, "ids").to_pylist():
+            d = np.frombuffer(x, "<u2")
+            t, tf = _counted(d[:-1])
+            common = df[t] >= least
+            if not common.any():
+                common = df[t] > 1
+            t, tf = t[common], tf[common]
+            top = t[np.argsort(-_weights(t, tf, len(d), stats), kind="stable")[:2]].tolist()
+            out.append((*top, *[1 << 16] * (2 - len(top))))
+        return {c: column(b, c) for c in ("doc_id", "n", "ids")} | {"k1": [a for a, _ in out], "k2": [z for _, z in out]}
+
+    keyed = spill(map_batches(coded, keys, "doc_id long, n long, ids binary, k1 long, k2 long"), "keyed")
+    release(coded)
+    spark = coded.sparkSession
+    wide = [(k, 1 if t <= shard_tokens else 16 * -(-t // shard_tokens)) for k, t in keyed.groupBy("k1").agg(F.sum("n")).collect()]
+    split = keyed.join(F.broadcast(spark.createDataFrame(wide, "k1 long, width long")), "k1").withColumn("part", F.pmod(F.xxhash64("k2"), F.col("width")))
+    plan, shard, filled = [], 0, 0
+    for k, part, t in sorted(map(tuple, split.groupBy("k1", "part").agg(F.sum("n")).collect())):
+        if filled and filled + t > shard_tokens:
+            shard, filled = shard + 1, 0
+        pieces = -(-t // shard_tokens)
+        plan.append((k, part, shard, pieces))
+        shard, filled = (shard + pieces, 0) if pieces > 1 else (shard, filled + t)
+    # The digest salts the hash, so that rows which repeat one id spread too.
+    piece = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.crc32("ids")), F.col("pieces"))
+    dealt = split.join(F.broadcast(spark.createDataFrame(plan, "k1 long, part long, first long, pieces long")), ["k1", "part"]).withColumn("shard", F.col("first") + piece)
+    return dealt.select("shard", "doc_id", "n", "ids"), max(1, shard + (filled > 0))
+
+
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, float, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length). Every window but the last is full. stats: of all documents; where None, of these."""
     n = len(docs)
     size = np.array([len(d) for d in docs])
     terms = [_counted(d[:-1]) for d in docs]
@@ -104,8 +164,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     tf = np.concatenate([c for _, c in terms]).astype(np.float64)
     doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])
     df = np.bincount(term, minlength=1 << 16)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))).astype(np.float32)
+    weight = _weights(term, tf, size[doc], stats or (n, size.mean(), df))
     # A document is found and asked for by the terms that weigh most in it: only those have postings.
     query = []
     rare = np.zeros(len(term), bool)
@@ -171,17 +230,14 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; sequence_id is the shard's number times 2**32 plus the window's."""
     coded = spill(encode(docs, path, id_col, text_col), "ids")
-    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
-    parts = min(shards, 10_000)
-    # The digest salts the hash, so that rows which repeat one id spread too.
-    dealt = coded.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.crc32("ids")), F.lit(shards)))
-    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "n")
+    stats = statistics(coded)
+    dealt, shards = deal(coded, stats, shard_tokens)
+    dealt = dealt.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "doc_id", "n")
 
     def shard_rows(shard: int, ids: list, raw: list[bytes]) -> pa.RecordBatch:
         tokens = [np.frombuffer(x, "<u2") for x in raw]
         out = []
-        for w, pieces in enumerate(pack_shard(tokens, window)):
+        for w, pieces in enumerate(pack_shard(tokens, window, stats)):
             offset = 0
             for d, start, n in pieces:
                 out.append((ids[d], start, n, zlib.crc32(tokens[d][start : start + n].astype("<u4").tobytes()), len(tokens[d]), (shard << 32) + w, offset))

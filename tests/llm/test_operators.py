@@ -289,6 +289,30 @@ def test_packing_prefers_neighbours():
     assert np.mean([len({d % 5 for d, _, _ in w}) for w in windows]) < 2.5
 
 
+def test_packing_brings_topics_to_one_shard(spark):
+    rng = random.Random(12)
+    common = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(480):
+        topic = i % 40
+        own = [f"zq{chr(97 + topic % 26)}{topic}xk"] * 12
+        rows.append((i, " ".join(own + [rng.choice(common) for _ in range(80)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, bpe.vocabulary(), window=1024, shard_tokens=12_000).toPandas()
+    assert got.sequence_id.floordiv(1 << 32).nunique() >= 5 and got.doc_id.nunique() == 480
+    got["topic"] = got.doc_id % 40
+    per = got.groupby("sequence_id")
+    assert (per.topic.nunique() / per.doc_id.nunique()).mean() < 0.6
+    # The statistics are those of all documents, whatever the shards.
+    coded = packing.encode(df, bpe.vocabulary())
+    n, mean, freq = packing.statistics(coded)
+    ids = [np.frombuffer(r["ids"], "<u2") for r in coded.collect()]
+    want = np.zeros(1 << 16, int)
+    for d in ids:
+        want[list(set(d[:-1].tolist()))] += 1
+    assert n == 480 and np.isclose(mean, np.mean([len(d) for d in ids])) and (freq == want).all()
+
+
 def test_langid(spark):
     rng = random.Random(6)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
