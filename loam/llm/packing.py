@@ -1,6 +1,6 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which greedily fill its window.
 
-Documents are encoded where they are read. The BM25 statistics (documents, average length, documents of each term) are those of all documents. Spark deals the documents to shards by the terms that weigh most in them, so that a shard holds at most about `SHARD_TOKENS` tokens whatever the input's size; a term with more than a shard is split by the second term, and then by a digest. Neighbours in other shards are not searched. Inside a shard every document has postings of the terms that weigh most in it by BM25. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
+Documents are encoded where they are read. The BM25 statistics (documents, average length, documents of each term) are those of all documents. Spark deals the documents to shards by the terms that weigh most in them, so that a shard holds at most about `SHARD_TOKENS` tokens whatever the input's size; a term with more than a shard is split by the second term, and then by a digest. Neighbours in other shards are not searched. Inside a shard every term of two documents or more has postings, and a seed asks with all of its terms. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
 
 Defined results: a null text counts as empty; an empty document is its end token; documents longer than a window fill several; rows that repeat an id are packed like any others; rows with a null id too; an empty table makes no sequence.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import arrow, column, map_batches, release, spill, texts
 
 WINDOW, END = 2048, 1
-SHARD_TOKENS, QUERY_TERMS = 3_000_000, 12
+SHARD_TOKENS = 3_000_000
 K1, B = 1.2, 0.75
 
 
@@ -165,19 +165,35 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, f
     doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])
     df = np.bincount(term, minlength=1 << 16)
     weight = _weights(term, tf, size[doc], stats or (n, size.mean(), df))
-    # A document is found and asked for by the terms that weigh most in it: only those have postings.
-    query = []
-    rare = np.zeros(len(term), bool)
-    low = 0
-    for t, _ in terms:
-        useful = np.flatnonzero(df[t] > 1)
-        top = useful[np.argsort(-weight[low + useful], kind="stable")[:QUERY_TERMS]]
-        query.append(t[top])
-        rare[low + top] = True
-        low += len(t)
-    order = np.argsort(term[rare], kind="stable")
-    post_doc, post_weight = doc[rare][order], weight[rare][order]
-    starts = np.searchsorted(term[rare][order], np.arange((1 << 16) + 1))
+    # Ids of more than an eighth of the documents are rows of a dense table (at most 8 values a posting), the others lists of postings.
+    hot = np.flatnonzero(df > max(1, n // 8))
+    row = np.full(1 << 16, -1)
+    row[hot] = np.arange(len(hot))
+    dense = np.zeros((len(hot), n), np.float32)
+    of_hot = row[term] >= 0
+    dense[row[term[of_hot]], doc[of_hot]] = weight[of_hot]
+    listed = (df[term] > 1) & ~of_hot
+    order = np.argsort(term[listed], kind="stable")
+    post_doc, post_weight = doc[listed][order].astype(np.int32), weight[listed][order]
+    starts = np.searchsorted(term[listed][order], np.arange((1 << 16) + 1))
+
+    def neighbours(seed: int):
+        """Unused documents that share a term with the seed, the best first; sorted as far as they are asked for."""
+        t = terms[seed][0]
+        scores = dense[row[t[row[t] >= 0]]].sum(0)
+        spans = [(a, z) for a, z in zip(starts[t].tolist(), starts[t.astype(np.int64) + 1].tolist(), strict=True) if a < z]
+        if spans:
+            scores = scores + np.bincount(np.concatenate([post_doc[a:z] for a, z in spans]), np.concatenate([post_weight[a:z] for a, z in spans]), n)
+        near = np.flatnonzero((scores > 0) & unused)
+        some = 64
+        while len(near) > some:
+            cut = np.argpartition(-scores[near], some)
+            best, near = np.sort(near[cut[:some]]), near[cut[some:]]
+            yield from best[np.argsort(-scores[best], kind="stable")].tolist()
+            some *= 2
+        near = np.sort(near)
+        yield from near[np.argsort(-scores[near], kind="stable")].tolist()
+
     unused = np.ones(n, bool)
     following = 0
     windows: list[list[tuple[int, int, int]]] = []
@@ -203,17 +219,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, f
             if not room:
                 break
             if ranked is None:
-                spans = [(starts[t], starts[t + 1]) for t in query[take].tolist()]
-                found = np.concatenate([post_doc[a:z] for a, z in spans]) if spans else post_doc[:0]
-                if len(found):
-                    scores = np.bincount(found, np.concatenate([post_weight[a:z] for a, z in spans]), n)
-                    near = np.flatnonzero((scores > 0) & unused)
-                    # A window takes its best neighbours' tokens only, so a partial order is enough.
-                    if len(near) > 64:
-                        near = near[np.argpartition(-scores[near], 64)[:64]]
-                    ranked = iter(near[np.argsort(-scores[near], kind="stable")].tolist())
-                else:
-                    ranked = iter(())
+                ranked = neighbours(take)
             take = next(ranked, -1)
             if take < 0:
                 while following < n and not unused[following]:

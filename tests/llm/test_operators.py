@@ -313,6 +313,23 @@ def test_packing_brings_topics_to_one_shard(spark):
     assert n == 480 and np.isclose(mean, np.mean([len(d) for d in ids])) and (freq == want).all()
 
 
+def test_packing_searches_all_terms():
+    # The first and the last document share 100 ids, none of them among the 12 heaviest of either; those are shared with small documents.
+    rng = np.random.default_rng(5)
+    passage = np.arange(2000, 2100)
+    first, last = (np.r_[np.repeat(np.arange(low, low + 12), 6), passage, 1].astype(np.uint16) for low in (1000, 1100))
+    docs = [first, *(np.array([t, 1], np.uint16) for low in (1000, 1100) for t in range(low, low + 12)), *(np.r_[rng.integers(5000, 60_000, 150), 1].astype(np.uint16) for _ in range(100)), last]
+    assert [d for d, _, _ in packing.pack_shard(docs, len(first) + len(last))[0]] == [0, len(docs) - 1]
+
+
+def test_packing_goes_on_after_64_neighbours():
+    rng = np.random.default_rng(6)
+    docs = [np.array([500 if i % 2 else 501, *rng.integers(5000, 60_000, 6), 1], np.uint16) for i in range(800)]
+    first = packing.pack_shard(docs, 2048)[0]
+    # A random id may tie in a document of the other kind.
+    assert len(first) == 256 and sum(d % 2 == 0 for d, _, _ in first) > 250
+
+
 def test_langid(spark):
     rng = random.Random(6)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
