@@ -107,16 +107,18 @@ def _rules():
     chars = HOMOGLYPHS | _FULLWIDTH | _DIGITS | _DROPPED
     odd = re.compile("[" + "".join(map(re.escape, chars)) + "]")
     at, dot, digit = ("|".join(sorted(x, key=lambda w: -len(w))) for x in (AT_WORDS, DOT_WORDS, DIGIT_WORDS))
-    part, end = r"[A-Za-z0-9_%+-]{1,64}", r"(?![A-Za-z0-9])"
+    part, end = r"[A-Za-z0-9_%+-]{1,64}", r"(?![A-Za-z0-9_%+@-]|\.[A-Za-z0-9._%+-]{1,64}@)"
     opened, closed = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
     hide_at = re.compile(rf"(?<=[A-Za-z0-9]){opened}(?:{at}|@){closed}(?=[A-Za-z0-9])", re.I)
     hide_dot = re.compile(rf"(?<=[A-Za-z0-9]){opened}(?:{dot}|\.){closed}(?=[A-Za-z0-9])", re.I)
     spoken = "|".join(SPOKEN_DOTS)
-    plain = re.compile(rf"(?<![A-Za-z0-9._%+-])({part}(?:\s(?:{spoken})\s{part}|\.{part}){{0,4}})(\s(?:{at})\s)({part}(?:\s(?:{spoken})\s{part}){{1,4}}){end}", re.I)
+    chain = rf"{part}(?:(?:\s(?:{spoken})\s|\.){part})"
+    plain = re.compile(rf"(?<![A-Za-z0-9._%+-])({chain}{{0,4}})(\s(?:{at})\s)({chain}{{1,4}}){end}", re.I)
+    signed = re.compile(rf"(?<![A-Za-z0-9._%+-])({chain}{{0,4}})@({chain}{{1,4}})", re.I)
     plain_dot = re.compile(rf"\s(?:{spoken})\s", re.I)
     spelled = re.compile(rf"(?<!\w)(?:(?:plus\s)?(?:{digit})(?:[\s-](?:{digit}|\d+))*[\s-](?:{digit}))(?!\w)", re.I)
     word = re.compile(rf"plus\s|(?:{digit})", re.I)
-    return chars, odd, hide_at, hide_dot, plain, plain_dot, spelled, word
+    return chars, odd, hide_at, hide_dot, plain, signed, plain_dot, spelled, word
 
 
 class Tape:
@@ -139,14 +141,30 @@ class Tape:
         self.starts, self.ends = [*starts, *self.starts[low:]], [*ends, *self.ends[low:]]
 
 
+def _spoken_ats(tape: Tape, plain: re.Pattern, plain_dot: re.Pattern):
+    """Edits for a spoken "at" before a domain with a dot that is spoken or was written from brackets; an undisguised one alone is prose ("meet at example.com")."""
+    m = plain.search(tape.text)
+    while m:
+        s, e = m.span(3)
+        dots = [(x.start(), x.end(), ".") for x in plain_dot.finditer(tape.text, s, e)]
+        if dots or any(tape.text[i] == "." and tape.ends[i] - tape.starts[i] > 1 for i in range(s, e)):
+            yield from ((x.start(), x.end(), ".") for x in plain_dot.finditer(tape.text, *m.span(1)))
+            yield (*m.span(2), "@")
+            yield from dots
+            m = plain.search(tape.text, e)
+        else:
+            m = plain.search(tape.text, s)
+
+
 def normalise(text: str) -> Tape | None:
     """The text after the transducers, or None where none of them has anything to do."""
-    chars, odd, hide_at, hide_dot, plain, plain_dot, spelled, word = _rules()
+    chars, odd, hide_at, hide_dot, plain, signed, plain_dot, spelled, word = _rules()
     strange = not text.isascii() and odd.search(text)
     hidden = _OPEN.search(text)
     words = text.lower().replace("-", " ").split()
     digits = strange or not _DIGIT_SET.isdisjoint(words)
-    parted = strange or not (_AT_SET.isdisjoint(words) or _DOT_SET.isdisjoint(words))
+    at, dot = not _AT_SET.isdisjoint(words), not _DOT_SET.isdisjoint(words)
+    parted = strange or (at and dot) or ((at or dot) and (hidden or "@" in text))
     if not (strange or hidden or digits or parted):
         return None
     tape = Tape(text)
@@ -154,12 +172,9 @@ def normalise(text: str) -> Tape | None:
         tape.rewrite([(m.start(), m.end(), chars[m[0]]) for m in odd.finditer(text)])
     for rule, new in ((hide_at, "@"), (hide_dot, ".")):
         tape.rewrite([(m.start(), m.end(), new) for m in rule.finditer(tape.text)])
-    edits = []
-    for m in plain.finditer(tape.text) if parted else ():
-        for group in (1, 2, 3):
-            s, e = m.span(group)
-            edits += [(s, e, "@")] if group == 2 else [(x.start(), x.end(), ".") for x in plain_dot.finditer(tape.text, s, e)]
-    tape.rewrite(edits)
+    if parted:
+        tape.rewrite(list(_spoken_ats(tape, plain, plain_dot)))
+        tape.rewrite([(x.start(), x.end(), ".") for m in signed.finditer(tape.text) for x in plain_dot.finditer(tape.text, *m.span())])
     edits = []
     for m in spelled.finditer(tape.text) if digits else ():
         marks = list(word.finditer(tape.text, m.start(), m.end()))

@@ -209,6 +209,24 @@ def test_pii_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in every if (s, k, e) not in base] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text", [
+    "joe [at] example dot com", "joe@example dot com", "joe at example [dot] com", "joe (at) mail dot example [dot] com", "joe at mail [dot] example dot com", "joe at example [dot] co.uk", "joe [at] mail.example dot com",
+    "joe dot doe [at] example [dot] com", "joe dot doe@example punkt de", "joe arroba example (punto) com", "joe [@] example dot com", "joe AT example {DOT} com",
+])
+def test_pii_mixed_disguises(text):
+    for before, after in (("", ""), ("write to: ", " now"), ("look at example.com (now) or at (", ")."), ("me at a.b\n", "\nbye")):
+        base, every = pii.find(before + text + after)
+        assert base == [] and [((before + text + after)[s:e], k) for s, k, e in every] == [(text, 0)]
+    assert pii.redact_text(f"mail {text}!") == "mail [EMAIL]!"
+
+
+def test_pii_mixed_rules_leave_prose_and_addresses_alone():
+    for t in ("meet at example.com (now)", "see [dot] at noon", "at @bob dot", "look (at) this dot", "we met at a.b [now] or at c.d"):
+        assert pii.find(t) == ([], []), t
+    t = "mail at joe dot doe-x@example [dot] com"
+    assert [t[s:e] for s, _, e in pii.find(t)[1]] == ["joe dot doe-x@example [dot] com"]
+
+
 def test_pii_leaves_prose_alone(spark):
     for t in ("only this at the point of it all", "one two three", "it at noon. dot matrix at last", "", None):
         assert pii.find(t or "") == ([], [])
