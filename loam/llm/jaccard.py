@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-Shingles are runs of five words (a text of one to four words is one shingle). Documents with equal shingle sets are one class. Every class has a MinHash signature of 128 values; tree t of the forest orders the classes by the signature values from 4t on, so that a sorted tree is a prefix trie. Two classes are candidates if they share a prefix in some tree; the prefix is shortened from the full depth of 12 until pairs at the threshold meet with the target recall (5 values at 0.8 and 0.99999). Inside a prefix group the trie's order decides which classes are compared: blocks of neighbours with an overlap, so that a prefix of any number of classes takes linear memory, and signatures that agree too little are put aside.
+Shingles are runs of five words (a text of one to four words is one shingle). Documents with equal shingle sets are one class. Every class has a MinHash signature of 128 values; tree t of the forest goes by the signature values from 4t on. Two classes are candidates if they share a prefix in some tree; the prefix is shortened from the full depth of 12 until pairs at the threshold meet with the target recall (5 values at 0.8 and 0.99999). Inside a prefix all classes are compared: at once up to `BLOCK` of them, and in tiles of two blocks where there are more, so that memory holds one tile; signatures that agree too little are put aside, and only spanning links leave a tile.
 
 Candidates form families (connected components). All pairs of a family are verified exactly, in tiles of blocks; only counts and spanning links leave a tile, never all pairs.
 
@@ -22,7 +22,7 @@ from loam.llm.common import column, components, hashed, labels, linked_classes,
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 VALUES, TREES, DEPTH, STRIDE = 128, 32, 12, 4
-BLOCK, OVERLAP, TILE = 512, 64, 256
+BLOCK, TILE = 512, 256
 
 
 def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -58,35 +58,31 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def trie_keys(sig: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each tree, a hash of the first k values (with the tree's number), and an order of the values after them."""
-    at = (STRIDE * np.arange(TREES)[:, None] + np.arange(DEPTH)[None, :]) % VALUES
+def trie_keys(sig: np.ndarray, k: int) -> np.ndarray:
+    """For each tree, a hash of the first k values (with the tree's number)."""
+    at = (STRIDE * np.arange(TREES)[:, None] + np.arange(k)[None, :]) % VALUES
     v = sig[at].astype(np.uint64)
     key = np.arange(1, TREES + 1, dtype=np.uint64)
     for j in range(k):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + v[:, j])
-    rest, bits = np.zeros(TREES, np.uint64), 62 // max(1, DEPTH - k)
-    for j in range(k, DEPTH):
-        rest = (rest << np.uint64(bits)) | (mix(v[:, j]) >> np.uint64(64 - bits))
-    return key.view(np.int64), rest.view(np.int64)
+    return key.view(np.int64)
 
 
 def describe(docs: DataFrame, k: int, n: int = NGRAM) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, keys, orders, sketch): the class's digest, the tries' keys, and a byte of each signature value."""
+    """(doc_id, n_shingles, d1, d2, keys, sketch): the class's digest, the trees' keys, and a byte of each signature value."""
 
     def run(b):
         rows = []
         for i, t in zip(column(b, "doc_id").to_pylist(), texts(b), strict=True):
             s = shingles(t, n) if i is not None else np.zeros(0, np.uint64)
             if not len(s):
-                rows.append((0, None, None, [], [], b""))
+                rows.append((0, None, None, [], b""))
                 continue
             d, sig = xxhash.xxh3_128_digest(s.tobytes()), signature(s)
-            key, rest = trie_keys(sig, k)
-            rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), key, rest, mix(sig.astype(np.uint64)).astype(np.uint8).tobytes()))
-        return {"doc_id": column(b, "doc_id")} | dict(zip(("n_shingles", "d1", "d2", "keys", "orders", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
+            rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), trie_keys(sig, k), mix(sig.astype(np.uint64)).astype(np.uint8).tobytes()))
+        return {"doc_id": column(b, "doc_id")} | dict(zip(("n_shingles", "d1", "d2", "keys", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, orders array<long>, sketch binary")
+    return map_batches(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary")
 
 
 def _matrix(t: pa.Table, name: str, dtype, width: int) -> np.ndarray:
@@ -94,16 +90,25 @@ def _matrix(t: pa.Table, name: str, dtype, width: int) -> np.ndarray:
 
 
 def _family_links(least: int):
-    def run(_, t: pa.Table) -> dict | None:
-        if t.num_rows < 2:
-            return None
+    """Spanning links of the rows of a run; in a tile of two blocks, only those between the blocks."""
+
+    def run(key: list, t: pa.Table) -> dict | None:
+        n = t.num_rows
         s = _matrix(t, "sketch", np.uint8, VALUES)
-        near = np.zeros((len(s), len(s)), bool)
-        for at in range(0, len(s), 64):
-            near[at : at + 64] = (s[at : at + 64, None, :] == s[None]).sum(2, dtype=np.int16) >= least
-        root = labels(near)
+        if len(key) > 1 and key[1] != key[2]:
+            mine = t.column("mine").to_numpy()
+            left, right = np.flatnonzero(mine == key[1]), np.flatnonzero(mine == key[2])
+        else:
+            left = right = np.arange(n)
+        if n < 2 or not len(left) or not len(right):
+            return None
+        near, other = np.zeros((n, n), bool), s[right]
+        for at in range(0, len(left), 64):
+            now = left[at : at + 64]
+            near[np.ix_(now, right)] = (s[now, None, :] == other[None]).sum(2, dtype=np.int16) >= least
+        root = labels(near | near.T)
         ids = t.column("node").to_numpy()
-        i = np.flatnonzero(root != np.arange(len(s)))
+        i = np.flatnonzero(root != np.arange(n))
         return {"a": ids[i], "b": ids[root[i]]} if len(i) else None
 
     return run
@@ -144,15 +149,17 @@ def _verified(threshold: float):
 
 
 def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame:
-    """reps: (node, keys, orders, sketch). (node, component) of the classes whose signatures bring them together with others; a signature may fall short of the threshold by `slack`, over five standard deviations."""
-    entry = reps.select("node", F.explode(F.arrays_zip("keys", "orders")).alias("x")).select("node", F.col("x.keys").alias("k"), F.col("x.orders").alias("o"))
-    shared = spill(entry.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "prefixes")
+    """reps: (node, keys, sketch). (node, component) of the classes whose signatures bring them together with others; a signature may fall short of the threshold by `slack`, over five standard deviations."""
+    entry = reps.select("node", F.explode("keys").alias("k"))
+    shared = spill(entry.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "prefixes")
     met = spill(entry.join(shared, "k"), "entries")
-    trie_rows = spill(met.join(reps.select("node", "sketch"), "node").select("k", "o", "node", "sketch"), "trie")
+    trie_rows = spill(met.join(reps.select("node", "sketch"), "node").select("k", "n", "node", "sketch"), "trie")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trie = trie_rows.repartitionByRange(n, "k", "o", "node").sortWithinPartitions("k", "o", "node")
     least = math.ceil(VALUES * ((threshold - slack) * 255 / 256 + 1 / 256))
-    links = spill(map_runs(trie, ["k"], _family_links(least), "a long, b long", BLOCK, OVERLAP), "candidates")
+    small = trie_rows.filter(F.col("n") <= BLOCK).repartitionByRange(n, "k").sortWithinPartitions("k", "node")
+    large = tiled(trie_rows.filter(F.col("n") > BLOCK), ["k"], "n", "node", BLOCK)
+    runs = map_runs(small, ["k"], _family_links(least), "a long, b long", 1 << 20)
+    links = spill(runs.unionByName(map_runs(large, ["k", "i", "j"], _family_links(least), "a long, b long", 1 << 20)), "candidates")
     release(met, trie_rows)
     out = components(links)
     release(links)
@@ -165,7 +172,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     seen = spill(describe(docs, prefix_length(threshold, recall), n), "signatures")
     classes = spill(seen.filter("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")), "classes")
     reps = seen.join(classes.select(F.col("class_id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"])
-    reps = spill(reps.select(F.col("doc_id").alias("node"), "keys", "orders", "sketch"), "representatives")
+    reps = spill(reps.select(F.col("doc_id").alias("node"), "keys", "sketch"), "representatives")
     ids = spill(seen.select("doc_id", "d1", "d2"), "documents")
     release(seen)
     family = families(reps, threshold)

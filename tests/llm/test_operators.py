@@ -151,6 +151,19 @@ def test_jaccard_family_with_many_near_copies(spark):
     assert got == n
 
 
+def test_jaccard_compares_all_classes_of_a_large_prefix(spark):
+    rng = np.random.default_rng(10)
+    sketches = rng.integers(0, 256, (3000, jaccard.VALUES), dtype=np.uint8)
+    order = rng.permutation(3000)[:400].tolist()
+    pairs = list(zip(order[::2], order[1::2], strict=True))
+    for a, b in pairs:
+        sketches[b, 20:] = sketches[a, 20:]
+    rows = [(i, [7], rng.integers(0, 1 << 62, 1).tolist(), x.tobytes()) for i, x in enumerate(sketches)]
+    reps = spark.createDataFrame(rows, "node long, keys array<long>, orders array<long>, sketch binary").repartition(3)
+    got = {r["node"]: r["component"] for r in jaccard.families(reps, 0.8).collect()}
+    assert got == {x: min(p) for p in pairs for x in p}
+
+
 def test_forest_prefix_meets_the_recall():
     k = jaccard.prefix_length(0.8, 0.99999)
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= 0.99999 > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
