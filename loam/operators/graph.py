@@ -119,13 +119,15 @@ def explore(edges: DataFrame, centre: str, depth: int = 2, types: list[str] | No
     return reported.select("node", "hop", "weight")
 
 
-def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
-    """Modularity by local moves over Spark joins: in each round the nodes of one hash half move to the neighbouring community of the largest gain. (node, community); every round is written, which cuts the lineage."""
+def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Modularity by local moves over Spark joins: in each round the nodes of one hash half move to the neighbouring community of the largest gain, until neither half moves or two rounds don't raise the modularity; `rounds` may end it earlier. (node, community) of the best state; every round is written, which cuts the lineage."""
+    graph = save(graph)
     ways = save(both_ways(graph.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight"), "weight"))
     degree = save(ways.groupBy("node").agg(F.sum("weight").alias("k")))
     two_m = degree.agg(F.sum("k").alias("two_m"))
     state = save(degree.select("node", F.col("node").alias("community"), "k"))
-    for r in range(rounds):
+    best_state, best_value, still, r = state, modularity(graph, state).first()[0], 0, 0
+    while best_value is not None and still < 2 and (rounds is None or r < rounds):
         total = state.groupBy("community").agg(F.sum("k").alias("tot"))
         near = ways.join(state.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         near = near.unionByName(state.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
@@ -134,4 +136,8 @@ def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
         best = moves.groupBy("node").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("home"), "community")).alias("best"))
         stay = F.pmod(F.xxhash64("node"), F.lit(2)) != r % 2
         state = save(state.join(best, "node").select("node", F.when(stay, F.col("community")).otherwise(F.col("best")).alias("community"), "k"))
-    return state.select("node", "community")
+        # A half at rest leaves the modularity as it is, so two rounds without a rise end it.
+        value = modularity(graph, state).first()[0]
+        best_state, best_value, still = (state, value, 0) if value > best_value else (best_state, best_value, still + 1)
+        r += 1
+    return best_state.select("node", "community")

@@ -377,8 +377,7 @@ def explore_bfs(spark, d):
 @query(None)
 def communities(spark, d):
     """Rows only: tests hold its modularity against that of the planted groups."""
-    nations = t.relationships(spark, d).filter("type = 'part_of'").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "weight")
-    return graph.communities(nations, 6)
+    return graph.communities(graph_projection(spark, d))
 
 
 # Temporal patterns

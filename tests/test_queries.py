@@ -57,6 +57,20 @@ def test_communities_reach_the_planted_groups(spark):
     assert value >= 0.4
 
 
+def test_communities_cover_the_whole_graph(spark):
+    from loam.operators import graph
+    from loam.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    edges = QUERIES["graph_projection"](spark, d)
+    found = QUERIES["communities"](spark, d)
+    nodes = {x for r in edges.collect() for x in (r["a"], r["b"])}
+    got = [r["node"] for r in found.collect()]
+    assert len(got) == len(nodes) and set(got) == nodes and any(x.startswith("p") for x in got)
+    alone = spark.createDataFrame([(x, x) for x in nodes], "node string, community string")
+    assert graph.modularity(edges, found).first()[0] > max(0.0, graph.modularity(edges, alone).first()[0])
+
+
 def test_chunks_at_the_borders(spark):
     from loam.operators.episodes import chunk_plan
 
