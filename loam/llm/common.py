@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
-    "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()),
+    "float": pa.float32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()),
 }
 
 
@@ -30,8 +31,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session whose driver is its only machine gets a folder of its own; any other is refused."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return set_dir or f"file://{_own_dir()}"
 
 
 _shipped: set[str] = set()
@@ -141,10 +145,10 @@ def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a, b): (node, component), where component is the smallest node reached.
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """Connected components of undirected edges (a, b): (node, component), where component is the smallest node reached. Nodes are of any type that has an order.
 
-    Alternates large-star and small-star steps until the edges stay the same. Each step's minima come from a partial aggregate and are written, so that the join after it can split a hot node.
+    Alternates large-star and small-star steps until the edges stay the same (by their number and two sums of 40 bits of their hashes); the steps needed grow with the logarithm of the longest path, and running out of `rounds` is an error. Each step's minima come from a partial aggregate and are written, so that the join after it can split a hot node.
     """
     edges = spill(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
 
@@ -154,8 +158,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
     def state(e: DataFrame):
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
-        return tuple(r)
+        return tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64(*ends) % F.lit(1 << 40)) for ends in (("a", "b"), ("b", "a"))]).first())
 
     was = state(edges)
     for _ in range(rounds):
@@ -169,6 +172,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (now := state(edges)) == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components: edges still change after {rounds} rounds")
     return spill(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
 
 
@@ -241,23 +246,38 @@ def labels(linked: np.ndarray) -> np.ndarray:
         now = new
 
 
-def tiled(rows: DataFrame, groups: list[str], size: str, node: str, block: int) -> DataFrame:
-    """Deal the rows of every group to tiles (i, j) so that any two rows of a group meet in one: a group of n rows has about n / block blocks, by a hash of the node, and a row goes to every tile of its block. Tiles are spread by range, and follow each other sorted in a partition."""
-    nb = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("long")
-    mine = rows.withColumn("blocks", nb).withColumn("mine", F.pmod(F.xxhash64(node, F.lit(17)), F.col("blocks")))
-    out = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    out = out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks", size)
+def tiled(rows: DataFrame, groups: list[str], blocks: str, node: str) -> DataFrame:
+    """Deal the rows of every group to tiles (i, j) so that any two rows of a group meet in one: a group has as many blocks as its column `blocks` says, a row's block (`mine`) is by a hash of the node, and a row goes to every tile of its block. Tiles are spread by range, and follow each other sorted in a partition."""
+    nb = F.greatest(F.lit(1).cast("long"), F.col(blocks).cast("long"))
+    mine = rows.withColumn("_nb", nb).withColumn("mine", F.pmod(F.xxhash64(node, F.lit(17)), F.col("_nb")))
+    out = mine.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    out = out.withColumn("i", F.least("mine", "_other")).withColumn("j", F.greatest("mine", "_other")).drop("_other", "_nb", blocks)
+    return spread(out, *groups, "i", "j", last=node)
+
+
+def spread(rows: DataFrame, *keys: str, last: str) -> DataFrame:
+    """Partitioned by ranges of the keys and sorted inside."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, *groups, "i", "j").sortWithinPartitions(*groups, "i", "j", node)
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, last)
 
 
 def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """members: (id, class keys...), classes: (class keys..., class_id, size), links: (node, links, root) per class and tile, a written table. Each member with class_id, n_links, component_id and kept; class_id is the smallest id of its class."""
-    count = spill(links.groupBy(F.col("node").alias("class_id")).agg(F.sum("links").alias("links")), "counts")
+    """members: (id, ..., node), classes: (node, class_id, size), links: (node, links, root) per class and tile, a written table. A node is the digest of a class's content, so that rows which share an id but not the content stay apart.
+
+    Each member with class_id (smallest id of its class), n_links, component (a node of its linked classes), component_id (smallest id of those) and kept. Members without a node link with nothing."""
+    count = spill(links.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     comp = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    keys = [c for c in classes.columns if c not in ("class_id", "size")]
-    noted = spill(classes.join(count, "class_id", "left").join(comp.withColumnRenamed("node", "class_id"), "class_id", "left"), "classes")
-    noted = noted.select(*keys, "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    out = members.join(noted, keys, "left")
+    first = comp.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    comp = spill(comp.join(first, "component"), "named")
+    noted = spill(classes.join(count, "node", "left").join(comp, "node", "left").select(
+        "node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "class_id").alias("component_id")), "classes")
     ident = members.columns[0]
-    return out.select(ident, F.coalesce("class_id", ident).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", ident).alias("component_id")).withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))
+    out = members.join(noted, "node", "left")
+    return out.select(
+        *members.columns, F.coalesce("class_id", ident).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", F.coalesce("component_id", ident).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))
+
+
+def content_keys(text: str = "text") -> list:
+    """Two 64-bit hashes of a text, which tell rows apart that share an id."""
+    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_t2")]

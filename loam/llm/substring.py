@@ -4,9 +4,9 @@ A word is removed if a window that covers it has a word sequence that also start
 
 1. Texts with equal word sequences are one text: the copies of the smallest id are wholly covered by its windows.
 2. Every window has an anchor: the smallest hash among its runs of 5 words, so equal windows have equal anchors. Anchors that occur in one document only rule out their windows.
-3. The remaining windows are hashed (64 bits), counted with the smallest document of each, and joined back to their documents.
+3. The remaining windows are hashed (two Rabin-Karp hashes of 64 bits), counted with the smallest document of each, and joined back to their documents.
 
-Equal hashes are taken as equal windows. Defined results: null and empty texts have no words; a text of under 13 words has no window and stays whole; rows that share a doc_id never remove each other's words; rows with a null doc_id stay whole and remove nothing; a text of any length is one row; only the named columns are read.
+Equal 128-bit hashes are taken as equal windows. Rows are told apart by their id and a hash of their text, so rows that share an id each get the windows and copies of their own text. Defined results: null and empty texts have no words; a text of under 13 words has no window and stays whole; rows that share a doc_id never remove each other's words; rows with a null doc_id stay whole and remove nothing; a text of any length is one row; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import arrow, column, hashed, map_batches, release, rolling, sliding_min, spill, texts
+from loam.llm.common import arrow, column, content_keys, hashed, map_batches, release, rolling, sliding_min, spill, texts
 
 WINDOW, RUN = 13, 5
-_ANCHOR_BASE = 0xD6E8FEB86659FD93
+_ANCHOR_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_ROW = ["doc_id", "_t1"]
+_NOTES = ["_loam_windows", "_loam_copied"]
 
 
 def words(text: str) -> list[bytes]:
@@ -41,14 +43,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-
-def _shared(rows: DataFrame, key: str) -> DataFrame:
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     """The keys that occur in more than one document, with the smallest one."""
-    return rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(key, "first")
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(*keys, "first")
 
 
 def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hashes of its windows that also start in a smaller document), and (doc_id, first) of the copies of an earlier document's words."""
+    """docs: (doc_id, text, _t1). (doc_id, _t1, first hashes of its windows that also start in a smaller document), and (doc_id, _t1) of the copies of an earlier document's words."""
 
     def describe(b):
         n, one, two, a = [], [], [], []
@@ -59,29 +60,32 @@ def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFra
             one.append(int.from_bytes(d[:8], "little", signed=True))
             two.append(int.from_bytes(d[8:], "little", signed=True))
             a.append(np.unique(anchors(hashed(w), window)))
-        return {"doc_id": column(b, "doc_id"), "n_words": n, "d1": one, "d2": two, "anchors": _lists(a)}
+        return {c: column(b, c) for c in _ROW} | {"n_words": n, "d1": one, "d2": two, "anchors": _lists(a)}
 
     def candidates(b):
-        out = []
+        one, two = [], []
         for t, keep in zip(texts(b), column(b, "keep").to_pylist(), strict=True):
             h = hashed(words(t))
-            out.append(np.unique(rolling(h, window)[np.isin(anchors(h, window), np.array(keep, np.int64).view(np.uint64))]))
-        return {"doc_id": column(b, "doc_id"), "windows": _lists(out)}
+            at = np.flatnonzero(np.isin(anchors(h, window), np.array(keep, np.int64).view(np.uint64)))
+            w, first = np.unique(rolling(h, window)[at], return_index=True)
+            one.append(w)
+            two.append(rolling(h, window, _SECOND_BASE)[at][first])
+        return {c: column(b, c) for c in _ROW} | {"w1": _lists(one), "w2": _lists(two)}
 
     docs = docs.filter("doc_id IS NOT NULL")
-    seen = spill(map_batches(docs, describe, "doc_id long, n_words long, d1 long, d2 long, anchors array<long>").filter(F.col("n_words") >= window), "anchors")
-    groups = spill(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", "first"), "copies")
-    copies = spill(seen.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"]).filter("doc_id > first").select("doc_id", "first").distinct(), "copied")
-    each = seen.select("doc_id", F.explode("anchors").alias("h"))
+    seen = spill(map_batches(docs, describe, "doc_id long, _t1 long, n_words long, d1 long, d2 long, anchors array<long>").filter(F.col("n_words") >= window), "anchors")
+    groups = spill(_shared(seen, "d1", "d2"), "copies")
+    copies = spill(seen.select(*_ROW, "d1", "d2").join(groups, ["d1", "d2"]).filter("doc_id > first").select(*_ROW).distinct(), "copied")
+    each = seen.select(*_ROW, F.explode("anchors").alias("h"))
     shared = spill(_shared(each, "h").select("h"), "shared")
     # Copies of a text add nothing that its first document doesn't have, but must not count as further documents of its own windows; they are left out from here on.
-    mine = spill(each.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("keep")).join(copies.select("doc_id"), "doc_id", "left_anti"), "mine")
+    mine = spill(each.join(shared, "h").groupBy(*_ROW).agg(F.collect_set("h").alias("keep")).join(copies, _ROW, "left_anti"), "mine")
     release(seen, groups, shared)
-    found = spill(map_batches(docs.join(mine, "doc_id"), candidates, "doc_id long, windows array<long>", 200).filter(F.size("windows") > 0), "windows")
+    found = spill(map_batches(docs.join(mine, _ROW), candidates, "doc_id long, _t1 long, w1 array<long>, w2 array<long>", 200).filter(F.size("w1") > 0), "windows")
     release(mine)
-    rows = found.select("doc_id", F.explode("windows").alias("w"))
-    first = spill(_shared(rows, "w"), "repeated")
-    hits = rows.join(first, "w").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
+    rows = found.select(*_ROW, F.explode(F.arrays_zip("w1", "w2")).alias("w")).select(*_ROW, "w.w1", "w.w2")
+    first = spill(_shared(rows, "w1", "w2"), "repeated")
+    hits = rows.join(first, ["w1", "w2"]).filter("doc_id > first").groupBy(*_ROW).agg(F.collect_set("w1").alias("windows"))
     hits = spill(hits, "removable")
     release(found, first)
     return hits, copies
@@ -109,9 +113,12 @@ def _cut(text: str, repeated: list[int] | None, copied: bool, window: int) -> tu
 
 
 def _with_hits(docs: DataFrame, window: int) -> DataFrame:
-    hits, copies = removable(docs.select("doc_id", "text"), window)
-    notes = hits.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("windows"), F.lit(True).alias("copied")))
-    return notes.groupBy("doc_id").agg(F.first("windows", True).alias("_windows"), F.max("copied").alias("_copied"))
+    """docs with what is to go: the columns _t1 and _NOTES."""
+    docs = docs.withColumn("_t1", content_keys()[0])
+    hits, copies = removable(docs.select("doc_id", "text", "_t1"), window)
+    notes = hits.withColumn("copied", F.lit(False)).unionByName(copies.select(*_ROW, F.lit(None).cast("array<long>").alias("windows"), F.lit(True).alias("copied")))
+    notes = notes.groupBy(*_ROW).agg(F.first("windows", True).alias(_NOTES[0]), F.max("copied").alias(_NOTES[1]))
+    return docs.join(notes, _ROW, "left")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -120,7 +127,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def run(b):
         rows = []
-        for t, r, c in zip(texts(b), column(b, "_windows").to_pylist(), column(b, "_copied").to_pylist(), strict=True):
+        for t, r, c in zip(texts(b), *(column(b, c).to_pylist() for c in _NOTES), strict=True):
             w, gone = _cut(t, r, bool(c), window)
             kept, low = [], 0
             for s, e in gone:
@@ -130,7 +137,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             rows.append((len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), ",".join(f"{s}:{e}" for s, e in gone)))
         return {"doc_id": column(b, "doc_id")} | dict(zip(("n_words", "n_removed", "kept_sha256", "removed"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return map_batches(docs.join(_with_hits(docs, window), "doc_id", "left"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string", 200)
+    return map_batches(_with_hits(docs, window), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string", 200)
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -146,7 +153,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 out, keep = [], []
-                for t, r, c in zip(column(part, "text").to_pylist(), column(part, "_windows").to_pylist(), column(part, "_copied").to_pylist(), strict=True):
+                for t, r, c in zip(*(column(part, c).to_pylist() for c in ("text", *_NOTES)), strict=True):
                     gone = _cut(t or "", r, bool(c), window)[1]
                     if gone:
                         spots = [m.span() for m in word.finditer(t)]
@@ -162,4 +169,4 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     new["n_chars"] = pa.array([None if t is None else len(t) for t in out], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in cols], names=cols).filter(pa.array(keep, pa.bool_()))
 
-    return arrow(docs.join(_with_hits(docs, window), "doc_id", "left"), run, out_schema)
+    return arrow(_with_hits(docs, window), run, out_schema)

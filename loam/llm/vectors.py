@@ -1,16 +1,14 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of the vectors are pivots (reference points). Every vector is described by its `LISTS` nearest pivots in order, and stands in the inverted lists of those pivots. Two vectors are candidates if they share at least `SHARED` pivots of their descriptions; each candidate pair is verified once, in the list of the smallest shared pivot, by its exact cosine in double precision. Equal vectors are one class. Long lists are split into tiles of blocks, so that no task holds a whole list; only counts and spanning links leave a tile, never all pairs.
+The reference points (pivots) are a bounded sample of the vectors, thinned so that no two of them are alike: then near vectors agree on their nearest pivots, also where the vectors lie dense. Every vector is described by its `DESCRIBED` nearest pivots in order, and stands in the inverted lists of the first `FRONT` of them. Two vectors of a list are candidates if they share at least `SHARED` pivots of their descriptions; each candidate pair is verified once, in the list of the smallest pivot that is in front for both, by its exact cosine in double precision. Equal vectors are one class, known by a digest. Long lists are split into tiles of blocks, so that no task holds a whole list; only counts and spanning links leave a tile, never all pairs.
 
-The number of pivots grows with the square root of the number of vectors, up to `MOST_PIVOTS`, so that lists stay short. `recall` measures the index against brute force.
+`recall` measures the index against brute force. The sample is at most `MOST_PIVOTS` vectors whatever the input, so lists grow with the input divided by that; raise it for more vectors than about a thousand times as many.
 
-Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do rows with a null id; vectors of different lengths never link; rows that repeat an id and vector link with each other; only the named columns are read.
+Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do rows with a null id; vectors of different lengths never link; rows that repeat an id and vector link with each other, and rows that repeat an id with another vector are each linked by their own; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,25 +17,8 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import column, labels, linked_classes, map_batches, map_runs, release, spill, tiled
 
-LISTS, SHARED, MOST_PIVOTS, TILE = 16, 2, 4096, 256
-
-
-def describe(rows: DataFrame) -> DataFrame:
-    """(vec_id, dim, d1, d2, vector): dim, digest and vector (little-endian doubles) are null where the vector links with nothing."""
-
-    def run(b):
-        dim, one, two, out = [], [], [], []
-        for i, v in zip(column(b, "vec_id").to_pylist(), column(b, "embedding").to_pylist(), strict=True):
-            x = np.array(v, np.float64) + 0.0 if v and i is not None and None not in v else np.zeros(0)
-            ok = len(x) > 0 and np.isfinite(x).all() and x.any()
-            d = xxhash.xxh3_128_digest(x.tobytes()) if ok else None
-            dim.append(len(x) if ok else None)
-            one.append(int.from_bytes(d[:8], "little", signed=True) if ok else None)
-            two.append(int.from_bytes(d[8:], "little", signed=True) if ok else None)
-            out.append(x.tobytes() if ok else None)
-        return {"vec_id": column(b, "vec_id"), "dim": dim, "d1": one, "d2": two, "vector": out}
-
-    return map_batches(rows, run, "vec_id long, dim long, d1 long, d2 long, vector binary", 2000)
+DESCRIBED, FRONT, SHARED = 8, 3, 2
+MOST_PIVOTS, APART, TILE = 4096, 0.8, 256
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -46,94 +27,110 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _stack(t: pa.Table | pa.RecordBatch, name: str, dim: int, dtype=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype).reshape(-1, dim)
-
-
-def pivots(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """For each length of vectors, about 4 * sqrt(n) of them, at least 32 and at most MOST_PIVOTS, by a hash of the digest: a bounded sample."""
-    m = min(MOST_PIVOTS, max(32, math.isqrt(16 * n)))
-    got: dict[int, list[bytes]] = {}
-    for r in classes.orderBy(F.xxhash64("d1", "d2"), "class_id").select("dim", "vector").limit(m).collect():
-        got.setdefault(r["dim"], []).append(bytes(r["vector"]))
-    return {d: unit(np.frombuffer(b"".join(x), np.float64).reshape(-1, d)) for d, x in got.items()}
-
-
-def postings(classes: DataFrame, points: dict[int, np.ndarray], lists: int) -> DataFrame:
-    """(pivot, node, dim, size, near, vector): a row for each list that a vector stands in; near is its whole description. Lengths without a pivot share one list of their own."""
+def usable(v: list | None) -> np.ndarray | None:
+    """The vector, or None where it links with nothing. Negative zeros become zeros, so that equal vectors have equal bytes."""
+    if not v or None in v:
+        return None
+    x = np.array(v, np.float64) + 0.0
+    return x if np.isfinite(x).all() and x.any() else None
+
+
+def pivots(rows: DataFrame, most: int = MOST_PIVOTS, apart: float = APART) -> dict[int, np.ndarray]:
+    """For each length of vectors, unit vectors of which no two have a cosine of `apart` or more: the first, by a hash of the row, of a sample of at most `most` rows."""
+    got: dict[int, list[np.ndarray]] = {}
+    for r in rows.select("embedding").orderBy(F.xxhash64("vec_id", "embedding")).limit(most).collect():
+        if (x := usable(r["embedding"])) is not None:
+            got.setdefault(len(x), []).append(x)
+    out = {}
+    for d, x in got.items():
+        u = unit(np.array(x))
+        left, kept = np.ones(len(u), bool), []
+        for i in range(len(u)):
+            if left[i]:
+                kept.append(i)
+                left &= u @ u[i] < apart
+        out[d] = u[kept].astype(np.float32)
+    return out
+
+
+def describe(rows: DataFrame, points: dict[int, np.ndarray], described: int, narrow: bool) -> DataFrame:
+    """(vec_id, node, dim, near, vector): the digest of the vector, its length, its nearest pivots in order, and its components as they came (`narrow`: 32 bits each). Null where the vector links with nothing."""
+    kind = np.dtype("<f4" if narrow else "<f8")
 
     def run(b):
-        t = pa.Table.from_batches([b])
-        dims = t.column("dim").to_numpy()
-        out = {n: [] for n in ("pivot", "node", "dim", "size", "near", "vector")}
-        for d in np.unique(dims):
+        got = [usable(v) if i is not None else None for i, v in zip(column(b, "vec_id").to_pylist(), column(b, "embedding").to_pylist(), strict=True)]
+        near: list[bytes | None] = [None] * len(got)
+        dims = np.array([0 if x is None else len(x) for x in got])
+        for d in np.unique(dims[dims > 0]):
             at = np.flatnonzero(dims == d)
-            part = t.take(pa.array(at))
-            p = points.get(int(d))
-            if p is None:
-                near = np.zeros((len(at), 1), np.int32)
-            else:
-                sim = unit(_stack(part, "vector", int(d))) @ p.T
-                k = min(lists, len(p))
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                near = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            ids, sizes, raw = (part.column(c).to_pylist() for c in ("class_id", "size", "vector"))
-            for r in range(len(at)):
-                said = near[r].tobytes()
-                for p_ in near[r]:
-                    for n, v in zip(out, (int(p_), ids[r], int(d), sizes[r], said, raw[r]), strict=True):
-                        out[n].append(v)
-        return out
-
-    return map_batches(classes, run, "pivot long, node long, dim long, size long, near binary, vector binary", 500)
-
-
-def _verified(threshold: float, shared: int):
+            p = points.get(int(d), np.zeros((1, d), np.float32))  # lengths that the sample missed share one list
+            sim = unit(np.array([got[i] for i in at])).astype(np.float32) @ p.T
+            k = min(described, len(p))
+            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1).astype("<i4")
+            for i, x in zip(at, top, strict=True):
+                near[i] = x.tobytes()
+        raw = [None if x is None else x.astype(kind).tobytes() for x in got]
+        return {
+            "vec_id": column(b, "vec_id"), "node": [None if x is None else xxhash.xxh3_128_digest(x) for x in raw], "dim": [int(d) or None for d in dims], "near": near, "vector": raw,
+            "front": [[] if x is None else np.frombuffer(x, "<i4")[:FRONT].tolist() for x in near],
+        }
+
+    return map_batches(rows, run, "vec_id long, node binary, dim long, near binary, vector binary, front array<long>", 2000)
+
+
+def _verified(threshold: float, shared: int, kind: str):
     def run(key: list, t: pa.Table) -> dict | None:
         if t.num_rows < 2:
             return None
-        dim, pivot = int(key[0]), int(key[1])
-        ids, weight, block = (t.column(n).to_numpy() for n in ("node", "size", "mine"))
-        near = [np.frombuffer(x, np.int32) for x in t.column("near").to_pylist()]
-        points, col = np.unique(np.concatenate(near), return_inverse=True)
-        has = np.zeros((len(near), len(points)), np.float32)
-        has[np.repeat(np.arange(len(near)), [len(x) for x in near]), col] = 1
-        ok = has @ has.T >= min(shared, len(points))
-        before = has[:, points < pivot]
+        pivot = int(key[1])
+        ids, weight, block = t.column("node").to_pylist(), t.column("size").to_numpy(), t.column("mine").to_numpy()
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), "<i4").reshape(len(ids), -1)
+        points, col = np.unique(near, return_inverse=True)
+        has = np.zeros((len(ids), len(points)), np.float32)
+        has[np.arange(len(ids))[:, None], col.reshape(near.shape)] = 1
+        ok = has @ has.T >= min(shared, near.shape[1])
+        front = np.zeros_like(has)
+        front[np.arange(len(ids))[:, None], col.reshape(near.shape)[:, :FRONT]] = 1
+        before = front[:, points < pivot]
         ok &= before @ before.T == 0
         np.fill_diagonal(ok, False)
         if key[2] != key[3]:
             ok &= block[:, None] != block[None, :]
-        if ok.any():
-            u = unit(_stack(t, "vector", dim))
-            ok &= u @ u.T >= threshold
-        if not ok.any():
+        some = np.flatnonzero(ok.any(1))
+        if not len(some):
             return None
+        u = unit(np.frombuffer(b"".join(t.column("vector").take(pa.array(some)).to_pylist()), kind).reshape(len(some), -1).astype(np.float64))
+        ok[np.ix_(some, some)] &= u @ u.T >= threshold
         root, links = labels(ok), ok @ weight
         i = np.flatnonzero(links > 0)
-        return {"node": ids[i], "links": links[i].astype(np.int64), "root": ids[root[i]]}
+        return {"node": [ids[x] for x in i], "links": links[i].astype(np.int64), "root": [ids[x] for x in root[i]]} if len(i) else None
 
     return run
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, lists: int = LISTS, shared: int = SHARED) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, described: int = DESCRIBED, shared: int = SHARED) -> DataFrame:
     """Per vector: vec_id, class_id, n_links, component_id, kept."""
-    seen = spill(describe(rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))), "vectors")
-    classes = spill(seen.filter("dim IS NOT NULL").groupBy("d1", "d2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size")), "classes")
-    wide = spill(classes.join(seen.select(F.col("vec_id").alias("class_id"), "d1", "d2", "dim", "vector"), ["class_id", "d1", "d2"]).dropDuplicates(["class_id", "d1"]), "points")
-    points = pivots(wide, wide.count())
-    entry = spill(postings(wide, points, lists), "postings")
-    sizes = spill(entry.groupBy("dim", "pivot").agg(F.count("*").alias("n")), "lists")
-    tiles = tiled(entry.join(sizes, ["dim", "pivot"]), ["dim", "pivot"], "n", "node", TILE)
-    links = spill(map_runs(tiles, ["dim", "pivot", "i", "j"], _verified(threshold, shared), "node long, links long, root long", 1 << 20), "links")
-    release(entry, wide)
-    return linked_classes(seen.select("vec_id", "d1", "d2"), classes, links)
+    rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))
+    narrow = rows.schema["embedding"].dataType.elementType.typeName() == "float"
+    seen = spill(describe(rows, pivots(rows), described, narrow), "vectors")
+    each = seen.filter("node IS NOT NULL").groupBy("node", "vec_id").agg(F.count("*").alias("n"))
+    classes = spill(each.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.sum("n").alias("size"), F.min_by("n", "vec_id").alias("same")), "classes")
+    # A class is searched once: by its row with the smallest id, or one of the rows that repeat it.
+    shared_classes = classes.filter("size > 1")
+    marked = seen.filter("node IS NOT NULL").select("node", "vec_id", "dim", "near", "vector", "front").join(shared_classes, "node", "left")
+    once = marked.filter("class_id IS NULL OR (class_id = vec_id AND same = 1)").unionByName(marked.filter("class_id = vec_id AND same > 1").dropDuplicates(["node"]))
+    entry = once.select(F.explode("front").alias("pivot"), "node", "dim", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "near", "vector")
+    lists = spill(entry.groupBy("dim", "pivot").agg(F.count("*").alias("n")).filter("n > 1").select("dim", "pivot", F.ceil(F.col("n") / TILE).alias("blocks")), "lists")
+    tiles = tiled(entry.join(lists, ["dim", "pivot"]), ["dim", "pivot"], "blocks", "node")
+    links = spill(map_runs(tiles, ["dim", "pivot", "i", "j"], _verified(threshold, shared, "<f4" if narrow else "<f8"), "node binary, links long, root binary", 1 << 20), "links")
+    return linked_classes(seen.select("vec_id", "node"), classes.select("node", "class_id", "size"), links).drop("node", "component")
 
 
 def recall(rows: DataFrame, threshold: float = 0.95, **args) -> float:
     """Links found against a brute-force count, for tables that fit into the driver."""
     found = sum(r[0] for r in near_duplicates(rows, threshold=threshold, **args).select("n_links").collect())
-    v = [np.array(r[0], np.float64) for r in rows.select("embedding").collect() if r[0] and None not in r[0]]
-    u = unit(np.array([x for x in v if np.isfinite(x).all() and x.any()]))
+    got = [x for r in rows.select("embedding").collect() if (x := usable(r[0])) is not None]
+    u = unit(np.array(got))
     true = int((u @ u.T >= threshold).sum()) - len(u)
     return found / true if true else 1.0

@@ -158,12 +158,65 @@ def test_jaccard_compares_all_classes_of_a_large_prefix(spark):
     pairs = list(zip(order[::2], order[1::2], strict=True))
     for a, b in pairs:
         sketches[b, 20:] = sketches[a, 20:]
-    rows = [(i, [7], rng.integers(0, 1 << 62, 1).tolist(), x.tobytes()) for i, x in enumerate(sketches)]
-    reps = spark.createDataFrame(rows, "node long, keys array<long>, orders array<long>, sketch binary").repartition(3)
-    got = {r["node"]: r["component"] for r in jaccard.families(reps, 0.8).collect()}
+    reps = spark.createDataFrame([(i.to_bytes(4), [7], [i], x.tobytes()) for i, x in enumerate(sketches)], "node binary, keys array<long>, deep array<long>, sketch binary").repartition(3)
+    got = {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in jaccard.families(reps, 0.8).collect()}
     assert got == {x: min(p) for p in pairs for x in p}
 
 
+def test_jaccard_large_prefix_with_a_main_family(spark):
+    # 2,500 classes of one prefix are linked by their deep prefixes; 3,500 others aren't, and 50 of those are near one of the family, 50 near each other.
+    rng = np.random.default_rng(11)
+    sketches = rng.integers(0, 256, (6000, jaccard.VALUES), dtype=np.uint8)
+    sketches[:2500] = sketches[0]
+    sketches[:2500, :5] = rng.integers(0, 256, (2500, 5))
+    order = rng.permutation(np.arange(2500, 6000))[:150].tolist()
+    to_family, pairs = order[:50], list(zip(order[50:100], order[100:], strict=True))
+    for x in to_family:
+        sketches[x, 15:] = sketches[0, 15:]
+    for a, b in pairs:
+        sketches[b, 20:] = sketches[a, 20:]
+    rows = [(i.to_bytes(4), [7], [1 if i < 2500 else i], x.tobytes()) for i, x in enumerate(sketches)]
+    reps = spark.createDataFrame(rows, "node binary, keys array<long>, deep array<long>, sketch binary").repartition(3)
+    got = {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in jaccard.families(reps, 0.8).collect()}
+    assert got == {x: 0 for x in [*range(2500), *to_family]} | {x: min(p) for p in pairs for x in p}
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    rng = random.Random(13)
+    say = lambda: " ".join(rng.choice([f"w{i}" for i in range(500)]) for _ in range(60))
+    near = lambda t: t + " and more"
+    a, b, x, y = say(), say(), say(), say()
+    rows = [(1, a), (7, a), (7, b), (3, x), (3, y), (10, near(x)), (11, near(y)), (12, b), (12, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.removals(df).collect())
+    assert got == [(1, 60, 0), (3, 60, 0), (3, 60, 0), (7, 60, 0), (7, 60, 60), (10, 62, 60), (11, 62, 60), (12, 60, 60), (12, 60, 60)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.join(df).collect())
+    assert got == [(1, 1, 1, 1), (3, 3, 1, 3), (3, 3, 1, 3), (7, 1, 1, 1), (7, 7, 2, 7), (10, 10, 1, 3), (11, 11, 1, 3), (12, 7, 2, 7), (12, 7, 2, 7)]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()) == sorted([(1, a), (3, x), (3, y), (7, b)])
+    twice = spark.createDataFrame([(5, a), (5, a), (5, near(a)), (None, a), (6, None), (6, None)], "doc_id long, text string")
+    assert sorted(map(str, jaccard.keep_one(twice).collect())) == sorted(map(str, twice.filter("doc_id IS NULL OR doc_id = 6").collect() + [r for r in jaccard.keep_one(twice).collect() if r[0] == 5]))
+    assert jaccard.keep_one(twice).filter("doc_id = 5").count() == 1
+    v = np.random.default_rng(3).normal(size=(3, 8))
+    vec = [(1, v[0].tolist()), (4, v[0].tolist()), (4, v[1].tolist()), (9, (v[1] * 2).tolist()), (4, v[1].tolist()), (5, v[2].tolist())]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(vec, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (4, 1, 1), (4, 2, 4), (4, 2, 4), (5, 0, 5), (9, 2, 4)]
+
+
+def test_recalls(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(900)}" for _ in range(120)]
+        for k in range(3):
+            v = list(w)
+            v[rng.randrange(110)] = "x"
+            rows.append((3 * i + k, " ".join(v)))
+    assert jaccard.recall(spark.createDataFrame(rows, "doc_id long, text string")) == 1.0
+    base = np.random.default_rng(4).normal(size=(300, 24))
+    vec = np.vstack([base, base[:100] + np.random.default_rng(5).normal(size=(100, 24)) * 0.1])
+    assert vectors.recall(spark.createDataFrame(list(enumerate(vec.tolist())), "vec_id long, embedding array<double>")) >= 0.99
+
+
 def test_forest_prefix_meets_the_recall():
     k = jaccard.prefix_length(0.8, 0.99999)
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= 0.99999 > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
