@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group linked by a Jaccard similarity of 0.8 or more; rows without an id stay."""
-    return docs.join(jaccard.join(docs).filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps the document with the smallest id of every group linked by a Jaccard similarity of 0.8 or more, one row also where an id repeats; rows without an id or words stay."""
+    return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
