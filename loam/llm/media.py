@@ -43,6 +43,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = end
     w, h = head[:2]
     top = head[2] if len(head) > 2 else 1
+    if not w or not h or not 0 < top < 65536:
+        raise ValueError("no pixels, or no range of samples")
     depth = 3 if kind in (b"P3", b"P6") else 1
     if kind in (b"P5", b"P6"):
         a = np.frombuffer(data, ">u2" if top > 255 else np.uint8, w * h * depth, at + 1)
@@ -62,6 +64,8 @@ def _bmp(data: bytes) -> np.ndarray:
     size, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed bitmaps of 8, 24 or 32 bits")
+    if w <= 0 or not h:
+        raise ValueError("no pixels")
     step, tall = (w * bits // 8 + 3) // 4 * 4, abs(h)
     a = np.frombuffer(data, np.uint8, step * tall, start).reshape(tall, step)[:, : w * bits // 8].reshape(tall, w, bits // 8)
     if bits == 8:
@@ -81,19 +85,29 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, from an integral image; fractional borders are interpolated."""
-    h, w = a.shape[:2]
-    s = np.zeros((h + 1, w + 1, *a.shape[2:]))
-    s[1:, 1:] = a.astype(np.float64).cumsum(0).cumsum(1)
+def _between(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For edges among n cells, the cell that each falls into and how far."""
+    lo = np.minimum(edges.astype(int), n - 1)
+    return lo, edges - lo
 
-    def at(edges: np.ndarray, axis: int, v: np.ndarray) -> np.ndarray:
-        lo = np.minimum(edges.astype(int), v.shape[axis] - 2)
-        part = (edges - lo).reshape([-1 if i == axis else 1 for i in range(v.ndim)])
-        return v.take(lo, axis) * (1 - part) + v.take(lo + 1, axis) * part
 
+def area_resize(a: np.ndarray, height: int, width: int, rows: int = 4096) -> np.ndarray:
+    """Mean over each target cell's exact area, from an integral image; fractional borders are interpolated. The integral image is made in blocks of rows, of which only those at the target's borders are kept."""
+    h, w = a.shape[:2]
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
-    c = at(xs, 1, at(ys, 0, s))
+    (y, dy), (x, dx) = _between(ys, h), _between(xs, w)
+    wanted = np.unique(np.r_[y, y + 1])
+    kept = np.zeros((len(wanted), w + 1, *a.shape[2:]))  # the wanted rows of the integral image; row 0 is empty
+    above = np.zeros((w, *a.shape[2:]))
+    for at in range(0, h, rows):
+        s = a[at : at + rows].astype(np.float64).cumsum(1).cumsum(0) + above
+        here = np.flatnonzero((wanted > at) & (wanted <= at + len(s)))
+        kept[here, 1:] = s[wanted[here] - 1 - at]
+        above = s[-1]
+    fit = lambda part, axis: part.reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+    low, high = (kept[np.searchsorted(wanted, i)] for i in (y, y + 1))
+    s = low * (1 - fit(dy, 0)) + high * fit(dy, 0)
+    c = s[:, x] * (1 - fit(dx, 1)) + s[:, x + 1] * fit(dx, 1)
     return (c[1:, 1:] - c[:-1, 1:] - c[1:, :-1] + c[:-1, :-1]) * (height * width / (h * w))
 
 

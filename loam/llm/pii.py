@@ -10,7 +10,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from loam.llm.common import arrow, column, map_batches, texts
@@ -78,9 +80,9 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 
 # Look-alike characters and what they stand for, the words for digits in four languages, and the words for "at" and "dot".
 HOMOGLYPHS = {
-    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k", "ѵ": "v", "ӏ": "l", "ү": "y", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X",
+    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ϲ": "c", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
     "\u2024": ".", "\u3002": ".", "\ufe52": ".", "\u2010": "-", "\u2011": "-", "\u2013": "-", "\u2212": "-", "\ufe6b": "@", "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
 DIGIT_WORDS = {
@@ -93,9 +95,20 @@ AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 SPOKEN_DOTS = ("dot", "punkt", "punto")  # without brackets; "at the point of" is no address
 
-_FULLWIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-_DIGITS = {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966) for i in range(10)}
 _DROPPED = dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", "")
+_WIDE = re.compile(r"[^\x00-\x7f]")
+
+
+@functools.lru_cache(1 << 16)
+def plain_form(c: str) -> str | None:
+    """The ASCII character that a character stands for (none for invisible ones), or None: look-alikes from the table, digits of any script, and styled letters and signs (full-width, mathematical, circled, raised) by their compatibility form."""
+    if c in _DROPPED or c in HOMOGLYPHS:
+        return _DROPPED[c] if c in _DROPPED else HOMOGLYPHS[c]
+    if (digit := unicodedata.digit(c, None)) is not None:
+        return str(digit)
+    form = unicodedata.normalize("NFKC", c)
+    form = HOMOGLYPHS.get(form, form)
+    return form if len(form) == 1 and form.isascii() else None
 
 
 _OPEN = re.compile(r"[\[({<]\s{0,3}(?:[@.]|[A-Za-z]{2,11}\s{0,3}[\])}>])")
@@ -104,8 +117,6 @@ _DIGIT_SET, _AT_SET, _DOT_SET = map(frozenset, (DIGIT_WORDS, AT_WORDS, SPOKEN_DO
 
 @functools.cache
 def _rules():
-    chars = HOMOGLYPHS | _FULLWIDTH | _DIGITS | _DROPPED
-    odd = re.compile("[" + "".join(map(re.escape, chars)) + "]")
     at, dot, digit = ("|".join(sorted(x, key=lambda w: -len(w))) for x in (AT_WORDS, DOT_WORDS, DIGIT_WORDS))
     part, end = r"[A-Za-z0-9_%+-]{1,64}", r"(?![A-Za-z0-9_%+@-]|\.[A-Za-z0-9._%+-]{1,64}@)"
     opened, closed = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
@@ -118,14 +129,15 @@ def _rules():
     plain_dot = re.compile(rf"\s(?:{spoken})\s", re.I)
     spelled = re.compile(rf"(?<!\w)(?:(?:plus\s)?(?:{digit})(?:[\s-](?:{digit}|\d+))*[\s-](?:{digit}))(?!\w)", re.I)
     word = re.compile(rf"plus\s|(?:{digit})", re.I)
-    return chars, odd, hide_at, hide_dot, plain, signed, plain_dot, spelled, word
+    return hide_at, hide_dot, plain, signed, plain_dot, spelled, word
 
 
 class Tape:
-    """A text with the source span of every character; a step rewrites some spans and keeps the map."""
+    """A text with the source span of every character, as two arrays; a step rewrites some spans and keeps the map."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
+        self.text, self.starts = text, np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + 1
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the spans (start, end, new), in order and apart. Characters of new stand for the whole span."""
@@ -134,11 +146,11 @@ class Tape:
         parts, starts, ends, low = [], [], [], 0
         for s, e, new in edits:
             parts += [self.text[low:s], new]
-            starts += [*self.starts[low:s], *[self.starts[s]] * len(new)]
-            ends += [*self.ends[low:s], *[self.ends[e - 1]] * len(new)]
+            starts += [self.starts[low:s], np.full(len(new), self.starts[s], np.int32)]
+            ends += [self.ends[low:s], np.full(len(new), self.ends[e - 1], np.int32)]
             low = e
         self.text = "".join([*parts, self.text[low:]])
-        self.starts, self.ends = [*starts, *self.starts[low:]], [*ends, *self.ends[low:]]
+        self.starts, self.ends = np.concatenate([*starts, self.starts[low:]]), np.concatenate([*ends, self.ends[low:]])
 
 
 def _spoken_ats(tape: Tape, plain: re.Pattern, plain_dot: re.Pattern):
@@ -158,8 +170,8 @@ def _spoken_ats(tape: Tape, plain: re.Pattern, plain_dot: re.Pattern):
 
 def normalise(text: str) -> Tape | None:
     """The text after the transducers, or None where none of them has anything to do."""
-    chars, odd, hide_at, hide_dot, plain, signed, plain_dot, spelled, word = _rules()
-    strange = not text.isascii() and odd.search(text)
+    hide_at, hide_dot, plain, signed, plain_dot, spelled, word = _rules()
+    strange = not text.isascii() and any(plain_form(c) is not None for c in set(_WIDE.findall(text)))
     hidden = _OPEN.search(text)
     words = text.lower().replace("-", " ").split()
     digits = strange or not _DIGIT_SET.isdisjoint(words)
@@ -169,7 +181,7 @@ def normalise(text: str) -> Tape | None:
         return None
     tape = Tape(text)
     if strange:
-        tape.rewrite([(m.start(), m.end(), chars[m[0]]) for m in odd.finditer(text)])
+        tape.rewrite([(m.start(), m.end(), new) for m in _WIDE.finditer(text) if (new := plain_form(m[0])) is not None])
     for rule, new in ((hide_at, "@"), (hide_dot, ".")):
         tape.rewrite([(m.start(), m.end(), new) for m in rule.finditer(tape.text)])
     if parted:
@@ -194,7 +206,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         return base, base
     more = set()
     for s, k, e in detect(tape.text):
-        span = (tape.starts[s], k, tape.ends[e - 1])
+        span = (int(tape.starts[s]), k, int(tape.ends[e - 1]))
         if text[span[0] : span[2]] != tape.text[s:e] and not any(k == b[1] and span[0] < b[2] and b[0] < span[2] for b in base):
             more.add(span)
     return base, sorted({*base, *more}) if more else base

@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Features are words and their beginnings of 3 to 8 characters. Each gets its log-odds between toxic and other training rows, smoothed by a Dirichlet prior with the shape of all training counts; it is significant with log-odds of at least `LEAST` and a z-score of at least `Z`. A token scores the best of its significant features; any other token scores the log-ratio of the two classes' rates of such tokens, a small negative drift. One linear pass finds every maximal scoring segment of a text. Extreme-value (Karlin-Altschul) statistics of the background make a segment's score comparable over lengths; the best segment's significance becomes a probability by a logistic fit on the training rows.
+Features are words and their beginnings of 3 to 8 characters. Each gets its log-odds between toxic and other training rows, smoothed by a Dirichlet prior with the shape of all training counts; it is significant with log-odds of at least `LEAST` and a z-score of at least `Z`. A token scores the best of its significant features, so a feature that a shorter beginning betters is left out without any loss; any other token scores the log-ratio of the two classes' rates of such tokens, a small negative drift. One linear pass finds every maximal scoring segment of a text. Extreme-value (Karlin-Altschul) statistics of the background give each segment its expected number by chance (E-value), which makes scores comparable over lengths; passages are the segments with an E-value of at most `LEVEL`. A text's evidence is the best significance of its r best segments together, by the sum statistic, over all r; it becomes a probability by a logistic fit on the training rows.
 
-Token counts cover all training rows and are summed by Spark. Defined results: null and empty texts have no tokens and get the base score; texts of any length take linear time; repeated rows get equal results; where no row is labelled every score is one half; extra columns are ignored.
+Token counts are summed by Spark. The classifier's vocabulary is bounded by that of its training rows, which are all labelled ones up to `most_rows`, and an even sample by a hash of the ids where there are more. Defined results: null and empty texts have no tokens and get the base score; texts of any length take linear time; repeated rows get equal results; where no row is labelled every score is one half; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from loam.llm.common import column, map_batches, release, spill, texts
 
 Z, LEAST, PRIOR = 3.0, 2.0, 10_000.0
 PREFIXES = range(3, 9)
-MOST_TERMS = 20_000  # bound of the classifier's vocabulary
+LEVEL, MOST_ROWS = 0.05, 1_000_000
 
 _SPACE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -66,6 +66,21 @@ class Scores(dict):
         return best
 
 
+def evidence(x: list[float]) -> float:
+    """-ln p of the best of all r by the sum statistic: x are the segments' scores, normalised so that exp(-x) is the E-value. The sum t of the r best exceeds its value by chance with probability exp(-t) t^(r-1) / (r! (r-1)!); each r counts as 2^r tests, since r is chosen after the scores are seen."""
+    x = sorted(x, reverse=True)
+    if not x:
+        return 0.0
+    best = x[0] if x[0] > 20 else max(0.0, -math.log(-math.expm1(-math.exp(min(-x[0], 3.0)))))
+    t = x[0]
+    for r in range(2, len(x) + 1):
+        if x[r - 1] <= 0:
+            break
+        t += x[r - 1]
+        best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return best
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -82,7 +97,7 @@ class Model:
         return Model, (self.weights, self.drift, self.lam, self.rate, self.slope, self.shift)
 
     def found(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Evidence (-ln p of the best segment, at least 0), and the segments."""
+        """Evidence (-ln p, at least 0), and the significant segments."""
         words = tokens(text)
         s = np.fromiter(map(self.scores.__getitem__, words), np.float64, len(words))
         hits = np.flatnonzero(s > 0)
@@ -90,9 +105,8 @@ class Model:
             return 0.0, []
         lo, hi = int(hits[0]), int(hits[-1]) + 1
         spans = [(a + lo, z + lo, v) for a, z, v in segments(s[lo:hi].tolist())]
-        ln_e = math.log(self.rate * len(words)) - self.lam * max(v for *_, v in spans)
-        evidence = -ln_e if ln_e < -20 else max(0.0, -math.log(-math.expm1(-math.exp(min(ln_e, 3.0)))))
-        return evidence, spans
+        chance = math.log(self.rate * len(words))  # E-value at score 0
+        return evidence([self.lam * v - chance for *_, v in spans]), [x for x in spans if chance - self.lam * x[2] <= math.log(LEVEL)]
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * math.log1p(evidence) + self.shift))))
@@ -118,22 +132,34 @@ def feature_counts(counts: DataFrame) -> DataFrame:
     return features.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Counts and calibration use every labelled row; rows without a label of 0 or 1 don't count. Labels of one id must agree; otherwise the larger holds."""
+def significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(feature, delta) of the significant features that no shorter beginning betters."""
+    prior = (F.col("toxic") + F.col("other")) * F.lit(PRIOR / (n1 + n0))
+    odds = lambda c, n: F.log((F.col(c) + prior) / (F.lit(float(n + PRIOR)) - F.col(c) - prior))
+    scored = feature_counts(counts).filter("toxic > 0").select("feature", F.round(odds("toxic", n1) - odds("other", n0), 6).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)).alias("sd"))
+    kept = spill(scored.filter((F.col("delta") >= F.lit(Z) * F.col("sd")) & (F.col("delta") >= LEAST)).select("feature", "delta"), "significant")
+    bare = F.regexp_replace("feature", r"\^$", "")
+    longest = F.length("feature") - F.when(F.col("feature").endswith("^"), 2).otherwise(0)  # a beginning has only shorter ones, a word its own length too
+    starts = F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k <= longest), lambda k: F.concat(F.substring(bare, F.lit(1), k), F.lit("^")))
+    above = kept.select("feature", "delta", F.explode(starts).alias("start")).join(kept.select(F.col("feature").alias("start"), F.col("delta").alias("has")), "start").filter("has >= delta")
+    return kept.join(above.select("feature").distinct(), "feature", "left_anti")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
+    """Counts and calibration use the same labelled rows; rows without a label of 0 or 1 don't count. Labels of one id must agree; otherwise the larger holds."""
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    if (n := y.count()) > most_rows:
+        y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(most_rows / n * (1 << 32))))
     # The labels grow with the documents, so the join is by a shuffle at every size; its rows are read twice, so they are written once.
     rows = spill(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y.hint("merge"), "doc_id").select("text", "label"), "training")
     counts = spill(token_counts(rows), "tokens")
     n1, n0 = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
     if not n1 or not n0:
         return Model()
-    prior = (F.col("toxic") + F.col("other")) * F.lit(PRIOR / (n1 + n0))
-    odds = lambda c, n: F.log((F.col(c) + prior) / (F.lit(float(n + PRIOR)) - F.col(c) - prior))
-    scored = feature_counts(counts).filter("toxic > 0").select("feature", (odds("toxic", n1) - odds("other", n0)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)).alias("sd"))
-    best = scored.filter((F.col("delta") >= F.lit(Z) * F.col("sd")) & (F.col("delta") >= LEAST)).orderBy(F.desc(F.col("delta") / F.col("sd")), "feature").limit(MOST_TERMS).collect()
+    best = significant(counts, n1, n0).orderBy("feature").collect()
     if not best:
         return Model()
-    model = Model({r["feature"]: round(float(r["delta"]), 6) for r in best})
+    model = Model({r["feature"]: float(r["delta"]) for r in best})
 
     def hits(b):
         s = [model.scores[w.encode()] for w in column(b, "token").to_pylist()]
@@ -181,7 +207,7 @@ def _weighted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted, n_segments, passages): passages are the segments as start:end:score over tokens, best first."""
+    """(doc_id, score, predicted, n_segments, passages): passages are the significant segments as start:end:score over tokens, best first."""
 
     def run(b):
         s, n, spans = [], [], []

@@ -2,7 +2,7 @@
 
 Records are grouped into independent Zstandard frames, a bundle ends in a seek table (the public seekable format: a skippable frame of frame sizes and a footer), and an index maps every record's identifier to its frame and its offset inside that frame. Bundles are rows of a Parquet dataset (bundle, content, index), written and read by Spark, so any store that Spark reaches will do; `export` writes the same bytes as files.
 
-Records with equal payloads: the one with the largest page_id is the response, the others are revisits that name it. Defined results: null payloads count as empty; records with a null page_id are written and never chosen as a response over one with an id; repeated rows of the chosen page_id are all responses; an empty table makes no bundle.
+Records with equal payloads: the one with the largest page_id is the response, the others are revisits that name it. Defined results: null payloads count as empty; records with a null page_id are written and never chosen as a response over one with an id; repeated rows of the chosen page_id are all responses; records take their identifier from the page_id, so rows that repeat one, or have none, repeat the identifier too and the index lists each of them; an empty table makes no bundle.
 """
 
 from __future__ import annotations

@@ -232,6 +232,15 @@ def test_media_round_trip(docs, rows):
         assert np.load(io.BytesIO(r["tile"])).shape == (16, 16, 3) and len(r["feature"]) == 16
 
 
+def test_media_damaged_and_empty(spark):
+    bad = [b"P6 0 0 255\n", b"P6 2 2 0\n" + b"x" * 12, b"P6 2 2 255\nx", b"BM" + bytes(60), b"", b"GIF", None]
+    df = spark.createDataFrame([(i, 1, x) for i, x in enumerate(bad)], "doc_id long, n_bytes long, media binary")
+    assert [r["feature"] for r in media.features(df).collect()] == [None] * len(bad)
+    assert media.features(df.limit(0)).count() == 0
+    a = np.random.default_rng(2).random((301, 9, 3))
+    assert np.allclose(media.area_resize(a, 16, 16, rows=7), media.area_resize(a, 16, 16))
+
+
 def test_media_formats():
     a = np.random.default_rng(1).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     assert (media.decode(media.encode_bmp(a)) == a).all()
@@ -268,7 +277,7 @@ def test_pii_base_spans():
 @pytest.mark.parametrize("text, kind, found", [
     ("write to bob [at] example [dot] com now", "email", "bob [at] example [dot] com"), ("john dot doe at example dot org!", "email", "john dot doe at example dot org"),
     ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"), ("call plus four four seven seven one two three four five six seven ok", "phone", "plus four four seven seven one two three four five six seven"),
-    ("４111 1111 1111 1111", "card", "４111 1111 1111 1111"), ("ip 10​.1.2.3 x", "ip", "10​.1.2.3"),
+    ("mail 𝐣𝐨𝐞@𝐞𝐱.𝐜𝐨𝐦 x", "email", "𝐣𝐨𝐞@𝐞𝐱.𝐜𝐨𝐦"), ("to ⓙⓞⓔ@ex.com", "email", "ⓙⓞⓔ@ex.com"), ("ip ١٠.1.2.3", "ip", "١٠.1.2.3"), ("４111 1111 1111 1111", "card", "４111 1111 1111 1111"), ("ip 10​.1.2.3 x", "ip", "10​.1.2.3"),
 ])
 def test_pii_disguises(text, kind, found):
     base, every = pii.find(text)
@@ -430,6 +439,11 @@ def test_langid(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     kept = {r["doc_id"] for r in langid.keep_known(df, model).collect()}
     assert not kept & {400, 401, 402} and len(kept) >= 298
+    # A language outside the training labels is rejected, a short text of a known one is not.
+    other = [" ".join("".join(rng.choice("pqrstuvw") for _ in range(rng.randint(2, 7))) for _ in range(40)) for _ in range(30)]
+    assert np.mean([model.judge(t)[2] for t in other]) > 0.9
+    assert [model.judge(t)[::2] for t in ("badce", "ghij fig", "lonk")] == [("aa", False), ("bb", False), ("cc", False)]
+    assert langid.predict(df.limit(0), model).count() == 0
     none = langid.train(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"}
 
@@ -457,6 +471,37 @@ def test_segments_equal_brute_force():
         assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_toxicity_features_lose_nothing(spark):
+    rng = random.Random(21)
+    stems = ["grumpf", "snark", "blib", "no"]
+    rows = [(w, rng.choice([0, 1, 3, 40]), rng.choice([0, 0, 2, 30])) for w in sorted({rng.choice(stems) + rng.choice(["", "e", "en", "est", "ling", "lingen"]) for _ in range(60)})] + [(f"word{i}", 20, 400) for i in range(200)]
+    n1, n0 = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    got = {r["feature"]: r["delta"] for r in toxicity.significant(spark.createDataFrame(rows, "token string, toxic long, other long"), n1, n0).collect()}
+    starts = lambda w: [w, *(w[:k] + "^" for k in range(3, 9) if k <= len(w))]
+    count: dict = {}
+    for w, a, b in rows:
+        for f in starts(w):
+            x = count.setdefault(f, [0, 0])
+            x[0] += a
+            x[1] += b
+    every = {}
+    for f, (a, b) in count.items():
+        p = (a + b + 1e-12) * toxicity.PRIOR / (n1 + n0)
+        d = np.log((a + p) / (n1 + toxicity.PRIOR - a - p)) - np.log((b + p) / (n0 + toxicity.PRIOR - b - p))
+        if a and d >= 2 and d >= 3 * np.sqrt(1 / (a + p) + 1 / (b + p)):
+            every[f] = d
+    assert len(got) < len(every)
+    for w, *_ in rows:
+        best = lambda m: max((m[f] for f in starts(w) if f in m), default=0)  # noqa: B023, E731
+        assert np.isclose(best(got), best(every), atol=1e-5), w
+
+
+def test_toxicity_evidence_adds_up():
+    assert toxicity.evidence([]) == 0 and toxicity.evidence([-5.0]) < 0.1
+    assert np.isclose(toxicity.evidence([30.0]), 30) and toxicity.evidence([8.0, 8.0, 8.0]) > toxicity.evidence([8.0, 8.0]) > toxicity.evidence([8.0])
+    assert toxicity.evidence([8.0, 0.1, 0.1]) == toxicity.evidence([8.0])
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     vocab = [f"word{i}" for i in range(300)]
@@ -477,7 +522,11 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
     held = [(got[i]["predicted"], y) for i, _, y in labels if i % 3 == 1]
     assert np.mean([a == b for a, b in held]) > 0.97
-    assert all(got[i]["predicted"] == 0 for i in (900, 901, 902))
+    assert all(got[i]["predicted"] == 0 and got[i]["passages"] == "" for i in (900, 901, 902))
+    for i, t in rows[:600]:
+        e, spans = model.found(t)
+        assert len(spans) == got[i]["n_segments"] and all(model.rate * len(toxicity.tokens(t)) * np.exp(-model.lam * v) <= toxicity.LEVEL * 1.001 for *_, v in spans)
+    assert toxicity.score(df.limit(0), model).count() == 0
     assert toxicity.score(df, toxicity.train(df, lab.limit(0))).select("score").distinct().collect()[0][0] == 0.5
 
 
