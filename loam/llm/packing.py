@@ -1,6 +1,6 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which greedily fill its window.
 
-Documents are encoded where they are read. The BM25 statistics (documents, average length, documents of each term) are those of all documents. Spark deals the documents to shards by the terms that weigh most in them, so that a shard holds at most about `SHARD_TOKENS` tokens whatever the input's size; a term with more than a shard is split by the second term, and then by a digest. Neighbours in other shards are not searched. Inside a shard every term of two documents or more has postings, and a seed asks with all of its terms. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
+Documents are encoded where they are read, and counted there too: the BM25 statistics (documents, average length, documents of each term) are those of all documents. Spark deals the documents to shards by the terms that weigh most in them, so that a shard holds at most about `SHARD_TOKENS` tokens whatever the input's size; a term with more than a shard is split by the second term, and then by a digest. Neighbours in other shards are not searched. Inside a shard every term of two documents or more has postings, and a seed asks with all of its terms. The first unused document seeds a window; the best-scoring unused documents follow until the window is full, and what no longer fits of the last one seeds the next window. So only a shard's last window can be padded, and related texts share windows.
 
 Defined results: a null text counts as empty; an empty document is its end token; documents longer than a window fill several; rows that repeat an id are packed like any others; rows with a null id too; an empty table makes no sequence.
 """
@@ -8,6 +8,7 @@ Defined results: a null text counts as empty; an empty document is its end token
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import zlib
 from array import array
@@ -41,10 +42,12 @@ class Encoder:
         stands = bpe._byte_of()
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(map(stands.__getitem__, s)): i for s, i in spec["model"]["vocab"].items() if s not in special}
+        if max(*ranks.values(), *(t["id"] for t in spec["added_tokens"])) >= 1 << 16:
+            raise ValueError("ids of over 16 bits")
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.exact = bpe.coder(path)
         self.split = bpe.split
-        self.table = WordTable(self.core.encode_ordinary)
+        self.table = WordTable(self.core)
 
     def __call__(self, text: str) -> bytes:
         """Ids as 16-bit integers."""
@@ -55,44 +58,84 @@ class Encoder:
 
 
 class WordTable(dict):
-    """Ids of words after a space; keeps those of the first 400,000."""
+    """Ids of words after a space; keeps those of the first 400,000. The letters that a word begins with are one piece of the pre-tokeniser, so that what follows is encoded apart."""
 
-    def __init__(self, code):
+    letters = re.compile(r"[^\W\d_]+")
+
+    def __init__(self, core):
         super().__init__()
-        self.code = code
+        self.core, self.tails = core, Tails(core)
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("H", self.code(" " + word))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        raw = ids.tobytes()
+        m = self.letters.match(word)
+        if m is None or not m[0].isalpha():
+            raw = _packed(self.core.encode_ordinary(" " + word))
+        elif m.end() == len(word):
+            raw = _packed(self.core.encode_single_piece(b" " + word.encode()))
+        else:
+            raw = self[m[0]] + self.tails[word[m.end() :]]
         if len(self) < 400_000:
             self[word] = raw
         return raw
 
 
+class Tails(dict):
+    """Ids of what follows a word's letters; keeps those of the first 50,000."""
+
+    def __init__(self, core):
+        super().__init__()
+        self.core = core
+
+    def __missing__(self, tail: str) -> bytes:
+        raw = _packed(self.core.encode_ordinary(tail))
+        if len(self) < 50_000:
+            self[tail] = raw
+        return raw
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids with the end token, 16 bits each (vocabularies of up to 65,536 ids)."""
+    """(doc_id, n, ids, df): ids with the end token, 16 bits each (vocabularies of up to 65,536 ids). A task ends in a row of its own, without an n, whose df holds in how many of the task's documents each id occurs."""
     end = np.array([END], "<u2").tobytes()
 
-    def run(b):
-        e = encoder(path)
-        ids = [e(t) + end for t in texts(b, text_col)]
-        return {"doc_id": column(b, id_col), "n": [len(x) // 2 for x in ids], "ids": ids}
-
-    return map_batches(docs.select(id_col, text_col), run, "doc_id long, n long, ids binary")
-
-
-def _counted(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often each occurs; the stable sort of 16-bit ids is a radix sort."""
-    s = np.sort(d, kind="stable")
-    at = np.flatnonzero(np.r_[len(s) > 0, s[1:] != s[:-1]])
-    return s[at], np.diff(np.r_[at, len(s)])
+    def run(batches):
+        df = np.zeros(1 << 16, np.int64)
+        none = pa.array([None], pa.int64())
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                e = encoder(path)
+                ids = [e(t) + end for t in texts(part, text_col)]
+                n = [len(x) // 2 for x in ids]
+                df += np.bincount(_terms([np.frombuffer(x, "<u2") for x in ids])[1], minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([column(part, id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "ids", "df"])
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([b""], pa.binary()), pa.array([df.tobytes()], pa.binary())], names=["doc_id", "n", "ids", "df"])
+
+    return arrow(docs.select(id_col, text_col), run, "doc_id long, n long, ids binary, df binary")
+
+
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of every distinct id of every document, end tokens apart, in order; one sort for all of them."""
+    sizes = [len(d) - 1 for d in docs]
+    keys = np.repeat(np.arange(len(docs), dtype=np.uint64) << np.uint64(16), sizes)
+    keys |= np.concatenate([d[:-1] for d in docs]) if docs else np.zeros(0, np.uint64)
+    if len(docs) < 1 << 16:
+        keys = keys.astype(np.uint32)
+    keys.sort()
+    at = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    u = keys[at]
+    return (u >> keys.dtype.type(16)).astype(np.int64), (u & keys.dtype.type(0xFFFF)).astype(np.int64), np.diff(np.append(at, len(keys)))
 
 
 def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
@@ -101,14 +144,14 @@ def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
     def run(batches):
         df = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in column(b, "ids").to_pylist():
-                df[_counted(np.frombuffer(x, "<u2")[:-1])[0]] += 1
+            for x in column(b, "df").to_pylist():
+                df += np.frombuffer(x, np.int64)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["term", "df"])
 
-    n, mean = coded.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    n, mean = coded.agg(F.count("n"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
     df = np.zeros(1 << 16, np.int64)
-    for term, k in arrow(coded.select("ids"), run, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+    for term, k in arrow(coded.select("df").filter("df IS NOT NULL"), run, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
         df[term] = k
     return n, mean, df
 
@@ -119,52 +162,73 @@ def _weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, stats: tu
     return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
 
 
+_NO_TERM = 1 << 16
+
+
+def heaviest(docs: list[np.ndarray], stats: tuple[int, float, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two heaviest terms of each document of those in at least `least` documents; where it has none, of those in two."""
+    doc, term, tf = _terms(docs)
+    df = stats[2]
+    size = np.array([len(d) for d in docs])
+    common = df[term] >= least
+    has = np.bincount(doc[common], minlength=len(docs)) > 0
+    use = common | (~has[doc] & (df[term] > 1))
+    doc, term, tf = doc[use], term[use], tf[use]
+    order = np.lexsort((term, -_weights(term, tf, size[doc], stats), doc))
+    doc, term = doc[order], term[order]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    out = np.full((2, len(docs)), _NO_TERM)
+    out[0, doc[first]] = term[first]
+    second = first + 1
+    ok = second < len(doc)
+    ok[ok] = doc[second[ok]] == doc[first[ok]]
+    out[1, doc[first[ok]]] = term[second[ok]]
+    return out[0], out[1]
+
+
 def deal(coded: DataFrame, stats: tuple[int, float, np.ndarray], shard_tokens: int) -> tuple[DataFrame, int]:
-    """The rows with their shard, and the number of shards. A document goes where the heaviest of its terms goes that fill a fair part of a shard; rarer ones would scatter the documents that share the others."""
-    n, mean, df = stats
-    least = max(2, int(shard_tokens / mean / 4))
+    """The rows with their shard, and the number of shards. A document goes where the heaviest of its terms goes that fill a fair part of a shard; rarer ones would scatter the documents that share the others. Only sums by term reach the driver."""
+    least = max(2, int(shard_tokens / stats[1] / 4))
+    coded = coded.filter("n IS NOT NULL").select("doc_id", "n", "ids")
 
     def keys(b):
-        out = []
-        for x in column(b, "ids").to_pylist():
-            d = np.frombuffer(x, "<u2")
-            t, tf = _counted(d[:-1])
-            common = df[t] >= least
-            if not common.any():
-                common = df[t] > 1
-            t, tf = t[common], tf[common]
-            top = t[np.argsort(-_weights(t, tf, len(d), stats), kind="stable")[:2]].tolist()
-            out.append((*top, *[1 << 16] * (2 - len(top))))
-        return {c: column(b, c) for c in ("doc_id", "n", "ids")} | {"k1": [a for a, _ in out], "k2": [z for _, z in out]}
-
-    keyed = spill(map_batches(coded, keys, "doc_id long, n long, ids binary, k1 long, k2 long"), "keyed")
-    release(coded)
-    spark = coded.sparkSession
-    wide = [(k, 1 if t <= shard_tokens else 16 * -(-t // shard_tokens)) for k, t in keyed.groupBy("k1").agg(F.sum("n")).collect()]
-    split = keyed.join(F.broadcast(spark.createDataFrame(wide, "k1 long, width long")), "k1").withColumn("part", F.pmod(F.xxhash64("k2"), F.col("width")))
-    plan, shard, filled = [], 0, 0
-    for k, part, t in sorted(map(tuple, split.groupBy("k1", "part").agg(F.sum("n")).collect())):
+        k1, k2 = heaviest([np.frombuffer(x, "<u2") for x in column(b, "ids").to_pylist()], stats, least)
+        return {"n": column(b, "n"), "k1": k1, "k2": k2}
+
+    sums = spill(map_batches(coded, keys, "n long, k1 long, k2 long").groupBy("k1", "k2").agg(F.sum("n").alias("n")), "sums")
+    # A term with more than a shard is split by the second term: a multiplicative hash of it, as in `placed`.
+    width = {k: 1 if t <= shard_tokens else 16 * -(-t // shard_tokens) for k, t in sums.groupBy("k1").agg(F.sum("n")).collect()}
+    wide = sums.join(F.broadcast(coded.sparkSession.createDataFrame([(k, w) for k, w in width.items()] or [(0, 1)], "k1 long, width long")), "k1")
+    part = (F.col("k2") * F.lit(2654435761) % F.lit(1 << 32)) % F.col("width")
+    plan, shard, filled = {}, 0, 0
+    for k, q, t in sorted(map(tuple, wide.groupBy("k1", part.alias("part")).agg(F.sum("n")).collect())):
         if filled and filled + t > shard_tokens:
             shard, filled = shard + 1, 0
         pieces = -(-t // shard_tokens)
-        plan.append((k, part, shard, pieces))
+        plan[k, q] = shard, pieces
         shard, filled = (shard + pieces, 0) if pieces > 1 else (shard, filled + t)
-    # The digest salts the hash, so that rows which repeat one id spread too.
-    piece = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.crc32("ids")), F.col("pieces"))
-    dealt = split.join(F.broadcast(spark.createDataFrame(plan, "k1 long, part long, first long, pieces long")), ["k1", "part"]).withColumn("shard", F.col("first") + piece)
-    return dealt.select("shard", "doc_id", "n", "ids"), max(1, shard + (filled > 0))
+
+    def placed(b):
+        raw = column(b, "ids").to_pylist()
+        k1, k2 = heaviest([np.frombuffer(x, "<u2") for x in raw], stats, least)
+        out = []
+        for i, x, a, z in zip(column(b, "doc_id").to_pylist(), raw, k1.tolist(), k2.tolist(), strict=True):
+            first, pieces = plan[a, z * 2654435761 % (1 << 32) % width[a]]
+            # The content salts the hash, so that rows which repeat one id spread too.
+            out.append(first + (zlib.crc32(x, zlib.crc32(str(i).encode())) % pieces if pieces > 1 else 0))
+        return {c: column(b, c) for c in ("doc_id", "n", "ids")} | {"shard": out}
+
+    return map_batches(coded, placed, "shard long, doc_id long, n long, ids binary"), max(1, shard + (filled > 0))
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, float, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length). Every window but the last is full. stats: of all documents; where None, of these."""
     n = len(docs)
     size = np.array([len(d) for d in docs])
-    terms = [_counted(d[:-1]) for d in docs]
-    term = np.concatenate([t for t, _ in terms]).astype(np.int64)
-    tf = np.concatenate([c for _, c in terms]).astype(np.float64)
-    doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])
+    doc, term, tf = _terms(docs)
     df = np.bincount(term, minlength=1 << 16)
     weight = _weights(term, tf, size[doc], stats or (n, size.mean(), df))
+    ends = np.searchsorted(doc, np.arange(n + 1))
     # Ids of more than an eighth of the documents are rows of a dense table (at most 8 values a posting), the others lists of postings.
     hot = np.flatnonzero(df > max(1, n // 8))
     row = np.full(1 << 16, -1)
@@ -172,30 +236,38 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, f
     dense = np.zeros((len(hot), n), np.float32)
     of_hot = row[term] >= 0
     dense[row[term[of_hot]], doc[of_hot]] = weight[of_hot]
-    listed = (df[term] > 1) & ~of_hot
-    order = np.argsort(term[listed], kind="stable")
-    post_doc, post_weight = doc[listed][order].astype(np.int32), weight[listed][order]
-    starts = np.searchsorted(term[listed][order], np.arange((1 << 16) + 1))
+    listed = np.flatnonzero((df[term] > 1) & ~of_hot)
+    listed = listed[np.argsort(term[listed].astype(np.uint16), kind="stable")]
+    post_term, post_doc, post_weight = term[listed], doc[listed], weight[listed]
+    starts = np.searchsorted(post_term, np.arange((1 << 16) + 1))
+    names = np.arange(n)  # of the documents that the index still holds
 
     def neighbours(seed: int):
         """Unused documents that share a term with the seed, the best first; sorted as far as they are asked for."""
-        t = terms[seed][0]
-        scores = dense[row[t[row[t] >= 0]]].sum(0)
-        spans = [(a, z) for a, z in zip(starts[t].tolist(), starts[t.astype(np.int64) + 1].tolist(), strict=True) if a < z]
-        if spans:
-            scores = scores + np.bincount(np.concatenate([post_doc[a:z] for a, z in spans]), np.concatenate([post_weight[a:z] for a, z in spans]), n)
-        near = np.flatnonzero((scores > 0) & unused)
+        t = term[ends[seed] : ends[seed + 1]]
+        held = row[t]
+        scores = dense[held[held >= 0]].sum(0)
+        low = starts[t]
+        many = starts[t + 1] - low
+        total = int(many.sum())
+        if total:
+            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)
+            scores = scores + np.bincount(post_doc[at], post_weight[at], len(names))
+        at = np.flatnonzero((scores > 0) & unused[names])
+        near, scores = names[at], scores[at]
         some = 64
         while len(near) > some:
-            cut = np.argpartition(-scores[near], some)
-            best, near = np.sort(near[cut[:some]]), near[cut[some:]]
-            yield from best[np.argsort(-scores[best], kind="stable")].tolist()
+            cut = np.argpartition(-scores, some)
+            best, cut = np.sort(cut[:some]), cut[some:]
+            yield from near[best[np.argsort(-scores[best], kind="stable")]].tolist()
+            near, scores = near[cut], scores[cut]
             some *= 2
-        near = np.sort(near)
-        yield from near[np.argsort(-scores[near], kind="stable")].tolist()
+        order = np.argsort(near)
+        near, scores = near[order], scores[order]
+        yield from near[np.argsort(-scores, kind="stable")].tolist()
 
     unused = np.ones(n, bool)
-    following = 0
+    left, following = n, 0
     windows: list[list[tuple[int, int, int]]] = []
     seed, at = -1, 0
     while True:
@@ -206,6 +278,14 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, f
                 break
             seed, at = following, 0
             unused[seed] = False
+            left -= 1
+        if left < 0.7 * len(names):  # used documents leave the index
+            stay = unused[names]
+            new = np.cumsum(stay) - 1
+            keep = stay[post_doc]
+            post_term, post_doc, post_weight = post_term[keep], new[post_doc[keep]], post_weight[keep]
+            starts = np.searchsorted(post_term, np.arange((1 << 16) + 1))
+            dense, names = np.ascontiguousarray(dense[:, stay]), names[stay]
         now, room = [], window
         ranked = None
         take, start = seed, at
@@ -228,6 +308,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: tuple[int, f
                     break
                 take, ranked = following, None
             unused[take] = False
+            left -= 1
             start = 0
         windows.append(now)
     return windows
