@@ -261,18 +261,18 @@ def spread(rows: DataFrame, *keys: str, last: str) -> DataFrame:
     return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, last)
 
 
-def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """members: (id, ..., node), classes: (node, class_id, size), links: (node, links, root) per class and tile, a written table. A node is the digest of a class's content, so that rows which share an id but not the content stay apart.
+def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame, digest: list[str]) -> DataFrame:
+    """members: (id, ..., digest), classes: (node, digest, class_id, size), links: (node, links, root) per class and tile, a written table. Classes are told apart by the digest of their content, so that rows which share an id but not the content stay apart; node is the digest or a number for it.
 
-    Each member with class_id (smallest id of its class), n_links, component (a node of its linked classes), component_id (smallest id of those) and kept. Members without a node link with nothing."""
+    Each member with class_id (smallest id of its class), n_links, component (a node of its linked classes), component_id (smallest id of those) and kept. Members without a digest link with nothing."""
     count = spill(links.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     comp = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     first = comp.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
     comp = spill(comp.join(first, "component"), "named")
     noted = spill(classes.join(count, "node", "left").join(comp, "node", "left").select(
-        "node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "class_id").alias("component_id")), "classes")
+        *digest, "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "class_id").alias("component_id")), "classes")
     ident = members.columns[0]
-    out = members.join(noted, "node", "left")
+    out = members.join(noted, digest, "left")
     return out.select(
         *members.columns, F.coalesce("class_id", ident).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", F.coalesce("component_id", ident).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))

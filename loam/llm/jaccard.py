@@ -71,20 +71,20 @@ def trie_keys(sig: np.ndarray, k: int, trees: int = TREES) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, n: int = NGRAM) -> DataFrame:
-    """docs: (doc_id, text, _t1, _t2). (doc_id, _t1, _t2, node, n_shingles, keys, deep, sketch): the class's digest, the trees' keys at the shortest and at the full depth, and a byte of each signature value."""
+    """docs: (doc_id, text, _t1, _t2). (doc_id, _t1, _t2, d1, d2, n_shingles, keys, deep, sketch): the class's digest, the trees' keys at the shortest and at the full depth, and a byte of each signature value."""
 
     def run(b):
         rows = []
         for i, t in zip(column(b, "doc_id").to_pylist(), texts(b), strict=True):
             s = shingles(t, n) if i is not None else np.zeros(0, np.uint64)
             if not len(s):
-                rows.append((None, 0, [], [], b""))
+                rows.append((None, None, 0, [], [], b""))
                 continue
-            sig = signature(s)
-            rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), trie_keys(sig, k), trie_keys(sig, DEPTH, DEEP_TREES), mix(sig.astype(np.uint64)).astype(np.uint8).tobytes()))
-        return {c: column(b, c) for c in ("doc_id", "_t1", "_t2")} | dict(zip(("node", "n_shingles", "keys", "deep", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
+            d, sig = xxhash.xxh3_128_digest(s.tobytes()), signature(s)
+            rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(s), trie_keys(sig, k), trie_keys(sig, DEPTH, DEEP_TREES), mix(sig.astype(np.uint64)).astype(np.uint8).tobytes()))
+        return {c: column(b, c) for c in ("doc_id", "_t1", "_t2")} | dict(zip(("d1", "d2", "n_shingles", "keys", "deep", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return map_batches(docs, run, "doc_id long, _t1 long, _t2 long, node binary, n_shingles long, keys array<long>, deep array<long>, sketch binary")
+    return map_batches(docs, run, "doc_id long, _t1 long, _t2 long, d1 long, d2 long, n_shingles long, keys array<long>, deep array<long>, sketch binary")
 
 
 def _matrix(t: pa.Table, name: str, dtype, width: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame
     compare = _family_links(math.ceil(VALUES * ((threshold - slack) * 255 / 256 + 1 / 256)))
     sketches = reps.select("node", "sketch")
     trie = spill(_met(reps, "deep").join(sketches, "node"), "trie")
-    near = spill(map_runs(spread(trie, "k", "node", last="node"), ["k"], compare, "a binary, b binary", BLOCK, 1), "near")
+    near = spill(map_runs(spread(trie, "k", "node", last="node"), ["k"], compare, "a long, b long", BLOCK, 1), "near")
     release(trie)
     linked = components(near).withColumnRenamed("component", "family")
     met = spill(_met(reps, "keys").join(linked, "node", "left").withColumn("family", F.coalesce("family", "node")), "met")
@@ -178,7 +178,7 @@ def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame
     large = large.withColumn("mine", F.when(F.col("_main"), F.col("rest") + F.pmod(h, F.col("all") - F.col("rest"))).otherwise(F.pmod(h, F.col("rest"))))
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_main"), F.col("rest")).otherwise(F.col("all")) - 1)))
     large = spread(large.select("k", F.least("mine", "_other").alias("i"), F.greatest("mine", "_other").alias("j"), "mine", "node", "sketch"), "k", "i", "j", last="node")
-    links = map_runs(small, ["k"], compare, "a binary, b binary", 1 << 20).unionByName(map_runs(large, ["k", "i", "j"], compare, "a binary, b binary", 1 << 20))
+    links = map_runs(small, ["k"], compare, "a long, b long", 1 << 20).unionByName(map_runs(large, ["k", "i", "j"], compare, "a long, b long", 1 << 20))
     links = spill(links.unionByName(near), "candidates")
     release(rows, near)
     out = components(links)
@@ -187,27 +187,33 @@ def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, _t1, _t2, node, class_id, n_links, component, component_id, kept) of every row."""
+    """docs: (doc_id, text). (doc_id, _t1, _t2, class_id, n_links, component, component_id, kept) of every row; component is null where a row has no words or no id."""
     docs = docs.select("doc_id", "text", *content_keys())
     seen = spill(describe(docs, prefix_length(threshold, recall), n), "signatures")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "keys", "deep", "sketch")]  # equal for all rows of a class
-    reps = spill(seen.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "_t1", "_t2")).alias("rep"), F.count("*").alias("size"), *first), "representatives")
-    ids = spill(seen.select("doc_id", "_t1", "_t2", "node"), "documents")
+    one = seen.filter("d1 IS NOT NULL").groupBy("d1", "d2", "doc_id", "_t1").agg(F.count("*").alias("same"))
+    classes = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.sum("same").alias("size"))
+    classes = spill(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers that stay, once written
+    # A class is described by its row with the smallest id, or one of those where the id repeats.
+    first = one.join(classes, ["d1", "d2"]).filter("doc_id = class_id").groupBy("node", "class_id", "size", "d1", "d2").agg(F.min("_t1").alias("_t1"), F.max("same").alias("same"), F.count("*").alias("texts"))
+    first = spill(first.select("node", F.col("class_id").alias("doc_id"), "size", "d1", "d2", "_t1", (F.col("same") * F.col("texts") > 1).alias("repeats")), "firsts")
+    wide = seen.join(first.drop("d1", "d2"), ["doc_id", "_t1"]).select("node", "repeats", "n_shingles", "keys", "deep", "sketch")
+    reps = spill(wide.filter("NOT repeats").unionByName(wide.filter("repeats").dropDuplicates(["node"])).drop("repeats"), "representatives")
+    ids = spill(seen.select("doc_id", "_t1", "_t2", "d1", "d2"), "documents")
     release(seen)
-    classes = spill(reps.select("node", F.col("rep.doc_id").alias("class_id"), "rep", "size", "n_shingles"), "classes")
     family = families(reps, threshold)
+    sizes = family.join(reps.select("node", "n_shingles"), "node").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("blocks"))
+    members = spill(family.join(spill(sizes, "sizes"), "component").join(first.select("node", "doc_id", "size", "_t1", "repeats"), "node"), "members")
     release(reps)
-    sizes = family.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("blocks"))
-    members = spill(family.join(spill(sizes, "sizes"), "component").join(classes.select("node", "size", "rep.*"), "node"), "members")
 
     def gather(b):
-        return {c: column(b, c) for c in ("node", "component", "blocks", "size")} | {"shingles": [shingles(t, n).tobytes() for t in texts(b)]}
+        return {c: column(b, c) for c in ("node", "component", "blocks", "size", "repeats")} | {"shingles": [shingles(t, n).tobytes() for t in texts(b)]}
 
-    wide = map_batches(docs.join(members, ["doc_id", "_t1", "_t2"]), gather, "node binary, component binary, blocks long, size long, shingles binary", 200)
-    wide = spill(wide.dropDuplicates(["node"]), "shingles")  # rows that repeat an id and a text
-    links = spill(map_runs(tiled(wide, ["component"], "blocks", "node"), ["component", "i", "j"], _verified(threshold), "node binary, links long, root binary", 1 << 20), "links")
-    release(wide)
-    return linked_classes(ids, classes.select("node", "class_id", "size"), links)
+    # Families grow with the texts, so the join is by a shuffle at every size.
+    wide = map_batches(docs.select("doc_id", "_t1", "text").join(members.hint("merge"), ["doc_id", "_t1"]), gather, "node long, component long, blocks long, size long, repeats boolean, shingles binary", 200)
+    wide = spill(wide, "shingles")
+    wide = wide.filter("NOT repeats").unionByName(wide.filter("repeats").dropDuplicates(["node"])).drop("repeats")
+    links = spill(map_runs(tiled(wide, ["component"], "blocks", "node"), ["component", "i", "j"], _verified(threshold), "node long, links long, root long", 1 << 20), "links")
+    return linked_classes(ids, classes, links, ["d1", "d2"]).drop("d1", "d2")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -218,7 +224,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of documents (doc_id, text, ...) without near-duplicates: of every group of linked rows the one with the smallest id stays, a single row also where rows repeat that id. Rows without an id or words all stay."""
-    rows = spill(_linked(docs.select("doc_id", "text"), n, threshold, recall).filter("node IS NOT NULL").select("doc_id", "_t1", "_t2", "component"), "linked")
+    rows = spill(_linked(docs.select("doc_id", "text"), n, threshold, recall).filter("component IS NOT NULL").select("doc_id", "_t1", "_t2", "component"), "linked")
     key = F.struct("doc_id", "_t1", "_t2")
     groups = rows.groupBy("component").agg(F.min(key).alias("stays"), F.count("*").alias("n")).filter("n > 1")
     gone = spill(rows.join(groups, "component").filter(key != F.col("stays")).select("doc_id", "_t1", "_t2").distinct(), "gone")

@@ -124,7 +124,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lists = spill(entry.groupBy("dim", "pivot").agg(F.count("*").alias("n")).filter("n > 1").select("dim", "pivot", F.ceil(F.col("n") / TILE).alias("blocks")), "lists")
     tiles = tiled(entry.join(lists, ["dim", "pivot"]), ["dim", "pivot"], "blocks", "node")
     links = spill(map_runs(tiles, ["dim", "pivot", "i", "j"], _verified(threshold, shared, "<f4" if narrow else "<f8"), "node binary, links long, root binary", 1 << 20), "links")
-    return linked_classes(seen.select("vec_id", "node"), classes.select("node", "class_id", "size"), links).drop("node", "component")
+    return linked_classes(seen.select("vec_id", "node"), classes.select("node", "class_id", "size"), links, ["node"]).drop("node", "component")
 
 
 def recall(rows: DataFrame, threshold: float = 0.95, **args) -> float:

@@ -158,8 +158,8 @@ def test_jaccard_compares_all_classes_of_a_large_prefix(spark):
     pairs = list(zip(order[::2], order[1::2], strict=True))
     for a, b in pairs:
         sketches[b, 20:] = sketches[a, 20:]
-    reps = spark.createDataFrame([(i.to_bytes(4), [7], [i], x.tobytes()) for i, x in enumerate(sketches)], "node binary, keys array<long>, deep array<long>, sketch binary").repartition(3)
-    got = {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in jaccard.families(reps, 0.8).collect()}
+    reps = spark.createDataFrame([(i, [7], [i], x.tobytes()) for i, x in enumerate(sketches)], "node long, keys array<long>, deep array<long>, sketch binary").repartition(3)
+    got = {r["node"]: r["component"] for r in jaccard.families(reps, 0.8).collect()}
     assert got == {x: min(p) for p in pairs for x in p}
 
 
@@ -175,9 +175,9 @@ def test_jaccard_large_prefix_with_a_main_family(spark):
         sketches[x, 15:] = sketches[0, 15:]
     for a, b in pairs:
         sketches[b, 20:] = sketches[a, 20:]
-    rows = [(i.to_bytes(4), [7], [1 if i < 2500 else i], x.tobytes()) for i, x in enumerate(sketches)]
-    reps = spark.createDataFrame(rows, "node binary, keys array<long>, deep array<long>, sketch binary").repartition(3)
-    got = {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in jaccard.families(reps, 0.8).collect()}
+    rows = [(i, [7], [1 if i < 2500 else i], x.tobytes()) for i, x in enumerate(sketches)]
+    reps = spark.createDataFrame(rows, "node long, keys array<long>, deep array<long>, sketch binary").repartition(3)
+    got = {r["node"]: r["component"] for r in jaccard.families(reps, 0.8).collect()}
     assert got == {x: 0 for x in [*range(2500), *to_family]} | {x: min(p) for p in pairs for x in p}
 
 
