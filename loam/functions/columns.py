@@ -98,9 +98,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def query_terms(query: str, most: int = 24, shortest: int = 2) -> list[str]:
-    """The lower-case words of a free-text query that are worth looking up; all of them if none is."""
-    raw = [t for t in re.sub("['\"]", "", query).split() if t]
-    words_ = list(dict.fromkeys(t.lower() for t in raw))
-    bare = [re.sub(r"[^\w]|_", "", w) for w in words_]
-    kept = [b for b in bare if len(b) >= shortest and b not in fixed.QUERY_STOP_WORDS][:most]
-    return kept or [b for b in bare if b][:most]
+    """The lower-case words of a free-text query that are worth looking up; all of them if none is. What is chosen are the parts between spaces; each is then cut at its punctuation, as the texts are."""
+    parts = [t.lower() for t in re.sub("['\"]", "", query).split()]
+    bare = {p: re.sub(r"[^\w]|_", "", p) for p in parts}
+    kept = [p for p in bare if len(bare[p]) >= shortest and bare[p] not in fixed.QUERY_STOP_WORDS][:most]
+    return list(dict.fromkeys(w for p in kept or list(bare)[:most] for w in re.findall(r"[^\W_]+", p)))

@@ -1,15 +1,16 @@
 """Hybrid retrieval: BM25 and vector top-k, rank fusion, rescoring and budgets.
 
-Texts are scored where they are read: a query's few terms are counted inside each row's words, so BM25 needs one pass for the corpus statistics and one for the scores, with no posting list and no shuffle of texts. Ranking windows run over the bounded top-k lists only.
+Texts are found through a written index (`text_index`), so a query doesn't read them. Top-k lists are bounded by their limits: they are collected where several later steps need them, and the rows they name are fetched by their ids, which reach the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import fixed
-from loam.functions.columns import dot, norm, query_terms, retrieval_score, retrievability, stability, words
+from loam.functions.columns import dot, norm, retrieval_score, retrievability, stability, visible
+from loam.operators.text_index import TextIndex, bm25
 
 
 def rank(df: DataFrame, *order) -> DataFrame:
@@ -17,29 +18,21 @@ def rank(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def _uses(words_: Column, term: str) -> Column:
-    return F.size(F.filter(words_, lambda w: w == term))
+def bounded(df: DataFrame) -> DataFrame:
+    """A top-k list, computed once: its rows are held by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs with the column bm25, for rows that hold a term; a column's term counts are multiplied by its weight."""
-    terms = query_terms(query)
-    split = docs
-    for c in weights:
-        split = split.withColumn(f"_w_{c}", words(F.coalesce(F.col(c), F.lit(""))))
-    counts = F.array(*[sum((F.lit(w) * _uses(F.col(f"_w_{c}"), t) for c, w in weights.items()), F.lit(0.0)) for t in terms])
-    length = sum((F.size(F.col(f"_w_{c}")) for c in weights), F.lit(0))
-    scored = split.withColumn("_tf", counts).withColumn("_dl", length)
-    # The document frequencies are counted in the same pass as the lengths; one row is broadcast.
-    stats = scored.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df"))
-    idf = F.transform("_df", lambda n: F.greatest(F.lit(1e-6), F.log((F.col("_n") - n + 0.5) / (n + 0.5))))
-    parts = F.zip_with("_tf", idf, lambda tf, i: i * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_dl") / F.col("_avg"))))
-    out = scored.filter(F.exists("_tf", lambda x: x > 0)).join(F.broadcast(stats))
-    return out.withColumn("bm25", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).select(*docs.columns, "bm25")
+def picked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows that a bounded list names, by an IN that the scan gets; with the list's other columns."""
+    known = [r[0] for r in ids.select(key).collect()]
+    return rows.filter(F.col(key).isin(known)).join(F.broadcast(ids), key)
 
 
-def bm25_topk(docs: DataFrame, query: str, weights: dict[str, float], k: int, key: str = "id") -> DataFrame:
-    return rank(bm25(docs, query, weights).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), key).limit(k), F.desc("bm25"), key)
+def bm25_topk(index: TextIndex, query: str, k: int, within: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
+    """(id, bm25, rank), best first."""
+    best = bm25(index, query, within, terms=terms).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "id").limit(k)
+    return rank(best, F.desc("bm25"), "id")
 
 
 def knn(vectors: DataFrame, query: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -86,34 +79,40 @@ def pack_budget(results: DataFrame, budget: int) -> DataFrame:
     return kept.select(F.explode(F.filter("items", lambda x: F.array_contains(F.col("kept"), x["n"]))).alias("x")).select("x.id", "x.source", "x.token_estimate", F.col("x.boosted").alias("boosted"))
 
 
-def semantic(memories: DataFrame, vectors: DataFrame, query: str, q: DataFrame, now: int, limit: int = 10) -> DataFrame:
-    """Memories by fused ranks, then retrieval score, normalised over all candidates before the limit. The vector list ranks everything indexed, the text list active memories only; inactive ones drop out after the fusion."""
+def semantic(memories: DataFrame, vectors: DataFrame, index: TextIndex, query: str, q: DataFrame, now: int, limit: int = 10, kinds: list[str] | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """Memories by fused ranks, then retrieval score, normalised over all candidates before the limit. The vector list ranks everything indexed, the text list active memories only; inactive ones, other kinds and scopes drop out after the fusion. index: of the memories' content and context."""
     pool = max(limit, 20)
-    indexed = vectors.join(memories.select("id"), "id", "left_semi")
+    wanted = F.col("is_active")
+    if kinds:
+        wanted = wanted & F.col("type").isin(*kinds)
+    if scopes:
+        wanted = wanted & visible(F.col("scope"), scopes)
+    indexed = vectors.join(memories.filter(wanted if kinds or scopes else F.lit(True)).select("id"), "id", "left_semi")
     near = knn_topk(indexed, q, pool)
-    text = bm25_topk(memories.filter("is_active").select("id", "content", "context"), query, {"content": 1.0, "context": 0.25}, pool)
-    fused = rrf(near.select("id", "rank"), text.select("id", "rank"))
-    rows = memories.join(F.broadcast(fused), "id").filter("is_active")
+    text = bm25_topk(index, query, pool, memories.filter(wanted).select("id"))
+    fused = bounded(rrf(near.select("id", "rank"), text.select("id", "rank")))
+    rows = picked(memories, fused).filter(wanted)
     r = retrievability(now, F.col("last_accessed"), F.col("created_at"), stability(F.col("type"), F.col("stability")))
     out = floored(rows.withColumn("score", F.round(retrieval_score(F.col("score"), r, F.col("importance")), 9)))
     return out.select("id", "type", F.round("score", 6).alias("score"), (F.ceil(F.length("content") / 4) + 10).alias("token_estimate")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def episodic(exchanges: DataFrame, vectors: DataFrame, query: str, q: DataFrame, mode: str = "hybrid", limit: int = 10) -> DataFrame:
-    """Exchanges by vector, text or both; scores are normalised over the whole pool."""
+def episodic(exchanges: DataFrame, vectors: DataFrame, index: TextIndex, query: str, q: DataFrame, mode: str = "hybrid", limit: int = 10, where=None) -> DataFrame:
+    """Exchanges by vector, text or both; scores are normalised over the whole pool. `where` (a condition on the exchanges, such as scope and dates) holds before the lists are cut. index: of both messages."""
     pool = max(limit, 20)
+    within = exchanges.filter(where).select("id") if where is not None else None
     lists = []
     if mode in ("vector", "hybrid"):
-        lists.append(knn_topk(vectors, q, pool).select("id", "rank"))
+        lists.append(knn_topk(vectors if within is None else vectors.join(within, "id", "left_semi"), q, pool).select("id", "rank"))
     if mode in ("text", "hybrid"):
-        lists.append(bm25_topk(exchanges.select("id", "user_message", "assistant_message"), query, {"user_message": 1.0, "assistant_message": 1.0}, pool).select("id", "rank"))
-    best = floored(rrf(*lists)).select("id", F.round("score", 6).alias("score"), "which", "first_rank").orderBy(F.desc("score"), "which", "first_rank").limit(limit)
+        lists.append(bm25_topk(index, query, pool, within).select("id", "rank"))
+    best = floored(bounded(rrf(*lists))).select("id", F.round("score", 6).alias("score"), "which", "first_rank").orderBy(F.desc("score"), "which", "first_rank").limit(limit)
     return exchanges.join(F.broadcast(best.select("id", "score")), "id").select("id", "conversation_id", "score", "token_estimate", F.trim(F.regexp_replace(F.substring("user_message", 1, 200), r"\s+", " ")).alias("snippet"))
 
 
 def multi_source(episodes: DataFrame, memories: DataFrame, limit: int = 10) -> DataFrame:
     """Two result lists (id, score, token_estimate), fused by their ranks; a memory wins over an exchange with its id."""
-    e, m = (rank(x.withColumn("id", F.col("id").cast("string")), F.desc("score"), "id") for x in (episodes, memories))
+    e, m = (bounded(rank(x.withColumn("id", F.col("id").cast("string")), F.desc("score"), "id").select("id", "rank", "token_estimate")) for x in (episodes, memories))
     best = floored(rrf(e.select("id", "rank"), m.select("id", "rank")))
     names = m.select("id", F.lit("semantic").alias("source"), "token_estimate").unionByName(e.join(m.select("id"), "id", "left_anti").select("id", F.lit("episodic").alias("source"), "token_estimate"))
     return best.join(names, "id").select("id", "source", F.round("score", 6).alias("score"), "token_estimate").orderBy(F.desc("score"), "source", "id").limit(2 * limit)

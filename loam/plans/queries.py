@@ -67,7 +67,7 @@ MEM_WEIGHTS, EXC_WEIGHTS = {"content": 1.0, "context": 0.25}, {"user_message": 1
 
 @query(bm25_sql("b", "memories", MEM_WEIGHTS, 20) + " SELECT id, bm25, rank FROM b", "memories")
 def bm25_topk(spark, d):
-    return search.bm25_topk(t.memories(spark, d).select("id", "content", "context"), TEXT_QUERY, MEM_WEIGHTS, 20).select("id", "bm25", "rank")
+    return search.bm25_topk(t.text_index(spark, d, "memories"), TEXT_QUERY, 20)
 
 
 @query("WITH v AS (SELECT vec_id AS id, embedding FROM embeddings), " + knn_sql("k", "v", 20) + " SELECT id, cosine, rank FROM k")
@@ -91,7 +91,7 @@ sem AS (SELECT id, type, round(score, 6) AS score, CAST(ceil(length(content) / 4
 
 @query(SEMANTIC + " SELECT * FROM sem", "memories")
 def semantic_recall(spark, d):
-    return search.semantic(t.memories(spark, d), t.vectors(spark, d), TEXT_QUERY, q_vector(spark, d), NOW)
+    return search.semantic(t.memories(spark, d), t.vectors(spark, d), t.text_index(spark, d, "memories"), TEXT_QUERY, q_vector(spark, d), NOW)
 
 
 def exchange_vectors(spark, d):
@@ -113,23 +113,23 @@ ep AS (SELECT e.id, conversation_id, score, token_estimate, trim(regexp_replace(
 
 @query(episodic_sql("hybrid") + " SELECT * FROM ep", "exchanges")
 def episodic_recall_hybrid(spark, d):
-    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), TEXT_QUERY, q_vector(spark, d))
+    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), t.text_index(spark, d, "exchanges"), TEXT_QUERY, q_vector(spark, d))
 
 
 @query(episodic_sql("text") + " SELECT * FROM ep", "exchanges")
 def episodic_recall_text(spark, d):
-    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), TEXT_QUERY, q_vector(spark, d), "text")
+    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), t.text_index(spark, d, "exchanges"), TEXT_QUERY, q_vector(spark, d), "text")
 
 
 @query(episodic_sql("vector") + " SELECT * FROM ep", "exchanges")
 def episodic_recall_vector(spark, d):
-    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), TEXT_QUERY, q_vector(spark, d), "vector")
+    return search.episodic(t.exchanges(spark, d), exchange_vectors(spark, d), t.text_index(spark, d, "exchanges"), TEXT_QUERY, q_vector(spark, d), "vector")
 
 
 @query("v AS (SELECT vec_id AS id, embedding FROM embeddings), " + knn_sql("k", "v", 50) + ", " + bm25_sql("b", "memories", MEM_WEIGHTS, 50) + " SELECT id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM k UNION ALL SELECT id, rank FROM b) GROUP BY id", "memories")
 def rrf_fusion(spark, d):
     a = search.knn_topk(t.vectors(spark, d), q_vector(spark, d), 50)
-    b = search.bm25_topk(t.memories(spark, d).select("id", "content", "context"), TEXT_QUERY, MEM_WEIGHTS, 50)
+    b = search.bm25_topk(t.text_index(spark, d, "memories"), TEXT_QUERY, 50)
     return search.rrf(a, b).select("id", F.round("score", 9).alias("score"))
 
 

@@ -92,6 +92,24 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ts", F.lit(1_700_000_000) + F.col("conversation_id") * 86400 + F.col("first_line") * 60).withColumn("scope", F.expr("CASE WHEN conversation_id % 3 = 0 THEN 'tenant:a' ELSE 'global' END"))
 
 
+_indexes: dict = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, name: str):
+    """The full-text index of memories, exchanges or entities, built on first use in an application."""
+    from loam.operators.text_index import build
+
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _indexes:
+        rows, weights = {
+            "memories": (lambda: memories(spark, sf_dir).select("id", "content", "context"), {"content": 1.0, "context": 0.25}),
+            "exchanges": (lambda: exchanges(spark, sf_dir).select("id", "user_message", "assistant_message"), {"user_message": 1.0, "assistant_message": 1.0}),
+            "entities": (lambda: entities(spark, sf_dir).select("id", "name"), {"name": 1.0}),
+        }[name]
+        _indexes[key] = build(rows(), weights)
+    return _indexes[key]
+
+
 # The same tables for DuckDB.
 SQL = {
     "memories": f"memories AS (SELECT {', '.join(MEMORIES)} FROM documents)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,11 @@ def _local() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under one of this driver where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _local()}/loam-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir. Where that is unset, a session whose driver is its only machine gets a folder of its own; any other is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or _local()}/loam-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame) -> DataFrame:
