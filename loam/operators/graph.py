@@ -54,13 +54,20 @@ def edge_weights(edges: DataFrame, entities: DataFrame, memories: DataFrame, now
     return ends.select("source", "target", "type", F.round(edge_weight(F.col("weight"), days, F.coalesce("conf", F.lit(0.5)), F.coalesce("imp", F.lit(0.5))), 6).alias("weight"))
 
 
-def informativeness(entities: DataFrame, bridges: DataFrame) -> DataFrame:
-    """ln(1 + mentions) * ln((N + 1) / (n + 1)) * (1 + bridge / largest bridge); bridges: (id, bridge_score)."""
-    stats = entities.agg(F.sum("conversation_count").alias("_n"))
-    top = bridges.agg(F.max("bridge_score").alias("_top"))
-    rows = entities.join(bridges.select("id", "bridge_score"), "id", "left").join(F.broadcast(stats)).join(F.broadcast(top))
+def informativeness(entities: DataFrame, bridges: DataFrame, conversations: int) -> DataFrame:
+    """ln(1 + mentions) * ln((N + 1) / (n + 1)) * (1 + bridge / largest bridge), where N is the number of conversations and n those of the entity; an entity without any takes the upper median of the others' (1 without others). bridges: (id, bridge_score, generation), of which the latest generation counts."""
+    latest = bridges.join(F.broadcast(bridges.agg(F.max("generation").alias("generation"))), "generation")
+    top = latest.agg(F.coalesce(F.max("bridge_score"), F.lit(1.0)).alias("_top"))
+    # The upper median from a histogram: a row per distinct count.
+    hist = entities.filter("conversation_count > 0").groupBy("conversation_count").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0))
+    hist = hist.select("conversation_count", F.sum("n").over(w.orderBy("conversation_count")).alias("upto"), F.sum("n").over(w).alias("all"))
+    median = hist.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.coalesce(F.min("conversation_count"), F.lit(1)).alias("_median"))
+    rows = entities.join(latest.select("id", "bridge_score"), "id", "left").join(F.broadcast(median)).join(F.broadcast(top))
     lift = 1 + F.when(F.col("_top") > 0, F.coalesce("bridge_score", F.lit(0.0)) / F.col("_top")).otherwise(F.lit(0.0))
-    return rows.select("id", F.round(F.log1p("mention_count") * F.log((F.col("_n") + 1) / (F.greatest("conversation_count", F.lit(1)) + 1)) * lift, 6).alias("informativeness"))
+    n = F.when(F.col("conversation_count") > 0, F.col("conversation_count")).otherwise(F.col("_median"))
+    idf = F.lit(0.0) if conversations == 0 else F.log((F.lit(conversations) + 1) / (n + 1))
+    return rows.select("id", F.round(F.log1p("mention_count") * idf * lift, 6).alias("informativeness"))
 
 
 def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -330,10 +330,22 @@ def edge_weights(spark, d):
     return graph.edge_weights(t.relationships(spark, d), t.entities(spark, d), t.memories(spark, d), NOW)
 
 
-@query("b AS (SELECT source AS id, count(*) * 0.25 AS bridge_score FROM relationships GROUP BY 1), z AS (SELECT sum(conversation_count) AS n, (SELECT max(bridge_score) FROM b) AS top FROM entities) SELECT e.id, round(ln(1 + mention_count) * ln((n + 1) / (greatest(conversation_count, 1) + 1)) * (1 + coalesce(bridge_score, 0) / top), 6) AS informativeness FROM entities e LEFT JOIN b USING (id), z", "entities relationships")
+INFORM = """b AS (SELECT source AS id, count(*) * 0.5 AS bridge_score, 1 AS generation FROM relationships GROUP BY 1 UNION ALL SELECT source, count(*) * 0.25, 2 FROM relationships WHERE type = 'uses' GROUP BY 1),
+lt AS (SELECT * FROM b WHERE generation = 2), z AS (SELECT (SELECT count(*) FROM orders) AS n, (SELECT coalesce(max(bridge_score), 1) FROM lt) AS top,
+  (SELECT list_sort(list(conversation_count))[CAST(floor(count(*) / 2) AS BIGINT) + 1] FROM entities WHERE conversation_count > 0) AS med)"""
+
+
+def bridge_table(spark, d):
+    """Two generations of made-up bridge scores."""
+    e = t.relationships(spark, d)
+    one = e.groupBy(F.col("source").alias("id")).agg((F.count("*") * 0.5).alias("bridge_score")).withColumn("generation", F.lit(1))
+    two = e.filter("type = 'uses'").groupBy(F.col("source").alias("id")).agg((F.count("*") * 0.25).alias("bridge_score")).withColumn("generation", F.lit(2))
+    return one.unionByName(two)
+
+
+@query(INFORM + " SELECT e.id, round(ln(1 + mention_count) * ln((n + 1) / (CASE WHEN conversation_count > 0 THEN conversation_count ELSE med END + 1)) * (1 + coalesce(bridge_score, 0) / top), 6) AS informativeness FROM entities e LEFT JOIN lt USING (id), z", "entities relationships")
 def informativeness(spark, d):
-    bridges = t.relationships(spark, d).groupBy(F.col("source").alias("id")).agg((F.count("*") * 0.25).alias("bridge_score"))
-    return graph.informativeness(t.entities(spark, d), bridges)
+    return graph.informativeness(t.entities(spark, d), bridge_table(spark, d), t.given(spark, d, "orders").count())
 
 
 @query("SELECT id, name, type FROM entities WHERE id NOT IN (SELECT source FROM relationships UNION ALL SELECT target FROM relationships)", "entities relationships")
@@ -654,3 +666,6 @@ def edges_above_threshold(spark, d):
     seen = t.entities(spark, d).filter("mention_count >= 30").select("id")
     e = t.relationships(spark, d).select("source", "target")
     return e.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+
+
+from loam.plans import graph_queries, memory_queries  # noqa: E402, F401  (they register their queries)
