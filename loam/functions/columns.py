@@ -103,3 +103,8 @@ def query_terms(query: str, most: int = 24, shortest: int = 2) -> list[str]:
     bare = {p: re.sub(r"[^\w]|_", "", p) for p in parts}
     kept = [p for p in bare if len(bare[p]) >= shortest and bare[p] not in fixed.QUERY_STOP_WORDS][:most]
     return list(dict.fromkeys(w for p in kept or list(bare)[:most] for w in re.findall(r"[^\W_]+", p)))
+
+
+def l2_to_cosine(distance: Column) -> Column:
+    """The cosine of two unit vectors at a distance."""
+    return 1 - distance * distance / 2

@@ -47,3 +47,21 @@ TRANSIENT = (
 # Entity names that are noise.
 NOISE_NAMES = ("- [ ]", "- [x]", "todo", "n/a", "none", "null", "undefined", "true", "false", "yes", "no", "ok", "error", "warning")
 NOISE_PATTERN = r"^[\s\-#*`|=>~_!@$%^&()\[\]{}<>\\/.,:;'\"+=]+$"
+
+# What a user says who promises something or asks to be reminded.
+COMMITMENT_CUE = (
+    r"(?i)\b(?:i(?:'ll| will| would| need to| needed to| should| ought to| have to| had to| must| owe| promised| plan to| intend to| am going to|'m going to| gotta| got to| still have to| have yet to| said i| told \w+ i)"
+    r"|remind me|don'?t (?:let me )?forget|let me not forget|not forget to|make a note to|note to self|todo for me|we (?:need|have|ought) to (?:revisit|follow up|circle back|remember|get back|come back|reconsider)"
+    r"|need to (?:remember|revisit|follow up|circle back|get back to)|follow[- ]up with|circle back|get back to (?:me|him|her|them|you)"
+    r"|(?:will|gonna|going to|said (?:he|she|they)(?:'d| would| will)?|supposed to) (?:send|confirm|get back|follow up|let me know|call|email|reply|deliver|share|review|sign)|owes? me|waiting (?:on|for) \w+ to)\b"
+)
+
+# Kinds of failures by their messages, the first that fits.
+ERROR_CLASSES = (
+    ("transient", r"\b(429|500|502|503|504)\b"),
+    ("provider", r"\b(401|402)\b|(?i)credit|balance|unauthorized"),
+    ("permanent", r"\b(400|422)\b"),
+    ("transient", r"(?i)no tool_calls or content"),
+    ("transient", r"(?i)no tool_use block"),
+    ("permanent", r"(?i)parse error|validation error|invalid json"),
+)

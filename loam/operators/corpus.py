@@ -80,3 +80,41 @@ def index_audit(rows: DataFrame, indexed: DataFrame) -> DataFrame:
         one = df.select(F.lit(kind).alias("problem"), "id")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def contexts(docs: DataFrame, hits: DataFrame, context: int = 2, key: str = "id", text: str = "content") -> DataFrame:
+    """hits: (id, line). The lines around each, numbered, the hit marked; a text's lines stay in its row."""
+    split = docs.select(key, F.split(text, "\n").alias("ls"))
+    low, high = F.greatest(F.lit(1), F.col("line") - context).cast("int"), F.least(F.size("ls"), F.col("line") + context).cast("int")
+    rows = hits.join(split, key).withColumn("a", low).withColumn("e", high)
+    numbered = F.transform(F.sequence("a", "e"), lambda i: F.concat(F.lpad(i.cast("string"), F.length(F.col("e").cast("string")), F.lit(" ")), F.when(i == F.col("line"), ">").otherwise(" "), F.lit("| "), F.element_at("ls", i)))
+    return rows.select(key, "line", F.array_join(numbered, "\n").alias("context"))
+
+
+def snippets(docs: DataFrame, ranges: DataFrame, pad: int = 0, key: str = "id", text: str = "content") -> DataFrame:
+    """ranges: (id, start, end). Padded, cut to the text and merged, with the lines they hold."""
+    split = docs.select(key, F.split(text, "\n").alias("ls"))
+    inside = ranges.join(split.select(key, F.size("ls").alias("z")), key).select(key, F.greatest(F.lit(1).cast("long"), F.col("start") - pad).alias("start"), F.least(F.col("z").cast("long"), F.col("end") + pad).alias("end")).filter("start <= end")
+    merged = merge_ranges(inside, 0, key)
+    return merged.join(split, key).select(key, "start", "end", F.array_join(F.slice("ls", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n").alias("text"))
+
+
+def line_range(docs: DataFrame, start: int, end: int, key: str = "id", text: str = "content") -> DataFrame:
+    """Lines start to end of each text that has the first of them."""
+    ls = F.split(text, "\n")
+    return docs.filter(F.size(ls) >= start).select(key, F.array_join(F.slice(ls, start, end - start + 1), "\n").alias("text"))
+
+
+def symbol_graph(found: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """found: (id, name, ...). Entities (id, name, type) of the files and their symbols, and `contains` edges; equal keys are one, so that a second run changes nothing."""
+    one = found.select(F.col(key).cast("string").alias("f"), "name").distinct()
+    file, symbol = F.concat(F.lit("file:"), "f"), F.concat(F.lit("symbol:"), "f", F.lit(":"), "name")
+    files = one.select("f").distinct().select(file.alias("id"), F.col("f").alias("name"), F.lit("file").alias("type"))
+    return files.unionByName(one.select(symbol.alias("id"), "name", F.lit("symbol").alias("type"))), one.select(file.alias("source"), symbol.alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"))
+
+
+def index_repair(rows: DataFrame, indexed: DataFrame) -> DataFrame:
+    """What repairs an index: entries of rows that live are kept, others dropped, and missing ones indexed."""
+    live, have = rows.filter("deleted_at IS NULL").select("id"), indexed.select("id").distinct()
+    kept = have.join(live.withColumn("_l", F.lit(True)), "id", "left").select("id", F.when(F.col("_l"), "keep").otherwise("drop").alias("step"))
+    return kept.unionByName(live.join(have, "id", "left_anti").select("id", F.lit("index").alias("step")))

@@ -44,3 +44,22 @@ def subject(raw: str | None, own: str = "self") -> str:
 
     clean = re.sub(r"[^a-z0-9 _-]", " ", (raw or "").lower()).strip()
     return own if clean in ("", "user", "me", "i", "the user") else clean.split()[0]
+
+
+def known(candidates: DataFrame, comparators: DataFrame, least: float = 0.85) -> DataFrame:
+    """candidates: (id, subject, content), with whether a comparator (subject, content) of the subject has tokens that overlap enough. A pair meets through one of the candidate's or comparator's rarest tokens; only whether there is one leaves the join."""
+    new = candidates.withColumn("tokens", commitment_tokens(F.col("content")))
+    old = comparators.select("subject", "content").distinct().select("subject", commitment_tokens(F.col("content")).alias("other")).filter(F.size("other") > 0)
+    df = old.select("subject", F.explode("other").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("df"))
+
+    def rare(rows: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
+        """The first n - ceil(least * n) + 1 tokens by rarity, one of which the larger set has where the overlap is enough."""
+        each = rows.select(*keep, tokens, F.explode(tokens).alias("t")).join(df, ["subject", "t"], "left")
+        order = each.groupBy(*keep, tokens).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+        return order.select(*keep, tokens, F.explode(F.slice("o.t", F.lit(1), F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("t"))
+
+    mine = new.select("id", "subject", "tokens")
+    small = rare(mine, "tokens", ["id", "subject"]).join(old.select("subject", "other", F.explode("other").alias("t")), ["subject", "t"])
+    large = mine.select("id", "subject", "tokens", F.explode("tokens").alias("t")).join(rare(old, "other", ["subject"]), ["subject", "t"])
+    hit = small.select("id", "tokens", "other").unionByName(large.select("id", "tokens", "other")).filter(overlap(F.col("tokens"), F.col("other")) >= least).select("id").distinct()
+    return new.join(hit.withColumn("_hit", F.lit(True)), "id", "left").select("id", "subject", "content", F.coalesce("_hit", F.lit(False)).alias("duplicate"))

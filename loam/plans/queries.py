@@ -668,4 +668,4 @@ def edges_above_threshold(spark, d):
     return e.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
-from loam.plans import graph_queries, memory_queries  # noqa: E402, F401  (they register their queries)
+from loam.plans import graph_queries, memory_queries, recall_queries, text_queries  # noqa: E402, F401  (they register their queries)

@@ -14,19 +14,34 @@ def turn_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
 
-def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, files_per_batch: int = 1000) -> int:
-    """Read the turns that have arrived at `source` (Parquet) and upsert them by (conv_id, turn); the last write wins. A version is written per batch under its number, so a repeated batch overwrites its own. Returns the version to read."""
+def versions(spark: SparkSession, store: str) -> list[int]:
+    """The committed versions of a store, oldest first; none where it doesn't exist yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath() for s in fs.listStatus(at)]
+    return sorted(int(p.getName()[1:]) for p in names if p.getName()[:1] == "v" and p.getName()[1:].isdigit() and fs.exists(p.suffix("/_SUCCESS")))
+
+
+def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, files_per_batch: int = 1000, keep: int = 2) -> int:
+    """Read the turns that have arrived at `source` (Parquet) and upsert them by (conv_id, turn); the last write wins, and created_at stays that of the first. Turns without a text or an id are left out, texts are trimmed. A version is written per batch under its number, so a repeated batch overwrites its own; `keep` versions stay. Returns the version to read, also when nothing new has arrived; -1 while there is none."""
     turns = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    last = [-1]
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = turn_id(batch).withColumn("updated_at", F.lit(number).cast("long"))
+        valid = batch.withColumn("text", F.trim("text")).filter("text <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL")
+        new = turn_id(valid).withColumn("updated_at", F.lit(number).cast("long")).withColumn("created_at", F.col("updated_at"))
         new = upsert(new.limit(0), new)
-        if number:
-            new = upsert(spark.read.parquet(f"{store}/v{number - 1}"), new)
+        before = [v for v in versions(spark, store) if v < number]
+        if before:
+            old = spark.read.parquet(f"{store}/v{before[-1]}")
+            first = old.select("id", F.col("created_at").alias("_first"))
+            new = upsert(old, new).join(first, "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
         new.write.mode("overwrite").parquet(f"{store}/v{number}")
-        last[0] = number
+        for v in [v for v in before if v < number][: -max(0, keep - 1) or None]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v{v}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     q = turns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return last[0]
+    return (versions(spark, store) or [-1])[-1]

@@ -9,7 +9,7 @@ def test_transcripts_pair_into_exchanges(spark, tmp_path):
     folder = tmp_path / "home-me-proj"
     folder.mkdir()
     say = lambda role, content: json.dumps({"type": role, "message": {"role": role, "content": content}})
-    lines = [say("user", "hello"), "not json", say("assistant", json.dumps([{"type": "text", "text": "hi"}, {"type": "tool_use", "name": "ls", "input": "x" * 2000}])), say("assistant", "more"), say("system", "no"), say("user", "unanswered")]
+    lines = [say("user", "hello"), "not json", say("assistant", [{"type": "text", "text": "hi"}, {"type": "tool_use", "name": "ls", "input": {"a": "x" * 2000}}]), say("assistant", "more"), say("system", "no"), say("user", "unanswered")]
     (folder / "c1.jsonl").write_text("\n".join(lines))
     (folder / "c2.jsonl").write_text("SKIP-ME\n" + say("user", "x"))
     rows = read_transcripts(spark, str(tmp_path), "SKIP-ME")
@@ -20,15 +20,32 @@ def test_transcripts_pair_into_exchanges(spark, tmp_path):
     assert [(p["user_message"], p["assistant_message"], p["exchange_index"]) for p in pairs] == [("hello", "hi\n\nmore", 0)]
 
 
+def test_texts_that_look_like_json_stay_texts(spark, tmp_path):
+    from loam.sources.transcripts import read_transcripts
+
+    (tmp_path / "p").mkdir()
+    for i, content in enumerate(['{"type": "text"}', '[{"type": "text", "text": "x"}]', "plain"]):
+        (tmp_path / "p" / f"c{i}.jsonl").write_text(json.dumps({"type": "user", "message": {"role": "user", "content": content}}))
+    got = {r["conversation_id"]: (r["text"], r["tool_calls"]) for r in read_transcripts(spark, str(tmp_path)).collect()}
+    assert got == {"c0": ('{"type": "text"}', None), "c1": ('[{"type": "text", "text": "x"}]', None), "c2": ("plain", None)}
+
+
 def test_export_and_import(spark):
     from loam.sources.transcripts import export_lines, import_lines
 
-    m = spark.createDataFrame([(1, "a", 5), (2, "b", 7), (3, "c", 1)], "id long, content string, updated_at long")
-    lines = export_lines({"memory": m, "entity": m.limit(1)})
-    assert lines.count() == 4
+    m = spark.createDataFrame([(1, "a", 5, 9, True, None, None), (2, "b", 7, 3, True, None, "t"), (3, "c", 1, 4, True, None, None), (4, "d", 1, 1, False, None, None), (5, "e", 1, 1, True, 8, None)], "id long, content string, updated_at long, created_at long, is_active boolean, deleted_at long, scope string")
+    e = spark.createDataFrame([("x", 1), ("y", 1)], "id string, created_at long")
+    r = spark.createDataFrame([("r1", "x", "y", 1, 1), ("r2", "x", "z", 1, 1)], "id string, source string, target string, created_at long, updated_at long")
+    lines = export_lines({"entity": e, "memory": m, "relationship": r})
+    values = [json.loads(x["value"]) for x in lines.orderBy("place").collect()]
+    assert values[0] == {"kind": "header", "v": 1, "counts": {"entity": 2, "memory": 3, "relationship": 2}, "scopes": "", "include_inactive": False}
+    assert [x["data"]["id"] for x in values[1:]] == ["x", "y", 2, 3, 1, "r1", "r2"]
+    assert export_lines({"memory": m}, ["t"], True).count() == 2 and export_lines({"memory": m}, None, True).count() == 5
     old = spark.createDataFrame([(1, 4), (2, 7)], "id long, updated_at long")
     got = import_lines(lines.select("value"), "memory", "id:long,content:string,updated_at:long", old)
-    assert {r["id"]: r["action"] for r in got.collect()} == {1: "update", 2: "skip", 3: "insert"}
+    assert {x["id"]: x["action"] for x in got.collect()} == {1: "update", 2: "skip", 3: "insert"}
+    got = import_lines(lines.select("value"), "relationship", "id:string,source:string,target:string,updated_at:long", r.limit(0).select("id", "updated_at"), ends=e)
+    assert {x["id"]: x["action"] for x in got.collect()} == {"r1": "insert", "r2": "missing"}
 
 
 def test_turn_stream(spark, tmp_path):
@@ -42,3 +59,11 @@ def test_turn_stream(spark, tmp_path):
     v = ingest(spark, f"{tmp_path}/in", store, check)
     rows = {r["id"]: r["text"] for r in spark.read.parquet(f"{store}/v{v}").collect()}
     assert rows == {"1:0": "a", "1:1": "newer", "2:0": "c"}
+    assert {r["id"]: r["created_at"] for r in spark.read.parquet(f"{store}/v{v}").collect()} == {"1:0": 0, "1:1": 0, "2:0": 1}
+    assert ingest(spark, f"{tmp_path}/in", store, check) == v == 1  # nothing new
+    put([(3, 0, "user", "  "), (3, 1, "user", " d ")], "three")
+    v = ingest(spark, f"{tmp_path}/in", store, check)
+    assert {r["id"]: r["text"] for r in spark.read.parquet(f"{store}/v{v}").filter("conv_id = 3").collect()} == {"3:1": "d"}
+    from loam.streaming.turns import versions
+
+    assert versions(spark, store) == [1, 2] and versions(spark, f"{tmp_path}/none") == []
