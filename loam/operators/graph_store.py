@@ -184,7 +184,8 @@ def betweenness(graph: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
         for part in parts:
             for source in part["node"]:
                 _brandes(held.value, source, score)
-        yield pd.DataFrame({"node": list(score), "s": list(score.values())})
+        if score:
+            yield pd.DataFrame({"node": list(score), "s": list(score.values())})
 
     nodes = spark.createDataFrame([(x,) for x in sorted(adjacency)], "node string")
     tasks = min(max(1, n), 4 * spark.sparkContext.defaultParallelism)

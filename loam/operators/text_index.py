@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loam.functions.columns import query_terms, words
 from loam.sources.scratch import folder
@@ -21,18 +22,22 @@ class TextIndex:
     buckets: int
     rows: int  # indexed rows, those without words too
     length: float  # their average number of words
+    schema: StructType
 
     def postings(self, terms: list[str]) -> DataFrame:
         """(id, term, tf, dl) of the terms."""
-        table = self.spark.read.parquet(self.path)
+        table = self.table()
         if not terms:
             return table.limit(0).drop("bucket")
         hashed = self.spark.range(1).select(F.array(*[bucket_of(F.lit(t), self.buckets) for t in terms])).first()[0]
         return table.filter(F.col("bucket").isin(*set(hashed)) & F.col("term").isin(*terms)).drop("bucket")
 
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
     def lengths(self) -> DataFrame:
         """(id, dl) of the rows with words."""
-        return self.spark.read.parquet(self.path).select("id", "dl").distinct()
+        return self.table().select("id", "dl").distinct()
 
 
 def bucket_of(term, buckets: int):
@@ -50,9 +55,11 @@ def build(docs: DataFrame, weights: dict[str, float], buckets: int = 16, path: s
     sized = split.withColumn("dl", sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0)).cast("long"))
     marked = F.flatten(F.array(*[F.transform(f"w{i}", _weighing(w)) for i, w in enumerate(weights.values())]))
     terms = sized.select("id", "dl", F.explode(marked).alias("x")).groupBy("id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.count("*").alias("uses"))
-    terms.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
-    rows, uses = docs.count(), docs.sparkSession.read.parquet(path).agg(F.sum("uses")).first()[0] or 0
-    return TextIndex(docs.sparkSession, path, buckets, rows, uses / rows if rows else 0.0)
+    terms = terms.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    out = TextIndex(docs.sparkSession, path, buckets, docs.count(), 0.0, terms.schema)
+    out.length = (out.table().agg(F.sum("uses")).first()[0] or 0) / out.rows if out.rows else 0.0
+    return out
 
 
 def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, terms: list[str] | None = None) -> DataFrame:
@@ -77,7 +84,7 @@ def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: i
     asked = docs.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     own = F.slice(F.array_sort(F.array_distinct(words(F.col(text))), lambda a, z: F.when(F.length(a) != F.length(z), F.length(z) - F.length(a)).when(a < z, -1).when(a > z, 1).otherwise(0)), 1, 3)
     queries = asked.select(F.col("id").alias("asked"), F.explode(own).alias("term"))
-    table = index.spark.read.parquet(index.path)
+    table = index.table()
     met = queries.join(table, "term")
     df = table.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -1,0 +1,154 @@
+"""Operators without an oracle, against plain loops on small tables."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from loam.operators import consolidation, graph_store, temporal
+
+
+def brute_betweenness(edges):
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    near = {x: [] for x in nodes}
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    out = dict.fromkeys(nodes, 0.0)
+    for s, t in itertools.combinations(nodes, 2):
+        best, paths = float("inf"), []
+        stack = [(s, 0.0, [s])]
+        while stack:
+            x, d, path = stack.pop()
+            if d > best:
+                continue
+            if x == t:
+                paths = paths + [path] if d == best else [path]
+                best = d
+                continue
+            stack += [(y, d + w, [*path, y]) for y, w in near[x] if y not in path]
+        for path in paths:
+            for x in path[1:-1]:
+                out[x] += 1 / len(paths)
+    n = len(nodes)
+    return {x: v / ((n - 1) * (n - 2) / 2) for x, v in out.items()}
+
+
+@pytest.mark.parametrize("edges", [
+    [("center", f"l{i}", 1.0) for i in range(5)],
+    [(a, b, 2.0) for g in (["a1", "a2", "a3"], ["b1", "b2", "b3", "b4"]) for a, b in itertools.combinations(g, 2)] + [("a1", "bridge", 0.5), ("b1", "bridge", 0.5)],
+    [("p", "q", 1.0), ("q", "r", 1.0), ("p", "s", 1.0), ("s", "r", 1.0), ("p", "r", 3.0), ("r", "t", 0.5)],
+])
+def test_betweenness_equals_brute_force(spark, edges):
+    df = spark.createDataFrame(edges, "a string, b string, weight double")
+    got = {r["node"]: r["betweenness"] for r in graph_store.betweenness(df).collect()}
+    want = brute_betweenness(edges)
+    assert got.keys() == want.keys() and all(np.isclose(got[x], want[x]) for x in want)
+    members = spark.createDataFrame([(x, x[0]) for x in want], "node string, community string")
+    found = graph_store.bridges(df, members).collect()
+    near = {x: {x[0]} | {b[0] for a, b, _ in edges if a == x} | {a[0] for a, b, _ in edges if b == x} for x in want}
+    assert [r["node"] for r in found] == sorted((x for x in want if want[x] > 0), key=lambda x: (-round(want[x] * len(near[x]), 12), x))
+    with pytest.raises(ValueError):
+        graph_store.betweenness(df, 3)
+
+
+def test_selective_exploration(spark):
+    edges = [("c", "a", "uses", 3.0), ("c", "b", "uses", 2.0), ("a", "d", "uses", 1.0), ("b", "e", "made", 5.0), ("x", "c", "uses", 9.0), ("d", "f", "uses", 1.0), ("e", "a", "uses", 4.0)]
+    e = spark.createDataFrame(edges, "source string, target string, type string, weight double")
+    names = spark.createDataFrame([(x, x.upper()) for x in "abcdefx"], "id string, name string")
+    score = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("d", 0.5), ("e", 2.0), ("x", 0.3)], "id string, score double")
+    nodes, links, pruned = graph_store.explore_selective(e, names, "c", score)
+    assert [tuple(r) for r in nodes.collect()] == [("x", 1, 0.3, ["C", "X"]), ("a", 1, 0.9, ["C", "A"]), ("e", 2, 1.0, ["C", "A", "E"]), ("d", 2, 0.5, ["C", "A", "D"])]
+    assert pruned == 2  # b is not relevant, f is unknown
+    assert {tuple(r)[:3] for r in links.collect()} == {("X", "C", "uses"), ("C", "A", "uses"), ("E", "A", "uses"), ("A", "D", "uses")}
+    nodes, _, pruned = graph_store.explore_selective(e, names, "c", None, most=2)
+    assert [r["id"] for r in nodes.collect()] == ["x", "a"] and pruned == 1
+    nodes, _, _ = graph_store.explore_selective(e, names, "c", None, depth=1, types=["uses"])
+    assert [r["id"] for r in nodes.collect()] == ["x", "a", "b"]
+
+
+def test_near_collapse_equals_a_loop(spark):
+    rng = random.Random(3)
+    base = np.random.default_rng(3).normal(size=(12, 6))
+    rows = []
+    for i in range(120):
+        v = base[rng.randrange(12)] + np.random.default_rng(i).normal(size=6) * rng.choice([0.02, 0.15, 0.4])
+        rows.append((i % 3, i, round(rng.random(), 1), round(rng.random(), 1), v.tolist()))
+    rows.append((1, 900, 0.5, 0.5, [0.0] * 6))
+    got = {(r["batch"], r["pos"]): r["survivor"] for r in consolidation.collapse_near(spark.createDataFrame(rows, "batch long, pos long, confidence double, importance double, embedding array<double>")).collect()}
+    want = {}
+    for batch in range(3):
+        held = []  # place, (confidence, importance), vector
+        for b, p, c, m, v in rows:
+            if b != batch:
+                continue
+            cos = lambda x: np.dot(x, v) / (np.linalg.norm(x) * np.linalg.norm(v)) if np.any(x) and np.any(v) else 0.0  # noqa: B023, E731
+            for h in held:
+                if cos(h[2]) >= 0.95:
+                    if (c, m) > h[1]:
+                        h[1], h[2] = (c, m), v
+                    want[b, p] = h[0]
+                    break
+            else:
+                held.append([p, (c, m), v])
+                want[b, p] = p
+    assert got == want and len(set(got.values())) < len(rows)
+
+
+def test_temporal_patterns_are_all_of_them(spark):
+    week = 7 * 86400
+    e = spark.createDataFrame([(f"e{i}", f"n{i}", 10 * week + (0 if i < 9 else i * week), 11 * week, 3) for i in range(12)], "id string, name string, first_seen long, last_seen long, mention_count long")
+    c = spark.createDataFrame([(1, "c1", f"e{i}") for i in range(4)] + [(2, "c1", f"e{i}") for i in range(6)] + [(2, "c2", "e9")], "generation long, cluster_id string, entity_id string")
+    b = spark.createDataFrame([("e1", 1, 1.0), ("e1", 2, 1.0), ("e2", 2, 3.0)], "entity_id string, generation long, bridge_score double")
+    now = 60 * week
+    got = temporal.patterns(e, c, b, now).collect()
+    kinds = {k: [r for r in got if r["kind"] == k] for k in ("entity_burst", "topic_emergence", "topic_decay", "community_evolution", "bridge_formation")}
+    assert len(kinds["entity_burst"]) == temporal.bursts(e).count() == 1
+    assert len(kinds["topic_emergence"]) == temporal.emergence(e).count() and len(kinds["topic_decay"]) == temporal.decay(e, now).count() == 1
+    assert {r["subject"] for r in kinds["community_evolution"]} == {"growth:c1", "birth:c2"}
+    assert [(r["n"], r["subject"], r["confidence"]) for r in kinds["bridge_formation"]] == [(1, "e2", 0.6)]
+    assert [r["confidence"] for r in got] == sorted((r["confidence"] for r in got), reverse=True)
+    assert {r["kind"] for r in temporal.patterns(e, c, b, now, kind="topic_decay").collect()} == {"topic_decay"}
+
+
+def test_index_finds_rows_by_their_own_words(spark):
+    from loam.operators.text_index import bm25, build, hit_rate
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + f" special{i}") for i in range(80)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    index = build(df, {"text": 1.0}, buckets=4)
+    assert index.rows == 82 and [r["id"] for r in bm25(index, "special7").collect()] == [7]
+    assert bm25(index, "special7", df.filter("id <> 7").select("id")).count() == 0 and bm25(index, "nothing here").count() == 0 and bm25(index, "").count() == 0
+    r = hit_rate(index, df, "text", every=3).first()
+    assert r["n_asked"] > 5 and r["n_found"] == r["n_asked"] and r["healthy"]
+    none = build(df.limit(0), {"text": 1.0}, buckets=4)
+    assert none.rows == 0 and bm25(none, "special7").count() == 0
+
+
+def test_query_terms_are_cut_as_texts_are():
+    from loam.functions.columns import query_terms
+
+    assert query_terms("state-of-the-art re-ranking node.js") == ["state", "of", "the", "art", "re", "ranking", "node", "js"]
+    assert query_terms("The 'clown' and the idiot") == ["clown", "idiot"] and query_terms("the of") == ["the", "of"] and query_terms("  ") == []
+
+
+def test_informativeness_fills_gaps_by_the_upper_median(spark):
+    from loam.operators.graph import informativeness
+
+    e = spark.createDataFrame([("a", 500, 10), ("b", 50, 2), ("c", 200, 5), ("d", 7, 0)], "id string, mention_count long, conversation_count long")
+    b = spark.createDataFrame([("b", 4.0, 2), ("c", 2.0, 2), ("a", 99.0, 1)], "id string, bridge_score double, generation long")
+    got = {r["id"]: r["informativeness"] for r in informativeness(e, b, 10).collect()}
+    want = {"a": 0.0, "b": np.log(51) * np.log(11 / 3) * 2, "c": np.log(201) * np.log(11 / 6) * 1.5, "d": np.log(8) * np.log(11 / 6)}
+    assert all(np.isclose(got[x], want[x], atol=1e-5) for x in want)
+
+
+def test_commitment_subjects(spark):
+    from pyspark.sql import functions as F
+
+    from loam.operators.extraction import subject
+
+    want = {"The User": "self", None: "self", " Bob Smith!": "bob", "ann-marie": "ann-marie", "!!": "self"}
+    df = spark.createDataFrame([(k,) for k in want], "s string").select("s", subject(F.col("s")).alias("got"))
+    assert {r["s"]: r["got"] for r in df.collect()} == want
