@@ -21,14 +21,23 @@ def lines(docs: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
 
 
 def scan(docs: DataFrame, patterns: dict[str, str], context: int = 2, key: str = "id", text: str = "content") -> DataFrame:
-    """Lines that match one of up to ten patterns, with how often, and the context that the match before in the text hasn't shown."""
+    """Lines that match one of up to ten patterns, with how often, and the context inside the text that the match before hasn't shown."""
     if not 0 < len(patterns) <= 10:
         raise ValueError("one to ten patterns")
     found = F.filter(F.array(*[F.struct(F.lit(n).alias("pattern"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias("n")) for n, p in patterns.items()]), lambda x: x["n"] > 0)
-    hits = lines(docs, key, text).select(key, "line", F.explode(found).alias("x")).select(key, "line", "x.pattern", "x.n")
+    split = docs.select(key, F.split(text, "\n").alias("ls")).select(key, F.size("ls").cast("long").alias("last"), F.posexplode("ls").alias("pos", "text"))
+    hits = split.select(key, "last", (F.col("pos") + 1).cast("long").alias("line"), F.explode(found).alias("x")).select(key, "last", "line", "x.pattern", "x.n")
     w = Window.partitionBy(key).orderBy("line", "pattern")
     start = F.greatest(F.lit(1).cast("long"), F.col("line") - context)
-    return hits.select(key, "line", "pattern", "n", F.greatest(start, F.coalesce(F.lag("line").over(w) + context + 1, F.lit(1))).alias("context_from"), (F.col("line") + context).alias("context_to"))
+    return hits.select(key, "line", "pattern", "n", F.greatest(start, F.coalesce(F.lag("line").over(w) + context + 1, F.lit(1))).alias("context_from"), F.least("last", F.col("line") + context).alias("context_to"))
+
+
+def first_matches(found: DataFrame, most: int, by_pattern: bool = False, key: str = "id") -> DataFrame:
+    """The first `most` (1 to 500) rows of a scan, by place or by pattern, with whether there are more."""
+    order = ["pattern", key, "line"] if by_pattern else [key, "line", "pattern"]
+    most = min(max(most, 1), 500)
+    n = found.agg((F.count("*") > most).alias("truncated"))
+    return found.orderBy(*order).limit(most).join(F.broadcast(n))
 
 
 def pattern_counts(docs: DataFrame, patterns: dict[str, str], key: str = "id", text: str = "content") -> DataFrame:

@@ -442,7 +442,7 @@ PATTERNS = {"number": "[0-9]{3,}", "shout": "[A-Z]{4,}", "none": "zzzzz"}
 SCAN = "ln AS (SELECT id, string_split(content, chr(10)) AS ls FROM memories), l AS (SELECT id, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line, unnest(ls) AS text FROM ln), hit AS (" + " UNION ALL ".join(f"SELECT id, line, '{n}' AS pattern, len(regexp_extract_all(text, '{p}')) AS n FROM l" for n, p in PATTERNS.items()) + ")"
 
 
-@query(SCAN + " SELECT id, line, pattern, n, greatest(greatest(1, line - 2), coalesce(lag(line) OVER (PARTITION BY id ORDER BY line, pattern) + 3, 1)) AS context_from, line + 2 AS context_to FROM hit WHERE n > 0", "memories")
+@query(SCAN + " SELECT id, line, pattern, n, greatest(greatest(1, line - 2), coalesce(lag(line) OVER (PARTITION BY id ORDER BY line, pattern) + 3, 1)) AS context_from, least(line + 2, (SELECT len(ls) FROM ln WHERE ln.id = hit.id)) AS context_to FROM hit WHERE n > 0", "memories")
 def regex_scan(spark, d):
     return corpus.scan(t.memories(spark, d), PATTERNS)
 

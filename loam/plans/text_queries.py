@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loam.functions import dates, fixed
 from loam.operators import corpus, episodes, extraction, ledger
 from loam.plans import tables as t
-from loam.plans.queries import PATTERNS, SCAN, query
+from loam.plans.queries import PATTERNS, R, SCAN, query
 from loam.plans.tables import NOW
 
 
@@ -169,6 +169,11 @@ def line_range(spark, d):
     return corpus.line_range(t.memories(spark, d), 2, 4)
 
 
+@query(SCAN + ", h AS (SELECT *, count(*) OVER () > 15 AS truncated FROM hit WHERE n > 0) SELECT id, line, pattern, n, truncated FROM h ORDER BY pattern, id, line LIMIT 15", "memories")
+def first_matches(spark, d):
+    return corpus.first_matches(corpus.scan(t.memories(spark, d), PATTERNS), 15, True).select("id", "line", "pattern", "n", "truncated")
+
+
 @query(SCAN + """, s AS (SELECT DISTINCT id, regexp_extract(text, '^(The|This|Of) ', 1) AS name FROM l WHERE regexp_matches(text, '^(The|This|Of) '))
 SELECT 'entity' AS kind, concat('file:', id) AS a, 'file' AS b FROM (SELECT DISTINCT id FROM s) UNION ALL SELECT 'entity', concat('symbol:', id, ':', name), 'symbol' FROM s UNION ALL SELECT 'edge', concat('file:', id), concat('symbol:', id, ':', name) FROM s""", "memories")
 def symbol_index(spark, d):
@@ -297,3 +302,24 @@ def transfer_round_trip(spark, d):
     old = m.filter("id % 3 <> 0").selectExpr("id", "CASE WHEN id % 3 = 1 THEN created_at - 1 ELSE created_at END AS created_at")
     got = import_lines(lines.select("value"), "memory", "id:long,content:string,created_at:long", old, "created_at")
     return got.agg(F.count("*").alias("n"), *[F.count_if(F.col("action") == a).alias(n) for a, n in (("insert", "inserted"), ("update", "updated"), ("skip", "skipped"))])
+
+
+PHASES = ("ingest", "extract", "consolidate", "reflect", "prune")
+
+
+@query(f"""a AS (SELECT * FROM exchanges WHERE exchange_index % 3 <> 0), k AS (SELECT * FROM exchanges WHERE conversation_id % 2 = 0),
+f AS (SELECT id % 20 AS batch, id AS pos, content FROM memories) SELECT 'ingest' AS phase, 'done' AS status, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM k)) AS n
+UNION ALL SELECT 'extract', 'done', (SELECT count(*) FROM memories WHERE id % 5 IN (0, 1, 4)) UNION ALL SELECT 'consolidate', 'skipped', NULL UNION ALL SELECT 'reflect', 'done', (SELECT count(DISTINCT cluster_id) FROM clusters WHERE generation = 2)
+UNION ALL SELECT 'prune', 'done', (SELECT count(*) FROM memories WHERE is_active AND round(confidence * least(1.0, 0.5 + 0.1 * access_count) * ({R}), 6) < 0.1)""", "memories exchanges clusters")
+def maintenance_run(spark, d):
+    """The five phases in order, one of them done by an earlier run; each phase's work is a DataFrame, its report the rows it gives."""
+    from loam.operators import lifecycle
+    from loam.plans.maintenance import run
+
+    e, m = t.exchanges(spark, d), t.memories(spark, d)
+    work = {
+        "ingest": lambda: extraction.new_exchanges(e.filter("exchange_index % 3 <> 0"), e.filter("conversation_id % 2 = 0"))[0],
+        "extract": lambda: extraction.facts(m.select(F.col("id").alias("conversation_id"), F.expr(ANSWER).alias("answer"))),
+        "consolidate": lambda: m, "reflect": lambda: t.clusters(spark, d).filter("generation = 2").select("cluster_id").distinct(), "prune": lambda: lifecycle.prune(m, NOW),
+    }
+    return run(spark, {p: work[p] for p in PHASES}, done=["consolidate"])

@@ -55,6 +55,11 @@ def test_communities_reach_the_planted_groups(spark):
     assert len(found) == 12
     value = graph.modularity(edges, spark.createDataFrame(list(found.items()), "node string, community string")).first()[0]
     assert value >= 0.4
+    assert len({found[f"x{i}"] for i in range(6)}) == len({found[f"y{i}"] for i in range(6)}) == 1 and found["x0"] != found["y0"]
+    ring = spark.createDataFrame([(f"{g:02}{i}", f"{g:02}{j}", 1.0) for g in range(12) for i in range(4) for j in range(i + 1, 4)] + [(f"{g:02}0", f"{(g + 1) % 12:02}1", 1.0) for g in range(12)], "a string, b string, weight double")
+    found = graph.communities(ring)
+    assert graph.modularity(ring, found).first()[0] >= 0.7
+    assert graph.communities(ring.limit(0)).count() == 0
 
 
 def test_communities_cover_the_whole_graph(spark):
