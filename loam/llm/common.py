@@ -280,4 +280,4 @@ def linked_classes(members: DataFrame, classes: DataFrame, links: DataFrame, dig
 
 def content_keys(text: str = "text") -> list:
     """Two 64-bit hashes of a text, which tell rows apart that share an id."""
-    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_t2")]
+    return [F.xxhash64(text).alias("_loam_t1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_loam_t2")]

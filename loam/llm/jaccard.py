@@ -71,7 +71,7 @@ def trie_keys(sig: np.ndarray, k: int, trees: int = TREES) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, n: int = NGRAM) -> DataFrame:
-    """docs: (doc_id, text, _t1, _t2). (doc_id, _t1, _t2, d1, d2, n_shingles, keys, deep, sketch): the class's digest, the trees' keys at the shortest and at the full depth, and a byte of each signature value."""
+    """docs: (doc_id, text, _loam_t1, _loam_t2). (doc_id, _loam_t1, _loam_t2, d1, d2, n_shingles, keys, deep, sketch): the class's digest, the trees' keys at the shortest and at the full depth, and a byte of each signature value."""
 
     def run(b):
         rows = []
@@ -82,9 +82,9 @@ def describe(docs: DataFrame, k: int, n: int = NGRAM) -> DataFrame:
                 continue
             d, sig = xxhash.xxh3_128_digest(s.tobytes()), signature(s)
             rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(s), trie_keys(sig, k), trie_keys(sig, DEPTH, DEEP_TREES), mix(sig.astype(np.uint64)).astype(np.uint8).tobytes()))
-        return {c: column(b, c) for c in ("doc_id", "_t1", "_t2")} | dict(zip(("d1", "d2", "n_shingles", "keys", "deep", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
+        return {c: column(b, c) for c in ("doc_id", "_loam_t1", "_loam_t2")} | dict(zip(("d1", "d2", "n_shingles", "keys", "deep", "sketch"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return map_batches(docs, run, "doc_id long, _t1 long, _t2 long, d1 long, d2 long, n_shingles long, keys array<long>, deep array<long>, sketch binary")
+    return map_batches(docs, run, "doc_id long, _loam_t1 long, _loam_t2 long, d1 long, d2 long, n_shingles long, keys array<long>, deep array<long>, sketch binary")
 
 
 def _matrix(t: pa.Table, name: str, dtype, width: int) -> np.ndarray:
@@ -187,29 +187,29 @@ def families(reps: DataFrame, threshold: float, slack: float = 0.2) -> DataFrame
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, _t1, _t2, class_id, n_links, component, component_id, kept) of every row; component is null where a row has no words or no id."""
+    """docs: (doc_id, text). (doc_id, _loam_t1, _loam_t2, class_id, n_links, component, component_id, kept) of every row; component is null where a row has no words or no id."""
     docs = docs.select("doc_id", "text", *content_keys())
     seen = spill(describe(docs, prefix_length(threshold, recall), n), "signatures")
-    one = seen.filter("d1 IS NOT NULL").groupBy("d1", "d2", "doc_id", "_t1").agg(F.count("*").alias("same"))
+    one = seen.filter("d1 IS NOT NULL").groupBy("d1", "d2", "doc_id", "_loam_t1").agg(F.count("*").alias("same"))
     classes = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.sum("same").alias("size"))
     classes = spill(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers that stay, once written
     # A class is described by its row with the smallest id, or one of those where the id repeats.
-    first = one.join(classes, ["d1", "d2"]).filter("doc_id = class_id").groupBy("node", "class_id", "size", "d1", "d2").agg(F.min("_t1").alias("_t1"), F.max("same").alias("same"), F.count("*").alias("texts"))
-    first = spill(first.select("node", F.col("class_id").alias("doc_id"), "size", "d1", "d2", "_t1", (F.col("same") * F.col("texts") > 1).alias("repeats")), "firsts")
-    wide = seen.join(first.drop("d1", "d2"), ["doc_id", "_t1"]).select("node", "repeats", "n_shingles", "keys", "deep", "sketch")
+    first = one.join(classes, ["d1", "d2"]).filter("doc_id = class_id").groupBy("node", "class_id", "size", "d1", "d2").agg(F.min("_loam_t1").alias("_loam_t1"), F.max("same").alias("same"), F.count("*").alias("texts"))
+    first = spill(first.select("node", F.col("class_id").alias("doc_id"), "size", "d1", "d2", "_loam_t1", (F.col("same") * F.col("texts") > 1).alias("repeats")), "firsts")
+    wide = seen.join(first.drop("d1", "d2"), ["doc_id", "_loam_t1"]).select("node", "repeats", "n_shingles", "keys", "deep", "sketch")
     reps = spill(wide.filter("NOT repeats").unionByName(wide.filter("repeats").dropDuplicates(["node"])).drop("repeats"), "representatives")
-    ids = spill(seen.select("doc_id", "_t1", "_t2", "d1", "d2"), "documents")
+    ids = spill(seen.select("doc_id", "_loam_t1", "_loam_t2", "d1", "d2"), "documents")
     release(seen)
     family = families(reps, threshold)
     sizes = family.join(reps.select("node", "n_shingles"), "node").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("blocks"))
-    members = spill(family.join(spill(sizes, "sizes"), "component").join(first.select("node", "doc_id", "size", "_t1", "repeats"), "node"), "members")
+    members = spill(family.join(spill(sizes, "sizes"), "component").join(first.select("node", "doc_id", "size", "_loam_t1", "repeats"), "node"), "members")
     release(reps)
 
     def gather(b):
         return {c: column(b, c) for c in ("node", "component", "blocks", "size", "repeats")} | {"shingles": [shingles(t, n).tobytes() for t in texts(b)]}
 
     # Families grow with the texts, so the join is by a shuffle at every size.
-    wide = map_batches(docs.select("doc_id", "_t1", "text").join(members.hint("merge"), ["doc_id", "_t1"]), gather, "node long, component long, blocks long, size long, repeats boolean, shingles binary", 200)
+    wide = map_batches(docs.select("doc_id", "_loam_t1", "text").join(members.hint("merge"), ["doc_id", "_loam_t1"]), gather, "node long, component long, blocks long, size long, repeats boolean, shingles binary", 200)
     wide = spill(wide, "shingles")
     wide = wide.filter("NOT repeats").unionByName(wide.filter("repeats").dropDuplicates(["node"])).drop("repeats")
     links = spill(map_runs(tiled(wide, ["component"], "blocks", "node"), ["component", "i", "j"], _verified(threshold), "node long, links long, root long", 1 << 20), "links")
@@ -224,12 +224,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of documents (doc_id, text, ...) without near-duplicates: of every group of linked rows the one with the smallest id stays, a single row also where rows repeat that id. Rows without an id or words all stay."""
-    rows = spill(_linked(docs.select("doc_id", "text"), n, threshold, recall).filter("component IS NOT NULL").select("doc_id", "_t1", "_t2", "component"), "linked")
-    key = F.struct("doc_id", "_t1", "_t2")
+    rows = spill(_linked(docs.select("doc_id", "text"), n, threshold, recall).filter("component IS NOT NULL").select("doc_id", "_loam_t1", "_loam_t2", "component"), "linked")
+    key = F.struct("doc_id", "_loam_t1", "_loam_t2")
     groups = rows.groupBy("component").agg(F.min(key).alias("stays"), F.count("*").alias("n")).filter("n > 1")
-    gone = spill(rows.join(groups, "component").filter(key != F.col("stays")).select("doc_id", "_t1", "_t2").distinct(), "gone")
-    again = spill(rows.groupBy("doc_id", "_t1", "_t2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
-    on = ["doc_id", "_t1", "_t2"]
+    gone = spill(rows.join(groups, "component").filter(key != F.col("stays")).select("doc_id", "_loam_t1", "_loam_t2").distinct(), "gone")
+    again = spill(rows.groupBy("doc_id", "_loam_t1", "_loam_t2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    on = ["doc_id", "_loam_t1", "_loam_t2"]
     left = docs.select("*", *content_keys()).join(gone, on, "left_anti")
     return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on)).select(docs.columns)
 

@@ -23,7 +23,7 @@ from loam.llm.common import arrow, column, content_keys, hashed, map_batches, re
 
 WINDOW, RUN = 13, 5
 _ANCHOR_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
-_ROW = ["doc_id", "_t1"]
+_ROW = ["doc_id", "_loam_t1"]
 _NOTES = ["_loam_windows", "_loam_copied"]
 
 
@@ -49,7 +49,7 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """docs: (doc_id, text, _t1). (doc_id, _t1, first hashes of its windows that also start in a smaller document), and (doc_id, _t1) of the copies of an earlier document's words."""
+    """docs: (doc_id, text, _loam_t1). (doc_id, _loam_t1, first hashes of its windows that also start in a smaller document), and (doc_id, _loam_t1) of the copies of an earlier document's words."""
 
     def describe(b):
         n, one, two, a = [], [], [], []
@@ -73,7 +73,7 @@ def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFra
         return {c: column(b, c) for c in _ROW} | {"w1": _lists(one), "w2": _lists(two)}
 
     docs = docs.filter("doc_id IS NOT NULL")
-    seen = spill(map_batches(docs, describe, "doc_id long, _t1 long, n_words long, d1 long, d2 long, anchors array<long>").filter(F.col("n_words") >= window), "anchors")
+    seen = spill(map_batches(docs, describe, "doc_id long, _loam_t1 long, n_words long, d1 long, d2 long, anchors array<long>").filter(F.col("n_words") >= window), "anchors")
     groups = spill(_shared(seen, "d1", "d2"), "copies")
     copies = spill(seen.select(*_ROW, "d1", "d2").join(groups, ["d1", "d2"]).filter("doc_id > first").select(*_ROW).distinct(), "copied")
     each = seen.select(*_ROW, F.explode("anchors").alias("h"))
@@ -81,7 +81,7 @@ def removable(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFra
     # Copies of a text add nothing that its first document doesn't have, but must not count as further documents of its own windows; they are left out from here on.
     mine = spill(each.join(shared, "h").groupBy(*_ROW).agg(F.collect_set("h").alias("keep")).join(copies, _ROW, "left_anti"), "mine")
     release(seen, groups, shared)
-    found = spill(map_batches(docs.join(mine, _ROW), candidates, "doc_id long, _t1 long, w1 array<long>, w2 array<long>", 200).filter(F.size("w1") > 0), "windows")
+    found = spill(map_batches(docs.join(mine, _ROW), candidates, "doc_id long, _loam_t1 long, w1 array<long>, w2 array<long>", 200).filter(F.size("w1") > 0), "windows")
     release(mine)
     rows = found.select(*_ROW, F.explode(F.arrays_zip("w1", "w2")).alias("w")).select(*_ROW, "w.w1", "w.w2")
     first = spill(_shared(rows, "w1", "w2"), "repeated")
@@ -113,9 +113,9 @@ def _cut(text: str, repeated: list[int] | None, copied: bool, window: int) -> tu
 
 
 def _with_hits(docs: DataFrame, window: int) -> DataFrame:
-    """docs with what is to go: the columns _t1 and _NOTES."""
-    docs = docs.withColumn("_t1", content_keys()[0])
-    hits, copies = removable(docs.select("doc_id", "text", "_t1"), window)
+    """docs with what is to go: the columns _loam_t1 and _NOTES."""
+    docs = docs.withColumn("_loam_t1", content_keys()[0])
+    hits, copies = removable(docs.select("doc_id", "text", "_loam_t1"), window)
     notes = hits.withColumn("copied", F.lit(False)).unionByName(copies.select(*_ROW, F.lit(None).cast("array<long>").alias("windows"), F.lit(True).alias("copied")))
     notes = notes.groupBy(*_ROW).agg(F.first("windows", True).alias(_NOTES[0]), F.max("copied").alias(_NOTES[1]))
     return docs.join(notes, _ROW, "left")

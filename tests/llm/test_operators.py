@@ -569,15 +569,56 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.train(df, lab.limit(0))).select("score").distinct().collect()[0][0] == 0.5
 
 
+SEVEN = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
-    rows = corpus(5, 40)
-    spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [r[:5] for r in corpus(5, 40)]
+    spark.createDataFrame(rows, SEVEN).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert 4 <= len(p.STAGES) <= 5
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns, name
+    stages = dict(p.STAGES)
+    # Each stage against brute force on the same documents.
+    model = langid.train(docs)
+    kept = {r["doc_id"] for r in stages["language_id"](spark, docs, "").collect()}
+    assert kept == {i for i, t, *_ in rows if not model.judge(t or "")[2]} and {i for i, t, *_ in rows if t and t.strip() and "w" in t} <= kept
+    _, pairs = brute_jaccard(rows)
+    root = closure([r[0] for r in rows], pairs)
+    got = {r["doc_id"]: r["text"] for r in stages["near_duplicates"](spark, docs, "").collect()}
+    assert got == {i: t for i, t, *_ in rows if root[i] == i}
+    want = brute_substring(rows)
+    got = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, docs, "").collect()}
+    assert got.keys() == {i for i, (n, gone, _) in want.items() if not n or gone < n} and all(hashlib.sha256(" ".join(words(t)).encode()).hexdigest() == want[i][2] for i, t in got.items())
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["pii"](spark, docs, "").collect()}
+    assert got == {i: (None if t is None else pii.redact_text(t), None if t is None else len(pii.redact_text(t))) for i, t, *_ in rows} and "[EMAIL]" in got[rows[-2][0]][0]
+    pieces = stages["packing"](spark, docs, "").toPandas()
+    assert pieces.groupby("doc_id").length.sum().to_dict() == pieces.groupby("doc_id").doc_tokens.first().to_dict() and set(pieces.doc_id) == {r[0] for r in rows}
     out = p.run(spark, str(tmp_path))
     assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "en", "s", 1), (None, None, None, None, None), (1, text, "en", "s", None), (1, text, "en", "s", None), (1, text + " more", "en", "s", 3), (2, "", "en", None, 0), (3, "12 34", None, None, 5)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SEVEN + ", _t1 string, windows long")
+    for name, stage in p.STAGES:
+        n = stage(spark, docs, "").count()
+        assert n > 0, name
+        if name == "near_duplicates":
+            assert n == 5  # of the three rows of id 1 one stays
+        none = stage(spark, docs.limit(0), "")
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns), name
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    path = bpe.vocabulary()
+    docs = spark.createDataFrame([(1, "a b", "x", 2.0, "y"), (1, "c", "x", 2.0, "y"), (None, None, None, None, None)], "doc_id long, text string, ids string, score double, spans string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for f in (lambda d: bpe.decode(bpe.encode(d, path), path), lambda d: media.features(media.store_text(d)), pii.spans, lambda d: toxicity.score(d, toxicity.train(d, labels)), lambda d: langid.predict(d, langid.train(d.selectExpr("*", "ids AS lang"))), substring.removals, jaccard.join):
+        assert f(docs).count() == 3 and f(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "u", "h", "z"), (1, "u", "h", "z"), (1, "u", "other", "z")], "page_id long, url string, html string, payload_digest string")
+    assert warc.with_digests(pages).select("payload_digest").distinct().count() == 2
