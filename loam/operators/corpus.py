@@ -55,22 +55,24 @@ def merge_ranges(ranges: DataFrame, pad: int = 0, key: str = "id") -> DataFrame:
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def enclosing(rows: DataFrame, opens: str, resets: str, key: str = "id") -> DataFrame:
+def _stretches(docs: DataFrame, opens: str, resets: str | None, key: str, text: str) -> DataFrame:
+    """(id, name, start, end): from each line that opens a name to the line before the next that opens or resets one. A text's lines stay in its row, so nothing is shuffled."""
+    reset = (lambda x: x.rlike(resets)) if resets else (lambda x: F.lit(False))
+    split = docs.select(key, F.split(text, "\n").alias("ls"))
+    marks = F.transform("ls", lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.nullif(F.regexp_extract(x, opens, 1), F.lit("")).alias("name"), F.coalesce(reset(x), F.lit(False)).alias("reset")))
+    marked = split.select(key, F.size("ls").cast("long").alias("z"), F.filter(marks, lambda m: m["name"].isNotNull() | m["reset"]).alias("ms"))
+    spans = F.transform("ms", lambda m, i: F.struct(m["name"].alias("name"), m["line"].alias("start"), F.coalesce(F.get("ms", i + 1)["line"] - 1, F.col("z")).alias("end")))
+    return marked.select(key, F.explode(F.filter(spans, lambda s: s["name"].isNotNull())).alias("s")).select(key, "s.name", "s.start", "s.end")
+
+
+def enclosing(docs: DataFrame, opens: str, resets: str, key: str = "id", text: str = "content") -> DataFrame:
     """Lines with the last name that `opens` captured, forgotten at lines that match `resets`."""
-    w = Window.partitionBy(key).orderBy("line")
-    name = F.regexp_extract("text", opens, 1)
-    marked = rows.withColumn("group", F.sum(F.col("text").rlike(resets).cast("int")).over(w)).withColumn("name", F.when(name != "", name))
-    inner = Window.partitionBy(key, "group").orderBy("line")
-    return marked.select(key, "line", F.last("name", ignorenulls=True).over(inner).alias("enclosing")).filter("enclosing IS NOT NULL")
+    return _stretches(docs, opens, resets, key, text).select(key, F.explode(F.sequence("start", "end")).alias("line"), F.col("name").alias("enclosing"))
 
 
-def symbols(rows: DataFrame, pattern: str, key: str = "id") -> DataFrame:
+def symbols(docs: DataFrame, pattern: str, key: str = "id", text: str = "content") -> DataFrame:
     """Lines that open a symbol, each ending where the next begins."""
-    name = F.regexp_extract("text", pattern, 1)
-    last = Window.partitionBy(key)
-    hit = rows.withColumn("last_line", F.max("line").over(last)).withColumn("name", name).filter("name <> ''")
-    w = Window.partitionBy(key).orderBy("line")
-    return hit.select(key, "name", F.col("line").alias("start"), F.coalesce(F.lead("line").over(w) - 1, F.col("last_line")).alias("end"))
+    return _stretches(docs, pattern, None, key, text)
 
 
 def embedding_check(vectors: DataFrame, dims: int, slack: float = 0.05) -> DataFrame:

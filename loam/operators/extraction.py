@@ -198,3 +198,17 @@ def in_budget(rows: DataFrame, cost: str, budget: int, order: list, at_least_one
     out = rows.withColumn("_sum", F.sum(cost).over(w)).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     fits = F.col("_sum") <= budget
     return out.filter(fits | (F.col("_n") == 1) if at_least_one else fits).drop("_sum", "_n")
+
+
+def with_due(rows: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """rows: (key, due_hint, sources), with stated_at, the earliest time of the exchanges (id, ts) they come from, and due_at, the start of the day that the hint means counted from there."""
+    from loam.functions.dates import due_days
+
+    said = rows.select("key", F.explode("sources").alias("id")).join(exchanges.select("id", "ts"), "id").groupBy("key").agg(F.min("ts").alias("stated_at"))
+    out = due_days(rows.join(said, "key", "left"), "due_hint", F.to_date(F.timestamp_seconds("stated_at")), "_due")
+    return out.withColumn("due_at", F.unix_date("_due").cast("long") * 86400).drop("_due")
+
+
+def to_extract(fingerprints: DataFrame, state: DataFrame, phase: str = "extract") -> DataFrame:
+    """Conversations (conversation_id, fingerprint) that were never extracted, or have changed since."""
+    return fingerprints.join(unchanged(fingerprints, state, phase), "conversation_id", "left_anti")

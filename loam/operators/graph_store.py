@@ -290,3 +290,36 @@ def payload(entities: DataFrame, edges: DataFrame, clusters: DataFrame, bridge_s
     first = first_cluster(clusters).select(F.col("entity_id").alias("id"), F.col("cluster_id").alias("community"))
     nodes = entities.join(scores, "id", "left").join(first, "id", "left")
     return nodes.select("id", "name", "type", "mention_count", F.coalesce("bridge_score", F.lit(0.0)).alias("bridge_score"), "community"), edges.select("source", "target", "type", "weight")
+
+
+def inside(edges: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+    """members: (community, node). The edges with both ends in one community, with the names of both: what a community's prompt tells."""
+    m = members.select("community", "node").distinct()
+    both = edges.join(m.withColumnRenamed("node", "source"), "source").join(m.withColumnRenamed("node", "target"), ["target", "community"])
+    names = entities.select("id", "name")
+    return both.join(names.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("target_name")), "target").select("community", "source_name", "type", "target_name", "weight")
+
+
+def bridge_listing(scores: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
+    """scores: (generation, id, bridge_score). The best bridges of the latest generation with their names."""
+    latest = scores.join(F.broadcast(scores.agg(F.max("generation").alias("generation"))), "generation")
+    return latest.join(entities.select("id", "name", "type"), "id").orderBy(F.desc("bridge_score"), "id").limit(limit).select("id", "name", "type", "bridge_score")
+
+
+def analysis(graph: DataFrame, members: DataFrame) -> DataFrame:
+    """members: (node, community). Each community's size, coherence and share of the graph's nodes, largest first."""
+    from loam.operators.graph import coherence
+
+    size = members.groupBy("community").agg(F.count("*").alias("size"))
+    total = members.agg(F.count("*").alias("all"))
+    out = size.join(coherence(graph, members).select("community", "coherence"), "community", "left").join(F.broadcast(total))
+    return out.select("community", "size", F.coalesce("coherence", F.lit(0.0)).alias("coherence"), F.round(F.col("size") / F.col("all"), 6).alias("share")).orderBy(F.desc("size"), "community")
+
+
+def reflection(clusters: DataFrame, scores: DataFrame) -> DataFrame:
+    """What the latest generation says, in one row: its number, communities, members, the largest community, bridges and the best of them."""
+    g = clusters.agg(F.max("generation").alias("generation"))
+    c = clusters.join(F.broadcast(g), "generation").groupBy("generation", "cluster_id").agg(F.count("*").alias("n"))
+    c = c.groupBy("generation").agg(F.count("*").alias("n_communities"), F.sum("n").alias("n_members"), F.max_by("cluster_id", F.struct("n", "cluster_id")).alias("largest"))
+    b = scores.join(F.broadcast(scores.agg(F.max("generation").alias("generation"))), "generation").agg(F.count("*").alias("n_bridges"), F.max_by("id", F.struct("bridge_score", "id")).alias("best_bridge"))
+    return c.join(F.broadcast(b))

@@ -239,3 +239,26 @@ def bridge_pattern(spark, d):
     scores = t.clusters(spark, d).filter(F.substring("cluster_id", 2, 9).cast("long") % 5 == F.col("generation")).select("entity_id", "generation", F.lit(1.0).alias("bridge_score"))
     p = temporal.bridge_pattern(scores)
     return p.select("kind", "n", F.md5(F.array_join("entity_ids", ",")).alias("ids"), "confidence")
+
+
+@query("""m AS (SELECT cluster_id AS community, entity_id AS node FROM clusters WHERE generation = 2 UNION SELECT cluster_id, concat('n', substr(cluster_id, 2)) FROM clusters WHERE generation = 2)
+SELECT x.community, a.name AS source_name, r.type, b.name AS target_name, weight FROM relationships r JOIN m x ON x.node = source JOIN m y ON y.node = target AND y.community = x.community JOIN entities a ON a.id = source JOIN entities b ON b.id = target""", "entities relationships clusters")
+def community_edges(spark, d):
+    c = t.clusters(spark, d).filter("generation = 2")
+    m = c.select(F.col("cluster_id").alias("community"), F.col("entity_id").alias("node")).unionByName(c.select(F.col("cluster_id").alias("community"), F.concat(F.lit("n"), F.substring("cluster_id", 2, 9)).alias("node")))
+    return graph_store.inside(t.relationships(spark, d), m, t.entities(spark, d))
+
+
+@query(INFORM + " SELECT id, name, type, CAST(bridge_score AS DOUBLE) AS bridge_score FROM lt JOIN entities USING (id) ORDER BY bridge_score DESC, id LIMIT 20", "entities relationships")
+def bridge_listing(spark, d):
+    return graph_store.bridge_listing(bridge_table(spark, d), t.entities(spark, d))
+
+
+@query(MEMBERS + ", p AS (SELECT ca AS c, CASE WHEN ca = cb THEN 1 ELSE 0 END AS i FROM j WHERE ca IS NOT NULL UNION ALL SELECT cb, 0 FROM j WHERE cb IS NOT NULL AND (ca IS NULL OR ca <> cb)), co AS (SELECT c AS community, round(sum(i) / count(*), 6) AS coherence FROM p GROUP BY c) SELECT community, count(*) AS size, coalesce(max(coherence), 0.0) AS coherence, round(count(*) / (SELECT count(*) FROM mem), 6) AS share FROM mem LEFT JOIN co USING (community) GROUP BY community", "entities relationships")
+def community_analysis(spark, d):
+    return graph_store.analysis(graph_projection(spark, d), nation_members(spark, d))
+
+
+@query(INFORM + ", c2 AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE generation = (SELECT max(generation) FROM clusters) GROUP BY 1) SELECT (SELECT max(generation) FROM clusters) AS generation, count(*) AS n_communities, CAST(sum(n) AS BIGINT) AS n_members, arg_max(cluster_id, (n, cluster_id)) AS largest, (SELECT count(*) FROM lt) AS n_bridges, (SELECT arg_max(id, (bridge_score, id)) FROM lt) AS best_bridge FROM c2", "relationships clusters entities")
+def reflection(spark, d):
+    return graph_store.reflection(t.clusters(spark, d), bridge_table(spark, d))

@@ -162,3 +162,12 @@ def ids_by_prefix(spark, d):
         one = one.select(F.lit(p).alias("prefix"), F.when(F.col("n") == 1, F.col("low")).alias("id"), F.when(F.col("n") == 0, "unknown").when(F.col("n") == 1, "found").otherwise("ambiguous").alias("outcome"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(None)
+def remember_batches(spark, d):
+    """Batches of facts, collapsed among themselves in order, then remembered. No SQL form: an ordered fold."""
+    facts, known = asked(spark, d)
+    near = consolidation.collapse_near(facts.join(t.memories(spark, d).selectExpr("id AS fact_id", "confidence", "importance"), "fact_id").selectExpr("fact_id div 500 AS batch", "fact_id AS pos", "confidence", "importance", "embedding"))
+    kept = facts.join(near.filter("pos = survivor").select(F.col("pos").alias("fact_id")), "fact_id", "left_semi")
+    return consolidation.remember(kept, known).select("fact_id", "action", "memory_id")

@@ -461,12 +461,12 @@ def snippet_ranges(spark, d):
 
 @query(SCAN + ", x AS (SELECT id, line, text, sum(CASE WHEN regexp_matches(text, 'License') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line) AS g, nullif(regexp_extract(text, '^([A-Z]\\w+) ', 1), '') AS name FROM l), y AS (SELECT id, line, last_value(name IGNORE NULLS) OVER (PARTITION BY id, g ORDER BY line) AS enclosing FROM x) SELECT * FROM y WHERE enclosing IS NOT NULL", "memories")
 def enclosing_name(spark, d):
-    return corpus.enclosing(corpus.lines(t.memories(spark, d)), r"^([A-Z]\w+) ", "License")
+    return corpus.enclosing(t.memories(spark, d), r"^([A-Z]\w+) ", "License")
 
 
 @query(SCAN + ", x AS (SELECT id, line, regexp_extract(text, '^(The|This|Of) ', 1) AS name, max(line) OVER (PARTITION BY id) AS z FROM l), y AS (SELECT * FROM x WHERE name <> '') SELECT id, name, line AS start, coalesce(lead(line) OVER (PARTITION BY id ORDER BY line) - 1, z) AS \"end\" FROM y", "memories")
 def symbol_ranges(spark, d):
-    return corpus.symbols(corpus.lines(t.memories(spark, d)), "^(The|This|Of) ")
+    return corpus.symbols(t.memories(spark, d), "^(The|This|Of) ")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_dims, count(*) FILTER (abs(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 0.05) AS not_unit, count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero FROM embeddings")

@@ -177,7 +177,7 @@ def first_matches(spark, d):
 @query(SCAN + """, s AS (SELECT DISTINCT id, regexp_extract(text, '^(The|This|Of) ', 1) AS name FROM l WHERE regexp_matches(text, '^(The|This|Of) '))
 SELECT 'entity' AS kind, concat('file:', id) AS a, 'file' AS b FROM (SELECT DISTINCT id FROM s) UNION ALL SELECT 'entity', concat('symbol:', id, ':', name), 'symbol' FROM s UNION ALL SELECT 'edge', concat('file:', id), concat('symbol:', id, ':', name) FROM s""", "memories")
 def symbol_index(spark, d):
-    found = corpus.symbols(corpus.lines(t.memories(spark, d)), "^(The|This|Of) ")
+    found = corpus.symbols(t.memories(spark, d), "^(The|This|Of) ")
     e, r = corpus.symbol_graph(found)
     return e.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b")).unionByName(r.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
 
@@ -323,3 +323,18 @@ def maintenance_run(spark, d):
         "consolidate": lambda: m, "reflect": lambda: t.clusters(spark, d).filter("generation = 2").select("cluster_id").distinct(), "prune": lambda: lifecycle.prune(m, NOW),
     }
     return run(spark, {p: work[p] for p in PHASES}, done=["consolidate"])
+
+
+@query("SELECT conversation_id AS key, min(ts) AS stated_at, CASE WHEN conversation_id % 4 = 0 THEN min(ts) // 86400 * 86400 + 86400 END AS due_at FROM exchanges WHERE (conversation_id % 4 = 0 AND exchange_index = 0) OR (conversation_id % 4 = 1 AND exchange_index <= 1) GROUP BY conversation_id", "exchanges")
+def commitments_due(spark, d):
+    e = t.exchanges(spark, d)
+    rows = extraction.commitments(e.select("conversation_id").distinct().withColumn("answer", F.expr(PROMISES)), e)
+    return extraction.with_due(rows.withColumnRenamed("conversation_id", "key"), e).select("key", "stated_at", "due_at")
+
+
+@query("f AS (SELECT conversation_id FROM exchanges GROUP BY 1) SELECT conversation_id FROM f WHERE conversation_id % 3 <> 0", "exchanges")
+def extract_selection(spark, d):
+    """One conversation in three was extracted as it is, one before it changed."""
+    now = episodes.fingerprint(t.exchanges(spark, d))
+    done = now.filter("conversation_id % 3 < 2").selectExpr("'extract' AS phase", "'success' AS status", "conversation_id AS item_id", "CASE WHEN conversation_id % 3 = 0 THEN fingerprint ELSE 'old' END AS fingerprint", "1 AS seq")
+    return extraction.to_extract(now, done).select("conversation_id")
