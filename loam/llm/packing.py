@@ -196,8 +196,8 @@ def deal(coded: DataFrame, stats: tuple[int, float, np.ndarray], shard_tokens: i
         return {"n": column(b, "n"), "k1": k1, "k2": k2}
 
     sums = spill(map_batches(coded, keys, "n long, k1 long, k2 long").groupBy("k1", "k2").agg(F.sum("n").alias("n")), "sums")
-    # A term with more than a shard is split by the second term: a multiplicative hash of it, as in `placed`.
-    width = {k: 1 if t <= shard_tokens else 16 * -(-t // shard_tokens) for k, t in sums.groupBy("k1").agg(F.sum("n")).collect()}
+    # A term with more than a shard is split by the second term: a multiplicative hash of it, as in `placed`, into 64 parts at most, so that the plan has a bounded size (vocabulary times 64) whatever the input's.
+    width = {k: 1 if t <= shard_tokens else min(64, 16 * -(-t // shard_tokens)) for k, t in sums.groupBy("k1").agg(F.sum("n")).collect()}
     wide = sums.join(F.broadcast(coded.sparkSession.createDataFrame([(k, w) for k, w in width.items()] or [(0, 1)], "k1 long, width long")), "k1")
     part = (F.col("k2") * F.lit(2654435761) % F.lit(1 << 32)) % F.col("width")
     plan, shard, filled = {}, 0, 0
