@@ -152,10 +152,12 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """
     edges = spill(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
 
-    def star(sym: DataFrame, keep: str) -> DataFrame:
+    def star(sym: DataFrame, keep: str, tag: str) -> DataFrame:
         low = spill(sym.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), "low")
         out = sym.filter(keep).join(low, "a")
-        return out.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
+        out = spill(out.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct(), tag)
+        release(low)
+        return out
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64(*ends) % F.lit(1 << 40)) for ends in (("a", "b"), ("b", "a"))]).first())
@@ -165,16 +167,19 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         if not was[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = spill(star(both, "b > a"), "large")
+        large = star(both, "b > a", "large")
         release(edges)
-        edges = spill(star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "b < a"), "small")
+        edges = star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "b < a", "small")
         release(large)
         if (now := state(edges)) == was:
             break
         was = now
     else:
         raise RuntimeError(f"components: edges still change after {rounds} rounds")
-    return spill(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    out = spill(out.distinct(), "components")
+    release(edges)
+    return out
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -210,10 +210,14 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
 
     # Families grow with the texts, so the join is by a shuffle at every size.
     wide = map_batches(docs.select("doc_id", "_loam_t1", "text").join(members.hint("merge"), ["doc_id", "_loam_t1"]), gather, "node long, component long, blocks long, size long, repeats boolean, shingles binary", 200)
-    wide = spill(wide, "shingles")
-    wide = wide.filter("NOT repeats").unionByName(wide.filter("repeats").dropDuplicates(["node"])).drop("repeats")
+    sets = spill(wide, "shingles")
+    release(members, first, family)
+    wide = sets.filter("NOT repeats").unionByName(sets.filter("repeats").dropDuplicates(["node"])).drop("repeats")
     links = spill(map_runs(tiled(wide, ["component"], "blocks", "node"), ["component", "i", "j"], _verified(threshold), "node long, links long, root long", 1 << 20), "links")
-    return linked_classes(ids, classes, links, ["d1", "d2"]).drop("d1", "d2")
+    release(sets)
+    out = linked_classes(ids, classes, links, ["d1", "d2"]).drop("d1", "d2")
+    out.made_of = (ids, classes, links)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -224,14 +228,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of documents (doc_id, text, ...) without near-duplicates: of every group of linked rows the one with the smallest id stays, a single row also where rows repeat that id. Rows without an id or words all stay."""
-    rows = spill(_linked(docs.select("doc_id", "text"), n, threshold, recall).filter("component IS NOT NULL").select("doc_id", "_loam_t1", "_loam_t2", "component"), "linked")
-    key = F.struct("doc_id", "_loam_t1", "_loam_t2")
-    groups = rows.groupBy("component").agg(F.min(key).alias("stays"), F.count("*").alias("n")).filter("n > 1")
-    gone = spill(rows.join(groups, "component").filter(key != F.col("stays")).select("doc_id", "_loam_t1", "_loam_t2").distinct(), "gone")
-    again = spill(rows.groupBy("doc_id", "_loam_t1", "_loam_t2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    linked = _linked(docs.select("doc_id", "text"), n, threshold, recall)
+    rows = spill(linked.filter("component IS NOT NULL").select("doc_id", "_loam_t1", "_loam_t2", "component"), "linked")
+    release(*linked.made_of)
     on = ["doc_id", "_loam_t1", "_loam_t2"]
-    left = docs.select("*", *content_keys()).join(gone, on, "left_anti")
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on)).select(docs.columns)
+    key = F.struct(*on)
+    groups = rows.groupBy("component").agg(F.min(key).alias("stays"), F.count("*").alias("n")).filter("n > 1")
+    gone = spill(rows.join(groups, "component").filter(key != F.col("stays")).select(*on).distinct(), "gone")
+    again = spill(rows.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    release(rows)
+    # What goes grows with the documents, so the join is by a shuffle at every size.
+    left = docs.select("*", *content_keys()).join(gone.hint("merge"), on, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
+    return left.select(docs.columns)
 
 
 def recall(docs: DataFrame, threshold: float = THRESHOLD, **args) -> float:
