@@ -25,7 +25,7 @@ class TextIndex:
     schema: StructType
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """(id, term, tf, dl) of the terms."""
+        """(id, term, tf) of the terms."""
         table = self.table()
         if not terms:
             return table.limit(0).drop("bucket")
@@ -37,35 +37,32 @@ class TextIndex:
 
     def lengths(self) -> DataFrame:
         """(id, dl) of the rows with words."""
-        return self.table().select("id", "dl").distinct()
+        return self.spark.read.schema(self.schema["id"].simpleString().replace(":", " ", 1) + ", dl bigint").parquet(f"{self.path}-lengths")
 
 
 def bucket_of(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _weighing(weight: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
-
-
 def build(docs: DataFrame, weights: dict[str, float], buckets: int = 16, path: str | None = None) -> TextIndex:
-    """docs: (id, text columns). A column's term counts are multiplied by its weight; a row's length counts all words alike. More rows want more buckets: a query reads one for each term."""
-    path = path or folder(docs.sparkSession)
-    split = docs.select("id", *[words(F.coalesce(F.col(c), F.lit(""))).alias(f"w{i}") for i, c in enumerate(weights)])
-    sized = split.withColumn("dl", sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0)).cast("long"))
-    marked = F.flatten(F.array(*[F.transform(f"w{i}", _weighing(w)) for i, w in enumerate(weights.values())]))
-    terms = sized.select("id", "dl", F.explode(marked).alias("x")).groupBy("id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.count("*").alias("uses"))
-    terms = terms.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    """docs: (id, text columns). A column's term counts are multiplied by its weight; a row's length counts all words alike. More rows want more buckets: a query reads one for each term. Postings are at `path`, the rows' lengths at <path>-lengths."""
+    spark, path = docs.sparkSession, path or folder(docs.sparkSession)
+    each = None
+    for c, w in weights.items():
+        one = docs.select("id", F.lit(float(w)).alias("w"), F.explode(words(F.col(c))).alias("term"))
+        each = one if each is None else each.unionByName(one)
+    terms = each.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("uses")).withColumn("bucket", bucket_of(F.col("term"), buckets))
     terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
-    out = TextIndex(docs.sparkSession, path, buckets, docs.count(), 0.0, terms.schema)
-    out.length = (out.table().agg(F.sum("uses")).first()[0] or 0) / out.rows if out.rows else 0.0
+    out = TextIndex(spark, path, buckets, docs.count(), 0.0, terms.schema)
+    out.table().groupBy("id").agg(F.sum("uses").alias("dl")).write.parquet(f"{path}-lengths")
+    out.length = (out.lengths().agg(F.sum("dl")).first()[0] or 0) / out.rows if out.rows else 0.0
     return out
 
 
 def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, terms: list[str] | None = None) -> DataFrame:
     """(id, bm25) of the rows that hold a term; `within` (id): only these rows count and are found."""
     terms = query_terms(query) if terms is None else terms
-    found = index.postings(terms).select("id", "term", "tf", "dl")
+    found = index.postings(terms).select("id", "term", "tf")
     if within is None:
         n, mean = F.lit(index.rows), F.lit(index.length)
     else:
@@ -76,7 +73,7 @@ def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: floa
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the query's terms
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return found.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))
+    return found.join(F.broadcast(df), "term").join(index.lengths(), "id").groupBy("id").agg(F.sum(part).alias("bm25"))
 
 
 def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: int = 10) -> DataFrame:
@@ -85,7 +82,7 @@ def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: i
     own = F.slice(F.array_sort(F.array_distinct(words(F.col(text))), lambda a, z: F.when(F.length(a) != F.length(z), F.length(z) - F.length(a)).when(a < z, -1).when(a > z, 1).otherwise(0)), 1, 3)
     queries = asked.select(F.col("id").alias("asked"), F.explode(own).alias("term"))
     table = index.table()
-    met = queries.join(table, "term")
+    met = queries.join(table, "term").join(index.lengths(), "id")
     df = table.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(index.length)))
