@@ -47,6 +47,9 @@ def bucket_of(term, buckets: int):
 def build(docs: DataFrame, weights: dict[str, float], buckets: int = 16, path: str | None = None) -> TextIndex:
     """docs: (id, text columns). A column's term counts are multiplied by its weight; a row's length counts all words alike. More rows want more buckets: a query reads one for each term. Postings are at `path`, the rows' lengths at <path>-lengths."""
     spark, path = docs.sparkSession, path or folder(docs.sparkSession)
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file of one row group: its words are cut by all cores
+        docs = docs.repartition(cores)
     each = None
     for c, w in weights.items():
         one = docs.select("id", F.lit(float(w)).alias("w"), F.explode(words(F.col(c))).alias("term"))
