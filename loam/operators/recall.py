@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.columns import normalised, visible
-from loam.operators.search import bm25_topk, bounded, floored, knn_topk, picked, rank, rrf
+from loam.operators.search import bm25_topk, bounded, floored, knn_topk, picked, rrf
 from loam.operators.text_index import TextIndex
 
 
@@ -51,14 +51,13 @@ def graph_search(entities: DataFrame, vectors: DataFrame, index: TextIndex, edge
 
 
 def reranked(results: DataFrame, scorer: Callable[[Column], Column], first: int = 20, top: int = 5, weight: float = 0.7) -> DataFrame:
-    """results: (id, score, content), a bounded list. The first `first` are scored by a model (a function of the content), min-max normalised and blended with their own scores; the best `top` of them stay, and all after the first."""
-    ordered = rank(results, F.desc("score"), "id")
-    head = ordered.filter(F.col("rank") <= first).withColumn("s", scorer(F.col("content")))
+    """results: (id, score, content, rank), a bounded list in the order of its ranks, which needn't be that of the scores: graph results follow the fused ones on a scale of their own. The first `first` are scored by a model (a function of the content), min-max normalised and blended with their own scores; the best `top` of them stay, and all after the first."""
+    head = results.filter(F.col("rank") <= first).withColumn("s", scorer(F.col("content")))
     w = Window.partitionBy(F.lit(0))
     low, high, n = F.min("s").over(w), F.max("s").over(w), F.count("*").over(w)
     s = F.when(n == 1, 1.0).when(high == low, 0.5).otherwise((F.col("s") - low) / (high - low))
-    best = head.withColumn("score", F.round(weight * s + (1 - weight) * F.col("score"), 6)).orderBy(F.desc("score"), "rank").limit(top)
-    return best.select("id", "score").unionByName(ordered.filter(F.col("rank") > first).select("id", F.round("score", 6).alias("score")))
+    best = head.withColumn("score", F.round(weight * s + (1 - weight) * F.col("score"), 5)).orderBy(F.desc("score"), "rank").limit(top)
+    return best.select("id", "score").unionByName(results.filter(F.col("rank") > first).select("id", F.round("score", 5).alias("score")))
 
 
 def appended(fused: DataFrame, graph: DataFrame) -> DataFrame:

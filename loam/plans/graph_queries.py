@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from loam.functions.columns import visible
 from loam.operators import graph, graph_store, temporal
 from loam.plans import tables as t
-from loam.plans.queries import INFORM, MEMBERS, bridge_table, graph_projection, nation_members, query
-from loam.plans.tables import NOW
+from loam.plans.queries import INFORM, MEMBERS, ORACLES, bridge_table, graph_projection, nation_members, query
+from loam.plans.tables import NOW, with_tables
 
 ALIASED = "al AS (SELECT *, [concat('aka ', lower(name)), concat('no ', id)] AS aliases FROM entities)"
 
@@ -226,7 +226,13 @@ def members_gained_lost(spark, d):
     return temporal.gained_lost(c.filter("generation = 1"), c.filter("generation = 2"))
 
 
-@query(None)
+PATTERNS = ", ".join(f"p{i} AS ({ORACLES[name]})" for i, name in enumerate(("entity_bursts", "topic_emergence", "topic_decay", "community_evolution"), 1))
+
+
+@query(f"""WITH {PATTERNS}, br AS ({with_tables("clusters", "SELECT entity_id, generation FROM clusters WHERE CAST(substr(cluster_id, 2) AS BIGINT) % 5 = generation")}), g AS (SELECT max(generation) AS z FROM br),
+y AS (SELECT max(generation) AS y FROM br, g WHERE generation < z), nb AS (SELECT list(DISTINCT entity_id ORDER BY entity_id) AS ids FROM br, g WHERE generation = z AND entity_id NOT IN (SELECT entity_id FROM br, y WHERE generation = y))
+SELECT 'entity_burst' AS kind, CAST(time_start AS VARCHAR) AS subject, n, CAST(confidence AS DOUBLE) AS confidence FROM p1 UNION ALL SELECT 'topic_emergence', CAST(time_start AS VARCHAR), n, confidence FROM p2 UNION ALL SELECT 'topic_decay', CAST(time_start AS VARCHAR), n, confidence FROM p3
+UNION ALL SELECT 'community_evolution', concat(change, ':', cluster_id), coalesce(current_size, previous_size), confidence FROM p4 UNION ALL SELECT 'bridge_formation', array_to_string(ids[1:3], ', '), len(ids), round(least(0.9, 0.5 + len(ids) * 0.1), 6) FROM nb WHERE len(ids) > 0""")
 def temporal_patterns(spark, d):
     """All five kinds in one list, best first; each kind has a query with SQL of its own."""
     c = t.clusters(spark, d)

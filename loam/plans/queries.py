@@ -280,12 +280,22 @@ def forget_log(spark, d):
     return log.select("memory_id", "op", F.md5("before").alias("before_md5"), "actor", "at")
 
 
-@query("s AS (SELECT m.id, e.ts FROM memories m JOIN exchanges e ON e.conversation_id IN (m.id % 50, (m.id * 3) % 70) AND e.exchange_index = 0) SELECT m.id, min(s.ts) AS event_ts FROM memories m LEFT JOIN s USING (id) GROUP BY m.id", "memories exchanges")
+TWICE = "nc AS (SELECT max(conversation_id) + 1 AS n FROM exchanges), tw AS (SELECT m.id, e.id AS x, e.ts, e.conversation_id FROM memories m, nc JOIN exchanges e ON e.conversation_id = m.id % nc.n UNION SELECT m.id, e.id, e.ts, e.conversation_id FROM memories m, nc JOIN exchanges e ON e.conversation_id = (m.id * 3) % nc.n)"
+
+
+def cites_twice(spark, d):
+    """Memories cite all exchanges of two conversations, and one in thirteen an exchange that is gone."""
+    m, e = t.memories(spark, d), t.exchanges(spark, d)
+    n = e.agg(F.max("conversation_id") + 1).first()[0]
+    rows = m.select("id", F.explode(F.array_distinct(F.array(F.col("id") % n, (F.col("id") * 3) % n))).alias("conversation_id")).join(e.select("conversation_id", F.col("id").alias("exchange_id")), "conversation_id", "right").filter("id IS NOT NULL").select("id", "exchange_id")
+    rows = rows.unionByName(m.filter("id % 13 = 0").select("id", F.lit("gone").alias("exchange_id")))
+    return m.select("id").join(rows.groupBy("id").agg(F.collect_list("exchange_id").alias("source_exchanges")), "id", "left"), e
+
+
+@query(TWICE + " SELECT m.id, min(tw.ts) AS event_ts FROM memories m LEFT JOIN tw USING (id) GROUP BY m.id", "memories exchanges")
 def memory_event_ts(spark, d):
-    e = t.exchanges(spark, d)
-    first = e.filter("exchange_index = 0").select("conversation_id", F.col("id").alias("exchange_id"))
-    cites = t.memories(spark, d).select("id", F.explode(F.array_distinct(F.array(F.col("id") % 50, (F.col("id") * 3) % 70))).alias("conversation_id")).join(first, "conversation_id", "left")
-    return lifecycle.reached_events(cites.groupBy("id").agg(F.collect_list("exchange_id").alias("source_exchanges")), e)
+    return lifecycle.reached_events(*cites_twice(spark, d))
+
 
 
 # Graph
@@ -553,23 +563,19 @@ def event_windows(spark, d):
 # Upkeep
 
 
-@query("""g AS (SELECT id FROM memories WHERE deleted_at IS NOT NULL), c AS (SELECT source, target, type, unnest(source_memories) AS id FROM relationships), h AS (SELECT source, target, type, count(*) AS n FROM c SEMI JOIN g USING (id) GROUP BY 1, 2, 3)
-SELECT r.source, r.target, r.type, greatest(1.0, weight - 0.5 * n) AS weight, len(source_memories) - n AS n_left, len(source_memories) - n <= 0 AS stale FROM relationships r JOIN h USING (source, target, type)""", "memories relationships")
+@query("""g AS (SELECT list(id) AS gone FROM memories WHERE deleted_at IS NOT NULL), h AS (SELECT r.*, len(list_filter(source_memories, lambda x: list_contains(gone, x))) AS n FROM relationships r, g)
+SELECT source, target, type, greatest(1.0, weight - 0.5 * n) AS weight, len(source_memories) - n AS n_left, len(source_memories) - n <= 0 AS stale FROM h WHERE n > 0""", "memories relationships")
 def detach_evidence(spark, d):
     from loam.operators import upkeep
 
     return upkeep.detach_evidence(t.relationships(spark, d), t.memories(spark, d).filter("deleted_at IS NOT NULL"))
 
 
-@query("""s AS (SELECT DISTINCT m.id, k.c, e.id AS x FROM memories m, (SELECT unnest([0, 1]) AS w) q, LATERAL (SELECT CASE WHEN w = 0 THEN m.id % 50 ELSE (m.id * 3) % 70 END AS c) k LEFT JOIN exchanges e ON e.conversation_id = k.c AND e.exchange_index = 0)
-SELECT id, count(x) AS n_cited, count(x) AS n_resolved, count(DISTINCT CASE WHEN x IS NOT NULL THEN c END) AS n_conversations FROM s GROUP BY id""", "memories exchanges")
+@query(TWICE + " SELECT m.id, count(x) + max(CASE WHEN m.id % 13 = 0 THEN 1 ELSE 0 END) AS n_cited, count(x) AS n_resolved, count(DISTINCT conversation_id) AS n_conversations FROM memories m LEFT JOIN tw USING (id) GROUP BY m.id", "memories exchanges")
 def memory_provenance(spark, d):
     from loam.operators import upkeep
 
-    e = t.exchanges(spark, d)
-    first = e.filter("exchange_index = 0").select("conversation_id", F.col("id").alias("exchange_id"))
-    cites = t.memories(spark, d).select("id", F.explode(F.array_distinct(F.array(F.col("id") % 50, (F.col("id") * 3) % 70))).alias("conversation_id")).join(first, "conversation_id", "left")
-    return upkeep.provenance(cites.groupBy("id").agg(F.collect_list("exchange_id").alias("source_exchanges")), e)
+    return upkeep.provenance(*cites_twice(spark, d))
 
 
 @query(f"SELECT id, deleted_at FROM memories WHERE deleted_at <= {NOW} - 115 * 86400", "memories")

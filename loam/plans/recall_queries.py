@@ -89,11 +89,11 @@ def semantic_recall_filtered(spark, d):
     return search.semantic(t.memories(spark, d), t.vectors(spark, d), t.text_index(spark, d, "memories"), TEXT_QUERY, q_vector(spark, d), NOW, kinds=["fact", "decision"], scopes=["global"]).select("id", "type", "score")
 
 
-@query("v AS (SELECT vec_id AS id, embedding FROM embeddings SEMI JOIN memories ON vec_id = id), " + knn_sql("k", "v", 30) + """, h AS (SELECT k.id, cosine, rank, CAST(length(content) % 17 AS DOUBLE) AS s FROM k JOIN memories USING (id)), b AS (SELECT id, rank, round(0.7 * (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) + (1 - 0.7) * cosine, 6) AS score FROM h WHERE rank <= 20)
-SELECT id, score FROM (SELECT * FROM b ORDER BY score DESC, rank LIMIT 5) UNION ALL SELECT id, cosine FROM k WHERE rank > 20""", "memories")
+@query("v AS (SELECT vec_id AS id, embedding FROM embeddings SEMI JOIN memories ON vec_id = id), " + knn_sql("k", "v", 30) + """, h AS (SELECT k.id, cosine, rank, CAST(length(content) % 17 AS DOUBLE) AS s FROM k JOIN memories USING (id)), b AS (SELECT id, rank, round(CAST(0.7 AS DOUBLE) * (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) + (1 - CAST(0.7 AS DOUBLE)) * cosine, 5) AS score FROM h WHERE rank <= 20)
+SELECT id, score FROM (SELECT * FROM b ORDER BY score DESC, rank LIMIT 5) UNION ALL SELECT id, round(cosine, 5) FROM k WHERE rank > 20""", "memories")
 def rerank(spark, d):
     m = t.memories(spark, d).select("id", "content")
-    near = search.bounded(search.knn_topk(t.vectors(spark, d).join(m.select("id"), "id", "left_semi"), q_vector(spark, d), 30).select("id", F.col("cosine").alias("score")))
+    near = search.bounded(search.knn_topk(t.vectors(spark, d).join(m.select("id"), "id", "left_semi"), q_vector(spark, d), 30).select("id", F.col("cosine").alias("score"), "rank"))
     return recall.reranked(search.picked(m, near), lambda content: (F.length(content) % 17).cast("double"))
 
 
