@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, jaccard, langid, media, packing, pii, substring, toxicity, vectors, warc
+from loam.llm import bpe, jaccard, langid, media, packing, pii, quality, substring, toxicity, vectors, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -65,8 +65,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_segments", "passages")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = _fold(5) != 0
+    model = quality.train(docs.filter(known), table(spark, sf_dir, "labels").filter(known))
+    return quality.score(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity, op11_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
