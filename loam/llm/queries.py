@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, jaccard, langid, media, packing, pii, quality, substring, toxicity, vectors, warc
+from loam.llm import bpe, jaccard, langid, media, negatives, packing, pii, quality, substring, toxicity, vectors, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -72,12 +72,17 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity, op11_quality)}
+    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity, op11_quality, op12_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vectors": OP1, "op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6}
+    return {"op1_vectors": OP1, "op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6, "op12_negatives": OP12}
 
 
 OP6 = """
@@ -138,3 +143,17 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT vec_id, coalesce(n.n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a) n USING (vec_id)
 """
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 3
+"""
