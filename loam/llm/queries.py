@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, jaccard, langid, media, negatives, packing, pii, quality, substring, toxicity, vectors, warc
+from loam.llm import bpe, jaccard, langid, media, negatives, packing, pii, quality, substring, toxicity, trie, vectors, warc
 from loam.llm.common import shared_dir, table
 
 
@@ -77,12 +77,16 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity, op11_quality, op12_negatives)}
+    return {f.__name__: f for f in (op1_vectors, op2_substring, op3_media, op4_jaccard, op5_pii, op6_warc, op7_packing, op8_langid, op9_bpe, op10_toxicity, op11_quality, op12_negatives, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vectors": OP1, "op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6, "op12_negatives": OP12}
+    return {"op1_vectors": OP1, "op2_substring": OP2, "op4_jaccard": OP4, "op6_warc": OP6, "op12_negatives": OP12, "op13_trie": OP13}
 
 
 OP6 = """
@@ -157,3 +161,22 @@ n AS (
 )
 SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 3
 """
+
+# DuckDB has no crc32: its table comes from eight steps for each byte.
+OP13 = """
+WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+n AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o), tab
+),
+r AS (SELECT n.c, o.role, o.text, 0 AS own, o.p FROM n JOIN o ON o.c = n.base WHERE o.p <= n.h UNION ALL SELECT c, role, text, 1, p FROM o JOIN n USING (c) WHERE p > h),
+s AS (SELECT c, row_number() OVER w AS d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY own, p ROWS UNBOUNDED PRECEDING) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+a AS (SELECT c, d, k, words FROM s UNION ALL SELECT c, 0, '', 0 FROM n),
+l AS (SELECT c, max(d) AS l FROM a GROUP BY c),
+v AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = l), '')) AS ends_sha256 FROM a JOIN l USING (c) GROUP BY k, d),
+e AS (SELECT x.k, count(y.k) AS n_children FROM v x LEFT JOIN v y ON y.d > 0 AND left(y.k, length(y.k) - 64) = x.k GROUP BY x.k),
+t AS (SELECT left(k, 64 * x) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT v.*, n_children, unnest(range(0, d + 1)) AS x FROM v JOIN e USING (k)) GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, e.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN e USING (k) JOIN t USING (k) LEFT JOIN v p ON v.d > 0 AND p.k = left(v.k, length(v.k) - 64)
+"""
