@@ -124,52 +124,3 @@ def explore(edges: DataFrame, centre: str, depth: int = 2, types: list[str] | No
         front = save(step.select(F.col("other").alias("node")).distinct().join(walked, "node", "left_anti"))
         walked = walked.unionByName(front)
     return reported.select("node", "hop", "weight")
-
-
-def communities(graph: DataFrame, rounds: int | None = None, levels: int = 20) -> DataFrame:
-    """Louvain's modularity optimisation over Spark joins: (node, community). At every level nodes move between neighbouring communities until that raises the modularity no more; then communities become the nodes of the next level, their edges summed, until a level gains nothing. A graph of one node or none is its own community.
-
-    graph: (a, b, weight), undirected. `rounds` ends a level's moves early. Every round is written, which cuts the lineage."""
-    ways = save(both_ways(graph.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight"), "weight"))
-    of = save(ways.select("node").distinct().select("node", F.col("node").alias("community")))
-    for _ in range(levels):
-        moved, gained = _moves(ways, rounds)
-        if not gained:
-            break
-        of = save(of.join(moved.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community")))
-        ends = ways.join(moved, "node").select(F.col("community").alias("node"), F.col("other"), "weight").join(moved.select(F.col("node").alias("other"), F.col("community").alias("to")), "other")
-        ways = save(ends.groupBy("node", F.col("to").alias("other")).agg(F.sum("weight").alias("weight")))
-    return of
-
-
-def _moves(ways: DataFrame, rounds: int | None) -> tuple[DataFrame, bool]:
-    """ways: (node, other, weight), every edge from either end, a loop with twice its weight. One level's local moves: in each round the nodes of one hash half move to the neighbouring community of the largest gain, until two rounds don't raise the modularity. The best state (node, community), and whether it is better than every node alone."""
-    degree = save(ways.groupBy("node").agg(F.sum("weight").alias("k")))
-    two_m = degree.agg(F.sum("k").alias("two_m"))
-
-    def quality(state: DataFrame) -> float | None:
-        inside = ways.join(state.select("node", "community"), "node").join(state.select(F.col("node").alias("other"), F.col("community").alias("there")), "other").agg(F.sum(F.when(F.col("community") == F.col("there"), F.col("weight")).otherwise(0.0)).alias("w"))
-        squares = state.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("s"))
-        w, s, m = inside.join(squares).join(two_m).first()
-        return w / m - s / (m * m) if m else None
-
-    state = save(degree.select("node", F.col("node").alias("community"), "k"))
-    best_state, best_value, still, r = state, quality(state), 0, 0
-    gained = False
-    while best_value is not None and still < 2 and (rounds is None or r < rounds):
-        total = state.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = ways.filter("node <> other").join(state.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        near = near.unionByName(state.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        moves = near.join(total, "community").join(state.select("node", F.col("community").alias("home"), "k"), "node").join(F.broadcast(two_m))
-        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("home"), F.col("k")).otherwise(F.lit(0.0))) / F.col("two_m")
-        best = moves.groupBy("node").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("home"), "community")).alias("best"))
-        stay = F.pmod(F.xxhash64("node"), F.lit(2)) != r % 2
-        state = save(state.join(best, "node").select("node", F.when(stay, F.col("community")).otherwise(F.col("best")).alias("community"), "k"))
-        # A half at rest leaves the modularity as it is, so two rounds without a rise end it.
-        value = quality(state)
-        if value > best_value + 1e-9:
-            best_state, best_value, still, gained = state, value, 0, True
-        else:
-            still += 1
-        r += 1
-    return best_state.select("node", "community"), gained

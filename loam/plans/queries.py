@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import fixed
 from loam.functions.columns import content_hash, noise_name, token_estimate, visible
-from loam.operators import corpus, episodes, graph, ledger, lifecycle, search, temporal
+from loam.operators import corpus, episodes, graph, ledger, lifecycle, louvain, search, temporal
 from loam.plans import tables as t
 from loam.plans.tables import NOW, with_tables
 
@@ -398,8 +398,8 @@ def explore_bfs(spark, d):
 
 @query(None)
 def communities(spark, d):
-    """Rows only: tests hold its modularity against that of the planted groups."""
-    return graph.communities(graph_projection(spark, d))
+    """Rows only: tests hold its modularity against that of plain sequential moves."""
+    return louvain.communities(graph_projection(spark, d), t.entities(spark, d).select(F.col("id").alias("node")))
 
 
 # Temporal patterns

@@ -46,36 +46,6 @@ def test_contract(spark):
     assert entry.entry(spark).count() == 10
 
 
-def test_communities_reach_the_planted_groups(spark):
-    from loam.operators import graph
-
-    clique = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xy" for i in range(6) for j in range(i + 1, 6)] + [("x0", "y0", 1.0)]
-    edges = spark.createDataFrame(clique, "a string, b string, weight double")
-    found = {r["node"]: r["community"] for r in graph.communities(edges, 8).collect()}
-    assert len(found) == 12
-    value = graph.modularity(edges, spark.createDataFrame(list(found.items()), "node string, community string")).first()[0]
-    assert value >= 0.4
-    assert len({found[f"x{i}"] for i in range(6)}) == len({found[f"y{i}"] for i in range(6)}) == 1 and found["x0"] != found["y0"]
-    ring = spark.createDataFrame([(f"{g:02}{i}", f"{g:02}{j}", 1.0) for g in range(12) for i in range(4) for j in range(i + 1, 4)] + [(f"{g:02}0", f"{(g + 1) % 12:02}1", 1.0) for g in range(12)], "a string, b string, weight double")
-    found = graph.communities(ring)
-    assert graph.modularity(ring, found).first()[0] >= 0.7
-    assert graph.communities(ring.limit(0)).count() == 0
-
-
-def test_communities_cover_the_whole_graph(spark):
-    from loam.operators import graph
-    from loam.plans.queries import QUERIES
-
-    d = "/root/testdata/sf0.001"
-    edges = QUERIES["graph_projection"](spark, d)
-    found = QUERIES["communities"](spark, d)
-    nodes = {x for r in edges.collect() for x in (r["a"], r["b"])}
-    got = [r["node"] for r in found.collect()]
-    assert len(got) == len(nodes) and set(got) == nodes and any(x.startswith("p") for x in got)
-    alone = spark.createDataFrame([(x, x) for x in nodes], "node string, community string")
-    assert graph.modularity(edges, found).first()[0] > max(0.0, graph.modularity(edges, alone).first()[0])
-
-
 def test_chunks_at_the_borders(spark):
     from loam.operators.episodes import chunk_plan
 
