@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.columns import dot, norm, visible
-from loam.operators.graph import bridge_span, explore
-
-MOST_EDGES = 2_000_000
+from loam.operators.graph import explore
 
 
 def by_name(entities: DataFrame, name: str) -> DataFrame:
@@ -140,67 +134,6 @@ def fallback_names(members: DataFrame, entities: DataFrame, shown: int = 3) -> D
     return out.select("community", F.concat(F.lit("Community "), F.col("community").cast("string")).alias("name"), F.concat(F.array_join("top.name", ", "), more).alias("description"))
 
 
-def _brandes(adjacency: dict[str, list[tuple[str, float]]], source: str, score: dict[str, float]) -> None:
-    """Adds one source's dependencies; an edge's weight is its length."""
-    dist, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
-    done, heap = set(), [(0.0, source)]
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for w, length in adjacency[v]:
-            if w in done:
-                continue
-            at = d + length
-            if w not in dist or at < dist[w]:
-                dist[w], paths[w], before[w] = at, paths[v], [v]
-                heapq.heappush(heap, (at, w))
-            elif at == dist[w]:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-        if w != source:
-            score[w] = score.get(w, 0.0) + share[w]
-
-
-def betweenness(graph: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
-    """graph: (a, b, weight), undirected. (node, betweenness), normalised by the pairs of other nodes; weights are lengths. Sources are spread over tasks, each of which holds the whole graph, so a graph of over `most_edges` edges is refused: an exact answer for it is out of reach for any number of machines."""
-    if graph.count() > most_edges:
-        raise ValueError(f"betweenness: more than {most_edges} edges")
-    adjacency: dict[str, list[tuple[str, float]]] = {}
-    for a, b, w in graph.select("a", "b", F.col("weight").cast("double")).collect():
-        adjacency.setdefault(a, []).append((b, w))
-        adjacency.setdefault(b, []).append((a, w))
-    spark, n = graph.sparkSession, len(adjacency)
-    held = spark.sparkContext.broadcast(adjacency)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score: dict[str, float] = {}
-        for part in parts:
-            for source in part["node"]:
-                _brandes(held.value, source, score)
-        if score:
-            yield pd.DataFrame({"node": list(score), "s": list(score.values())})
-
-    nodes = spark.createDataFrame([(x,) for x in sorted(adjacency)], "node string")
-    tasks = min(max(1, n), 4 * spark.sparkContext.defaultParallelism)
-    sums = nodes.repartition(tasks).mapInPandas(run, "node string, s double").groupBy("node").agg(F.sum("s").alias("s"))
-    scale = max(1, (n - 1) * (n - 2))  # each pair is counted from both ends
-    return nodes.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / scale).alias("betweenness"))
-
-
-def bridges(graph: DataFrame, members: DataFrame) -> DataFrame:
-    """Nodes of a community with betweenness times the communities around them above 0, best first."""
-    span = bridge_span(graph, members).join(members.select("node"), "node", "left_semi")
-    out = betweenness(graph).join(span, "node").withColumn("bridge_score", F.col("betweenness") * F.col("community_span"))
-    return out.filter("bridge_score > 0").orderBy(F.desc("bridge_score"), "node")
-
-
 def explore_entity(edges: DataFrame, entities: DataFrame, clusters: DataFrame, name: str, depth: int = 1, types: list[str] | None = None, limit: int = 25, scopes: list[str] | None = None) -> DataFrame:
     """The neighbourhood of a named entity: strongest first, cut to the limit and then to the scopes, each with the centre's first community (by generation and id) and its size."""
     centre = by_name(entities, name)
@@ -218,50 +151,6 @@ def explore_entity(edges: DataFrame, entities: DataFrame, clusters: DataFrame, n
     return rows.join(F.broadcast(size)).select("node", "name", "type", "hop", "weight", "community", "community_size")
 
 
-def explore_selective(edges: DataFrame, entities: DataFrame, centre: str, relevance: DataFrame | None, depth: int = 3, most: int = 50, threshold: float = 0.3, types: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Level by level from the centre, on through nodes that are relevant enough (relevance: (id, score); None: all are). Nodes (id, hop, relevance, path), at most `most`; the edges seen between them, by name; and how many were pruned.
-
-    A node counts where its first neighbour in order meets it; an edge counts even if the node it leads to is pruned, but is shown only if both names are among the nodes kept. Every level's list is bounded by `most` times a node's neighbours and is held by the driver."""
-    spark = edges.sparkSession
-    names = entities.select("id", "name")
-    ways = _directed(edges)
-    if types:
-        ways = ways.filter(F.col("type").isin(*types))
-    start = names.filter(F.col("id") == centre).first()["name"]
-    front, seen, nodes, links, pruned = [(centre, [start])], {centre}, [], [], 0
-    for hop in range(1, min(max(depth, 1), 5) + 1):
-        if not front or len(nodes) >= most:
-            break
-        order = {i: n for n, (i, _) in enumerate(front)}
-        step = ways.filter(F.col("node").isin(list(order))).join(names.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other")
-        step = step.join(relevance.select(F.col("id").alias("other"), "score"), "other", "left") if relevance is not None else step.withColumn("score", F.lit(1.0))
-        # Of the edges between two nodes the strongest is met; then the neighbours of a node in order of weight and id.
-        best = step.groupBy("node", "other").agg(F.max_by(F.struct("type", "weight", "out", "other_name", F.coalesce("score", F.lit(0.0)).alias("score")), F.struct("weight", "type")).alias("e"))
-        paths, nxt = dict(front), []
-        for r in sorted(best.collect(), key=lambda r: (order[r["node"]], -r["e"]["weight"], r["other"])):
-            if r["other"] in seen:
-                continue
-            seen.add(r["other"])
-            e, own = r["e"], paths[r["node"]][-1]
-            links.append((own, e["other_name"], e["type"], e["weight"]) if e["out"] else (e["other_name"], own, e["type"], e["weight"]))
-            score = min(1.0, max(0.0, e["score"]))
-            if (relevance is not None and score < threshold) or len(nodes) >= most:
-                pruned += 1
-                continue
-            path = [*paths[r["node"]], e["other_name"]]
-            nodes.append((r["other"], hop, float(score), path))
-            nxt.append((r["other"], path))
-        front = nxt
-    kept = {start, *(p[-1] for *_, p in nodes)}
-    shown = [x for x in links if x[0] in kept and x[1] in kept]
-    return spark.createDataFrame(nodes, "id string, hop long, relevance double, path array<string>"), spark.createDataFrame(shown, "source string, target string, type string, weight double"), pruned
-
-
-def _directed(edges: DataFrame) -> DataFrame:
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "weight", F.lit(True).alias("out"))
-    return out.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "weight", F.lit(False).alias("out")))
-
-
 def threshold(entities: DataFrame, edges: DataFrame, low: int = 1500, high: int = 4000) -> DataFrame:
     """The mention count from 1 to 100 at which a picture of the graph keeps the most edges for its nodes: of those that leave `low` to `high` nodes (or are 1) the one with the largest share of edges over share of nodes, if that is 1 or more, the later of equals; else all, or the first that leaves at most `high` nodes where all are more."""
     m = entities.select("id", "mention_count")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions.columns import visible
-from loam.operators import graph, graph_store, temporal
+from loam.operators import centrality, exploration, graph, graph_store, louvain, temporal
 from loam.plans import tables as t
 from loam.plans.queries import INFORM, MEMBERS, ORACLES, bridge_table, graph_projection, nation_members, query
 from loam.plans.tables import NOW, with_tables
@@ -150,8 +150,9 @@ def community_names(spark, d):
 
 @query(None)
 def bridge_entities(spark, d):
-    """No SQL form: weighted shortest paths from every node. Tests hold it against brute force."""
-    return graph_store.bridges(graph_projection(spark, d), nation_members(spark, d))
+    """No SQL form: weighted shortest paths from every node. Tests hold it against brute force. The communities are those of the graph itself, so any node may be a bridge."""
+    g, nodes = graph_projection(spark, d), t.entities(spark, d).select(F.col("id").alias("node"))
+    return centrality.bridges(g, louvain.communities(g, nodes), nodes)
 
 
 @query("""y AS (SELECT source AS n, target AS o, type, weight FROM relationships UNION ALL SELECT target, source, type, weight FROM relationships),
@@ -168,7 +169,7 @@ def explore_selective(spark, d):
     """No SQL form: nodes are taken in order until there are enough. Tests hold it against a plain walk."""
     e = t.entities(spark, d)
     score = e.select("id", (F.coalesce(F.col("mention_count"), F.lit(0)) % 10 / 10.0).alias("score"))
-    return graph_store.explore_selective(t.relationships(spark, d), e, "s1", score)[0].select("id", "hop", "relevance", F.array_join("path", " / ").alias("path"))
+    return exploration.selective(t.relationships(spark, d), e, "s1", score).nodes.select("id", "hop", "relevance", F.array_join("path", " / ").alias("path"))
 
 
 @query("""h AS (SELECT DISTINCT mention_count AS t FROM entities WHERE mention_count BETWEEN 1 AND 100), a AS (SELECT (SELECT count(*) FROM entities) AS an, (SELECT count(*) FROM relationships) AS ae),

@@ -1,4 +1,4 @@
-"""Tables written between the rounds of iterative operators."""
+"""Tables written between the rounds of iterative operators, and code sent to the executors."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import functools
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,19 @@ def save(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: workers elsewhere have no path to it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        out = Path(tempfile.mkdtemp(prefix="spark-")) / "loam_core.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "loam").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(out))
+        _shipped.add(app)

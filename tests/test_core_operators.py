@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loam.operators import consolidation, graph_store, temporal
+from loam.operators import centrality, consolidation, exploration, graph_store, temporal
 
 
 def brute_betweenness(edges):
@@ -40,17 +41,24 @@ def brute_betweenness(edges):
     [(a, b, 2.0) for g in (["a1", "a2", "a3"], ["b1", "b2", "b3", "b4"]) for a, b in itertools.combinations(g, 2)] + [("a1", "bridge", 0.5), ("b1", "bridge", 0.5)],
     [("p", "q", 1.0), ("q", "r", 1.0), ("p", "s", 1.0), ("s", "r", 1.0), ("p", "r", 3.0), ("r", "t", 0.5)],
 ])
-def test_betweenness_equals_brute_force(spark, edges):
+@pytest.mark.parametrize("block", [2, 512])
+def test_betweenness_equals_brute_force(spark, edges, block):
     df = spark.createDataFrame(edges, "a string, b string, weight double")
-    got = {r["node"]: r["betweenness"] for r in graph_store.betweenness(df).collect()}
+    got = {r["node"]: r["betweenness"] for r in centrality.betweenness(df, block=block, wave=2).collect()}
     want = brute_betweenness(edges)
     assert got.keys() == want.keys() and all(np.isclose(got[x], want[x]) for x in want)
     members = spark.createDataFrame([(x, x[0]) for x in want], "node string, community string")
-    found = graph_store.bridges(df, members).collect()
+    found = centrality.bridges(df, members).collect()
     near = {x: {x[0]} | {b[0] for a, b, _ in edges if a == x} | {a[0] for a, b, _ in edges if b == x} for x in want}
     assert [r["node"] for r in found] == sorted((x for x in want if want[x] > 0), key=lambda x: (-round(want[x] * len(near[x]), 12), x))
-    with pytest.raises(ValueError):
-        graph_store.betweenness(df, 3)
+
+
+def test_betweenness_counts_isolated_nodes(spark):
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.0), ("b", "b", 1.0)], "a string, b string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in "abcdz"], "node string")
+    got = {r["node"]: r["betweenness"] for r in centrality.betweenness(df, nodes).collect()}
+    assert got.keys() == set("abcdz") and np.isclose(got["b"], 1 / 6) and sum(got.values()) == got["b"]
+    assert {r["betweenness"] for r in centrality.betweenness(df.limit(0), nodes).collect()} == {0.0}
 
 
 def test_selective_exploration(spark):
@@ -58,14 +66,21 @@ def test_selective_exploration(spark):
     e = spark.createDataFrame(edges, "source string, target string, type string, weight double")
     names = spark.createDataFrame([(x, x.upper()) for x in "abcdefx"], "id string, name string")
     score = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("d", 0.5), ("e", 2.0), ("x", 0.3)], "id string, score double")
-    nodes, links, pruned = graph_store.explore_selective(e, names, "c", score)
-    assert [tuple(r) for r in nodes.collect()] == [("x", 1, 0.3, ["C", "X"]), ("a", 1, 0.9, ["C", "A"]), ("e", 2, 1.0, ["C", "A", "E"]), ("d", 2, 0.5, ["C", "A", "D"])]
-    assert pruned == 2  # b is not relevant, f is unknown
-    assert {tuple(r)[:3] for r in links.collect()} == {("X", "C", "uses"), ("C", "A", "uses"), ("E", "A", "uses"), ("A", "D", "uses")}
-    nodes, _, pruned = graph_store.explore_selective(e, names, "c", None, most=2)
-    assert [r["id"] for r in nodes.collect()] == ["x", "a"] and pruned == 1
-    nodes, _, _ = graph_store.explore_selective(e, names, "c", None, depth=1, types=["uses"])
-    assert [r["id"] for r in nodes.collect()] == ["x", "a", "b"]
+    x = exploration.selective(e, names, "c", score)
+    told = lambda x: [(r["id"], r["hop"], r["relevance"], r["path"]) for r in x.nodes.collect()]
+    assert told(x) == [("x", 1, 0.3, ["C", "X"]), ("a", 1, 0.9, ["C", "A"]), ("e", 2, 1.0, ["C", "A", "E"]), ("d", 2, 0.5, ["C", "A", "D"])]
+    assert x.pruned == 2  # b is not relevant, f is unknown
+    assert {tuple(r)[:3] for r in x.links.collect()} == {("X", "C", "uses"), ("C", "A", "uses"), ("E", "A", "uses"), ("A", "D", "uses")}
+    x = exploration.selective(e, names, "c", None, most=2)
+    assert [r[0] for r in told(x)] == ["x", "a"] and x.pruned == 1
+    # Two nodes at the first level, so three more: the first fills the number with one left over, and the second meets nobody.
+    x = exploration.selective(e, names.filter("id <> 'x'"), "c", None, most=3)
+    assert [r[0] for r in told(x)] == ["a", "b", "e"] and x.pruned == 1
+    assert [r[0] for r in told(exploration.selective(e, names, "c", None, depth=1, types=["uses"]))] == ["x", "a", "b"]
+    scoped = names.withColumn("scope", F.when(F.col("id") == "a", "tenant:z").otherwise("global"))
+    assert [r[0] for r in told(exploration.selective(e, scoped, "c", None, scopes=["global"]))] == ["x", "b", "e"]
+    alone = exploration.selective(e.filter("source = 'none'"), names, "c", score)
+    assert told(alone) == [] and alone.links.count() == 0 and alone.pruned == 0
 
 
 def test_near_collapse_equals_a_loop(spark):
