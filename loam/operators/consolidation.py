@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,32 +36,6 @@ def collapse_batches(facts: DataFrame) -> DataFrame:
     return best.join(src, "key", "left").select("at.batch", "at.pos", "w.content", "w.confidence", "w.importance", F.coalesce("w.context", "said").alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "n_merged")
 
 
-def collapse_near(facts: DataFrame, least: float = MERGE) -> DataFrame:
-    """facts: (batch, pos, confidence, importance, embedding). Inside each batch, in order, a fact joins the first survivor whose vector is near enough, or survives; a survivor's vector is that of its best member. (batch, pos, survivor): the place of the fact it became part of. A batch is what one conversation's extraction gave: its fold is sequential, and runs beside the others."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        vec = np.array(rows["embedding"].tolist(), np.float64)
-        size = np.linalg.norm(vec, axis=1, keepdims=True)
-        unit = np.divide(vec, size, out=np.zeros_like(vec), where=size > 0)
-        held, best, into, kept = np.zeros_like(unit), [], [], []
-        for i, (p, c, m) in enumerate(zip(rows["pos"], rows["confidence"], rows["importance"], strict=True)):
-            near = np.flatnonzero(held[: len(kept)] @ unit[i] >= least)
-            if len(near):
-                j = int(near[0])
-                if (c, m) > best[j]:
-                    best[j], held[j] = (c, m), unit[i]
-            else:
-                j = len(kept)
-                held[j] = unit[i]
-                kept.append(p)
-                best.append((c, m))
-            into.append(kept[j])
-        return pd.DataFrame({"batch": rows["batch"], "pos": rows["pos"], "survivor": into})
-
-    return facts.select("batch", "pos", "confidence", "importance", "embedding").groupBy("batch").applyInPandas(fold, "batch long, pos long, survivor long")
-
-
 def nearest(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
     """facts, a bounded batch: (fact_id, scope, content, embedding); memories: (id, scope, content, embedding). The k nearest memories of each fact in its scope: (fact_id, id, cosine, n, fact, content)."""
     f = F.broadcast(facts.select("fact_id", F.coalesce("scope", F.lit("global")).alias("scope"), F.col("content").alias("fact"), F.col("embedding").alias("q")))

@@ -1,71 +1,169 @@
-"""A written full-text index: postings by term bucket, built with one scan of the texts.
+"""A stored full-text index: sorted postings in segments under a manifest.
 
-A query reads the files of its terms' buckets only, whatever the corpus holds; a restriction to some rows counts statistics and document frequencies among those rows.
+A segment holds the postings (term, id, tf, uses, dl) of the rows of one insert, sorted by term and id over files, so that a frequent term is spread over several files and a query opens only the files whose range of terms it needs; the row's length lies in each posting, so that scores need no other table. A delete writes the ids as a tombstone for all segments before it; an upsert does both. A version of the index is one small manifest file, created once, that names segments and tombstones; readers keep the version they opened, and of two writers that start from one version the second fails. Merging rewrites what is left into one segment. A query restricted to some rows counts statistics and document frequencies among those rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loam.functions.columns import query_terms, words
+from loam.sources.files import create, delete, names, read
 from loam.sources.scratch import folder
 
+MOST_SEGMENTS = 8  # an insert that makes more merges them
+
 
 @dataclass
 class TextIndex:
     spark: SparkSession
     path: str
-    buckets: int
-    rows: int  # indexed rows, those without words too
-    length: float  # their average number of words
-    schema: StructType
+    weights: dict[str, float]
+    id_type: str
+    version: int = 0
+    segments: list[dict] = field(default_factory=list)  # name, number, files: (file, first term, last term)
+    tombstones: list[dict] = field(default_factory=list)  # name, number: of rows in segments with smaller numbers
+    rows: int = 0  # indexed rows, those without words too
+    words: int = 0  # of all rows
+
+    @property
+    def length(self) -> float:
+        """The average number of words of a row."""
+        return self.words / self.rows if self.rows else 0.0
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> TextIndex | None:
+        """The latest version at a path, without reading anything but its manifest; None if there is none."""
+        found = sorted(n for n in names(spark, path) if n.startswith("manifest-"))
+        return TextIndex(spark, path, **json.loads(read(spark, f"{path}/{found[-1]}"))) if found else None
+
+    def _commit(self, **changes) -> TextIndex:
+        state = {k: getattr(self, k) for k in ("weights", "id_type", "segments", "tombstones", "rows", "words")} | changes | {"version": self.version + 1}
+        create(self.spark, f"{self.path}/manifest-{state['version']:012d}.json", json.dumps(state))
+        return TextIndex(self.spark, self.path, **state)
+
+    def _read(self, segment: dict, files: list[str]) -> DataFrame:
+        schema = f"term string, id {self.id_type}, tf double, uses bigint, dl bigint"
+        table = self.spark.read.schema(schema).parquet(*[f"{self.path}/{segment['name']}/postings/{f}" for f in files]) if files else self.spark.createDataFrame([], schema)
+        return self._alive(table, segment["number"])
+
+    def _alive(self, rows: DataFrame, number: int) -> DataFrame:
+        gone = [f"{self.path}/{t['name']}" for t in self.tombstones if t["number"] > number]
+        return rows.join(self.spark.read.schema(f"id {self.id_type}").parquet(*gone), "id", "left_anti") if gone else rows
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """(id, term, tf) of the terms."""
-        table = self.table()
-        if not terms:
-            return table.limit(0).drop("bucket")
-        hashed = self.spark.range(1).select(F.array(*[bucket_of(F.lit(t), self.buckets) for t in terms])).first()[0]
-        return table.filter(F.col("bucket").isin(*set(hashed)) & F.col("term").isin(*terms)).drop("bucket")
+        """(term, id, tf, uses, dl) of the terms, from the files that may hold them."""
+        out = None
+        for s in self.segments:
+            files = [f for f, low, high in s["files"] if any(low <= t <= high for t in terms)]
+            if files:
+                one = self._read(s, files).filter(F.col("term").isin(*terms))
+                out = one if out is None else out.unionByName(one)
+        return self._read({"name": "", "number": 0}, []) if out is None else out
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        """All postings."""
+        out = self._read({"name": "", "number": 0}, [])
+        for s in self.segments:
+            out = out.unionByName(self._read(s, [f for f, *_ in s["files"]]))
+        return out
 
     def lengths(self) -> DataFrame:
-        """(id, dl) of the rows with words."""
-        return self.spark.read.schema(self.schema["id"].simpleString().replace(":", " ", 1) + ", dl bigint").parquet(f"{self.path}-lengths")
-
-
-def bucket_of(term, buckets: int):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build(docs: DataFrame, weights: dict[str, float], buckets: int = 16, path: str | None = None) -> TextIndex:
-    """docs: (id, text columns). A column's term counts are multiplied by its weight; a row's length counts all words alike. More rows want more buckets: a query reads one for each term. Postings are at `path`, the rows' lengths at <path>-lengths."""
-    spark, path = docs.sparkSession, path or folder(docs.sparkSession)
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a file of one row group: its words are cut by all cores
-        docs = docs.repartition(cores)
-    each = None
-    for c, w in weights.items():
-        one = docs.select("id", F.lit(float(w)).alias("w"), F.explode(words(F.col(c))).alias("term"))
-        each = one if each is None else each.unionByName(one)
-    terms = each.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("uses")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
-    out = TextIndex(spark, path, buckets, docs.count(), 0.0, terms.schema)
-    out.table().groupBy("id").agg(F.sum("uses").alias("dl")).write.parquet(f"{path}-lengths")
-    out.length = (out.lengths().agg(F.sum("dl")).first()[0] or 0) / out.rows if out.rows else 0.0
-    return out
+        """(id, dl) of all rows, 0 for those without words."""
+        schema = f"id {self.id_type}, dl bigint"
+        out = self.spark.createDataFrame([], schema)
+        for s in self.segments:
+            out = out.unionByName(self._alive(self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/rows"), s["number"]))
+        return out
+
+    def _number(self) -> int:
+        return 1 + max((x["number"] for x in self.segments + self.tombstones), default=0)
+
+    def _written(self, docs: DataFrame, number: int) -> tuple[dict, int, int]:
+        """A segment of new rows, their number and that of their words. The texts are cut once."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:  # a file of one row group: its words are cut by all cores
+            docs = docs.repartition(cores)
+        cut = docs.select("id", *[words(F.col(c)).alias(c) for c in self.weights])
+        cut = cut.withColumn("dl", sum((F.size(c) for c in self.weights), F.lit(0)).cast("long"))
+        each = None
+        for c, w in self.weights.items():
+            one = cut.select("id", "dl", F.lit(float(w)).alias("w"), F.explode(c).alias("term"))
+            each = one if each is None else each.unionByName(one)
+        terms = each.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("uses"), F.max("dl").alias("dl"))
+        segment = self._stored(terms.select("term", "id", "tf", "uses", "dl"), number)
+        known = self._read(segment, [f for f, *_ in segment["files"]]).select("id", "dl").distinct()
+        return self._with_rows(segment, docs.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl")))
+
+    def _stored(self, postings: DataFrame, number: int) -> dict:
+        name = f"segment-{uuid.uuid4().hex}"
+        at = f"{self.path}/{name}/postings"
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(at)
+        file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+        ranges = self.spark.read.schema("term string").parquet(at).groupBy(file).agg(F.min("term").alias("low"), F.max("term").alias("high"))
+        return {"name": name, "number": number, "files": [list(r) for r in ranges.orderBy("low").collect()]}  # a row for each file
+
+    def _with_rows(self, segment: dict, rows: DataFrame) -> tuple[dict, int, int]:
+        at = f"{self.path}/{segment['name']}/rows"
+        rows.write.parquet(at)
+        n, total = self.spark.read.schema(f"id {self.id_type}, dl bigint").parquet(at).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return segment, n, total
+
+    def insert(self, docs: DataFrame) -> TextIndex:
+        """docs: (id, text columns), ids that the index hasn't; the next version."""
+        segment, n, total = self._written(docs, self._number())
+        out = self._commit(segments=[*self.segments, segment], rows=self.rows + n, words=self.words + total)
+        return out.merge() if len(out.segments) > MOST_SEGMENTS else out
+
+    def _buried(self, ids: DataFrame) -> tuple[dict, int, int]:
+        name, number = f"tombstone-{uuid.uuid4().hex}", self._number()
+        ids.select(F.col("id").cast(self.id_type)).distinct().write.parquet(f"{self.path}/{name}")
+        gone = self.lengths().join(self.spark.read.schema(f"id {self.id_type}").parquet(f"{self.path}/{name}"), "id", "left_semi")
+        n, total = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return {"name": name, "number": number}, n, total
+
+    def delete(self, ids: DataFrame) -> TextIndex:
+        """Without the rows named (id); unknown ids don't matter."""
+        tomb, n, total = self._buried(ids)
+        return self._commit(tombstones=[*self.tombstones, tomb], rows=self.rows - n, words=self.words - total)
+
+    def upsert(self, docs: DataFrame) -> TextIndex:
+        """docs: (id, text columns), new ones or in place of those with their ids, in one version."""
+        tomb, n, total = self._buried(docs)
+        segment, more, said = self._written(docs, tomb["number"] + 1)
+        out = self._commit(segments=[*self.segments, segment], tombstones=[*self.tombstones, tomb], rows=self.rows - n + more, words=self.words - total + said)
+        return out.merge() if len(out.segments) > MOST_SEGMENTS else out
+
+    def merge(self) -> TextIndex:
+        """One segment without tombstones, from the postings: the texts aren't read."""
+        if len(self.segments) <= 1 and not self.tombstones:
+            return self
+        segment, n, total = self._with_rows(self._stored(self.table().select("term", "id", "tf", "uses", "dl"), self._number()), self.lengths())
+        return self._commit(segments=[segment], tombstones=[], rows=n, words=total)
+
+    def vacuum(self) -> None:
+        """Delete what this version, the latest, doesn't name; readers of older versions lose their files."""
+        used = {x["name"] for x in self.segments + self.tombstones} | {f"manifest-{self.version:012d}.json"}
+        for n in names(self.spark, self.path):
+            if n not in used:
+                delete(self.spark, f"{self.path}/{n}")
+
+
+def build(docs: DataFrame, weights: dict[str, float], path: str | None = None) -> TextIndex:
+    """docs: (id, text columns), ids unique. A column's term counts are multiplied by its weight; a row's length counts all words alike."""
+    empty = TextIndex(docs.sparkSession, path or folder(docs.sparkSession), weights, docs.schema["id"].dataType.simpleString())
+    return empty.insert(docs)
 
 
 def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, terms: list[str] | None = None) -> DataFrame:
     """(id, bm25) of the rows that hold a term; `within` (id): only these rows count and are found."""
     terms = query_terms(query) if terms is None else terms
-    found = index.postings(terms).select("id", "term", "tf")
+    found = index.postings(terms).select("id", "term", "tf", "dl")
     if within is None:
         n, mean = F.lit(index.rows), F.lit(index.length)
     else:
@@ -76,7 +174,7 @@ def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: floa
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the query's terms
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return found.join(F.broadcast(df), "term").join(index.lengths(), "id").groupBy("id").agg(F.sum(part).alias("bm25"))
+    return found.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))
 
 
 def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: int = 10) -> DataFrame:
@@ -85,7 +183,7 @@ def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: i
     own = F.slice(F.array_sort(F.array_distinct(words(F.col(text))), lambda a, z: F.when(F.length(a) != F.length(z), F.length(z) - F.length(a)).when(a < z, -1).when(a > z, 1).otherwise(0)), 1, 3)
     queries = asked.select(F.col("id").alias("asked"), F.explode(own).alias("term"))
     table = index.table()
-    met = queries.join(table, "term").join(index.lengths(), "id")
+    met = queries.join(table, "term")
     df = table.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(index.length)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions.columns import content_hash
-from loam.operators import consolidation
+from loam.operators import consolidation, near_facts
 from loam.plans import tables as t
 from loam.plans.queries import NORMAL, STABLE, query
 
@@ -30,12 +30,34 @@ def cross_batch_collapse(spark, d):
     return out.select("batch", "pos", F.md5("content").alias("content_md5"), F.round("confidence", 6).alias("confidence"), "context", F.array_join("sources", ",").alias("sources"), "n_merged")
 
 
-@query(None)
+FACTS = """fx AS (SELECT e.label AS batch, m.id AS pos, row_number() OVER (PARTITION BY e.label ORDER BY m.id) AS n, m.confidence AS c, m.importance AS i, CAST(embedding AS DOUBLE[]) AS v FROM memories m JOIN embeddings e ON vec_id = m.id),
+fold AS (
+  SELECT batch, 0 AS n, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS survivor, false AS rep, CAST([] AS STRUCT(g BIGINT, c DOUBLE, i DOUBLE, v DOUBLE[])[]) AS s FROM (SELECT DISTINCT batch FROM fx)
+  UNION ALL
+  SELECT batch, n, pos, coalesce(hit.g, pos), hit IS NULL OR c > hit.c OR (c = hit.c AND i > hit.i),
+    CASE WHEN hit IS NULL THEN list_append(s, {'g': pos, 'c': c, 'i': i, 'v': v}) WHEN c > hit.c OR (c = hit.c AND i > hit.i) THEN list_transform(s, lambda y: CASE WHEN y.g = hit.g THEN {'g': y.g, 'c': c, 'i': i, 'v': v} ELSE y END) ELSE s END
+  FROM (SELECT f.batch, x.n, x.pos, x.c, x.i, x.v, f.s, list_filter(f.s, lambda y: list_cosine_similarity(y.v, x.v) >= 0.95)[1] AS hit FROM fold f JOIN fx x ON x.batch = f.batch AND x.n = f.n + 1)
+),
+nr AS (SELECT batch, pos, survivor, rep FROM fold WHERE n > 0)"""
+
+
+def near_facts_(spark, d):
+    m = t.memories(spark, d).selectExpr("id", "content", "confidence", "importance", "CASE WHEN id % 3 = 0 THEN NULL ELSE context END AS context", "array(concat('x', id % 13), concat('y', id % 7)) AS sources")
+    return m.join(t.given(spark, d, "embeddings").selectExpr("vec_id AS id", "CAST(label AS BIGINT) AS batch", "embedding"), "id").withColumnRenamed("id", "pos")
+
+
+@query(FACTS + " SELECT CAST(batch AS BIGINT) AS batch, pos, survivor FROM nr", "memories", True)
 def near_duplicate_collapse(spark, d):
-    """No SQL form: an ordered fold. Tests hold it against a plain loop."""
-    m = t.memories(spark, d).select("id", "confidence", "importance")
-    e = t.given(spark, d, "embeddings").selectExpr("vec_id AS id", "CAST(label AS BIGINT) AS batch", "embedding")
-    return consolidation.collapse_near(m.join(e, "id").withColumnRenamed("id", "pos"))
+    return near_facts.collapse_near(near_facts_(spark, d)).select("batch", "pos", "survivor")
+
+
+@query(FACTS + """, j AS (SELECT nr.*, content, confidence, importance, CASE WHEN id % 3 = 0 THEN NULL ELSE context END AS context, [concat('x', id % 13), concat('y', id % 7)] AS src FROM nr JOIN memories ON id = pos),
+so AS (SELECT batch, survivor, source, min(pos * 10 + k) AS o FROM (SELECT batch, survivor, pos, unnest(src) AS source, unnest([0, 1]) AS k FROM j) GROUP BY ALL), sl AS (SELECT batch, survivor, string_agg(source, ',' ORDER BY o) AS sources FROM so GROUP BY ALL)
+SELECT CAST(batch AS BIGINT) AS batch, survivor AS pos, md5(arg_max(content, (confidence, importance, -pos))) AS content_md5, coalesce(arg_max(context, pos) FILTER (rep AND context IS NOT NULL), arg_min(context, pos) FILTER (context IS NOT NULL)) AS context, max(sources) AS sources, count(*) AS n_merged
+FROM j JOIN sl USING (batch, survivor) GROUP BY batch, survivor""", "memories", True)
+def near_duplicates_merged(spark, d):
+    f = near_facts_(spark, d)
+    return near_facts.merged(f, near_facts.collapse_near(f)).select("batch", "pos", F.md5("content").alias("content_md5"), "context", F.array_join("sources", ",").alias("sources"), "n_merged")
 
 
 def asked(spark, d):
@@ -168,6 +190,6 @@ def ids_by_prefix(spark, d):
 def remember_batches(spark, d):
     """Batches of facts, collapsed among themselves in order, then remembered. No SQL form: an ordered fold."""
     facts, known = asked(spark, d)
-    near = consolidation.collapse_near(facts.join(t.memories(spark, d).selectExpr("id AS fact_id", "confidence", "importance"), "fact_id").selectExpr("fact_id div 500 AS batch", "fact_id AS pos", "confidence", "importance", "embedding"))
+    near = near_facts.collapse_near(facts.join(t.memories(spark, d).selectExpr("id AS fact_id", "confidence", "importance"), "fact_id").selectExpr("fact_id div 500 AS batch", "fact_id AS pos", "confidence", "importance", "embedding"))
     kept = facts.join(near.filter("pos = survivor").select(F.col("pos").alias("fact_id")), "fact_id", "left_semi")
     return consolidation.remember(kept, known).select("fact_id", "action", "memory_id")

@@ -5,9 +5,14 @@ Each derivation is one list of expressions in the SQL that Spark and DuckDB shar
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.sources.files import fingerprint
+from loam.sources.scratch import shared
+
 NOW = 1_750_000_000
 
 MEMORIES = [
@@ -93,20 +98,23 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _indexes: dict = {}
+INDEXED = {
+    "memories": (["documents"], lambda s, d: memories(s, d).select("id", "content", "context"), {"content": 1.0, "context": 0.25}),
+    "exchanges": (["conversations"], lambda s, d: exchanges(s, d).select("id", "user_message", "assistant_message"), {"user_message": 1.0, "assistant_message": 1.0}),
+    "entities": (["supplier", "part", "nation", "region"], lambda s, d: entities(s, d).select("id", "name"), {"name": 1.0}),
+}
 
 
 def text_index(spark: SparkSession, sf_dir: str, name: str):
-    """The full-text index of memories, exchanges or entities, built on first use in an application."""
-    from loam.operators.text_index import build
+    """The full-text index of memories, exchanges or entities. It is stored under spark.loam.index.dir, or else the folder for written tables, by the given files it was made from: an application that finds it there reads no text, and files that have changed get an index of their own."""
+    from loam.operators.text_index import TextIndex, build
 
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _indexes:
-        rows, weights = {
-            "memories": (lambda: memories(spark, sf_dir).select("id", "content", "context"), {"content": 1.0, "context": 0.25}),
-            "exchanges": (lambda: exchanges(spark, sf_dir).select("id", "user_message", "assistant_message"), {"user_message": 1.0, "assistant_message": 1.0}),
-            "entities": (lambda: entities(spark, sf_dir).select("id", "name"), {"name": 1.0}),
-        }[name]
-        _indexes[key] = build(rows(), weights)
+        given_, rows, weights = INDEXED[name]
+        made_from = "|".join(f"{t}={fingerprint(spark, f'{sf_dir}/{t}.parquet')}" for t in given_)
+        path = f"{spark.conf.get('spark.loam.index.dir', None) or shared(spark)}/text-index/{hashlib.md5(f'{sf_dir}|{name}|{weights}|{made_from}'.encode()).hexdigest()}"
+        _indexes[key] = TextIndex.open(spark, path) or build(rows(spark, sf_dir), weights, path)
     return _indexes[key]
 
 

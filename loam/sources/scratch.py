@@ -17,12 +17,17 @@ def _local() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a session whose driver is its only machine gets a folder of its own; any other is refused."""
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a session whose driver is its only machine gets a folder of its own; any other is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or _local()}/loam-{uuid.uuid4().hex}"
+    return shared or _local()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/loam-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import centrality, consolidation, exploration, graph_store, temporal
+from loam.operators import centrality, exploration, temporal
 
 
 def brute_betweenness(edges):
@@ -83,34 +83,6 @@ def test_selective_exploration(spark):
     assert told(alone) == [] and alone.links.count() == 0 and alone.pruned == 0
 
 
-def test_near_collapse_equals_a_loop(spark):
-    rng = random.Random(3)
-    base = np.random.default_rng(3).normal(size=(12, 6))
-    rows = []
-    for i in range(120):
-        v = base[rng.randrange(12)] + np.random.default_rng(i).normal(size=6) * rng.choice([0.02, 0.15, 0.4])
-        rows.append((i % 3, i, round(rng.random(), 1), round(rng.random(), 1), v.tolist()))
-    rows.append((1, 900, 0.5, 0.5, [0.0] * 6))
-    got = {(r["batch"], r["pos"]): r["survivor"] for r in consolidation.collapse_near(spark.createDataFrame(rows, "batch long, pos long, confidence double, importance double, embedding array<double>")).collect()}
-    want = {}
-    for batch in range(3):
-        held = []  # place, (confidence, importance), vector
-        for b, p, c, m, v in rows:
-            if b != batch:
-                continue
-            cos = lambda x: np.dot(x, v) / (np.linalg.norm(x) * np.linalg.norm(v)) if np.any(x) and np.any(v) else 0.0  # noqa: B023, E731
-            for h in held:
-                if cos(h[2]) >= 0.95:
-                    if (c, m) > h[1]:
-                        h[1], h[2] = (c, m), v
-                    want[b, p] = h[0]
-                    break
-            else:
-                held.append([p, (c, m), v])
-                want[b, p] = p
-    assert got == want and len(set(got.values())) < len(rows)
-
-
 def test_temporal_patterns_are_all_of_them(spark):
     week = 7 * 86400
     e = spark.createDataFrame([(f"e{i}", f"n{i}", 10 * week + (0 if i < 9 else i * week), 11 * week, 3) for i in range(12)], "id string, name string, first_seen long, last_seen long, mention_count long")
@@ -127,21 +99,6 @@ def test_temporal_patterns_are_all_of_them(spark):
     assert {r["kind"] for r in temporal.patterns(e, c, b, now, kind="topic_decay").collect()} == {"topic_decay"}
 
 
-def test_index_finds_rows_by_their_own_words(spark):
-    from loam.operators.text_index import bm25, build, hit_rate
-
-    rng = random.Random(5)
-    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + f" special{i}") for i in range(80)] + [(900, None), (901, "")]
-    df = spark.createDataFrame(rows, "id long, text string")
-    index = build(df, {"text": 1.0}, buckets=4)
-    assert index.rows == 82 and [r["id"] for r in bm25(index, "special7").collect()] == [7]
-    assert bm25(index, "special7", df.filter("id <> 7").select("id")).count() == 0 and bm25(index, "nothing here").count() == 0 and bm25(index, "").count() == 0
-    r = hit_rate(index, df, "text", every=3).first()
-    assert r["n_asked"] > 5 and r["n_found"] == r["n_asked"] and r["healthy"]
-    none = build(df.limit(0), {"text": 1.0}, buckets=4)
-    assert none.rows == 0 and bm25(none, "special7").count() == 0
-
-
 def test_query_terms_are_cut_as_texts_are():
     from loam.functions.columns import query_terms
 
