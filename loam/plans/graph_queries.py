@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions.columns import visible
-from loam.operators import centrality, exploration, graph, graph_store, louvain, temporal
+from loam.operators import centrality, exploration, graph, graph_store, louvain, resolution, temporal
 from loam.plans import tables as t
 from loam.plans.queries import INFORM, MEMBERS, ORACLES, bridge_table, graph_projection, nation_members, query
 from loam.plans.tables import NOW, with_tables
@@ -41,22 +41,51 @@ EXTRACTED = """x AS (SELECT vec_id AS pos, CASE vec_id % 4 WHEN 0 THEN concat('S
   CASE WHEN vec_id % 100 = 50 THEN 'tool' ELSE 'person' END AS type, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 25 IN (0, 1))"""
 
 
-@query(ALIASED + ", " + EXTRACTED + """, y AS (SELECT *, min(pos) OVER (PARTITION BY lower(name)) AS leader FROM x), ld AS (SELECT * FROM y WHERE pos = leader),
+RESOLVED = ALIASED + ", " + EXTRACTED + """, y AS (SELECT *, min(pos) OVER (PARTITION BY lower(name)) AS leader FROM x), ld AS (SELECT * FROM y WHERE pos = leader),
 n AS (SELECT pos, min(id) AS named FROM ld JOIN al ON lower(al.name) = lower(ld.name) GROUP BY pos), a AS (SELECT pos, min(id) AS alias FROM ld JOIN al ON list_contains(al.aliases, lower(ld.name)) GROUP BY pos),
-v AS (SELECT concat('p', vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 NOT IN (0, 1) AND concat('p', vec_id) IN (SELECT id FROM entities)),
-c AS (SELECT pos, id, ld.type AS wanted, round(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))), 6) AS c FROM v, ld),
-k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY c DESC, id) AS n FROM c WHERE c >= 0.85), f AS (SELECT pos, arg_min(k.id, n) AS near FROM k JOIN entities e ON e.id = k.id WHERE n <= 5 AND (c >= 0.95 OR e.type = wanted) GROUP BY pos),
-r AS (SELECT ld.pos AS leader, CASE WHEN named IS NOT NULL THEN 'exact_name' WHEN alias IS NOT NULL THEN 'alias' WHEN near IS NOT NULL THEN 'embedding' ELSE 'created' END AS stage, coalesce(named, alias, near, concat('new-', ld.pos)) AS entity_id FROM ld LEFT JOIN n USING (pos) LEFT JOIN a USING (pos) LEFT JOIN f USING (pos))
-SELECT y.pos, CASE WHEN y.pos <> y.leader AND stage = 'created' THEN 'exact_name' ELSE stage END AS stage, entity_id FROM y JOIN r USING (leader)""", "entities")
-def resolve_entities(spark, d):
+v AS (SELECT concat('p', vec_id) AS id, e.type, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN entities e ON e.id = concat('p', vec_id) WHERE vec_id % 25 NOT IN (0, 1)),
+rs AS (SELECT ld.*, row_number() OVER (ORDER BY pos) AS k FROM ld ANTI JOIN n USING (pos) ANTI JOIN a USING (pos)),
+c AS (SELECT pos, id, v.type, round(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))), 6) AS c FROM v, rs),
+kn AS (SELECT pos, list({'c': -c, 'id': id, 't': type}) AS near FROM c WHERE c >= 0.85 GROUP BY pos),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS entity_id, CAST([] AS STRUCT(id VARCHAR, t VARCHAR, q DOUBLE[])[]) AS s
+  UNION ALL
+  SELECT k, pos, CASE WHEN hit IS NULL THEN 'created' ELSE 'embedding' END, coalesce(hit.id, concat('new-', pos)), CASE WHEN hit IS NULL THEN list_append(s, {'id': concat('new-', pos), 't': type, 'q': q}) ELSE s END
+  FROM (
+    SELECT rs.k, rs.pos, rs.type, rs.q, f.s, list_filter(list_sort(list_concat(coalesce(near, CAST([] AS STRUCT(c DOUBLE, id VARCHAR, t VARCHAR)[])), list_filter(list_transform(f.s, lambda m: {'c': -round(list_cosine_similarity(m.q, rs.q), 6), 'id': m.id, 't': m.t}), lambda m: m.c <= -0.85)))[1:5], lambda m: m.c <= -0.95 OR m.t = rs.type)[1] AS hit
+    FROM f JOIN rs ON rs.k = f.k + 1 LEFT JOIN kn ON kn.pos = rs.pos
+  )
+),
+r AS (SELECT ld.pos AS leader, CASE WHEN named IS NOT NULL THEN 'exact_name' WHEN alias IS NOT NULL THEN 'alias' ELSE f.stage END AS stage, coalesce(named, alias, f.entity_id) AS entity_id FROM ld LEFT JOIN n USING (pos) LEFT JOIN a USING (pos) LEFT JOIN f ON f.pos = ld.pos),
+rv AS (SELECT y.pos, y.name, y.type, CASE WHEN y.pos = y.leader THEN stage WHEN stage = 'created' THEN 'exact_name' WHEN stage = 'embedding' THEN 'alias' ELSE stage END AS stage, entity_id FROM y JOIN r USING (leader))"""
+
+
+def extracted_names(spark, d):
     v = t.vectors(spark, d)
     asked = F.col("id") % 25
     lead = F.lpad(F.col("id").cast("string"), 9, "0")
     name = F.expr("CASE id % 4 WHEN 0 THEN concat('SUPPLIER#', l) WHEN 1 THEN concat('Aka Supplier#', l) WHEN 2 THEN concat('thing ', id div 100) ELSE concat('other ', id) END")
     batch = v.filter(asked.isin(0, 1)).withColumn("l", lead).select(F.col("id").alias("pos"), name.alias("name"), F.when(F.col("id") % 100 == 50, "tool").otherwise("person").alias("type"), "embedding")
+    known = v.filter(~asked.isin(0, 1)).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "embedding")
+    return batch, known.join(t.entities(spark, d).select("id"), "id", "left_semi")
+
+
+@query(RESOLVED + " SELECT pos, stage, entity_id FROM rv", "entities", True)
+def resolve_entities(spark, d):
+    batch, known = extracted_names(spark, d)
+    return resolution.resolve(batch, aliased(spark, d), known)
+
+
+@query(RESOLVED + f""", m AS (SELECT entity_id AS id, count(*) AS n, max(CASE WHEN stage = 'created' THEN name END) AS made, max(CASE WHEN stage = 'created' THEN type END) AS kind FROM rv GROUP BY 1),
+ap AS (SELECT entity_id AS id, list(name ORDER BY pos) AS more FROM (SELECT entity_id, min(pos) AS pos, arg_min(name, pos) AS name FROM rv WHERE stage = 'embedding' GROUP BY entity_id, lower(name)) GROUP BY 1)
+SELECT m.id, coalesce(al.name, made) AS name, coalesce(al.type, kind) AS type, len(coalesce(al.aliases, [])) + len(list_filter(coalesce(more, []), lambda x: NOT list_contains(coalesce(al.aliases, []), lower(x)) AND lower(x) <> lower(coalesce(al.name, made)))) AS n_aliases, coalesce(al.mention_count, 0) + n AS mention_count, coalesce(al.first_seen, {NOW}) AS first_seen
+FROM m LEFT JOIN al USING (id) LEFT JOIN ap USING (id)""", "entities", True)
+def resolved_entities(spark, d):
+    batch, known = extracted_names(spark, d)
     e = aliased(spark, d)
-    known = v.filter(~asked.isin(0, 1)).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "embedding").join(e.select("id"), "id", "left_semi")
-    return graph_store.resolve_names(batch, e, known)
+    found = resolution.resolve(batch, e, known)
+    out = resolution.applied(batch.withColumn("scope", F.lit("global")), found, e, NOW)
+    return out.join(found.select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "name", "type", F.size("aliases").alias("n_aliases"), "mention_count", "first_seen")
 
 
 SEEN = "sn AS (SELECT concat('s', l_suppkey) AS source, concat('p', l_partkey) AS target, CASE WHEN l_linenumber = 1 THEN 'uses' ELSE 'made_by' END AS type, l_orderkey AS memory_id, CASE WHEN l_orderkey % 2 = 0 THEN 'tenant:a' ELSE 'tenant:b' END AS scope FROM lineitem WHERE l_returnflag = 'R')"
