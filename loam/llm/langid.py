@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import arrow, column, map_batches, mix, texts
+from loam.llm.common import arrow, column, in_one_task, map_batches, mix, texts
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 SAMPLE = 3000
@@ -136,7 +136,7 @@ def fit(rows: list[Example], epochs: int = 6, rate: float = 0.5, margin: float =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the `sample` labelled rows with the smallest hashes of their ids. Tasks count the subwords, and cut snippets of held-out rows; the driver gets the counts of the sampled rows only."""
+    """Fit on the `sample` labelled rows with the smallest hashes of their ids. Tasks count the subwords, and cut snippets of held-out rows; one task fits the model to the counts of the sampled rows, and only the model comes to the driver."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     ids = [r[0] for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
 
@@ -156,10 +156,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         out[name].append(v)
         return out
 
-    rows = map_batches(known.filter(F.col("doc_id").isin(ids)), run, "doc_id long, lang string, held boolean, size long, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["size"], bytes(r["at"])))
-    share = lambda n: (n / n.sum()).astype(np.float32)
-    return fit([Example(np.frombuffer(r["at"], "<u2"), share(np.frombuffer(r["n"], "<u4")), r["lang"], r["size"], r["held"]) for r in rows])
+    def made(rows):
+        rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["size"], r["at"]))
+        share = lambda n: (n / n.sum()).astype(np.float32)
+        return fit([Example(np.frombuffer(r["at"], "<u2"), share(np.frombuffer(r["n"], "<u4")), r["lang"], r["size"], r["held"]) for r in rows])
+
+    rows = map_batches(known.filter(F.col("doc_id").isin(ids)), run, "doc_id long, lang string, held boolean, size long, at binary, n binary")
+    return in_one_task(rows, made) or fit([])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
