@@ -1,6 +1,6 @@
 """Quality classification by supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features: character n-grams (2 to 4, over the text with runs of white space as one blank, and none in front), words and pairs of neighbouring words, and the shapes of words, alone and in pairs. A shape is the run-length-free sequence of character kinds in a word (capital, small, digit, other letter; any other character stands for itself), with a sign that says whether the word repeats the one before it or the one before that: a hashed word alone can't say so of words never seen. A linear softmax over the average gives the class. Vectors and layer are trained together by stochastic gradient descent in numpy, on a sample bounded by `sample` labelled rows (those with the smallest hashes of their ids, each by all of its features, counted in Spark tasks); one sampled row in five is held out and sets the softmax's temperature. For prediction the vectors are put through the layer once, so that a text costs a look-up for each feature.
+A document is the average of learned vectors of its hashed features: character n-grams (2 to 4, over the text with runs of white space as one blank, and none in front), words and pairs of neighbouring words, and the shapes of words, alone and in pairs. A shape is the run-length-free sequence of character kinds in a word (capital, small, digit, other letter; any other character stands for itself), with a sign that says whether the word repeats the one before it or the one before that: a hashed word alone can't say so of words never seen. A linear softmax over the average gives the class. Vectors and layer are trained together by stochastic gradient descent in numpy, on a sample bounded by `sample` labelled rows (those with the smallest hashes of their ids, each by all of its features, counted in Spark tasks; the fit is a task of its own); one sampled row in five is held out and sets the softmax's temperature. For prediction the vectors are put through the layer once, so that a text costs a look-up for each feature.
 
 Defined results: a null text counts as empty; a text without a word has no feature and gets the score of the biases; texts of any length are read whole, in blocks of at most `BLOCK` characters that end after white space where they hold any (features don't reach across blocks), so memory is bounded; repeated rows get equal results; where labels of one id differ, the larger holds; labels other than 0 and 1, and labels without a document, don't count; where only one class is labelled, or none, every score is one half; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import column, map_batches, mix, texts
+from loam.llm.common import column, in_one_task, map_batches, mix, texts
 
 BUCKETS, DIM, ORDERS, SAMPLE, BLOCK = 1 << 16, 16, (2, 3, 4), 4000, 1 << 18
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -148,29 +148,37 @@ def fit(rows: list[Example], epochs: int = 8, rate: float = 0.5, lift: float = 2
     return Model(table, bias, float(ts[int(np.argmin(loss))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, **how) -> Model:
-    """Fit on at most `sample` labelled documents. The driver gets their ids, labels and counts of buckets, nothing else; `how` goes to `fit`."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label, at, n) of at most `sample` labelled documents: the buckets of their features, and how often each occurs. The driver gets their ids and labels."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = y.join(rows.select("doc_id").hint("merge"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     label = {r["doc_id"]: r["label"] for r in known}
 
     def run(b):
-        out = {n: [] for n in ("doc_id", "at", "n")}
+        out = {n: [] for n in ("doc_id", "label", "at", "n")}
         for i, t in zip(column(b, "doc_id").to_pylist(), texts(b), strict=True):
             n = np.zeros(BUCKETS, np.int64)
             for part in blocks(t):
                 n += np.bincount(features(part), minlength=BUCKETS)
             at = np.flatnonzero(n)
-            for name, v in zip(out, (i, at.astype("<u2").tobytes(), n[at].astype("<u4").tobytes()), strict=True):
+            for name, v in zip(out, (i, label[i], at.astype("<u2").tobytes(), n[at].astype("<u4").tobytes()), strict=True):
                 out[name].append(v)
         return out
 
-    got = map_batches(rows.filter(F.col("doc_id").isin(list(label))), run, "doc_id long, at binary, n binary").collect() if label else []
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["n"])))
-    share = lambda n: (n / max(1, n.sum())).astype(np.float32)
-    held = lambda i: bool(int(mix(np.array([i & (2**64 - 1)], np.uint64))[0]) % 5 == 0)
-    return fit([Example(np.frombuffer(r["at"], "<u2").astype(np.int64), share(np.frombuffer(r["n"], "<u4")), label[r["doc_id"]], held(r["doc_id"])) for r in got], **how)
+    return map_batches(rows.filter(F.col("doc_id").isin(list(label))), run, "doc_id long, label int, at binary, n binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, epochs: int = 8, **columns) -> Model:
+    """Fit to what `sampled` gives, in one task; only the model comes to the driver."""
+
+    def made(rows):
+        rows.sort(key=lambda r: (r["doc_id"], r["at"], r["n"]))
+        share = lambda n: (n / max(1, n.sum())).astype(np.float32)
+        held = lambda i: bool(int(mix(np.array([i & (2**64 - 1)], np.uint64))[0]) % 5 == 0)
+        return fit([Example(np.frombuffer(r["at"], "<u2").astype(np.int64), share(np.frombuffer(r["n"], "<u4")), r["label"], held(r["doc_id"])) for r in rows], epochs)
+
+    return in_one_task(sampled(docs, labels, **columns), made) or Model()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

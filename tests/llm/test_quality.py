@@ -157,9 +157,7 @@ def test_labels_that_say_nothing(spark):
     assert q.train(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int"), epochs=1).table is not None
 
 
-def test_the_sample_is_bounded(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(q, "fit", lambda rows: seen.append(len(rows)) or q.Model())
+def test_the_sample_is_bounded(spark):
     rows, labels = make(5, 40)
-    q.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([x[:2] for x in labels], "doc_id long, quality int"), sample=25)
-    assert seen == [25]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([x[:2] for x in labels], "doc_id long, quality int")
+    assert q.sampled(docs, labels, sample=25).count() == 25 and q.sampled(docs, labels).count() == 40
