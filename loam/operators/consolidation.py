@@ -66,10 +66,12 @@ def superseded_ancestors(memories: DataFrame, hops: int = 5) -> DataFrame:
     return out.groupBy("id", "ancestor").agg(F.min("hop").alias("hop"))
 
 
-def ping_pong(candidates: DataFrame, memories: DataFrame, hops: int = 5) -> DataFrame:
-    """candidates: (fact_id, memory_id, content), each to replace a memory; memories: (id, content, superseded_by). Those that restate what the memory, or one before it, already replaced: (fact_id, ancestor), the nearest one. They are refused."""
-    up = candidates.select("fact_id", F.col("memory_id").alias("id"), content_hash(F.col("content")).alias("h")).join(superseded_ancestors(memories, hops), "id")
-    same = up.join(memories.select(F.col("id").alias("ancestor"), content_hash(F.col("content")).alias("h")), ["ancestor", "h"])
+def ping_pong(candidates: DataFrame, memories: DataFrame, hops: int = 5, near: float = MERGE) -> DataFrame:
+    """candidates: (fact_id, memory_id, content, embedding), each to replace a memory; memories: (id, content, superseded_by, embedding). Those that restate, in words or with a vector near enough, what the memory, or one before it, already replaced: (fact_id, ancestor, hop), the nearest one. They are refused."""
+    up = candidates.select("fact_id", F.col("memory_id").alias("id"), content_hash(F.col("content")).alias("h"), F.col("embedding").alias("v")).join(superseded_ancestors(memories, hops), "id")
+    known = up.join(memories.select(F.col("id").alias("ancestor"), content_hash(F.col("content")).alias("known"), F.col("embedding").alias("q")), "ancestor")
+    size = norm(F.col("v")) * norm(F.col("q"))
+    same = known.filter((F.col("h") == F.col("known")) | F.coalesce((size > 0) & (F.round(dot(F.col("v"), F.col("q")) / size, 6) >= near), F.lit(False)))
     return same.groupBy("fact_id").agg(F.min(F.struct("hop", "ancestor")).alias("x")).select("fact_id", "x.ancestor", "x.hop")
 
 

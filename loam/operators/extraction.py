@@ -11,7 +11,7 @@ from loam.functions.columns import noise_name
 FACT = "type string, content string, context string, importance double, confidence double, extraction_basis string, source_exchange_indexes array<long>"
 ENTITY = "name string, type string, description string"
 EDGE = "source_entity_index long, target_entity_index long, type string, context string"
-COMMITMENT = "content string, subject string, origin string, due_hint string, source_exchange_indexes array<string>"
+COMMITMENT = "content string, subject string, origin string, due_hint string, source_exchange_indexes array<string>, source_exchange_id string"
 
 
 def clipped(text: Column, cap: int) -> Column:
@@ -79,9 +79,12 @@ def facts(answers: DataFrame) -> DataFrame:
 
 
 def with_sources(rows: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """rows: (conversation_id, pos, source_exchange_indexes). (conversation_id, pos, sources): the ids of the exchanges (conversation_id, exchange_index, id) that the indexes name, in order, each once."""
-    cite = rows.select("conversation_id", "pos", F.posexplode("source_exchange_indexes").alias("k", "i")).withColumn("exchange_index", F.expr("try_cast(i AS BIGINT)"))
-    met = cite.join(exchanges.select("conversation_id", "exchange_index", "id"), ["conversation_id", "exchange_index"]).groupBy("conversation_id", "pos", "id").agg(F.min("k").alias("k"))
+    """rows: (conversation_id, pos, source_exchange_indexes). (conversation_id, pos, sources): the ids of the conversation's exchanges (conversation_id, exchange_index, id) that are named, by id or index, in order, each once."""
+    cite = rows.select("conversation_id", "pos", F.posexplode("source_exchange_indexes").alias("k", "i")).withColumn("i", F.col("i").cast("string"))
+    by_id = cite.join(exchanges.select("conversation_id", F.col("id").cast("string").alias("i"), "id"), ["conversation_id", "i"]).select("conversation_id", "pos", "k", F.lit(0).alias("how"), "id")
+    index = F.when(F.col("i").rlike(r"^\d+$"), F.expr("try_cast(i AS BIGINT)"))
+    by_index = cite.withColumn("exchange_index", index).join(exchanges.select("conversation_id", "exchange_index", "id"), ["conversation_id", "exchange_index"]).select("conversation_id", "pos", "k", F.lit(1).alias("how"), "id")
+    met = by_id.unionByName(by_index).groupBy("conversation_id", "pos", "k").agg(F.min_by("id", "how").alias("id")).groupBy("conversation_id", "pos", "id").agg(F.min("k").alias("k"))
     return met.groupBy("conversation_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("sources"))
 
 
@@ -100,8 +103,12 @@ def relationships(answers: DataFrame, counts: DataFrame, types: list[str]) -> Da
 
 
 def commitments(answers: DataFrame, exchanges: DataFrame, own: str = "self") -> DataFrame:
-    """{"commitments": [...]}: items of three characters or more that name an exchange of the conversation: (conversation_id, pos, content, subject, origin, due_hint, sources)."""
-    rows = answers.select("conversation_id", F.posexplode(F.from_json("answer", f"commitments array<struct<{COMMITMENT.replace(' ', ':').replace(',:', ',')}>>")["commitments"]).alias("pos", "c")).select("conversation_id", "pos", "c.*")
+    """answers: (conversation_id, answer), {"commitments": [...]}, the same with the list encoded once more as a string, or a bare list. Items of three characters or more that name an exchange of the conversation, by indexes, ids or one `source_exchange_id`: (conversation_id, pos, content, subject, origin, due_hint, sources)."""
+    # Read as a string, a field that holds a list gives its text, and one that holds a string what that says.
+    bare = F.ltrim("answer").startswith("[")
+    items = F.when(bare, F.col("answer")).otherwise(F.from_json("answer", "commitments string")["commitments"])
+    rows = answers.select("conversation_id", F.posexplode(F.from_json(items, f"array<struct<{COMMITMENT.replace(' ', ':').replace(',:', ',')}>>")).alias("pos", "c")).select("conversation_id", "pos", "c.*")
+    rows = rows.withColumn("source_exchange_indexes", F.coalesce("source_exchange_indexes", F.array("source_exchange_id")))
     rows = rows.withColumn("content", F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))).filter(F.length("content") >= 3)
     hint = F.when(F.lower(F.trim("due_hint")) != "null", F.nullif(F.trim("due_hint"), F.lit("")))
     rows = rows.join(with_sources(rows, exchanges), ["conversation_id", "pos"])

@@ -22,14 +22,15 @@ def widened(scope: Column, seen_from: Column) -> Column:
 
 
 def upsert_edges(edges: DataFrame, seen: DataFrame) -> DataFrame:
-    """edges: (source, target, type, weight, source_memories, scope); seen: (source, target, type, memory_id, scope), a row per piece of evidence. The next edges: new ones weigh 1, known ones keep their weight; evidence is added once, in order, and an edge seen from another scope becomes global."""
+    """edges: (source, target, type, weight, source_memories, scope[, stale_since]); seen: (source, target, type, memory_id, scope), a row per piece of evidence. The next edges: new ones weigh 1, known ones keep their weight; evidence is added once, in order, and clears `stale_since`; an edge seen from another scope becomes global."""
     key = ["source", "target", "type"]
     new = seen.groupBy(*key).agg(F.array_sort(F.collect_set("memory_id")).alias("more"), F.min("scope").alias("low"), F.max("scope").alias("high"))
     both = edges.join(new, key, "full_outer")
     own = F.coalesce("scope", F.when(F.col("weight").isNull(), F.col("low")))
     foreign = F.when(F.col("low") != own, F.col("low")).otherwise(F.col("high"))
     evidence = F.array_union(F.coalesce("source_memories", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    return both.select(*key, F.coalesce("weight", F.lit(1.0)).alias("weight"), evidence.alias("source_memories"), widened(own, foreign).alias("scope"))
+    stale = [F.when(F.col("more").isNull(), F.col("stale_since")).alias("stale_since")] if "stale_since" in edges.columns else []
+    return both.select(*key, F.coalesce("weight", F.lit(1.0)).alias("weight"), evidence.alias("source_memories"), widened(own, foreign).alias("scope"), *stale)
 
 
 def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

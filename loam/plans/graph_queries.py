@@ -92,14 +92,15 @@ SEEN = "sn AS (SELECT concat('s', l_suppkey) AS source, concat('p', l_partkey) A
 
 
 @query(SEEN + """, nw AS (SELECT source, target, type, list_sort(list(DISTINCT memory_id)) AS more, min(scope) AS lo, max(scope) AS hi FROM sn GROUP BY ALL),
-u AS (SELECT coalesce(r.source, nw.source) AS source, coalesce(r.target, nw.target) AS target, coalesce(r.type, nw.type) AS type, weight, coalesce(source_memories, []) AS old, coalesce(more, []) AS more, CASE WHEN r.source IS NULL THEN lo ELSE 'tenant:a' END AS own, lo, hi
+u AS (SELECT coalesce(r.source, nw.source) AS source, coalesce(r.target, nw.target) AS target, coalesce(r.type, nw.type) AS type, weight, coalesce(source_memories, []) AS old, coalesce(more, []) AS more, CASE WHEN r.source IS NULL THEN lo ELSE 'tenant:a' END AS own, lo, hi, CASE WHEN nw.source IS NULL AND weight > 2 THEN 5 END AS stale_since
   FROM relationships r FULL JOIN nw ON r.source = nw.source AND r.target = nw.target AND r.type = nw.type), w AS (SELECT *, CASE WHEN lo <> own THEN lo ELSE hi END AS f FROM u)
-SELECT source, target, type, coalesce(weight, 1.0) AS weight, array_to_string(list_concat(old, list_filter(more, lambda x: NOT list_contains(old, x))), ',') AS evidence, CASE WHEN own <> 'global' AND f IS NOT NULL AND f <> own THEN 'global' ELSE own END AS scope FROM w""", "relationships")
+SELECT source, target, type, coalesce(weight, 1.0) AS weight, array_to_string(list_concat(old, list_filter(more, lambda x: NOT list_contains(old, x))), ',') AS evidence, CASE WHEN own <> 'global' AND f IS NOT NULL AND f <> own THEN 'global' ELSE own END AS scope, CAST(stale_since AS BIGINT) AS stale_since FROM w""", "relationships")
 def upsert_edges(spark, d):
     line = t.given(spark, d, "lineitem").filter("l_returnflag = 'R'")
     seen = line.selectExpr("concat('s', l_suppkey) AS source", "concat('p', l_partkey) AS target", "CASE WHEN l_linenumber = 1 THEN 'uses' ELSE 'made_by' END AS type", "l_orderkey AS memory_id", "CASE WHEN l_orderkey % 2 = 0 THEN 'tenant:a' ELSE 'tenant:b' END AS scope")
-    out = graph_store.upsert_edges(t.relationships(spark, d).withColumn("scope", F.lit("tenant:a")), seen)
-    return out.select("source", "target", "type", "weight", F.array_join("source_memories", ",").alias("evidence"), "scope")
+    known = t.relationships(spark, d).withColumn("scope", F.lit("tenant:a")).withColumn("stale_since", F.when(F.col("weight") > 2, F.lit(5).cast("long")))
+    out = graph_store.upsert_edges(known, seen)
+    return out.select("source", "target", "type", "weight", F.array_join("source_memories", ",").alias("evidence"), "scope", "stale_since")
 
 
 @query("""n AS (SELECT concat('n', c_nationkey) AS source, concat('c', c_custkey) AS target, 'has' AS type, 2.0 AS weight FROM customer UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 'part_of', 9.0 FROM supplier)

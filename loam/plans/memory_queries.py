@@ -88,11 +88,12 @@ def superseded_chain(spark, d):
 
 
 @query(CHAIN + f""", st AS (SELECT superseded_by AS id, id AS ancestor, 1 AS hop FROM ch WHERE superseded_by IS NOT NULL UNION ALL SELECT st.id, ch.id, hop + 1 FROM st JOIN ch ON ch.superseded_by = st.ancestor WHERE hop < 5),
-ca AS (SELECT id + 1000000 AS fact_id, id + 2 AS memory_id, sha256({NORMAL}) AS h FROM memories), m AS (SELECT id AS ancestor, sha256({NORMAL}) AS h FROM memories)
-SELECT fact_id, arg_min(ancestor, (hop, ancestor)) AS ancestor, CAST(min(hop) AS BIGINT) AS hop FROM ca JOIN st ON st.id = memory_id JOIN m USING (ancestor, h) GROUP BY fact_id""", "memories", True)
+ve AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM memories LEFT JOIN embeddings ON vec_id = id), ca AS (SELECT id + 1000000 AS fact_id, id + 2 AS memory_id, sha256({NORMAL}) AS h, v FROM memories JOIN ve USING (id)), m AS (SELECT id AS ancestor, sha256({NORMAL}) AS h, v AS q FROM memories JOIN ve USING (id))
+SELECT fact_id, arg_min(ancestor, (hop, ancestor)) AS ancestor, CAST(min(hop) AS BIGINT) AS hop FROM ca JOIN st ON st.id = memory_id JOIN m USING (ancestor) WHERE ca.h = m.h OR {COSINE} >= 0.3 GROUP BY fact_id""", "memories", True)
 def ping_pong_guard(spark, d):
-    m = t.memories(spark, d)
-    return consolidation.ping_pong(m.selectExpr("id + 1000000 AS fact_id", "id + 2 AS memory_id", "content"), m.selectExpr("id", "content", "CASE WHEN id % 4 <> 0 THEN id + 1 END AS superseded_by"))
+    """Vectors count as near from 0.3 on here, so that some are."""
+    m = t.memories(spark, d).join(t.vectors(spark, d), "id", "left")
+    return consolidation.ping_pong(m.selectExpr("id + 1000000 AS fact_id", "id + 2 AS memory_id", "content", "embedding"), m.selectExpr("id", "content", "CASE WHEN id % 4 <> 0 THEN id + 1 END AS superseded_by", "embedding"), near=0.3)
 
 
 @query(f"SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE is_active END AS is_active, CASE WHEN id % 3 = 0 THEN id + 1000000 END AS superseded_by, round({STABLE} * 0.8, 6) AS stability FROM memories WHERE id % 3 <> 2", "memories")
