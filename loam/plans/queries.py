@@ -542,15 +542,36 @@ def commitment_overlap(spark, d):
 # Streaming
 
 
-@query("SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, count(DISTINCT role) AS n_roles FROM conversations GROUP BY 1")
-def turn_stream_upsert(spark, d):
+def ingested(spark, d):
+    """The conversations in two arrivals: two turns of three, then all turns of every other conversation, of which one in three says more."""
     from loam.sources.scratch import folder
-    from loam.streaming.turns import ingest
+    from loam.streaming.turns import TurnStore, ingest
+
+    at, c = folder(spark), t.given(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    arrive = lambda df, n: df.write.parquet(f"{at}/arrived/part={n}")
+    arrive(c.filter("turn % 3 <> 2"), 0)
+    ingest(spark, f"{at}/arrived/part=*", f"{at}/store", f"{at}/checkpoint")
+    arrive(c.filter("conv_id % 2 = 0").withColumn("text", F.expr("CASE WHEN turn % 3 = 0 THEN concat(text, ' more') ELSE text END")), 1)
+    ingest(spark, f"{at}/arrived/part=*", f"{at}/store", f"{at}/checkpoint")
+    return TurnStore.open(spark, f"{at}/store"), at
+
+
+@query("SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, count(DISTINCT role) AS n_roles FROM conversations WHERE turn % 3 <> 2 OR conv_id % 2 = 0 GROUP BY 1")
+def turn_stream_upsert(spark, d):
+    from loam.streaming.turns import conversations
+
+    return conversations(ingested(spark, d)[0]).drop("updated_at")
+
+
+@query("""x AS (SELECT 0 AS version, 'insert' AS change, conv_id, turn, text FROM conversations WHERE turn % 3 <> 2 UNION ALL SELECT 1, 'insert', conv_id, turn, text FROM conversations WHERE turn % 3 = 2 AND conv_id % 2 = 0 UNION ALL SELECT 1, 'update', conv_id, turn, concat(text, ' more') FROM conversations WHERE turn % 3 = 0 AND conv_id % 2 = 0)
+SELECT CAST(version AS BIGINT) AS version, change, concat(conv_id, ':', turn) AS id, md5(trim(text)) AS text_md5 FROM x""".replace("x AS", "WITH x AS", 1))
+def turn_changes(spark, d):
+    """The log of both arrivals, as a stream of versions tells it."""
+    from loam.streaming.turns import LOGGED, follow
 
-    at = folder(spark)
-    version = ingest(spark, f"{d}/conversations.parquet*", f"{at}/store", f"{at}/checkpoint")
-    stored = spark.read.parquet(f"{at}/store/v{version}")
-    return stored.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.countDistinct("role").alias("n_roles"))
+    store, at = ingested(spark, d)
+    follow(spark, store.path, f"{at}/followed", lambda changes, versions: changes.write.mode("append").parquet(f"{at}/told"))
+    return spark.read.schema(LOGGED).parquet(f"{at}/told").select("version", "change", "id", F.md5("text").alias("text_md5"))
 
 
 @query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")

@@ -46,24 +46,3 @@ def test_export_and_import(spark):
     assert {x["id"]: x["action"] for x in got.collect()} == {1: "update", 2: "skip", 3: "insert"}
     got = import_lines(lines.select("value"), "relationship", "id:string,source:string,target:string,updated_at:long", r.limit(0).select("id", "updated_at"), ends=e)
     assert {x["id"]: x["action"] for x in got.collect()} == {"r1": "insert", "r2": "missing"}
-
-
-def test_turn_stream(spark, tmp_path):
-    from loam.streaming.turns import SCHEMA, ingest
-
-    put = lambda rows, name: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    put([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "one")
-    store, check = f"{tmp_path}/store", f"{tmp_path}/check"
-    v = ingest(spark, f"{tmp_path}/in", store, check)
-    put([(1, 1, "assistant", "newer"), (2, 0, "user", "c")], "two")
-    v = ingest(spark, f"{tmp_path}/in", store, check)
-    rows = {r["id"]: r["text"] for r in spark.read.parquet(f"{store}/v{v}").collect()}
-    assert rows == {"1:0": "a", "1:1": "newer", "2:0": "c"}
-    assert {r["id"]: r["created_at"] for r in spark.read.parquet(f"{store}/v{v}").collect()} == {"1:0": 0, "1:1": 0, "2:0": 1}
-    assert ingest(spark, f"{tmp_path}/in", store, check) == v == 1  # nothing new
-    put([(3, 0, "user", "  "), (3, 1, "user", " d ")], "three")
-    v = ingest(spark, f"{tmp_path}/in", store, check)
-    assert {r["id"]: r["text"] for r in spark.read.parquet(f"{store}/v{v}").filter("conv_id = 3").collect()} == {"3:1": "d"}
-    from loam.streaming.turns import versions
-
-    assert versions(spark, store) == [1, 2] and versions(spark, f"{tmp_path}/none") == []
