@@ -97,12 +97,18 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least <= 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def query_terms(query: str, most: int = 24, shortest: int = 2) -> list[str]:
-    """The lower-case words of a free-text query that are worth looking up; all of them if none is. What is chosen are the parts between spaces; each is then cut at its punctuation, as the texts are."""
+def query_phrases(query: str, most: int = 24, shortest: int = 2) -> list[list[str]]:
+    """The parts of a free-text query that are worth looking up, between spaces and in lower case; all of them if none is. Each is a list of the words that its punctuation leaves, as texts are cut."""
     parts = [t.lower() for t in re.sub("['\"]", "", query).split()]
     bare = {p: re.sub(r"[^\w]|_", "", p) for p in parts}
     kept = [p for p in bare if len(bare[p]) >= shortest and bare[p] not in fixed.QUERY_STOP_WORDS][:most]
-    return list(dict.fromkeys(w for p in kept or list(bare)[:most] for w in re.findall(r"[^\W_]+", p)))
+    found = (re.findall(r"[^\W_]+", p) for p in kept or list(bare)[:most])
+    return [list(x) for x in dict.fromkeys(tuple(f) for f in found if f)]
+
+
+def query_terms(query: str, most: int = 24, shortest: int = 2) -> list[str]:
+    """The words of the phrases, each once."""
+    return list(dict.fromkeys(w for p in query_phrases(query, most, shortest) for w in p))
 
 
 def l2_to_cosine(distance: Column) -> Column:

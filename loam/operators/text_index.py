@@ -1,22 +1,28 @@
 """A stored full-text index: sorted postings in segments under a manifest.
 
-A segment holds the postings (term, id, tf, uses, dl) of the rows of one insert, sorted by term and id over files, so that a frequent term is spread over several files and a query opens only the files whose range of terms it needs; the row's length lies in each posting, so that scores need no other table. A delete writes the ids as a tombstone for all segments before it; an upsert does both. A version of the index is one small manifest file, created once, that names segments and tombstones; readers keep the version they opened, and of two writers that start from one version the second fails. Merging rewrites what is left into one segment. A query restricted to some rows counts statistics and document frequencies among those rows.
+A segment holds the postings (term, id, tf, uses, dl, at) of the rows of one insert, sorted by term and id over files, so that a frequent term is spread over several files and a query opens only the files whose range of terms it needs; the row's length lies in each posting, so that scores need no other table, and so do the term's places, by which phrases are found. An index may hold stems in place of words; every distinct word is stemmed once. A delete writes the ids as a tombstone for all segments before it; an upsert does both. A version of the index is one small manifest file, created once, that names segments and tombstones; readers keep the version they opened, and of two writers that start from one version the second fails. Merging rewrites what is left into one segment. A query restricted to some rows counts statistics and document frequencies among those rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.functions.columns import query_terms, words
+from loam.functions.columns import query_phrases, words
+from loam.functions.stem import stem
 from loam.sources.files import create, delete, names, read
-from loam.sources.scratch import folder
+from loam.sources.scratch import folder, ship
 
 MOST_SEGMENTS = 8  # an insert that makes more merges them
+FORMAT = 2  # of what is stored; an index of another format isn't opened
+COLUMN = 40  # bits of a place inside its column
+POSTING = ["term", "id", "tf", "uses", "dl", "at"]
 
 
 @dataclass
@@ -25,6 +31,7 @@ class TextIndex:
     path: str
     weights: dict[str, float]
     id_type: str
+    stemmed: bool = False
     version: int = 0
     segments: list[dict] = field(default_factory=list)  # name, number, files: (file, first term, last term)
     tombstones: list[dict] = field(default_factory=list)  # name, number: of rows in segments with smaller numbers
@@ -40,15 +47,16 @@ class TextIndex:
     def open(spark: SparkSession, path: str) -> TextIndex | None:
         """The latest version at a path, without reading anything but its manifest; None if there is none."""
         found = sorted(n for n in names(spark, path) if n.startswith("manifest-"))
-        return TextIndex(spark, path, **json.loads(read(spark, f"{path}/{found[-1]}"))) if found else None
+        state = json.loads(read(spark, f"{path}/{found[-1]}")) if found else {}
+        return TextIndex(spark, path, **state) if state.pop("format", None) == FORMAT else None
 
     def _commit(self, **changes) -> TextIndex:
-        state = {k: getattr(self, k) for k in ("weights", "id_type", "segments", "tombstones", "rows", "words")} | changes | {"version": self.version + 1}
-        create(self.spark, f"{self.path}/manifest-{state['version']:012d}.json", json.dumps(state))
+        state = {k: getattr(self, k) for k in ("weights", "id_type", "stemmed", "segments", "tombstones", "rows", "words")} | changes | {"version": self.version + 1}
+        create(self.spark, f"{self.path}/manifest-{state['version']:012d}.json", json.dumps(state | {"format": FORMAT}))
         return TextIndex(self.spark, self.path, **state)
 
     def _read(self, segment: dict, files: list[str]) -> DataFrame:
-        schema = f"term string, id {self.id_type}, tf double, uses bigint, dl bigint"
+        schema = f"term string, id {self.id_type}, tf double, uses bigint, dl bigint, at array<bigint>"
         table = self.spark.read.schema(schema).parquet(*[f"{self.path}/{segment['name']}/postings/{f}" for f in files]) if files else self.spark.createDataFrame([], schema)
         return self._alive(table, segment["number"])
 
@@ -57,7 +65,7 @@ class TextIndex:
         return rows.join(self.spark.read.schema(f"id {self.id_type}").parquet(*gone), "id", "left_anti") if gone else rows
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """(term, id, tf, uses, dl) of the terms, from the files that may hold them."""
+        """(term, id, tf, uses, dl, at) of the terms, from the files that may hold them."""
         out = None
         for s in self.segments:
             files = [f for f, low, high in s["files"] if any(low <= t <= high for t in terms)]
@@ -92,11 +100,13 @@ class TextIndex:
         cut = docs.select("id", *[words(F.col(c)).alias(c) for c in self.weights])
         cut = cut.withColumn("dl", sum((F.size(c) for c in self.weights), F.lit(0)).cast("long"))
         each = None
-        for c, w in self.weights.items():
-            one = cut.select("id", "dl", F.lit(float(w)).alias("w"), F.explode(c).alias("term"))
+        for k, (c, w) in enumerate(self.weights.items()):
+            one = cut.select("id", "dl", F.lit(float(w)).alias("w"), F.posexplode(c).alias("at", "term")).withColumn("at", F.col("at").cast("long") + F.lit(k << COLUMN))
             each = one if each is None else each.unionByName(one)
-        terms = each.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("uses"), F.max("dl").alias("dl"))
-        segment = self._stored(terms.select("term", "id", "tf", "uses", "dl"), number)
+        terms = each.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("uses"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("at"))
+        if self.stemmed:
+            terms = _stemmed(terms)
+        segment = self._stored(terms.select(POSTING), number)
         known = self._read(segment, [f for f, *_ in segment["files"]]).select("id", "dl").distinct()
         return self._with_rows(segment, docs.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl")))
 
@@ -143,7 +153,7 @@ class TextIndex:
         """One segment without tombstones, from the postings: the texts aren't read."""
         if len(self.segments) <= 1 and not self.tombstones:
             return self
-        segment, n, total = self._with_rows(self._stored(self.table().select("term", "id", "tf", "uses", "dl"), self._number()), self.lengths())
+        segment, n, total = self._with_rows(self._stored(self.table().select(POSTING), self._number()), self.lengths())
         return self._commit(segments=[segment], tombstones=[], rows=n, words=total)
 
     def vacuum(self) -> None:
@@ -154,16 +164,57 @@ class TextIndex:
                 delete(self.spark, f"{self.path}/{n}")
 
 
-def build(docs: DataFrame, weights: dict[str, float], path: str | None = None) -> TextIndex:
+def _stemmed(terms: DataFrame) -> DataFrame:
+    """Postings of words as postings of their stems."""
+    ship(terms.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(stem=[stem(x) for x in part["term"]])
+
+    stems = terms.select("term").distinct().mapInPandas(run, "term string, stem string")
+    return terms.join(stems, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.sum("uses").alias("uses"), F.max("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+
+
+def build(docs: DataFrame, weights: dict[str, float], path: str | None = None, stemmed: bool = False) -> TextIndex:
     """docs: (id, text columns), ids unique. A column's term counts are multiplied by its weight; a row's length counts all words alike."""
-    empty = TextIndex(docs.sparkSession, path or folder(docs.sparkSession), weights, docs.schema["id"].dataType.simpleString())
+    empty = TextIndex(docs.sparkSession, path or folder(docs.sparkSession), weights, docs.schema["id"].dataType.simpleString(), stemmed)
     return empty.insert(docs)
 
 
+def _shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda x: x - F.lit(by))
+
+
+def matches(index: TextIndex, phrases: list[list[str]]) -> DataFrame:
+    """(id, phrase, tf, dl): the rows that hold a phrase (its number), and how often, by the weights of the columns. Words of a phrase follow each other in one column."""
+    said = [[stem(w) for w in p] if index.stemmed else p for p in phrases]
+    post = index.postings(list({w for p in said for w in p}))
+    numbers = {}
+    for i, p in enumerate(said):
+        if len(p) == 1:
+            numbers.setdefault(p[0], []).append(i)
+    out = post.select("id", "term", "tf", "dl").limit(0).select("id", F.lit(0).alias("phrase"), "tf", "dl")
+    if numbers:
+        which = F.coalesce(*[F.when(F.col("term") == w, F.array(*map(F.lit, at))) for w, at in numbers.items()])
+        out = post.filter(F.col("term").isin(*numbers)).select("id", F.explode(which).alias("phrase"), "tf", "dl")
+    weight = F.array(*[F.lit(float(w)) for w in index.weights.values()])
+    for i, p in enumerate(said):
+        if len(p) < 2:
+            continue
+        of = lambda w: F.first(F.when(F.col("term") == w, F.col("at")), ignorenulls=True)
+        rows = post.filter(F.col("term").isin(*p)).groupBy("id").agg(F.max("dl").alias("dl"), *[of(w).alias(f"_{j}") for j, w in enumerate(p)])
+        start = F.col("_0")
+        for j in range(1, len(p)):
+            start = F.array_intersect(start, _shifted(f"_{j}", j))
+        tf = F.aggregate(start, F.lit(0.0), lambda s, x: s + F.get(weight, F.shiftright(x, COLUMN).cast("int")))
+        out = out.unionByName(rows.select("id", F.lit(i).alias("phrase"), tf.alias("tf"), "dl").filter("tf > 0"))
+    return out
+
+
 def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, terms: list[str] | None = None) -> DataFrame:
-    """(id, bm25) of the rows that hold a term; `within` (id): only these rows count and are found."""
-    terms = query_terms(query) if terms is None else terms
-    found = index.postings(terms).select("id", "term", "tf", "dl")
+    """(id, bm25) of the rows that hold a term of the query, where parts with punctuation inside are phrases; `within` (id): only these rows count and are found. terms: words in place of a query."""
+    found = matches(index, query_phrases(query) if terms is None else [[w] for w in terms])
     if within is None:
         n, mean = F.lit(index.rows), F.lit(index.length)
     else:
@@ -171,10 +222,10 @@ def bm25(index: TextIndex, query: str, within: DataFrame | None = None, k1: floa
         found = found.join(ids, "id", "left_semi")
         stats = ids.join(index.lengths(), "id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("mean")).first()
         n, mean = F.lit(stats["n"]), F.lit(float(stats["mean"] or 0.0))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the query's terms
+    df = found.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each of the query's terms
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return found.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))
+    return found.join(F.broadcast(df), "phrase").groupBy("id").agg(F.sum(part).alias("bm25"))
 
 
 def hit_rate(index: TextIndex, docs: DataFrame, text: str, every: int = 50, k: int = 10) -> DataFrame:

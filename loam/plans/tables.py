@@ -107,13 +107,13 @@ INDEXED = {
 
 def text_index(spark: SparkSession, sf_dir: str, name: str):
     """The full-text index of memories, exchanges or entities. It is stored under spark.loam.index.dir, or else the folder for written tables, by the given files it was made from: an application that finds it there reads no text, and files that have changed get an index of their own."""
-    from loam.operators.text_index import TextIndex, build
+    from loam.operators.text_index import FORMAT, TextIndex, build
 
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _indexes:
         given_, rows, weights = INDEXED[name]
         made_from = "|".join(f"{t}={fingerprint(spark, f'{sf_dir}/{t}.parquet')}" for t in given_)
-        path = f"{spark.conf.get('spark.loam.index.dir', None) or shared(spark)}/text-index/{hashlib.md5(f'{sf_dir}|{name}|{weights}|{made_from}'.encode()).hexdigest()}"
+        path = f"{spark.conf.get('spark.loam.index.dir', None) or shared(spark)}/text-index/{hashlib.md5(f'{FORMAT}|{sf_dir}|{name}|{weights}|{made_from}'.encode()).hexdigest()}"
         _indexes[key] = TextIndex.open(spark, path) or build(rows(spark, sf_dir), weights, path)
     return _indexes[key]
 

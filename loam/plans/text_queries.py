@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions import dates, fixed
-from loam.operators import corpus, episodes, extraction, ledger
+from loam.operators import corpus, episodes, extraction, ledger, search
 from loam.plans import tables as t
-from loam.plans.queries import PATTERNS, R, SCAN, query
+from loam.plans.queries import PATTERNS, R, SCAN, WORDS, query
 from loam.plans.tables import NOW
 
 
@@ -77,16 +77,28 @@ def extracted_graph(spark, d):
     return e.select("conversation_id", F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b")).unionByName(r.select("conversation_id", F.lit("edge").alias("kind"), F.col("source_entity_index").cast("string").alias("a"), F.col("target_entity_index").cast("string").alias("b")))
 
 
-PROMISES = """CASE conversation_id % 4 WHEN 0 THEN '{"commitments": [{"content": "  call   the bank ", "subject": "me", "due_hint": "tomorrow", "source_exchange_indexes": ["0", "0", "99"]}, {"content": "no", "source_exchange_indexes": ["0"]}]}'
-WHEN 1 THEN '{"commitments": [{"content": "send it", "subject": "Bob Smith!", "origin": "inferred", "due_hint": "null", "source_exchange_indexes": ["0", "1"]}]}' WHEN 2 THEN '{"commitments": [{"content": "lost", "source_exchange_indexes": []}]}' ELSE '[]' END"""
+PROMISED = """concat('[{"content": "  call   ', {id}, ' about ', {words}, ' ", "subject": "me", "due_hint": "tomorrow", "source_exchange_indexes": [', {n}, ', "', {n}, '", 99]}, {"content": "no", "source_exchange_indexes": [0]}, {"content": "', {id}, ' it", "subject": "Bob Smith!", "origin": "inferred", "due_hint": "null", "', CASE WHEN {n} % 2 = 0 THEN 'source_exchange_id": "' ELSE 'source_exchange_indexes": ["0", "' END, {id}, CASE WHEN {n} % 2 = 0 THEN '"' ELSE '"]' END, '}, {"content": "lost", "source_exchange_indexes": []}, {"content": "nowhere", "source_exchange_id": "x"}]')"""
 
 
-@query("""c AS (SELECT DISTINCT conversation_id FROM exchanges), ix AS (SELECT conversation_id, string_agg(id, ',' ORDER BY exchange_index) FILTER (exchange_index = 0) AS one, string_agg(id, ',' ORDER BY exchange_index) FILTER (exchange_index <= 1) AS two FROM exchanges GROUP BY 1)
-SELECT conversation_id, CASE conversation_id % 4 WHEN 0 THEN 'call the bank' ELSE 'send it' END AS content, CASE conversation_id % 4 WHEN 0 THEN 'self' ELSE 'bob' END AS subject, CASE conversation_id % 4 WHEN 0 THEN 'stated' ELSE 'inferred' END AS origin, CASE conversation_id % 4 WHEN 0 THEN 'tomorrow' END AS due_hint, CASE conversation_id % 4 WHEN 0 THEN one ELSE two END AS sources FROM c JOIN ix USING (conversation_id) WHERE conversation_id % 4 IN (0, 1)""", "exchanges")
+def promised(conversation: str, index: str, text: str, ident: str) -> str:
+    """An answer about an exchange, in one of the three forms it may have: the list alone, in an object, and encoded in it once more."""
+    items = PROMISED.replace("{id}", f"substr({ident}, 1, 32)").replace("{n}", f"CAST({index} AS VARCHAR(9))").replace("{words}", f"regexp_replace(substr({text}, 1, 30), '[^a-z]+', ' ', 'g')")
+    coded = f"""concat('{{"commitments": "', replace({items}, '"', '\\\\"'), '"}}')"""
+    return f"""CASE {conversation} % 3 WHEN 0 THEN {items} WHEN 1 THEN concat('{{"commitments": ', {items}, '}}') ELSE {coded} END"""
+
+
+@query("""w AS (SELECT conversation_id, exchange_index, id, trim(regexp_replace(concat('  call   ', id, ' about ', regexp_replace(substr(user_message, 1, 30), '[^a-z]+', ' ', 'g'), ' '), '\\s+', ' ', 'g')) AS content, first_value(id) OVER (PARTITION BY conversation_id ORDER BY exchange_index) AS zero FROM exchanges)
+SELECT conversation_id, exchange_index, content, 'self' AS subject, 'stated' AS origin, 'tomorrow' AS due_hint, id AS sources FROM w
+UNION ALL SELECT conversation_id, exchange_index, concat(id, ' it'), 'bob', 'inferred', NULL, CASE WHEN exchange_index % 2 = 0 THEN id ELSE concat(zero, ',', id) END FROM w""", "exchanges")
 def extracted_commitments(spark, d):
+    """An answer for each exchange, made of its own words; its conversation stands for the pair, so that positions stay apart."""
     e = t.exchanges(spark, d)
-    answers = e.select("conversation_id").distinct().withColumn("answer", F.expr(PROMISES))
-    return extraction.commitments(answers, e).select("conversation_id", "content", "subject", "origin", "due_hint", F.array_join("sources", ",").alias("sources"))
+    made = promised("conversation_id", "exchange_index", "user_message", "id").replace("VARCHAR(9)", "STRING").replace(", 'g')", ")")
+    key = F.concat_ws("/", "conversation_id", "exchange_index")
+    around = e.select(key.alias("conversation_id"), F.col("conversation_id").alias("c")).join(e.select(F.col("conversation_id").alias("c"), "exchange_index", "id"), "c").drop("c")
+    out = extraction.commitments(e.select(key.alias("conversation_id"), F.expr(made).alias("answer")), around)
+    at = F.split("conversation_id", "/")
+    return out.select(at[0].cast("long").alias("conversation_id"), at[1].cast("long").alias("exchange_index"), "content", "subject", "origin", "due_hint", F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"""cu AS (SELECT id, CASE WHEN exchange_index % 2 = 0 THEN concat('I''ll send it. ', user_message) ELSE user_message END AS u, assistant_message AS a, CASE WHEN conversation_id % 3 = 0 THEN 'self' WHEN conversation_id % 3 = 1 THEN 'the' ELSE 'nobodyknows' END AS subject FROM exchanges)
@@ -187,6 +199,20 @@ def index_repair(spark, d):
     return corpus.index_repair(t.memories(spark, d), t.vectors(spark, d))
 
 
+def phrase_tf(words: list[str]) -> str:
+    """How often words follow each other, by the weights of the columns."""
+    one = lambda c: f"len(list_filter(range(1, len({c}) + 1), lambda i: " + " AND ".join(f"{c}[i + {k}] = '{w}'" for k, w in enumerate(words)) + "))"
+    return f"CAST(1.0 * {one('wc')} + 0.25 * {one('wx')} AS DOUBLE)"
+
+
+@query(f"""w AS (SELECT id, {WORDS.format(c="coalesce(content, '')")} AS wc, {WORDS.format(c="coalesce(context, '')")} AS wx FROM memories), p AS (SELECT id, list_value({phrase_tf(['of', 'the'])}, {phrase_tf(['that', 'on'])}, {phrase_tf(['clown'])}) AS tf, len(wc) + len(wx) AS dl FROM w),
+s AS (SELECT count(*) AS n, avg(dl) AS avg, list_value(count(*) FILTER (tf[1] > 0), count(*) FILTER (tf[2] > 0), count(*) FILTER (tf[3] > 0)) AS df FROM p),
+b AS (SELECT id, round(list_sum(list_transform(range(1, 4), lambda i: greatest(CAST(1e-6 AS DOUBLE), ln((n - df[i] + 0.5) / (df[i] + 0.5))) * tf[i] * 2.2 / (tf[i] + 1.2 * (1 - 0.75 + 0.75 * dl / avg)))), 6) AS bm25 FROM p, s WHERE list_sum(tf) > 0)
+SELECT id, bm25, row_number() OVER (ORDER BY bm25 DESC, id) AS rank FROM b ORDER BY rank LIMIT 20""", "memories")
+def phrase_topk(spark, d):
+    return search.bm25_topk(t.text_index(spark, d, "memories"), "the of-the 'that-on' clown", 20)
+
+
 @query(None)
 def index_hit_rate(spark, d):
     """No SQL form that is quick enough: rows look for themselves by their longest words."""

@@ -99,3 +99,25 @@ def test_a_query_opens_its_terms_files_only(spark):
     used = index.postings(["special7"]).inputFiles()
     assert 0 < len(used) < len(files) and index.postings(["zzz"]).inputFiles() == []
     assert TextIndex.open(spark, "file:///tmp/there-is-no-index-here") is None
+
+
+def test_phrases_and_stems(spark):
+    rows = [(1, "State-of-the-art runs.", "x"), (2, "the art of the state", "runner"), (3, "art", "state of the art"), (4, "state of", "the art"), (5, None, None), (6, "of the of the", "")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    plain = build(df, {"a": 1.0, "b": 0.25})
+    assert scores(plain, "state-of-the-art").keys() == {1, 3} and scores(plain, "running") == {} and scores(plain, "of-the").keys() == {1, 2, 3, 6}
+    assert scores(plain, "state-of-the-art")[1] > scores(plain, "state-of-the-art")[3]
+    assert scores(plain, "of-the-of").keys() == {6} and scores(plain, "state-of-nothing") == {}
+    stems = build(df, {"a": 1.0, "b": 0.25}, stemmed=True)
+    assert scores(stems, "running").keys() == {1} and scores(stems, "states-of-the-arts").keys() == {1, 3}
+    again = TextIndex.open(spark, stems.path)
+    assert again.stemmed and scores(again, "run").keys() == {1}
+    same(stems.upsert(df.filter("id = 1")), stems)
+
+
+def test_stems_equal_published_pairs():
+    from loam.functions.stem import stem
+
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform differentli differ vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv inference infer adjustable adjust defensible defens replacement replac adjustment adjust adoption adopt communism commun angulariti angular effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll running run runs run generalizations gener oscillators oscil dying dy".split()
+    assert [(w, stem(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2]))
+    assert [stem(w) for w in ("is", "a", "größe", "x1s", "")] == ["is", "a", "größe", "x1s", ""]
