@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loam.functions import dates, fixed
 from loam.operators import corpus, episodes, extraction, ledger, search
 from loam.plans import tables as t
-from loam.plans.queries import PATTERNS, R, SCAN, WORDS, query
+from loam.plans.queries import NORMAL, PATTERNS, R, SCAN, WORDS, query
 from loam.plans.tables import NOW
 
 
@@ -91,14 +91,17 @@ def promised(conversation: str, index: str, text: str, ident: str) -> str:
 SELECT conversation_id, exchange_index, content, 'self' AS subject, 'stated' AS origin, 'tomorrow' AS due_hint, id AS sources FROM w
 UNION ALL SELECT conversation_id, exchange_index, concat(id, ' it'), 'bob', 'inferred', NULL, CASE WHEN exchange_index % 2 = 0 THEN id ELSE concat(zero, ',', id) END FROM w""", "exchanges")
 def extracted_commitments(spark, d):
+    at = F.split("conversation_id", "/")
+    return promises(spark, d).select(at[0].cast("long").alias("conversation_id"), at[1].cast("long").alias("exchange_index"), "content", "subject", "origin", "due_hint", F.array_join("sources", ",").alias("sources"))
+
+
+def promises(spark, d):
     """An answer for each exchange, made of its own words; its conversation stands for the pair, so that positions stay apart."""
     e = t.exchanges(spark, d)
     made = promised("conversation_id", "exchange_index", "user_message", "id").replace("VARCHAR(9)", "STRING").replace(", 'g')", ")")
     key = F.concat_ws("/", "conversation_id", "exchange_index")
     around = e.select(key.alias("conversation_id"), F.col("conversation_id").alias("c")).join(e.select(F.col("conversation_id").alias("c"), "exchange_index", "id"), "c").drop("c")
-    out = extraction.commitments(e.select(key.alias("conversation_id"), F.expr(made).alias("answer")), around)
-    at = F.split("conversation_id", "/")
-    return out.select(at[0].cast("long").alias("conversation_id"), at[1].cast("long").alias("exchange_index"), "content", "subject", "origin", "due_hint", F.array_join("sources", ",").alias("sources"))
+    return extraction.commitments(e.select(key.alias("conversation_id"), F.expr(made).alias("answer")), around)
 
 
 @query(f"""cu AS (SELECT id, CASE WHEN exchange_index % 2 = 0 THEN concat('I''ll send it. ', user_message) ELSE user_message END AS u, assistant_message AS a, CASE WHEN conversation_id % 3 = 0 THEN 'self' WHEN conversation_id % 3 = 1 THEN 'the' ELSE 'nobodyknows' END AS subject FROM exchanges)
@@ -330,32 +333,60 @@ def transfer_round_trip(spark, d):
     return got.agg(F.count("*").alias("n"), *[F.count_if(F.col("action") == a).alias(n) for a, n in (("insert", "inserted"), ("update", "updated"), ("skip", "skipped"))])
 
 
-PHASES = ("ingest", "extract", "consolidate", "reflect", "prune")
+def said_facts(exchanges):
+    """A model's stand-in: for each exchange a fact of its own words, one list for each conversation."""
+    words = F.trim(F.regexp_replace(F.substring("user_message", 1, 40), "[^a-z]+", " "))
+    fact = F.struct(F.lit("fact").alias("type"), F.concat(F.lit("says "), words).alias("content"), F.lit(0.4).alias("importance"), F.lit(0.8).alias("confidence"), F.array("exchange_index").alias("source_exchange_indexes"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("exchange_index", fact.alias("f")))), lambda x: x["f"])
+    return exchanges.groupBy("conversation_id").agg(F.to_json(F.struct(listed.alias("facts"))).alias("answer"))
 
 
-@query(f"""a AS (SELECT * FROM exchanges WHERE exchange_index % 3 <> 0), k AS (SELECT * FROM exchanges WHERE conversation_id % 2 = 0),
-f AS (SELECT id % 20 AS batch, id AS pos, content FROM memories) SELECT 'ingest' AS phase, 'done' AS status, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM k)) AS n
-UNION ALL SELECT 'extract', 'done', (SELECT count(*) FROM memories WHERE id % 5 IN (0, 1, 4)) UNION ALL SELECT 'consolidate', 'skipped', NULL UNION ALL SELECT 'reflect', 'done', (SELECT count(DISTINCT cluster_id) FROM clusters WHERE generation = 2)
-UNION ALL SELECT 'prune', 'done', (SELECT count(*) FROM memories WHERE is_active AND round(confidence * least(1.0, 0.5 + 0.1 * access_count) * ({R}), 6) < 0.1)""", "memories exchanges clusters")
+def maintained(spark, d):
+    """The store before a run: every other conversation is known and extracted, two exchanges of three arrive."""
+    from loam.plans.maintenance import FACTS, Tables
+    from loam.sources.scratch import folder
+
+    e = t.exchanges(spark, d)
+    known = e.filter("conversation_id % 2 = 0")
+    m = t.memories(spark, d).selectExpr("id", "content", "context", "type", "confidence", "importance", "access_count", "created_at", "last_accessed", "stability", "is_active", "CAST(array() AS array<string>) AS sources")
+    # A memory that says what an arriving exchange will say.
+    words = F.trim(F.regexp_replace(F.substring("user_message", 1, 40), "[^a-z]+", " "))
+    echo = e.filter("conversation_id = 1 AND exchange_index = 1").select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit("SAYS  "), words, F.lit("!")).alias("content"))
+    echo = echo.selectExpr("id", "content", "NULL AS context", "'fact' AS type", "0.9D AS confidence", "0.5D AS importance", "5L AS access_count", f"{NOW}L AS created_at", "NULL AS last_accessed", "NULL AS stability", "true AS is_active", "CAST(array() AS array<string>) AS sources")
+    return Tables(spark, folder(spark)).commit({
+        "exchanges": known, "arrived": e.filter("exchange_index % 3 <> 0"), "fingerprints": episodes.fingerprint(known), "facts": spark.createDataFrame([], FACTS), "memories": m.unionByName(echo),
+        "entities": t.entities(spark, d), "relationships": t.relationships(spark, d),
+    })
+
+
+def phases():
+    from loam.plans import maintenance as mt
+
+    return {"ingest": mt.ingest, "extract": mt.extract(said_facts), "consolidate": mt.consolidate(NOW), "reflect": mt.reflect(NOW), "prune": mt.prune(NOW)}
+
+
+@query(f"""a AS (SELECT * FROM exchanges WHERE conversation_id % 2 = 0 OR exchange_index % 3 <> 0), tc AS (SELECT DISTINCT conversation_id FROM exchanges WHERE conversation_id % 2 = 1 AND exchange_index % 3 <> 0),
+fa AS (SELECT conversation_id, exchange_index, concat('says ', trim(regexp_replace(substr(user_message, 1, 40), '[^a-z]+', ' ', 'g'))) AS content FROM a SEMI JOIN tc USING (conversation_id)),
+u AS (SELECT {NORMAL} AS k, count(*) AS n FROM fa GROUP BY 1), ec AS (SELECT {NORMAL} AS k FROM fa WHERE conversation_id = 1 AND exchange_index = 1),
+pr AS (SELECT count(*) AS n FROM memories WHERE is_active AND round(confidence * least(1.0, 0.5 + 0.1 * access_count) * ({R}), 6) < 0.1)
+SELECT 'ingest' AS phase, 'exchanges' AS name, count(*) AS rows FROM a UNION ALL SELECT 'ingest', 'arrived', 0 UNION ALL SELECT 'extract', 'facts', count(*) FROM fa UNION ALL SELECT 'extract', 'fingerprints', count(DISTINCT conversation_id) FROM a
+UNION ALL SELECT 'consolidate', 'facts', 0 UNION ALL SELECT 'consolidate', 'memories', (SELECT count(*) FROM memories) + (SELECT count(*) FROM ec) + (SELECT count(*) FROM u WHERE k NOT IN (SELECT k FROM ec)) UNION ALL SELECT 'reflect', 'weights', count(*) FROM relationships
+UNION ALL SELECT 'prune', 'memories', (SELECT count(*) FROM memories) + (SELECT count(*) FROM ec) + (SELECT count(*) FROM u WHERE k NOT IN (SELECT k FROM ec))
+UNION ALL SELECT 'after', 'inactive', (SELECT n FROM pr) + (SELECT count(*) FROM memories WHERE NOT is_active) UNION ALL SELECT 'after', 'cited', (SELECT count(*) FROM u)""", "memories exchanges relationships")
 def maintenance_run(spark, d):
-    """The five phases in order, one of them done by an earlier run; each phase's work is a DataFrame, its report the rows it gives."""
-    from loam.operators import lifecycle
+    """The five phases, each on what the one before committed: rows of the tables they changed, memories that are inactive then, and those that cite an exchange."""
     from loam.plans.maintenance import run
 
-    e, m = t.exchanges(spark, d), t.memories(spark, d)
-    work = {
-        "ingest": lambda: extraction.new_exchanges(e.filter("exchange_index % 3 <> 0"), e.filter("conversation_id % 2 = 0"))[0],
-        "extract": lambda: extraction.facts(m.select(F.col("id").alias("conversation_id"), F.expr(ANSWER).alias("answer"))),
-        "consolidate": lambda: m, "reflect": lambda: t.clusters(spark, d).filter("generation = 2").select("cluster_id").distinct(), "prune": lambda: lifecycle.prune(m, NOW),
-    }
-    return run(spark, {p: work[p] for p in PHASES}, done=["consolidate"])
+    store, report = run(maintained(spark, d), phases())
+    m = store.get()["memories"]
+    after = m.agg(F.count_if(~F.col("is_active")).alias("inactive"), F.count_if(F.size("sources") > 0).alias("cited")).select(F.explode(F.map_from_arrays(F.array(F.lit("inactive"), F.lit("cited")), F.array("inactive", "cited"))).alias("name", "rows"))
+    return report.select("phase", "name", "rows").unionByName(after.select(F.lit("after").alias("phase"), "name", "rows"))
 
 
-@query("SELECT conversation_id AS key, min(ts) AS stated_at, CASE WHEN conversation_id % 4 = 0 THEN min(ts) // 86400 * 86400 + 86400 END AS due_at FROM exchanges WHERE (conversation_id % 4 = 0 AND exchange_index = 0) OR (conversation_id % 4 = 1 AND exchange_index <= 1) GROUP BY conversation_id", "exchanges")
+@query("SELECT concat(conversation_id, '/', exchange_index) AS key, ts AS stated_at, ts // 86400 * 86400 + 86400 AS due_at FROM exchanges", "exchanges")
 def commitments_due(spark, d):
-    e = t.exchanges(spark, d)
-    rows = extraction.commitments(e.select("conversation_id").distinct().withColumn("answer", F.expr(PROMISES)), e)
-    return extraction.with_due(rows.withColumnRenamed("conversation_id", "key"), e).select("key", "stated_at", "due_at")
+    rows = promises(spark, d).filter("due_hint IS NOT NULL")
+    return extraction.with_due(rows.withColumnRenamed("conversation_id", "key"), t.exchanges(spark, d)).select("key", "stated_at", "due_at")
 
 
 @query("f AS (SELECT conversation_id FROM exchanges GROUP BY 1) SELECT conversation_id FROM f WHERE conversation_id % 3 <> 0", "exchanges")

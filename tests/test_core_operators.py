@@ -124,16 +124,3 @@ def test_commitment_subjects(spark):
     want = {"The User": "self", None: "self", " Bob Smith!": "bob", "ann-marie": "ann-marie", "!!": "self"}
     df = spark.createDataFrame([(k,) for k in want], "s string").select("s", subject(F.col("s")).alias("got"))
     assert {r["s"]: r["got"] for r in df.collect()} == want
-
-
-def test_a_failed_phase_ends_the_run(spark, tmp_path):
-    from loam.plans.maintenance import run
-
-    def bad():
-        raise ValueError("no")
-
-    one = lambda: spark.range(3)
-    got = run(spark, {"prune": one, "extract": bad, "ingest": one, "reflect": one}, skip=["reflect"], at=f"file://{tmp_path}/run")
-    assert [tuple(r) for r in got.collect()] == [("ingest", "done", 3), ("extract", "failed: ValueError", None), ("reflect", "not reached", None), ("prune", "not reached", None)]
-    again = run(spark, {"ingest": one, "extract": one, "prune": one}, done=["ingest"], at=f"file://{tmp_path}/run")
-    assert [tuple(r) for r in again.collect()] == [("ingest", "skipped", None), ("extract", "done", 3), ("prune", "done", 3)]
