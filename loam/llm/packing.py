@@ -174,15 +174,15 @@ def heaviest(docs: list[np.ndarray], stats: tuple[int, float, np.ndarray], least
     has = np.bincount(doc[common], minlength=len(docs)) > 0
     use = common | (~has[doc] & (df[term] > 1))
     doc, term, tf = doc[use], term[use], tf[use]
-    order = np.lexsort((term, -_weights(term, tf, size[doc], stats), doc))
-    doc, term = doc[order], term[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     out = np.full((2, len(docs)), _NO_TERM)
-    out[0, doc[first]] = term[first]
-    second = first + 1
-    ok = second < len(doc)
-    ok[ok] = doc[second[ok]] == doc[first[ok]]
-    out[1, doc[first[ok]]] = term[second[ok]]
+    weight = _weights(term, tf, size[doc], stats)
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
+    for k in range(2 if len(doc) else 0):  # the largest of each document in linear time; terms are in order, so of equals the first is the smallest
+        best = np.flatnonzero((weight == np.maximum.reduceat(weight, starts)[which]) & (weight > -np.inf))
+        best = best[np.append(True, which[best[1:]] != which[best[:-1]])] if len(best) else best
+        out[k, doc[best]] = term[best]
+        weight[best] = -np.inf
     return out[0], out[1]
 
 
