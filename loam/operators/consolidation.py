@@ -6,13 +6,18 @@ What a model decides (entailment, merged wording) is injected as a function from
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.columns import content_hash, dot, norm, normalised
+from loam.sources.scratch import ship
 
 MERGE, ASK, SURE, PENALTY = 0.95, 0.85, 0.7, 0.8
+BLOCK, STRIP, PAIRS = 16_384, 256, 65_536  # rows of a tile's side, facts multiplied at a time, pairs looked at again at a time
 
 
 def contradicted(memories: DataFrame, ids: DataFrame) -> DataFrame:
@@ -36,17 +41,77 @@ def collapse_batches(facts: DataFrame) -> DataFrame:
     return best.join(src, "key", "left").select("at.batch", "at.pos", "w.content", "w.confidence", "w.importance", F.coalesce("w.context", "said").alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "n_merged")
 
 
-def nearest(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
-    """facts, a bounded batch: (fact_id, scope, content, embedding); memories: (id, scope, content, embedding). The k nearest memories of each fact in its scope: (fact_id, id, cosine, n, fact, content)."""
-    f = F.broadcast(facts.select("fact_id", F.coalesce("scope", F.lit("global")).alias("scope"), F.col("content").alias("fact"), F.col("embedding").alias("q")))
-    m = memories.select("id", F.coalesce("scope", F.lit("global")).alias("scope"), "content", F.col("embedding").alias("v"))
-    pairs = m.join(f, "scope").select("fact_id", "id", F.round(dot(F.col("v"), F.col("q")) / (norm(F.col("v")) * norm(F.col("q"))), 6).alias("cosine"), "fact", "content")
-    best = pairs.select("fact_id", "id", "cosine").withColumn("n", F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("n") <= k)
-    return best.join(pairs.drop("cosine"), ["fact_id", "id"])
+def nearest(facts: DataFrame, memories: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """facts: (fact_id, scope, content, embedding); memories: (id, scope, content, embedding). The k nearest memories of each fact in its scope: (fact_id, id, cosine, n, fact, content). Zero vectors and those with null or non-finite parts are near nothing.
+
+    Every fact meets every memory of its scope, in tiles of at most about `block` facts and `block` memories. Only ids and vectors go to the tiles and only a tile's k best for each fact leave it; texts are joined to the k that are left."""
+    ship(facts.sparkSession)
+    scope = F.coalesce("scope", F.lit("global")).alias("scope")
+    f = facts.select("fact_id", scope, F.col("embedding").alias("q"))
+    m = memories.select("id", scope, F.col("embedding").alias("v"))
+    count = lambda rows, name: rows.groupBy("scope").agg(F.ceil(F.count("*") / block).alias(name))
+    blocks = count(f, "_f").join(count(m, "_m"), "scope")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    left = f.join(blocks, "scope").withColumn("_f", of("fact_id", "_f")).withColumn("_m", every("_m"))
+    right = m.join(blocks, "scope").withColumn("_m", of("id", "_m")).withColumn("_f", every("_f"))
+    kinds = f"fact_id {facts.schema['fact_id'].dataType.simpleString()}, id {memories.schema['id'].dataType.simpleString()}, cosine double"
+    near = left.groupBy("scope", "_f", "_m").cogroup(right.groupBy("scope", "_f", "_m")).applyInPandas(lambda q, v: _best(q, v, k), kinds)
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("n") <= k)
+    return best.join(memories.select("id", "content"), "id").join(facts.select("fact_id", F.col("content").alias("fact")), "fact_id").select("fact_id", "id", "cosine", "n", "fact", "content")
+
+
+def _usable(rows: pd.DataFrame, vector: str) -> dict[int, tuple[pd.DataFrame, np.ndarray]]:
+    """By length of the vectors: the rows whose vector is near anything, and their vectors."""
+    out = {}
+    size = rows[vector].map(lambda x: 0 if x is None else len(x))
+    for n, part in rows[size > 0].groupby(size[size > 0]):
+        vec = np.array([[np.nan if y is None else y for y in x] if x.dtype == object else x for x in map(np.asarray, part[vector])], np.float64)
+        fine = np.isfinite(vec).all(1) & (vec != 0).any(1)
+        out[n] = part[fine], vec[fine]
+    return out
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 6 digits as Spark rounds: halves of the shortest decimal form go up."""
+    out = np.round(x, 6)
+    for i in np.flatnonzero(np.abs(np.abs(x * 1e6) % 1 - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out
+
+
+def _best(facts: pd.DataFrame, memories: pd.DataFrame, k: int) -> pd.DataFrame:
+    """A tile's k nearest memories of each fact. A product of matrices leaves what is as near as the k-th but for its rounding; those cosines are summed again in the order of the components, as `dot` does. Of memories with one vector the first k are enough."""
+    out = [pd.DataFrame({"fact_id": facts["fact_id"][:0], "id": memories["id"][:0], "cosine": np.zeros(0)})]
+    known = _usable(memories.sort_values("id"), "v")
+    for n, (f, q) in _usable(facts, "q").items():
+        if n not in known or not len(f):
+            continue
+        m, v = known[n]
+        if not len(m):
+            continue
+        same = pd.Series([x.tobytes() for x in v])
+        few = (same.groupby(same).cumcount() < k).to_numpy()
+        m, v = m[few], v[few]
+        length = lambda x: np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
+        a, b = length(q), length(v)
+        flat, ids, asked = (v / b[:, None]).T, m["id"].to_numpy(), f["fact_id"].to_numpy()
+        for low in range(0, len(q), STRIP):
+            near = (q[low : low + STRIP] / a[low : low + STRIP, None]) @ flat
+            least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(near), -np.inf)
+            i, j = np.nonzero(near >= least[:, None] - 2e-6)
+            i += low
+            c = np.zeros(len(i))
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                c[at : at + PAIRS] = np.add.accumulate(q[x] * v[y], axis=1)[:, -1] / (b[y] * a[x])
+            rows = pd.DataFrame({"fact_id": asked[i], "id": ids[j], "cosine": _rounded(c)}).assign(i=i, j=j).sort_values(["i", "cosine", "j"], ascending=[True, False, True])
+            out.append(rows.groupby("i").head(k)[["fact_id", "id", "cosine"]])
+    return pd.concat(out)
 
 
 def consolidate(facts: DataFrame, memories: DataFrame, entails: Callable[[Column, Column], Column], contradicts: Callable[[Column, Column], Column], merge: float = MERGE, ask: float = ASK, sure: float = SURE) -> DataFrame:
-    """What becomes of each fact of a bounded batch: (fact_id, action, memory_id, similarity). Its nearest memories are asked in order: near enough, or entailing it, is a merge; contradicting it is a conflict; without either it is new."""
+    """What becomes of each fact: (fact_id, action, memory_id, similarity). Its nearest memories are asked in order: near enough, or entailing it, is a merge; contradicting it is a conflict; without either it is new."""
     near = nearest(facts, memories)
     c = F.col("cosine")
     what = F.when(c >= merge, "merge").when((c >= ask) & (entails(F.col("content"), F.col("fact")) > sure), "merge").when((c >= ask) & (contradicts(F.col("content"), F.col("fact")) > sure), "conflict")
@@ -84,7 +149,7 @@ def resolved_conflicts(conflicts: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def remember(facts: DataFrame, memories: DataFrame, merged: Callable[[Column, Column], Column] | None = None, least: float = MERGE) -> DataFrame:
-    """What an explicit remember does with each fact of a bounded batch: (fact_id, action, memory_id, content). The nearest memory that is near enough is updated if it says the same or contains it; otherwise the two are merged by `merged` (known, new), or the known one is updated where that gives nothing new; without one the fact is created."""
+    """What an explicit remember does with each fact: (fact_id, action, memory_id, content). The nearest memory that is near enough is updated if it says the same or contains it; otherwise the two are merged by `merged` (known, new), or the known one is updated where that gives nothing new; without one the fact is created."""
     near = nearest(facts, memories).filter(F.col("cosine") >= least)
     first = near.groupBy("fact_id").agg(F.min_by(F.struct("id", "content"), "n").alias("x"))
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
