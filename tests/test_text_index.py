@@ -121,3 +121,29 @@ def test_stems_equal_published_pairs():
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform differentli differ vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv inference infer adjustable adjust defensible defens replacement replac adjustment adjust adoption adopt communism commun angulariti angular effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll running run runs run generalizations gener oscillators oscil dying dy".split()
     assert [(w, stem(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2]))
     assert [stem(w) for w in ("is", "a", "größe", "x1s", "")] == ["is", "a", "größe", "x1s", ""]
+
+
+def test_postings_are_counted_where_their_rows_lie(spark, monkeypatch):
+    """Files grow with the texts, beyond the shuffle's partitions; a null column has no words and leaves the other's."""
+    from loam.operators import text_index
+
+    monkeypatch.setattr(text_index, "LETTERS", 300)
+    monkeypatch.setattr(text_index, "CUT", 7)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 12))), rng.choice([None, "a b a"])) for i in range(150)] + [(150, None, None)]
+    index = build(spark.createDataFrame(rows, "id long, text string, more string"), {"text": 1.0, "more": 0.25})
+    assert len(index.segments[0]["files"]) > 4
+    got = {(r["term"], r["id"]): (r["tf"], r["uses"], r["dl"], r["at"]) for r in index.table().collect()}
+    want = {}
+    for i, *texts in rows:
+        cut = [(x or "").split() for x in texts]
+        for k, (part, w) in enumerate(zip(cut, (1.0, 0.25))):
+            for at, x in enumerate(part):
+                tf, uses, _, places = want.get((x, i), (0.0, 0, 0, []))
+                want[x, i] = tf + w, uses + 1, len(cut[0]) + len(cut[1]), [*places, at + (k << text_index.COLUMN)]
+    assert got == want and index.rows == 151 and index.words == sum(len((x or "").split()) for r in rows for x in r[1:])
+    plan = text_index._counted(spark.range(3).selectExpr("id", "array('a') AS text"), {"text": 1.0}, "bigint")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for file, low, high in index.segments[0]["files"]:
+        terms = [r[0] for r in spark.read.parquet(f"{index.path}/{index.segments[0]['name']}/postings/{file}").select("term").collect()]
+        assert (low, high) == (min(terms), max(terms))
