@@ -147,3 +147,14 @@ def test_postings_are_counted_where_their_rows_lie(spark, monkeypatch):
     for file, low, high in index.segments[0]["files"]:
         terms = [r[0] for r in spark.read.parquet(f"{index.path}/{index.segments[0]['name']}/postings/{file}").select("term").collect()]
         assert (low, high) == (min(terms), max(terms))
+
+
+def test_hit_rate_scores_its_pairs_in_bounded_tasks(spark, monkeypatch):
+    from loam.operators import text_index
+
+    df = spark.createDataFrame(texts(5, 80), SCHEMA)
+    index = build(df, {"text": 1.0})
+    whole = hit_rate(index, df, "text", every=3, k=1).first()
+    monkeypatch.setattr(text_index, "MET", 20)
+    parts = hit_rate(index, df, "text", every=3, k=1)
+    assert parts.first() == whole and "REPARTITION_BY_NUM" in parts._jdf.queryExecution().executedPlan().toString()
