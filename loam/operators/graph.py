@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.columns import DAY, edge_weight
-from loam.sources.scratch import save
+from loam.sources.scratch import dealt, save
 
 
 def both_ways(edges: DataFrame, *more: str) -> DataFrame:
@@ -48,8 +48,12 @@ def modularity(graph: DataFrame, members: DataFrame) -> DataFrame:
 
 def edge_weights(edges: DataFrame, entities: DataFrame, memories: DataFrame, now: int) -> DataFrame:
     """Weights from mentions of both ends, the target's last sight, and the averages of the cited memories (0.5 where none is known)."""
-    cited = edges.select("source", "target", "type", F.explode("source_memories").alias("id")).join(memories.select("id", "confidence", "importance"), "id").groupBy("source", "target", "type").agg(F.avg("confidence").alias("conf"), F.avg("importance").alias("imp"))
-    ends = edges.join(entities.select(F.col("id").alias("target"), "last_seen"), "target", "left").join(cited, ["source", "target", "type"], "left")
+    n, key = edges.count(), ["source", "target", "type"]
+    cites = edges.select(*key, F.explode("source_memories").alias("id"))
+    known = memories.select("id", "confidence", "importance").join(cites.select("id").distinct(), "id", "left_semi")
+    cited = dealt(dealt(cites, n, "id").join(known, "id"), n, *key).groupBy(*key).agg(F.avg("confidence").alias("conf"), F.avg("importance").alias("imp"))
+    ends = dealt(edges.drop("source_memories"), n, "target").join(entities.select(F.col("id").alias("target"), "last_seen"), "target", "left")
+    ends = dealt(ends, n, *key).join(cited, key, "left")
     days = F.greatest(F.lit(0.0), (F.lit(now) - F.coalesce("last_seen", F.lit(now))) / DAY)
     return ends.select("source", "target", "type", F.round(edge_weight(F.col("weight"), days, F.coalesce("conf", F.lit(0.5)), F.coalesce("imp", F.lit(0.5))), 6).alias("weight"))
 

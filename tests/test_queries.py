@@ -86,3 +86,13 @@ def test_oracle_of_ranges_leaves_no_tie_to_chance(name):
     turned = ORACLES[name].replace("AS island FROM m)", "AS island FROM (SELECT * FROM m ORDER BY id, s, e, seen DESC NULLS LAST LIMIT 1000000000))")
     assert turned != ORACLES[name]
     assert sorted(con.sql(turned).fetchall()) == sorted(con.sql(ORACLES[name]).fetchall()) and len(con.sql(turned).fetchall()) == 3
+
+
+@pytest.mark.parametrize("name", ["edge_weights", "graph_health", "orphans"])
+def test_graph_joins_are_dealt_by_rows(spark, duck, name, monkeypatch):
+    """A larger table gets more tasks, not larger ones, with the same rows."""
+    from loam.sources import scratch
+
+    monkeypatch.setattr(scratch, "ROWS", 200)
+    assert "REPARTITION_BY_NUM" in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    test_query_matches_oracle(spark, duck, name)
