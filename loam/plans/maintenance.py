@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loam.functions.columns import content_hash
 from loam.operators import consolidation, episodes, extraction, graph, lifecycle
 from loam.sources.files import create, names, read
+from loam.sources.scratch import save
 
 ORDER = ("ingest", "extract", "consolidate", "reflect", "prune")
 Phase = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
@@ -90,7 +91,7 @@ def extract(answer: Callable[[DataFrame], DataFrame]) -> Phase:
         now = episodes.fingerprint(tables["exchanges"])
         changed = now.join(tables["fingerprints"], ["conversation_id", "fingerprint"], "left_anti").select("conversation_id")
         asked = tables["exchanges"].join(changed, "conversation_id", "left_semi")
-        found = extraction.facts(answer(asked))
+        found = save(extraction.facts(answer(asked)))  # a model is asked once
         sources = extraction.with_sources(found, asked)
         rows = found.join(sources, ["conversation_id", "pos"])
         facts = rows.select("conversation_id", "pos", "content", "type", "importance", "confidence", "context", "sources")

@@ -54,3 +54,23 @@ def test_tables_are_committed_together(spark, tmp_path):
         store.commit({"a": spark.range(1)})  # made from an older version
     assert {n: df.count() for n, df in Tables.open(spark, store.path).get().items()} == {"a": 3, "b": 7}
     assert Tables.open(spark, f"file://{tmp_path}/none").version == 0
+
+
+def test_a_model_is_asked_once(spark):
+    """Facts and their sources come from one answer to each conversation."""
+    from pyspark.sql import functions as F
+
+    from loam.plans import maintenance as mt
+    from loam.plans import text_queries as q
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(answer):
+        asked.add(1)
+        return answer
+
+    store = q.maintained(spark, "/root/testdata/sf0.001")
+    tables = store.get()
+    tables["fingerprints"] = tables["fingerprints"].limit(0)
+    store.commit(mt.extract(lambda e: q.said_facts(e).withColumn("answer", F.udf(count, "string").asNondeterministic()("answer")))(tables))
+    assert asked.value == tables["exchanges"].select("conversation_id").distinct().count()
