@@ -53,6 +53,20 @@ def test_betweenness_equals_brute_force(spark, edges, block):
     assert [r["node"] for r in found] == sorted((x for x in want if want[x] > 0), key=lambda x: (-round(want[x] * len(near[x]), 12), x))
 
 
+def test_betweenness_by_joins_equals_that_by_sources(spark, monkeypatch):
+    """A graph that tasks hold takes a shuffle or two, not rounds of tables; sources in several tasks and several matrices."""
+    edges = [(f"{a:02}", f"{b:02}", float(1 + (a * b) % 3)) for a in range(12) for b in range(a + 1, 12) if (a + 2 * b) % 3 == 0]
+    df = spark.createDataFrame(edges, "a string, b string, weight double")
+    want = brute_betweenness(edges)
+    monkeypatch.setattr(centrality, "_round", None)
+    for name, value in (("TAKEN", 5), ("CELLS", 30), ("MET", 8)):
+        monkeypatch.setattr(centrality, name, value)
+    got = {r["node"]: r["betweenness"] for r in centrality.betweenness(df).collect()}
+    monkeypatch.undo()
+    joins = {r["node"]: r["betweenness"] for r in centrality.betweenness(df, block=6, wave=1, held=0).collect()}
+    assert got.keys() == want.keys() == joins.keys() and all(np.isclose(got[x], want[x]) and np.isclose(joins[x], want[x]) for x in want)
+
+
 def test_betweenness_counts_isolated_nodes(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.0), ("b", "b", 1.0)], "a string, b string, weight double")
     nodes = spark.createDataFrame([(x,) for x in "abcdz"], "node string")
