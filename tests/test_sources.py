@@ -30,6 +30,27 @@ def test_texts_that_look_like_json_stay_texts(spark, tmp_path):
     assert got == {"c0": ('{"type": "text"}', None), "c1": ('[{"type": "text", "text": "x"}]', None), "c2": ("plain", None)}
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Files right below a project count, also in hidden folders; a folder isn't a task of its own."""
+    from loam.sources.transcripts import read_transcripts
+
+    line = json.dumps({"type": "user", "message": {"role": "user", "content": "x"}})
+    for i in range(40):
+        (tmp_path / f"p{i}" / "deeper").mkdir(parents=True)
+        (tmp_path / f"p{i}" / f"c{i}.jsonl").write_text(line)
+        (tmp_path / f"p{i}" / "deeper" / "no.jsonl").write_text(line)
+    (tmp_path / "_p").mkdir()
+    (tmp_path / "_p" / "c40.jsonl").write_text(line)
+    (tmp_path / "stray.jsonl").write_text(line)
+    spark.sparkContext.setJobGroup("listing", "folders")
+    rows = read_transcripts(spark, str(tmp_path))
+    seen = spark.sparkContext.statusTracker()
+    tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["conversation_id"] for r in rows.collect()) == sorted(f"c{i}" for i in range(41))
+
+
 def test_export_and_import(spark):
     from loam.sources.transcripts import export_lines, import_lines
 
