@@ -8,13 +8,11 @@ Defined results: a null text counts as empty; an empty document is its end token
 from __future__ import annotations
 
 import functools
-import re
-import sys
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +20,12 @@ from loam.llm.common import arrow, column, map_batches, release, spill, texts
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 3_000_000
+TOGETHER = 8_000_000  # bytes of texts whose distinct words are encoded together
 K1, B = 1.2, 0.75
 
 
 class Encoder:
-    """Ids of texts through a table of distinct words. The pieces of a word are found by the rank-merging form of the same vocabulary, whose ids equal the tokenizers library's."""
+    """Ids of texts, a batch at a time: Arrow cuts the texts into words, and the batch's distinct words are encoded in one call by the rank-merging form of the same vocabulary, whose ids equal the tokenizers library's."""
 
     def __init__(self, path: str):
         import json
@@ -40,64 +39,66 @@ class Encoder:
         import public_tokenizers
 
         stands = bpe._byte_of()
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(stands.__getitem__, s)): i for s, i in spec["model"]["vocab"].items() if s not in special}
-        if max(*ranks.values(), *(t["id"] for t in spec["added_tokens"])) >= 1 << 16:
+        if max(*ranks.values(), *special.values()) >= 1 << 16:
             raise ValueError("ids of over 16 bits")
-        self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.exact = bpe.coder(path)
-        self.split = bpe.split
-        self.table = WordTable(self.core)
+        self.odd = bpe._ODD.search
+        self.after_space = np.zeros(1 << 16, bool)
+        self.after_space[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
 
     def __call__(self, text: str) -> bytes:
-        """Ids as 16-bit integers."""
-        if any(s in text for s in self.exact.special):
-            return np.frombuffer(self.exact.words([text])[0], "<u4").astype("<u2").tobytes()
-        first, *rest = self.split(text)
-        return np.array(self.core.encode_ordinary(first), "<u2").tobytes() + b"".join(map(self.table.__getitem__, rest))
-
-
-class WordTable(dict):
-    """Ids of words after a space; keeps those of the first 400,000. The letters that a word begins with are one piece of the pre-tokeniser, so that what follows is encoded apart."""
-
-    letters = re.compile(r"[^\W\d_]+")
-
-    def __init__(self, core):
-        super().__init__()
-        self.core, self.tails = core, Tails(core)
-
-    def __missing__(self, word: str) -> bytes:
-        m = self.letters.match(word)
-        if m is None or not m[0].isalpha():
-            raw = _packed(self.core.encode_ordinary(" " + word))
-        elif m.end() == len(word):
-            raw = _packed(self.core.encode_single_piece(b" " + word.encode()))
-        else:
-            raw = self[m[0]] + self.tails[word[m.end() :]]
-        if len(self) < 400_000:
-            self[word] = raw
-        return raw
+        """Ids of one text as 16-bit integers."""
+        return self.batch(pa.array([text], pa.string()))[0].as_py()[:-2]
 
+    def plain(self, text: str) -> np.ndarray:
+        return self.own.encode_to_numpy(text, disallowed_special=()).astype("<u2")
 
-class Tails(dict):
-    """Ids of what follows a word's letters; keeps those of the first 50,000."""
-
-    def __init__(self, core):
-        super().__init__()
-        self.core = core
-
-    def __missing__(self, tail: str) -> bytes:
-        raw = _packed(self.core.encode_ordinary(tail))
-        if len(self) < 50_000:
-            self[tail] = raw
-        return raw
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("H", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    def whole(self, text: str) -> bytes:
+        """Of a text that isn't cut: one that holds a special token, or a space before other white space or its end."""
+        if any(s in text for s in self.exact.special):
+            return np.frombuffer(self.exact.words([text])[0], "<u4").astype("<u2").tobytes()
+        return self.plain(text).tobytes()
+
+    def words(self, words: pa.Array) -> pa.BinaryArray:
+        """Of words after a space each. They are encoded as one text: a space that no white space follows begins a piece of the pre-tokeniser, and no word holds a space, so that each word's ids begin with the only one whose piece begins with a space."""
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = self.plain(" " + said) if len(words) else np.zeros(0, "<u2")
+        starts = np.flatnonzero(self.after_space[ids])
+        if len(starts) != len(words):
+            raise RuntimeError("words and their ids differ in number")
+        return _binary(ids, np.append(starts, len(ids)))
+
+    def batch(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """Of every text, with the end token, as 16-bit integers."""
+        texts = texts.cast(pa.string()).fill_null("")
+        special = functools.reduce(pc.or_, [pc.match_substring(texts, s) for s in self.exact.special])
+        known = texts.to_pylist()
+        uncut = [s or self.odd(t) is not None for s, t in zip(special.to_pylist(), known, strict=True)]
+        cut = pc.split_pattern(pc.if_else(pa.array(uncut, pa.bool_()), "", texts), " ")
+        first = np.zeros(len(cut.flatten()), bool)
+        first[cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()] = True  # every text has a first word, if an empty one
+        rest = cut.flatten().filter(pa.array(~first)).dictionary_encode()
+        heads = [self.whole(t if u else t.partition(" ")[0]) for t, u in zip(known, uncut, strict=True)]
+        # Codes of words, then of heads, then of the end token; a text is its head, its words and an end.
+        n = len(rest.dictionary)
+        code = np.empty(len(first) + len(heads), np.int64)
+        at = np.flatnonzero(first) + np.arange(len(heads))
+        ends = np.append(at[1:], len(code)) - 1
+        word = np.ones(len(code), bool)
+        word[at] = word[ends] = False
+        code[word], code[at], code[ends] = rest.indices.to_numpy(), n + np.arange(len(heads)), n + len(heads)
+        every = pa.concat_arrays([self.words(rest.dictionary), pa.array([*heads, np.array([END], "<u2").tobytes()], pa.binary())])
+        runs = every.take(pa.array(code))
+        bounds = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset :][: len(runs) + 1]
+        return _binary(np.frombuffer(runs.buffers()[2], "<u2"), bounds[np.append(at, len(code))] // 2)
+
+
+def _binary(ids: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """Runs of 16-bit ids between bounds."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids)])
 
 
 @functools.cache
@@ -107,19 +108,19 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, ids, df): ids with the end token, 16 bits each (vocabularies of up to 65,536 ids). A task ends in a row of its own, without an n, whose df holds in how many of the task's documents each id occurs."""
-    end = np.array([END], "<u2").tobytes()
 
     def run(batches):
         df = np.zeros(1 << 16, np.int64)
         none = pa.array([None], pa.int64())
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                e = encoder(path)
-                ids = [e(t) + end for t in texts(part, text_col)]
-                n = [len(x) // 2 for x in ids]
-                df += np.bincount(_terms([np.frombuffer(x, "<u2") for x in ids])[1], minlength=1 << 16)
-                yield pa.RecordBatch.from_arrays([column(part, id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "ids", "df"])
+            size = np.cumsum(pc.fill_null(pc.binary_length(column(b, text_col)), 0).to_numpy(zero_copy_only=False)) // TOGETHER
+            starts = [*np.flatnonzero(np.diff(size, prepend=-1)).tolist(), b.num_rows]
+            for low, high in zip(starts, starts[1:]):
+                part = b.slice(low, high - low)
+                ids = encoder(path).batch(column(part, text_col))
+                for at in range(0, len(ids), 500):
+                    df += np.bincount(_terms([np.frombuffer(x, "<u2") for x in ids[at : at + 500].to_pylist()])[1], minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([column(part, id_col).cast(pa.int64()), pc.divide(pc.binary_length(ids), 2).cast(pa.int64()), ids, pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "ids", "df"])
         yield pa.RecordBatch.from_arrays([none, none, pa.array([b""], pa.binary()), pa.array([df.tobytes()], pa.binary())], names=["doc_id", "n", "ids", "df"])
 
     return arrow(docs.select(id_col, text_col), run, "doc_id long, n long, ids binary, df binary")

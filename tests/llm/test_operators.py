@@ -418,6 +418,21 @@ def test_packing_ids_equal_the_library():
         assert np.frombuffer(e(t), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packing_encodes_the_distinct_words_of_a_batch_in_one_call(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    lib, e = Tokenizer.from_file(path), packing.Encoder(path)
+    said, plain = [], e.plain
+    monkeypatch.setattr(e, "plain", lambda text: (said.append(text), plain(text))[1])
+    texts = [f"start same naïve\n日本語 w{i % 7} it's same.\nNext w{i % 7}" for i in range(300)]
+    texts += [None, "", " ", " lead", "trail ", "a  b", "a \n b", "\nx y", "one", "<|endoftext|> same <|endoftext|>x", "\u00a0 \u3000z", "same \u2003same"]
+    got = e.batch(pa.array(texts, pa.string()).slice(3))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()] == [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in texts[3:]]
+    assert sum(len(t) for t in said) < 2500 and len(e.batch(pa.array([None], pa.string()))) == 1
+
+
 def test_packing_scores_are_bm25():
     # The windows of a shard against a plain scorer over all terms.
     rng = np.random.default_rng(8)
