@@ -149,6 +149,35 @@ def test_postings_are_counted_where_their_rows_lie(spark, monkeypatch):
         assert (low, high) == (min(terms), max(terms))
 
 
+def test_texts_are_cut_once_for_the_postings(spark, monkeypatch, tmp_path):
+    """Ranges of files come from a sample, not from a pass over all postings; a term of many rows is split by ids, which may be strings or null."""
+    from loam.operators import text_index
+
+    monkeypatch.setattr(text_index, "LETTERS", 400)
+    real, cuts = text_index._counted, spark.sparkContext.accumulator(0)
+
+    def counted(cut, *rest):
+        def run(parts):
+            for part in parts:
+                cuts.add(part.num_rows)
+                yield part
+
+        return real(cut.mapInArrow(run, cut.schema), *rest)
+
+    monkeypatch.setattr(text_index, "_counted", counted)
+    rows = [(None if i == 5 else f"r{i:03}", f"same {'same ' * (i % 3)}w{i % 9} Ünique{i}") for i in range(200)]
+    for sample in (500_000, 60):
+        monkeypatch.setattr(text_index, "SAMPLE", sample, raising=False)
+        cuts.value = 0
+        index = build(spark.createDataFrame(rows, "id string, text string"), {"text": 1.0})
+        assert cuts.value == 200
+        files = index.segments[0]["files"]
+        assert len(files) > 5 and sum(low <= "same" <= high for _, low, high in files) > 1
+        got = sorted(((r["term"], r["id"] or "", r["uses"], r["dl"]) for r in index.table().collect()))
+        want = sorted((w, i or "", t.lower().split().count(w), len(t.split())) for i, t in rows for w in set(t.lower().split()))
+        assert got == want and (index.rows, index.words) == (200, sum(len(t.split()) for _, t in rows))
+
+
 def test_hit_rate_scores_its_pairs_in_bounded_tasks(spark, monkeypatch):
     from loam.operators import text_index
 
