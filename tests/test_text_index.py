@@ -178,6 +178,21 @@ def test_texts_are_cut_once_for_the_postings(spark, monkeypatch, tmp_path):
         assert got == want and (index.rows, index.words) == (200, sum(len(t.split()) for _, t in rows))
 
 
+def test_phrases_meet_in_bounded_tasks(spark, monkeypatch):
+    """Postings of a phrase's words are dealt by their rows before anything sorts them, beyond the shuffle's partitions if they are many."""
+    from loam.operators import text_index
+    from loam.sources import scratch
+
+    index = build(spark.createDataFrame([(i, f"of the w{i} of {'the' * (i % 2)} of the") for i in range(60)], SCHEMA), {"text": 1.0})
+    whole = sorted(text_index.matches(index, [["of", "the"]]).collect())
+    assert len(whole) == 60 and {r["tf"] for r in whole} == {2.0, 3.0}
+    for rows, how in ((500_000, "REPARTITION_BY_COL"), (10, "13), REPARTITION_BY_NUM")):
+        monkeypatch.setattr(scratch, "ROWS", rows)
+        found = text_index.matches(index, [["of", "the"]])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert how in plan and "SortAggregate" not in plan[plan.index("Exchange") :] and sorted(found.collect()) == whole
+
+
 def test_hit_rate_scores_its_pairs_in_bounded_tasks(spark, monkeypatch):
     from loam.operators import text_index
 
