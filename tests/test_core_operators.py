@@ -67,6 +67,19 @@ def test_betweenness_by_joins_equals_that_by_sources(spark, monkeypatch):
     assert got.keys() == want.keys() == joins.keys() and all(np.isclose(got[x], want[x]) and np.isclose(joins[x], want[x]) for x in want)
 
 
+def test_betweenness_by_hubs_equals_that_by_sources(spark, monkeypatch):
+    """A graph whose edges touch a few nodes goes by paths between these, and looks at no edge for each source and round; hubs with edges between them, several paths of a length, two components, matrices that aren't full."""
+    rng = random.Random(6)
+    edges = {(f"{a}h{rng.randrange(5)}", f"{a}n{b:02}"): rng.choice([1.0, 1.0, 2.0, 0.5]) for a in "xy" for b in range(25) for _ in range(rng.randint(1, 4))}
+    edges |= {("xh0", "xh1"): 1.0, ("xh1", "xh2"): 2.0, ("yh0", "yh1"): 0.5}
+    df = spark.createDataFrame([(*e, w) for e, w in edges.items()], "a string, b string, weight double")
+    want = {r["node"]: r["betweenness"] for r in centrality.betweenness(df, hubs=0).collect()}
+    monkeypatch.setattr(centrality, "dependencies", None)
+    monkeypatch.setattr("loam.operators.hubs.CELLS", 20)
+    got = {r["node"]: r["betweenness"] for r in centrality.betweenness(df).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 0.1 and all(np.isclose(got[x], want[x]) and (got[x] > 0) == (want[x] > 0) for x in want)
+
+
 def test_betweenness_counts_isolated_nodes(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.0), ("b", "b", 1.0)], "a string, b string, weight double")
     nodes = spark.createDataFrame([(x,) for x in "abcdz"], "node string")
