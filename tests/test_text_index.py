@@ -202,3 +202,35 @@ def test_hit_rate_scores_its_pairs_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(text_index, "MET", 20)
     parts = hit_rate(index, df, "text", every=3, k=1)
     assert parts.first() == whole and "REPARTITION_BY_NUM" in parts._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("met, asked", [(40, 7), (2_000_000, 1 << 16)])
+def test_hit_rate_makes_no_pairs(spark, monkeypatch, met, asked):
+    """Rows with the words of a row asked for are counted where their postings lie: no shuffle holds a row for each pair, and the count is that of plain loops."""
+    import math
+
+    from loam.operators import text_index
+
+    monkeypatch.setattr(text_index, "MET", met)
+    monkeypatch.setattr(text_index, "ASKED", asked, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{'x' * rng.randint(1, 3)}{int(rng.paretovariate(0.6)) % 9}" for _ in range(rng.randint(0, 14)))) for i in range(120)] + [(120, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = build(df, {"text": 1.0})
+    said = {i: (t or "").split() for i, t in rows}
+    mean = sum(map(len, said.values())) / len(rows)
+    often = {w: sum(w in s for s in said.values()) for s in said.values() for w in s}
+
+    def score(i, terms):
+        s = said[i]
+        return round(sum(max(1e-6, math.log((len(rows) - often[w] + 0.5) / (often[w] + 0.5))) * s.count(w) * 2.2 / (s.count(w) + 1.2 * (0.25 + 0.75 * len(s) / mean)) for w in terms if w in s), 6)
+
+    best = {i: sorted(set(s), key=lambda w: (-len(w), w))[:3] for i, s in said.items() if s}
+    better = {i: sum(score(j, terms) > score(i, terms) for j in said) for i, terms in best.items()}
+    for k in (1, 3):
+        out = hit_rate(index, df, "text", every=1, k=k)
+        r = out.first()
+        assert (r["n_asked"], r["n_found"]) == (len(best), sum(n < k for n in better.values())) and 0 < r["n_found"] < r["n_asked"]
+    import re
+
+    assert not re.search(r"hashpartitioning\(asked#\d+L?, id#", out._jdf.queryExecution().toString())
